@@ -4,18 +4,185 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from dialoom.operators import spans
+from dialoom.functions import text
+from dialoom.operators import assignment, spans
+from dialoom.operators.spans import E, S
+from dialoom.session import cut_lineage
+
+FRAME_MS = 10
 
 
 def best_match(hyp: DataFrame, ref: DataFrame, keys: Sequence[str], bin_ms: int, min_ms: int = 500) -> DataFrame:
     """Each hypothesis row with its most-overlapping reference row (earliest id on ties), null below the minimum."""
-    pairs = spans.overlap_join(hyp.select(*keys, "seg_id", "start_ms", "end_ms"),
-                               ref.select(*keys, "seg_id", "start_ms", "end_ms"), keys, bin_ms,
+    pairs = spans.overlap_join(hyp.select(*keys, "seg_id", S, E), ref.select(*keys, "seg_id", S, E), keys, bin_ms,
                                min_overlap_ms=min_ms + 1)
     best = pairs.groupBy(*keys, "seg_id").agg(
         F.max_by(F.struct(F.col("r_seg_id").alias("ref_id"), "overlap_ms"),
                  F.struct(F.col("overlap_ms"), -F.col("r_seg_id"))).alias("m"))
     return hyp.join(best, [*keys, "seg_id"], "left").select(hyp["*"], "m.ref_id", "m.overlap_ms")
+
+
+def majority_labels(pairs: DataFrame, keys: Sequence[str], left: str, right: str) -> DataFrame:
+    """Most frequent `right` label per `left` label, the smallest name on ties."""
+    n = pairs.groupBy(*keys, left, right).count()
+    return n.groupBy(*keys, left).agg(F.min_by(F.struct(right, F.col("count").alias("votes")),
+                                               F.struct(-F.col("count"), F.col(right))).alias("b")).select(*keys, left, "b.*")
+
+
+def snapped(df: DataFrame, keys: Sequence[str], frame_ms: int = FRAME_MS, width: int | None = None) -> DataFrame:
+    """Per-speaker masks on the frame grid, as unions of spans (starts floored, ends ceiled)."""
+    g = df.withColumns({S: (F.floor(F.col(S) / frame_ms) * frame_ms).cast("long"),
+                        E: (F.ceil(F.col(E) / frame_ms) * frame_ms).cast("long")})
+    return spans.speaker_unions(g, keys, width=width)
+
+
+def overlap_matrix(hyp_masks: DataFrame, ref_masks: DataFrame, keys: Sequence[str], bin_ms: int) -> DataFrame:
+    """Shared time per (hypothesis speaker, reference speaker); masks are disjoint per speaker."""
+    j = spans.overlap_join(hyp_masks, ref_masks, keys, bin_ms)
+    return j.groupBy(*keys, "speaker", F.col("r_speaker").alias("ref_speaker")).agg(F.sum("overlap_ms").alias("overlap_ms"))
+
+
+def label_map(hyp_masks: DataFrame, ref_masks: DataFrame, keys: Sequence[str], bin_ms: int) -> DataFrame:
+    """Reference label with the largest overlap per hypothesis label; lowest label on ties and without any overlap."""
+    m = overlap_matrix(hyp_masks, ref_masks, keys, bin_ms)
+    best = m.groupBy(*keys, "speaker").agg(F.min_by(F.struct("ref_speaker", "overlap_ms"),
+                                                    F.struct(-F.col("overlap_ms"), F.col("ref_speaker"))).alias("b"))
+    lowest = ref_masks.groupBy(*keys).agg(F.min("speaker").alias("_low"))
+    names = hyp_masks.select(*keys, "speaker").distinct()
+    return (names.join(best, [*keys, "speaker"], "left").join(lowest, list(keys), "left")
+            .select(*keys, "speaker", F.coalesce("b.ref_speaker", "_low", "speaker").alias("ref_speaker"),
+                    F.coalesce("b.overlap_ms", F.lit(0).cast("long")).alias("overlap_ms")))
+
+
+def _counted(parts: dict[str, DataFrame], keys: Sequence[str], width: int) -> DataFrame:
+    """Step function of how many spans of each named table are active, over all their boundaries."""
+    u = None
+    for n, d in parts.items():
+        d = d.filter(F.col(E) > F.col(S)).select(*keys, S, E, F.lit(n).alias("_src"))
+        u = d if u is None else u.unionByName(d)
+    one = lambda n: F.when(F.col("_src") == n, F.lit(1)).otherwise(F.lit(0)).cast("long")
+    st = spans.depth_steps(u, keys, {n: one(n) for n in parts}, width)
+    return st.filter(F.col("next_ms").isNotNull()).withColumn("dur", F.col("next_ms") - F.col("t"))
+
+
+def overlap_identity(ref: DataFrame, hyp: DataFrame, keys: Sequence[str], bin_ms: int, width: int,
+                     frame_ms: int = FRAME_MS) -> DataFrame:
+    """Overlap detection and identity on the frame grid, one row per key, in milliseconds.
+
+    No speaker sets are built: with r reference, h hypothesis and i common speakers active at an instant, the sets are
+    equal iff r = h = i, and i is the depth of the spans where both sides have the same speaker.
+    """
+    r = cut_lineage(snapped(ref, keys, frame_ms, width))
+    h0 = cut_lineage(snapped(hyp, keys, frame_ms, width))
+    m = label_map(h0, r, keys, bin_ms).select(*keys, "speaker", "ref_speaker")
+    h = h0.join(m, [*keys, "speaker"]).drop("speaker").withColumnRenamed("ref_speaker", "speaker")
+    h = cut_lineage(spans.speaker_unions(h, keys, width=width))
+    both = _counted({"r": r, "h": h}, [*keys, "speaker"], width).filter("r > 0 AND h > 0")
+    both = both.select(*keys, F.col("t").alias(S), F.col("next_ms").alias(E))
+    st = _counted({"r": r, "h": h, "i": both}, keys, width)
+    tot = lambda cond, name: F.coalesce(F.sum(F.when(cond, F.col("dur"))), F.lit(0).cast("long")).alias(name)
+    R, H, I = F.col("r"), F.col("h"), F.col("i")
+    return st.groupBy(*keys).agg(
+        tot(R >= 2, "ref_overlap_ms"), tot(H >= 2, "hyp_overlap_ms"), tot((R >= 2) & (H >= 2), "tp_ms"),
+        tot((R < 2) & (H >= 2), "fp_ms"), tot((R >= 2) & (H < 2), "fn_ms"),
+        tot(R == 2, "exact2_ms"), tot((R == 2) & (I >= 2), "both_correct_any_ms"),
+        tot((R == 2) & (H == 2) & (I == 2), "both_correct_exact_ms"), tot((R == 2) & (I == 1), "one_correct_ms"),
+        tot((R == 2) & (I == 0), "zero_correct_ms"), tot((R == 2) & (H >= 2), "detected_ms"),
+        tot((R == 2) & (H < 2), "collapsed_ms"), tot((R == 1) & (H >= 2), "fp_on_single_ms"),
+        tot((R == 1) & (H >= 2) & (I >= 1), "kept_true_plus_extra_ms"), tot((R == 1) & (H >= 2) & (I == 0), "both_wrong_ms"))
+
+
+def precision_recall(df: DataFrame) -> DataFrame:
+    tp, fp, fn = F.col("tp_ms"), F.col("fp_ms"), F.col("fn_ms")
+    p = F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0)
+    r = F.when(tp + fn > 0, tp / (tp + fn)).otherwise(0.0)
+    return df.withColumns({"precision": p, "recall": r}).withColumn(
+        "f1", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0))
+
+
+def diarization_error(ref: DataFrame, hyp: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
+    """Missed, false-alarm and confused time per key (no collar, overlap scored, optimal one-to-one label mapping).
+
+    Shared time per label pair and the per-instant counts are running totals, so overlapping segments form no pairs.
+    """
+    keys = list(keys)
+    ref, hyp = ref.filter(F.col(E) > F.col(S)), hyp.filter(F.col(E) > F.col(S))
+    names = ref.select(*keys, F.col("speaker").alias("ref_speaker")).distinct()
+    against = hyp.select(*keys, "seg_id", "speaker", S, E).join(names, keys)
+    per_ref = ref.select(*keys, F.col("speaker").alias("ref_speaker"), S, E)
+    shared = spans.overlap_sum(against, per_ref, [*keys, "ref_speaker"], ["seg_id"], "ms", width=width)
+    cells = shared.groupBy(*keys, "speaker", "ref_speaker").agg(F.sum("ms").cast("double").alias("ms"))
+    pairs = assignment.best_pairs(cells, keys, "speaker", "ref_speaker", "ms").filter("ms > 0").drop("ms")
+    mapped = cut_lineage(hyp.join(pairs, [*keys, "speaker"]).select(*keys, F.col("ref_speaker").alias("speaker"), S, E))
+    same = _counted({"r": ref, "h": mapped}, [*keys, "speaker"], width)
+    right = same.groupBy(*keys).agg(F.sum(F.least("r", "h") * F.col("dur")).alias("correct_ms"))
+    st = _counted({"r": ref, "h": hyp}, keys, width)
+    R, H, D = F.col("r"), F.col("h"), F.col("dur")
+    tot = st.groupBy(*keys).agg(F.sum(R * D).alias("total_ms"), F.sum(F.greatest(F.lit(0), R - H) * D).alias("missed_ms"),
+                                F.sum(F.greatest(F.lit(0), H - R) * D).alias("false_alarm_ms"), F.sum(F.least(R, H) * D).alias("_both"))
+    out = tot.join(right, keys, "left").withColumn("confusion_ms", F.col("_both") - F.coalesce("correct_ms", F.lit(0)))
+    return out.select(*keys, "total_ms", "missed_ms", "false_alarm_ms", "confusion_ms",
+                      ((F.col("missed_ms") + F.col("false_alarm_ms") + F.col("confusion_ms"))
+                       / F.greatest(F.col("total_ms"), F.lit(1))).alias("der"))
+
+
+# ---- word error -------------------------------------------------------------------------------------------------------
+
+EDITS = T.StructType([T.StructField(n, T.LongType()) for n in ("edits", "substitutions", "deletions", "insertions", "ref_words")])
+_EDIT = 1 << 20
+
+
+def word_edits(ref: list[str], hyp: list[str]) -> tuple[int, int, int, int, int]:
+    """Edit counts of a best word alignment (fewest insertions among the best), row by row in numpy."""
+    n, m = len(ref), len(hyp)
+    ids = {w: i for i, w in enumerate(dict.fromkeys([*ref, *hyp]))}
+    h = np.array([ids[w] for w in hyp], dtype=np.int64)
+    ramp = np.arange(m + 1, dtype=np.int64) * (_EDIT + 1)  # an insertion costs an edit and one mark
+    row = ramp.copy()
+    for w in ref:
+        nxt = row + _EDIT
+        nxt[1:] = np.minimum(nxt[1:], row[:-1] + (h != ids[w]) * _EDIT)
+        row = np.minimum.accumulate(nxt - ramp) + ramp
+    edits, ins = divmod(int(row[m]), _EDIT)
+    dele = ins + n - m
+    return edits, edits - ins - dele, dele, ins, n
+
+
+@F.pandas_udf(EDITS)
+def word_edit_counts(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([word_edits((a or "").split(), (b or "").split()) for a, b in zip(ref, hyp)],
+                        columns=[f.name for f in EDITS])
+
+
+def with_wer(df: DataFrame, ref: str, hyp: str) -> DataFrame:
+    """Edit counts and word error rate; an empty reference gives 0 or 1 by whether the hypothesis is empty."""
+    d = df.withColumn("_e", word_edit_counts(text.wer_normalize(F.col(ref)), text.wer_normalize(F.col(hyp)))).select("*", "_e.*").drop("_e")
+    wer = F.when(F.col("ref_words") > 0, F.col("edits") / F.greatest(F.col("ref_words"), F.lit(1))).otherwise(
+        F.when(F.col("insertions") > 0, 1.0).otherwise(0.0))
+    return d.withColumn("wer", wer)
+
+
+def wer_report(df: DataFrame, by: Sequence[str], matched: Column) -> DataFrame:
+    return df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(matched).alias("matched"), F.avg("wer").alias("mean_wer"),
+        (F.sum("edits") / F.greatest(F.sum("ref_words"), F.lit(1))).alias("corpus_wer"),
+        F.sum("substitutions").alias("substitutions"), F.sum("deletions").alias("deletions"), F.sum("insertions").alias("insertions"))
+
+
+def mapping_health(mapped: DataFrame, keys: Sequence[str], min_speakers: int = 2, min_score: float = 0.38,
+                   noise_coverage: float = 0.50) -> DataFrame:
+    """Coverage, unique targets and mean score of a label mapping (columns other, local, score; null local = unmapped)."""
+    hit = F.col("local").isNotNull()
+    g = mapped.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(hit).alias("mapped"), F.countDistinct("local").alias("unique_local"),
+        F.coalesce(F.avg(F.when(hit, F.col("score"))), F.lit(0.0)).alias("avg_score"))
+    cov = F.col("mapped") / F.greatest(F.col("total"), F.lit(1))
+    floor = F.least(F.lit(min_speakers), F.greatest(F.col("total"), F.lit(1)))
+    return g.withColumns({"coverage": cov, "noisy": cov < noise_coverage,
+                          "healthy": (F.col("mapped") >= floor) & (F.col("unique_local") >= floor) & (F.col("avg_score") >= min_score)})

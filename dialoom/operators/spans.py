@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialoom.operators import slabs
+from dialoom.session import cut_lineage
 
 S, E = "start_ms", "end_ms"
 
@@ -20,11 +21,22 @@ def merge_spans(df: DataFrame, keys: Sequence[str], gap_ms: int = 0, width: int
                 aggs: Sequence[Column] = ()) -> DataFrame:
     """Union of intervals per key; spans at most `gap_ms` apart join (inclusive). Extra `aggs` run per merged span."""
     width = width or slabs.slab_width(df, keys, S)
-    df = slabs.with_slab(df, S, width)
-    df = slabs.running(df, keys, [S, E], before={"_top": ("max", F.col(E))})
-    opens = F.when(F.col("_top").isNull() | (F.col(S) > F.col("_top") + F.lit(gap_ms)), F.col(S))
-    df = slabs.running(df, keys, [S, E], upto={"_island": ("max", opens)})
-    return (df.groupBy(*keys, F.col("_island").alias(S))
+    # A row opens an island when it starts beyond every earlier end. Inside a slab only earlier rows of the slab are
+    # known; of the rows that look like openers there, those beyond the carried end are the true ones.
+    rows = slabs.scan(
+        slabs.with_slab(df, S, width), keys, [S, E],
+        local=lambda w: [{"_top": F.max(E).over(slabs.before(w))},
+                         {"_open": F.when(F.col("_top").isNull() | (F.col(S) > F.col("_top") + gap_ms), F.col(S))}],
+        summary=[F.max(E).alias("_end"), F.max("_open").alias("_last")],
+        carry=lambda w: [{"_cend": F.max("_end").over(slabs.before(w))},
+                         {"_true": F.when(F.col("_cend").isNull() | (F.col("_last") > F.col("_cend") + gap_ms),
+                                          F.col("_last"))},
+                         {"_cisl": F.max("_true").over(slabs.before(w))}],
+        carried=["_cend", "_cisl"])
+    opens = F.when(F.col("_cend").isNull() | (F.col("_open") > F.col("_cend") + gap_ms), F.col("_open"))
+    w = Window.partitionBy(*keys, slabs.SLAB).orderBy(S, E)
+    rows = rows.withColumn("_island", F.coalesce(F.max(opens).over(slabs.upto(w)), F.col("_cisl")))
+    return (rows.groupBy(*keys, F.col("_island").alias(S))
             .agg(F.max(E).alias(E), F.count(F.lit(1)).alias("n_spans"), *aggs))
 
 
@@ -43,8 +55,7 @@ def depth_steps(df: DataFrame, keys: Sequence[str], sums: dict[str, Column] | No
     ev = ev.groupBy(*keys, F.col("e.t").alias("t")).agg(
         *[F.sum(F.col(f"_v_{n}") * F.col("e.sign")).alias(f"_d_{n}") for n in sums])
     ev = slabs.with_slab(ev, "t", width)
-    ev = slabs.running(ev, keys, ["t"], upto={n: ("sum", F.col(f"_d_{n}")) for n in sums})
-    return slabs.neighbour(ev, keys, ["t"], 1, {"next_ms": F.col("t")})
+    return slabs.running_sums(ev, keys, ["t"], {n: F.col(f"_d_{n}") for n in sums}, next_of={"next_ms": "t"})
 
 
 def busy_regions(df: DataFrame, keys: Sequence[str], at_least: int = 2, width: int | None = None) -> DataFrame:
@@ -75,7 +86,7 @@ def covered(points: DataFrame, spans: DataFrame, keys: Sequence[str], at: str, o
                    F.lit(0).cast("decimal(38,0)").alias("_dm"))
     ev = pt.unionByName(sp, allowMissingColumns=True)
     ev = slabs.with_slab(ev, "_t", width)
-    ev = slabs.running(ev, keys, ["_t"], upto={"_sw": ("sum", F.col("_dw")), "_sm": ("sum", F.col("_dm"))})
+    ev = slabs.running_sums(ev, keys, ["_t"], {"_sw": F.col("_dw"), "_sm": F.col("_dm")})
     ev = ev.filter(F.col("_row").isNotNull())
     total = (F.col("_t").cast("decimal(38,0)") * F.col("_sw") - F.col("_sm")).cast("long")
     return ev.select("_row.*", total.alias(out))
@@ -146,7 +157,10 @@ def atomic_spans(df: DataFrame, keys: Sequence[str], width: int | None = None,
 def active_speakers(atoms: DataFrame, df: DataFrame, keys: Sequence[str], bin_ms: int, speaker: str = "speaker",
                     width: int | None = None) -> DataFrame:
     """Point-in-interval join: every atom with each distinct speaker active over it (one row per pair)."""
-    un = speaker_unions(df, keys, speaker, width=width)
+    return _inside(atoms, speaker_unions(df, keys, speaker, width=width), keys, bin_ms, speaker)
+
+
+def _inside(atoms: DataFrame, un: DataFrame, keys: Sequence[str], bin_ms: int, speaker: str = "speaker") -> DataFrame:
     un = un.select(*keys, F.col(speaker).alias("active"), F.col(S).alias("_us"), F.col(E).alias("_ue"),
                    F.explode(bins(F.col(S), F.col(E), bin_ms)).alias("_bin"))
     at = atoms.withColumn("_bin", F.floor(F.col(S) / bin_ms).cast("long"))
@@ -157,9 +171,9 @@ def active_speakers(atoms: DataFrame, df: DataFrame, keys: Sequence[str], bin_ms
 def pair_regions(df: DataFrame, keys: Sequence[str], bin_ms: int, width: int | None = None) -> DataFrame:
     """Maximal regions with exactly two distinct speakers that stay the same pair."""
     width = width or slabs.slab_width(df, keys, S)
-    un = speaker_unions(df, keys, width=width)
+    un = cut_lineage(speaker_unions(df, keys, width=width))
     two = atomic_spans(un, keys, width).filter("depth = 2").drop("depth")
-    two = (active_speakers(two, un, keys, bin_ms, width=width)
+    two = (_inside(two, un, keys, bin_ms)
            .groupBy(*keys, S, E).agg(F.min("active").alias("speaker_a"), F.max("active").alias("speaker_b")))
     # same pair and touching: merging with gap 0 inside the pair joins exactly those
     return merge_spans(two, [*keys, "speaker_a", "speaker_b"], 0, width).drop("n_spans")
@@ -218,8 +232,12 @@ def other_speaker_in_gap(gaps: DataFrame, segs: DataFrame, keys: Sequence[str],
     Counted, not paired: a gap contains another voice iff the talk time of everybody exceeds the talk time of its own
     speaker there, both taken over per-speaker unions.
     """
-    un = speaker_unions(segs, keys, speaker, width=width)
-    live = gaps.filter(F.col(E) > F.col(S))
-    a = overlap_sum(live, un, keys, row_id, "_all", width=width)
-    b = overlap_sum(a, un, [*keys, speaker], row_id, "_own", width=width)
-    return b.filter(F.col("_all") > F.col("_own")).drop("_all", "_own")
+    everybody = "*"
+    who = F.explode(F.array(F.lit(everybody), F.col(speaker)))
+    un = speaker_unions(segs, keys, speaker, width=width).withColumn("_who", who).select(*keys, "_who", S, E)
+    ids = list(dict.fromkeys([*keys, *row_id]))
+    live = gaps.filter(F.col(E) > F.col(S)).withColumn("_who", who)
+    talk = overlap_sum(live.select(*ids, "_who", S, E), un, [*keys, "_who"], row_id, "_talk", width=width)
+    sign = F.when(F.col("_who") == everybody, F.col("_talk")).otherwise(-F.col("_talk"))
+    voiced = talk.groupBy(*ids).agg(F.sum(sign).alias("_others")).filter("_others > 0")
+    return gaps.join(voiced.select(*ids), ids, "left_semi")
