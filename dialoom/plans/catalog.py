@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from dialoom.plans import interval_queries, metric_queries, sequence_queries, text_queries  # noqa: F401
+from dialoom.plans import interval_queries, metric_queries, relabel_queries, sequence_queries, text_queries, vector_queries  # noqa: F401
 from dialoom.plans.registry import ORACLES, QUERIES  # noqa: F401

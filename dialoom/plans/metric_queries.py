@@ -111,20 +111,23 @@ PAIRS = r"""tp AS MATERIALIZED (SELECT conv_id, CAST(turn AS BIGINT) AS turn, ro
    lambda x, i: CASE WHEN (i-1) % 7 = 6 THEN [] WHEN (i-1) % 5 = 4 THEN [x, x] ELSE [x] END)), ' ') AS hyp FROM conversations),
 wd AS MATERIALIZED (SELECT conv_id, turn, role, regexp_split_to_array(trim(regexp_replace(lower(ref), '[^\p{L}\p{N}_\s]', '', 'g')), '\s+') AS r,
    regexp_split_to_array(trim(regexp_replace(lower(hyp), '[^\p{L}\p{N}_\s]', '', 'g')), '\s+') AS h FROM tp),
-dp AS (SELECT conv_id, turn, 0 AS i, range(0, len(h) + 1) AS v FROM wd
-  UNION ALL SELECT d.conv_id, d.turn, d.i + 1, list_transform(range(0, len(w.h) + 1), lambda j: list_min(list_transform(range(0, j + 1), lambda k: z.t[k+1] + j - k)))
-  FROM dp d JOIN wd w USING (conv_id, turn), LATERAL (SELECT list_transform(range(0, len(w.h) + 1), lambda k: CASE WHEN k = 0 THEN d.i + 1
-     ELSE least(d.v[k+1] + 1, d.v[k] + CASE WHEN w.h[k] = w.r[d.i+1] THEN 0 ELSE 1 END) END) AS t) z WHERE d.i < len(w.r))"""
+ids AS MATERIALIZED (SELECT row_number() OVER (ORDER BY conv_id, turn) AS id, * FROM wd),
+rw AS MATERIALIZED (SELECT id, CAST(unnest(range(1, len(r) + 1)) AS BIGINT) AS i, unnest(r) AS rword, len(h) AS m FROM ids),
+hw AS MATERIALIZED (SELECT id, CAST(unnest(range(1, len(h) + 1)) AS BIGINT) AS j, unnest(h) AS hword FROM ids),
+dp AS (SELECT id, CAST(0 AS BIGINT) AS i, CAST(unnest(range(0, len(h) + 1)) AS BIGINT) AS j, CAST(unnest(range(0, len(h) + 1)) AS BIGINT) AS v FROM ids
+  UNION ALL SELECT id, i, j, j + min(t - j) OVER (PARTITION BY id ORDER BY j) FROM (
+    SELECT d.id, d.i + 1 AS i, d.j, CASE WHEN d.j = 0 THEN d.i + 1 ELSE least(d.v + 1, lag(d.v) OVER (PARTITION BY d.id ORDER BY d.j) + CASE WHEN hw.hword = rw.rword THEN 0 ELSE 1 END) END AS t
+    FROM dp d JOIN rw ON rw.id = d.id AND rw.i = d.i + 1 LEFT JOIN hw ON hw.id = d.id AND hw.j = d.j) z),
+fin AS (SELECT conv_id, turn, v AS edits, len(r) AS n FROM dp JOIN ids ON ids.id = dp.id WHERE dp.i = len(r) AND dp.j = len(h))"""
 
 
-@query("wer", rcte(PAIRS) + """SELECT w.conv_id, w.turn, CAST(v[len(h)+1] AS BIGINT) AS edits, len(r) AS ref_words, round(v[len(h)+1] / len(r), 6) AS wer
-  FROM wd w JOIN dp d ON d.conv_id = w.conv_id AND d.turn = w.turn AND d.i = len(w.r)""")
+@query("wer", rcte(PAIRS) + "SELECT conv_id, turn, edits, n AS ref_words, round(edits / n, 6) AS wer FROM fin")
 def wer(spark, sf):
     return metrics.with_wer(turn_pairs(spark, sf), "ref", "hyp").select("conv_id", "turn", "edits", "ref_words", F.round("wer", 6).alias("wer"))
 
 
-@query("wer_by_role", rcte(PAIRS, "e AS (SELECT w.role, v[len(h)+1] AS edits, len(r) AS n FROM wd w JOIN dp d ON d.conv_id = w.conv_id AND d.turn = w.turn AND d.i = len(w.r))")
-       + """SELECT role, count(*) AS "rows", round(avg(edits / n), 6) AS mean_wer, round(sum(edits) / sum(n), 6) AS corpus_wer FROM e GROUP BY role""")
+@query("wer_by_role", rcte(PAIRS) + """SELECT role, count(*) AS "rows", round(avg(edits / n), 6) AS mean_wer, round(sum(edits) / sum(n), 6) AS corpus_wer
+  FROM fin JOIN tp USING (conv_id, turn) GROUP BY role""")
 def wer_by_role(spark, sf):
     w = metrics.with_wer(turn_pairs(spark, sf), "ref", "hyp")
     return metrics.wer_report(w, ["role"], F.lit(True)).select("role", "rows", F.round("mean_wer", 6).alias("mean_wer"),
