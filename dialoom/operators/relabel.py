@@ -71,11 +71,11 @@ def profiled_atoms(rows: DataFrame, keys: Sequence[str], n: int, width: int) ->
     b = un.select(*keys, S, E, *[{"u": F.lit(1).cast("long"), "uidx": speakers.speaker_index(F.col("speaker")).cast("long")}.get(k, zero).alias(f"x_{k}") for k in names])
     st = spans.depth_steps(a.unionByName(b), keys, {k: F.col(f"x_{k}") for k in names}, width)
     st = st.filter((F.col("depth") > 0) & F.col("next_ms").isNotNull())
-    mean = F.array(*[F.when(F.col("w") > 0, F.col(f"v{i}") * W_SCALE / V_SCALE / F.col("w")).otherwise(0.0) for i in range(n)])
+    mean = F.array(*[F.when(F.col("w") > 0, F.round(F.col(f"v{i}") * W_SCALE / V_SCALE / F.col("w"), 9)).otherwise(0.0) for i in range(n)])
     st = st.withColumn("vec", mean).withColumn("_t", fv.top_two(F.col("vec")))
     return st.select(*keys, F.col("t").alias(S), F.col("next_ms").alias(E), "depth", F.col("u").alias("n_speakers"),
                      F.when(F.col("u") == 1, F.col("uidx").cast("int")).alias("idx"), "vec", "_t.*",
-                     (F.col("_t.top1_score") - F.col("_t.top2_score")).alias("margin"), "heavy",
+                     F.round(F.col("_t.top1_score") - F.col("_t.top2_score"), 9).alias("margin"), "heavy",
                      F.when(F.col("w") > 0, F.col("fb") / F.col("w")).otherwise(0.0).alias("fallback_share"))
 
 
@@ -87,7 +87,7 @@ def stable_zones(atoms: DataFrame, keys: Sequence[str], width: int) -> DataFrame
     """Stretches of one speaker with a clear, matching best score and no fallback-heavy row, from 0.9 s on."""
     p = STABLE
     cur = F.get("vec", F.col("idx"))
-    ok = (F.col("n_speakers") == 1) & (F.col("margin") >= p["margin"]) & (F.col("top1_score") - cur <= p["top_gap"]) & (F.col("top1_label") == F.col("idx")) & (F.col("heavy") == 0)
+    ok = (F.col("n_speakers") == 1) & (F.col("margin") >= p["margin"]) & (F.round(F.col("top1_score") - cur, 9) <= p["top_gap"]) & (F.col("top1_label") == F.col("idx")) & (F.col("heavy") == 0)
     z = atoms.filter(ok).select(*keys, _speaker(F.col("idx")).alias("speaker"), S, E)
     z = spans.merge_spans(z, [*keys, "speaker"], 0, width).drop("n_spans")
     return z.filter(F.col(E) - F.col(S) >= p["min_ms"])
@@ -127,15 +127,27 @@ def merge_scored_rows(rows: DataFrame, keys: Sequence[str], row_id: str, slab_ms
                                lambda st: [st["cur"]] if st.get("cur") else [], MERGED)
 
 
-def _support(atoms: DataFrame, sup: DataFrame, keys: Sequence[str], who: str, window_ms: int, out: str, weight: Column | None, width: int,
-             whole: bool = False) -> DataFrame:
-    """Weighted speech of speaker `who` in the windows beside (or `whole`: around) each atom."""
-    s, e = F.col(S), F.col(E)
-    windows = [(s - window_ms, e + window_ms)] if whole else [(s - window_ms, s), (e, e + window_ms)]
-    ask = atoms.filter(F.col(who).isNotNull()).select(*keys, S, E, F.col(who).alias("speaker")).distinct()
-    got = spans.overlap_sum(ask, sup.select(*keys, "speaker", S, E, *(["tier"] if weight is not None else [])), [*keys, "speaker"], [S, E], out,
-                            windows=windows, weight=weight, width=width)
-    return atoms.join(got.select(*keys, S, E, F.col("speaker").alias(who), out), [*keys, S, E, who], "left").fillna({out: 0})
+def _support(atoms: DataFrame, sup: DataFrame, keys: Sequence[str], who: dict[str, str], windows: Sequence[tuple[Column, Column]],
+             weight: Column | None, width: int) -> DataFrame:
+    """Weighted speech inside `windows` of each atom by the speakers named in columns; `who` maps column -> output.
+
+    All asked speakers share one scan.
+    """
+    ids = [*keys, S, E]
+    ask = atoms.select(*ids, F.explode(F.array(*[F.struct(F.lit(o).alias("o"), F.col(c).alias("s")) for c, o in who.items()])).alias("_a"))
+    ask = ask.select(*ids, F.col("_a.s").alias("speaker"), F.col("_a.o").alias("_o")).filter("speaker IS NOT NULL")
+    cols = ["speaker", S, E, *(["tier"] if weight is not None else [])]
+    got = spans.overlap_sum(ask, sup.select(*keys, *cols), [*keys, "speaker"], [S, E, "_o"], "_x", windows=windows, weight=weight, width=width)
+    wide = got.groupBy(*ids).agg(*[F.max(F.when(F.col("_o") == o, F.col("_x"))).alias(o) for o in who.values()])
+    return atoms.join(wide, ids, "left").fillna(0, list(who.values()))
+
+
+def _beside(ms: int) -> list[tuple[Column, Column]]:
+    return [(F.col(S) - ms, F.col(S)), (F.col(E), F.col(E) + ms)]
+
+
+def _around_edges(ms: int) -> list[tuple[Column, Column]]:
+    return [(F.col(c) + a, F.col(c) + b) for c in (S, E) for a, b in ((-ms, 0), (0, ms))]
 
 
 def temporal_relabel(rows: DataFrame, keys: Sequence[str], n: int, width: int) -> DataFrame:
@@ -159,8 +171,8 @@ def temporal_relabel(rows: DataFrame, keys: Sequence[str], n: int, width: int) -
               & (F.col("dur") <= p["bridge_ms"]) & (F.col("margin") <= p["margin"]))
     d = d.withColumn("_bspk", F.when(bridge, _speaker(F.col("_p.i")))).withColumn("_aspk", _speaker(F.col("top1_label")))
     d = cut_lineage(d)
-    d = _support(d, zones, keys, "_bspk", p["window_ms"], "_bsup", None, width, whole=True)
-    d = _support(d, rows, keys, "_aspk", p["window_ms"], "_asup", tiers.support_weight(F.col("tier")), width)
+    d = _support(d, zones, keys, {"_bspk": "_bsup"}, [(F.col(S) - p["window_ms"], F.col(E) + p["window_ms"])], None, width)
+    d = _support(d, rows, keys, {"_aspk": "_asup"}, _beside(p["window_ms"]), tiers.support_weight(F.col("tier")), width)
     score = ((F.col("_aspk") != F.col("old")) & (F.col("top1_score") - F.col("cur") >= p["gain"]) & (F.col("margin") <= p["margin"])
              & (F.col("dur") <= p["score_ms"]) & (F.col("_asup") >= p["support_ms"] * 100))
     reason = F.when(F.col("_bspk").isNotNull() & (F.col("_bsup") >= p["support_ms"]), "bridge").when(score, "score")
@@ -187,9 +199,8 @@ def second_opinion_scores(rows: DataFrame, other: DataFrame, anchors: DataFrame,
     vec = span_score_vectors(ask, rows, keys, ["seg_id"], n, width).select(*keys, "seg_id", "other", (F.col(E) - F.col(S)).alias("d"), "score_vector")
     tot = vec.join(local, keys).withColumn("_x", F.coalesce(F.get("score_vector", speakers.speaker_index(F.col("local"))), F.lit(0.0)))
     acoustic = tot.groupBy(*keys, "other", "local").agg((F.sum(F.col("_x") * F.col("d")) / F.sum("d")).alias("v"))
-    s, e, w = F.col(S), F.col(E), SECOND["window_ms"]
     nb = spans.overlap_sum(pairs, rows.select(*keys, F.col("speaker").alias("local"), S, E, "tier"), [*keys, "local"], ["seg_id"], "v",
-                           windows=[(s - w, s), (s, s + w), (e - w, e), (e, e + w)], weight=tiers.support_weight(F.col("tier")), width=width)
+                           windows=_around_edges(SECOND["window_ms"]), weight=tiers.support_weight(F.col("tier")), width=width)
     neighbour = nb.groupBy(*keys, "other", "local").agg(F.sum("v").cast("double").alias("v"))
     return speakers.label_scores(overlap, acoustic, neighbour, keys)
 
@@ -213,18 +224,9 @@ def second_opinion_relabel(rows: DataFrame, other: DataFrame, mapping: DataFrame
     d = single.join(at, [*keys, S, E]).join(mapping.select(*keys, "other", F.col("local").alias("target")), [*keys, "other"], "left")
     hub = speakers.hub_penalty(rows, keys).select(*keys, F.col("speaker").alias("target"), "penalty")
     d = cut_lineage(d.join(hub, [*keys, "target"], "left").fillna({"penalty": 0.0}))
-    w100 = tiers.support_weight(F.col("tier"))
-
-    def context(d, who, out):  # both windows at each edge of the atom
-        s, e, w = F.col(S), F.col(E), p["window_ms"]
-        ask = d.filter(F.col(who).isNotNull()).select(*keys, S, E, F.col(who).alias("speaker"))
-        got = spans.overlap_sum(ask, rows.select(*keys, "speaker", S, E, "tier"), [*keys, "speaker"], [S, E], out,
-                                windows=[(s - w, s), (s, s + w), (e - w, e), (e, e + w)], weight=w100, width=width)
-        return d.join(got.select(*keys, S, E, F.col("speaker").alias(who), out), [*keys, S, E, who], "left").fillna({out: 0})
-
-    d = context(context(d, "cur", "_nc"), "target", "_nt")
-    d = _support(d, zones, keys, "cur", p["window_ms"], "_zc", None, width)
-    d = _support(d, zones, keys, "target", p["window_ms"], "_zt", None, width)
+    both = {"cur": "_nc", "target": "_nt"}
+    d = _support(d, rows, keys, both, _around_edges(p["window_ms"]), tiers.support_weight(F.col("tier")), width)
+    d = cut_lineage(_support(d, zones, keys, {"cur": "_zc", "target": "_zt"}, _beside(p["window_ms"]), None, width))
     near = spans.overlap_sum(d.select(*keys, S, E), overlapped, keys, [S, E], "_ov", width=width)
     d = d.join(near.select(*keys, S, E, "_ov"), [*keys, S, E])
     gain = F.coalesce(F.get("vec", speakers.speaker_index(F.col("target"))), F.lit(0.0)) - F.coalesce(F.get("vec", F.col("idx")), F.lit(0.0))

@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 from dialoom.functions import tiers
 from dialoom.operators import relabel, spans, speakers
 from dialoom.plans.registry import query
-from dialoom.plans.views import BIN_MS, KEY, SEG, SPEAKERS, cte, sliced
+from dialoom.plans.views import KEY, SEG, SPEAKERS, cte, sliced
 
 N = 3
+BIN_MS = 10_000
 
 
 def scored_segments(spark, sf):
-    """Segments of three speakers with a tier and a score per speaker, all derived from the events."""
+    """Segments of three speakers with a tier and a score per speaker, derived from the events on a 40 times faster clock."""
     seg, width = sliced(spark, sf)
+    width = max(1, width // 40)
+    fast = lambda c: F.floor(F.col(c) / 40).cast("long").alias(c)
+    seg = seg.select("recording_id", "seg_id", "speaker", fast("start_ms"), fast("end_ms"))
     idx = (F.array_position(F.array(*[F.lit(s) for s in SPEAKERS]), F.col("speaker")) - 1) % 3
     i = F.col("seg_id")
     sims = F.array(*[(i * (37 + 11 * k)) % 100 / F.lit(200.0) + F.when(F.col("_k") == k, 0.4).otherwise(0.0) for k in range(N)])
@@ -23,7 +27,7 @@ def scored_segments(spark, sf):
                     tiers.tier_of(i).alias("tier"), sims.alias("sims")), width
 
 
-SCORED = """sc AS (SELECT recording_id, seg_id, k, 'SPK_' || k AS speaker, start_ms, end_ms, CASE seg_id % 3 WHEN 0 THEN 'primary' WHEN 1 THEN 'aux' ELSE 'fallback' END AS tier,
+SCORED = """sc AS (SELECT recording_id, seg_id, k, 'SPK_' || k AS speaker, start_ms//40 AS start_ms, end_ms//40 AS end_ms, CASE seg_id % 3 WHEN 0 THEN 'primary' WHEN 1 THEN 'aux' ELSE 'fallback' END AS tier,
    CASE seg_id % 3 WHEN 0 THEN 10000 WHEN 1 THEN 7000 ELSE 100 END AS w, (seg_id*37)%100/200.0 + CASE WHEN k = 0 THEN 0.4 ELSE 0 END AS v0,
    (seg_id*48)%100/200.0 + CASE WHEN k = 1 THEN 0.4 ELSE 0 END AS v1, (seg_id*59)%100/200.0 + CASE WHEN k = 2 THEN 0.4 ELSE 0 END AS v2
    FROM (SELECT *, (list_position(['click','error','purchase','signup','view'], speaker) - 1) % 3 AS k FROM seg))"""
@@ -48,33 +52,33 @@ def profiled_atoms(spark, sf):
     return a.select(*KEY, "start_ms", "end_ms", "depth", "n_speakers", F.round("margin", 4).alias("margin"), F.round("top1_score", 4).alias("top1_score"), "heavy")
 
 
-@query("stable_zones", cte(SEG, SCORED, PROFILE, "sz AS (SELECT * FROM pp WHERE n_speakers = 1 AND s[1]-s[2] >= 0.14 AND s[1]-cur <= 0.06 AND top1 = idx AND heavy = 0)",
+@query("stable_zones", cte(SEG, SCORED, PROFILE, "sz AS (SELECT * FROM pp WHERE n_speakers = 1 AND round(round(s[1],9)-round(s[2],9),9) >= 0.14 AND round(s[1]-cur,9) <= 0.06 AND top1 = idx AND heavy = 0)",
        merged("sz")) + "SELECT * FROM zz WHERE end_ms - start_ms >= 900")
 def stable_zones(spark, sf):
     rows, width = scored_segments(spark, sf)
     return relabel.stable_zones(relabel.profiled_atoms(rows, KEY, N, width), KEY, width)
 
 
-@query("trusted_rows", cte(SEG, SCORED, PROFILE, "sz AS (SELECT * FROM pp WHERE n_speakers = 1 AND s[1]-s[2] >= 0.06 AND top1 = idx AND heavy = 0 AND end_ms - start_ms >= 250)",
+@query("trusted_rows", cte(SEG, SCORED, PROFILE, "sz AS (SELECT * FROM pp WHERE n_speakers = 1 AND round(round(s[1],9)-round(s[2],9),9) >= 0.06 AND top1 = idx AND heavy = 0 AND end_ms - start_ms >= 250)",
        merged("sz", ", round(max(cur), 4) AS score")) + "SELECT * FROM zz")
 def trusted_rows(spark, sf):
     rows, width = scored_segments(spark, sf)
     return relabel.trusted_rows(relabel.profiled_atoms(rows, KEY, N, width), KEY, width).withColumn("score", F.round("score", 4))
 
 
-@query("zone_coverage", cte(SEG, SCORED, PROFILE, "sz AS (SELECT * FROM pp WHERE n_speakers = 1 AND s[1]-s[2] >= 0.14 AND s[1]-cur <= 0.06 AND top1 = idx AND heavy = 0)",
+@query("zone_coverage", cte(SEG, SCORED, PROFILE, "sz AS (SELECT * FROM pp WHERE n_speakers = 1 AND round(round(s[1],9)-round(s[2],9),9) >= 0.14 AND round(s[1]-cur,9) <= 0.06 AND top1 = idx AND heavy = 0)",
        merged("sz"), "z9 AS (SELECT * FROM zz WHERE end_ms - start_ms >= 900)") + """
   SELECT s.recording_id, s.seg_id, CAST(sum(CASE WHEN z.start_ms IS NULL THEN 0 ELSE greatest(0, least(s.end_ms, z.end_ms) - greatest(s.start_ms, z.start_ms)) END) AS BIGINT) AS inside_ms,
-    CAST(sum(CASE WHEN z.start_ms IS NULL THEN 0 ELSE greatest(0, least(s.start_ms, z.end_ms) - greatest(s.start_ms-60000, z.start_ms)) + greatest(0, least(s.end_ms+60000, z.end_ms) - greatest(s.end_ms, z.start_ms)) END) AS BIGINT) AS context_ms
-  FROM sc s LEFT JOIN z9 z ON z.recording_id = s.recording_id AND z.speaker = s.speaker AND z.start_ms < s.end_ms+60000 AND z.end_ms > s.start_ms-60000 GROUP BY 1, 2""")
+    CAST(sum(CASE WHEN z.start_ms IS NULL THEN 0 ELSE greatest(0, least(s.start_ms, z.end_ms) - greatest(s.start_ms-1500, z.start_ms)) + greatest(0, least(s.end_ms+1500, z.end_ms) - greatest(s.end_ms, z.start_ms)) END) AS BIGINT) AS context_ms
+  FROM sc s LEFT JOIN z9 z ON z.recording_id = s.recording_id AND z.speaker = s.speaker AND z.start_ms < s.end_ms+1500 AND z.end_ms > s.start_ms-1500 GROUP BY 1, 2""")
 def zone_coverage(spark, sf):
-    """Time of the own speaker's stable zones inside each segment and within a minute around it."""
+    """Time of the own speaker's stable zones inside each segment and within 1.5 s around it."""
     rows, width = scored_segments(spark, sf)
     z = relabel.cut_lineage(relabel.stable_zones(relabel.profiled_atoms(rows, KEY, N, width), KEY, width))
     s, e = F.col("start_ms"), F.col("end_ms")
     base = rows.select(*KEY, "speaker", "seg_id", "start_ms", "end_ms")
     a = spans.overlap_sum(base, z, [*KEY, "speaker"], ["seg_id"], "inside_ms", width=width)
-    b = spans.overlap_sum(base, z, [*KEY, "speaker"], ["seg_id"], "context_ms", windows=[(s - 60_000, s), (e, e + 60_000)], width=width)
+    b = spans.overlap_sum(base, z, [*KEY, "speaker"], ["seg_id"], "context_ms", windows=[(s - 1500, s), (e, e + 1500)], width=width)
     return a.select(*KEY, "seg_id", "inside_ms").join(b.select(*KEY, "seg_id", "context_ms"), [*KEY, "seg_id"])
 
 
@@ -93,7 +97,7 @@ def span_score_vectors(spark, sf):
 def merged_scored_rows(spark, sf):
     """Pairwise merging of scored rows (order-dependent: no SQL twin)."""
     rows, width = scored_segments(spark, sf)
-    m = relabel.merge_scored_rows(rows, KEY, "seg_id", max(width, 86_400_000))
+    m = relabel.merge_scored_rows(rows, KEY, "seg_id", max(width, 2_160_000))
     return m.select(*KEY, "speaker", "start_ms", "end_ms", "tier", F.round(F.get("sims", F.lit(0)), 6).alias("v0"))
 
 
