@@ -209,10 +209,10 @@ def tagged_union(spark, sf):
     return u.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("unmatched_ids", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+@query("unmatched_ids", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
 def unmatched_ids(spark, sf):
     p, li = table(spark, sf, "part"), table(spark, sf, "lineitem")
-    return p.select("p_partkey").join(li.filter("l_returnflag = 'R'").select("l_partkey").distinct(), F.col("p_partkey") == F.col("l_partkey"), "left_anti")
+    return p.select("p_partkey").join(li.filter("l_quantity > 49").select("l_partkey").distinct(), F.col("p_partkey") == F.col("l_partkey"), "left_anti")
 
 
 def _samples(spark, sf):

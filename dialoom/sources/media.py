@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dialoom.operators import slabs
+
 # fixed values
 AUDIO_EXTENSIONS = ["wav", "mp3", "m4a", "flac", "ogg", "aac", "wma", "webm", "mp4"]
 MAX_BYTES = 75 * 1024 * 1024
@@ -47,10 +49,10 @@ def table_profile(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def stage_times(log: DataFrame, run: str, ts: str, stage: str) -> DataFrame:
-    """Seconds between a run's consecutive artifacts; a run has a handful of stages."""
-    w = Window.partitionBy(run).orderBy(ts, stage)
-    prev = F.lag(ts).over(w)
-    return log.withColumn("seconds", F.round((F.unix_micros(F.col(ts)) - F.unix_micros(prev)) / 1e6, 3)).filter(F.col("seconds").isNotNull())
+    """Seconds between a run's consecutive artifacts (looked up across day slabs, so a long log is no single task)."""
+    d = log.withColumn(slabs.SLAB, F.floor(F.unix_micros(F.col(ts)) / 86_400_000_000).cast("long"))
+    d = slabs.neighbour(d, [run], [ts, stage], -1, {"_prev": F.unix_micros(F.col(ts))}).drop(slabs.SLAB)
+    return d.withColumn("seconds", F.round((F.unix_micros(F.col(ts)) - F.col("_prev")) / 1e6, 3)).filter(F.col("seconds").isNotNull()).drop("_prev")
 
 
 def timing_summary(df: DataFrame, by: Sequence[str], seconds: Column, retried: Column) -> DataFrame:
