@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from dialoom.functions import text, validate
 from dialoom.operators import summary, vectors
+from dialoom.session import cut_lineage
 
 Batch = Callable[[pd.DataFrame], Sequence]
 
@@ -80,20 +81,15 @@ def summarize_blocks(features: DataFrame, keys: Sequence[str], factory: Callable
         full = (F.col("overview") != "") | (F.size("key_points") > 0) | (F.size("facts") > 0) | (F.size("action_items") > 0)
         return s.withColumns({"ok": full | ~F.col("severe"), "notes": F.array(F.when(full, note).otherwise(note + "_soft"))})
 
-    first = vectors_safe(judged(call_model(ask, factory, "answer", T.StringType()), "model_extract"))
+    # answers are kept: several branches read them, and the model must not be asked twice
+    first = cut_lineage(judged(call_model(ask, factory, "answer", T.StringType()), "model_extract"))
     good = first.filter("ok").select(*ids, *cols)
     if repair is not None:
         again = call_model(first.filter("NOT ok").select(*ids, "prompt", "max_tokens"), repair, "answer", T.StringType())
-        good = good.unionByName(vectors_safe(judged(again, "model_extract_repaired")).filter("ok").select(*ids, *cols))
+        good = good.unionByName(cut_lineage(judged(again, "model_extract_repaired")).filter("ok").select(*ids, *cols))
     return good.unionByName(lean.join(good.select(*ids), ids, "left_anti"))
 
 
-def vectors_safe(df: DataFrame) -> DataFrame:
-    """Keep model answers: they must not be asked for twice when several branches read them."""
-    from dialoom.session import cut_lineage
-    return cut_lineage(df)
-
-
 # ---- speech to text ---------------------------------------------------------------------------------------------------
 
 @F.pandas_udf(T.DoubleType())
@@ -106,7 +102,7 @@ def transcribe(df: DataFrame, first: Callable[[], Batch], second: Callable[[], B
     """Text per segment: suspicious first answers are asked again, a second suspicious one becomes empty (`was_retried`)."""
     ids = list(row_id)
     a = call_model(df, first, "_t1", T.StringType()).withColumn("_t1", F.trim(F.coalesce("_t1", F.lit(""))))
-    a = vectors_safe(a.withColumn("_bad", (F.col("_t1") != "") & ((compression_ratio("_t1") > max_ratio) | text.is_hallucination(F.col("_t1"), dur_ms))))
+    a = cut_lineage(a.withColumn("_bad", (F.col("_t1") != "") & ((compression_ratio("_t1") > max_ratio) | text.is_hallucination(F.col("_t1"), dur_ms))))
     b = call_model(a.filter("_bad").drop("_t1", "_bad"), second, "_t2", T.StringType()).withColumn("_t2", F.trim(F.coalesce("_t2", F.lit(""))))
     b = b.withColumn("_t2", F.when(text.is_hallucination(F.col("_t2"), dur_ms), "").otherwise(F.col("_t2"))).select(*ids, "_t2")
     out = a.join(b, ids, "left")
@@ -144,7 +140,7 @@ def reduce_meetings(norm: DataFrame, sums: DataFrame, keys: Sequence[str], facto
     if factory is None:
         return docs
     packed = sums.groupBy(*keys).agg(F.to_json(F.array_sort(F.collect_list(F.struct("block_id", "segment_type", "overview", "key_points")))).alias("prompt"))
-    ans = vectors_safe(call_model(packed, factory, "answer", T.StringType()))
+    ans = cut_lineage(call_model(packed, factory, "answer", T.StringType()))
     v = F.try_parse_json(text.unfence_json(F.col("answer")))
     got = ans.select(*keys, F.try_variant_get(v, "$.meeting_overview", "string").alias("_mo"), F.try_variant_get(v, "$.segments", "variant").isNotNull().alias("_seg"),
                      F.try_variant_get(v, "$.conversation_main_summary", "string").alias("_ms"))
