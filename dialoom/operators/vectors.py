@@ -73,9 +73,8 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, query_id: str, base_id:
         return pd.DataFrame(out, columns=[query_id, base_id, "score"])
 
     q = queries.select(query_id, query_vec)
-    n = q.count()
-    if n <= block_rows:
-        rows = q.collect()  # bounded by block_rows
+    rows = q.limit(block_rows + 1).collect()  # bounded
+    if len(rows) <= block_rows:
         qids = [r[0] for r in rows]
         qmat = np.array([r[1] for r in rows], dtype=float).reshape(len(rows), -1)
 
@@ -86,11 +85,11 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, query_id: str, base_id:
 
         hits = base.select(base_id, base_vec).mapInPandas(scan, schema)
     else:
-        qn = math.ceil(n / block_rows)
+        qn = math.ceil(q.count() / block_rows)
         bn = math.ceil(base.count() / (8 * block_rows))
         block = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m))
-        ql = q.withColumn("_q", block(query_id, qn)).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(bn - 1))).cast("long"))
-        bl = base.select(base_id, base_vec).withColumn("_b", block(base_id, bn)).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(qn - 1))).cast("long"))
+        ql = q.withColumn("_q", block(query_id, qn)).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bn - 1).cast("long"))))
+        bl = base.select(base_id, base_vec).withColumn("_b", block(base_id, bn)).withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(qn - 1).cast("long"))))
 
         def meet(qs, bs):
             if not len(qs) or not len(bs):
