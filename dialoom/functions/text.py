@@ -31,7 +31,7 @@ def contains_any(c: Column, needles: Sequence[str]) -> Column:
 
 def has_word(c: Column, words: Sequence[str]) -> Column:
     """Any of the words as whole words; the cheap substring test runs first and spares most texts the pattern."""
-    return let(F.lower(squeeze(c)), lambda low: contains_any(low, words) & low.rlike(any_word(words)))
+    return let(F.lower(squeeze(c)), lambda low: _has_word_low(low, words))
 
 
 def squeeze(c: Column) -> Column:
@@ -90,15 +90,15 @@ def is_filler(c: Column) -> Column:
 
 
 def is_transition(c: Column) -> Column:
-    return F.lower(squeeze(c)).rlike("|".join(f"({p})" for p in fixed.TRANSITIONS))
+    heads = [p.split(".*")[0] for p in fixed.TRANSITIONS]
+    return let(F.lower(squeeze(c)), lambda low: contains_any(low, heads) & low.rlike("|".join(f"({p})" for p in fixed.TRANSITIONS)))
 
 
 def noise_score(c: Column) -> Column:
-    low = F.lower(squeeze(c))
     one = lambda cond, n=1: F.when(cond, F.lit(n)).otherwise(F.lit(0))
-    return (one(has_word(c, fixed.NOISE_FILLERS))
-            + one(low.rlike(r"(?iu)([a-zA-ZÀ-ỹ]+)((?U)\s+\1){2,}"))
-            + one(c.rlike(r"[!?.]{2,}")) + one(contains_any(low, fixed.ARTIFACTS), 2))
+    return let(F.lower(squeeze(c)), lambda low: (
+        one(_has_word_low(low, fixed.NOISE_FILLERS)) + one(low.rlike(r"(?iu)([a-zA-ZÀ-ỹ]+)((?U)\s+\1){2,}"))
+        + one(contains_any(low, fixed.ARTIFACTS), 2))) + one(c.rlike(r"[!?.]{2,}"))
 
 
 def is_hallucination(c: Column, dur_ms: Column, words_per_sec: float = 8.0) -> Column:
@@ -153,8 +153,14 @@ def mmss(sec: Column) -> Column:
 def tech_tags(c: Column) -> Column:
     """Dictionary terms found in the text, in dictionary order; terms up to 4 characters must be whole words."""
     terms = F.array(*[F.lit(t) for t in fixed.TECH_TERMS])
-    return let(F.lower(squeeze(c)), lambda s: let(F.split(s, f"{NON_WORD}+"), lambda toks: F.filter(
-        terms, lambda t: F.when(F.length(t) <= 4, F.array_contains(toks, t)).otherwise(F.contains(s, t)))))
+    short = [t for t in fixed.TECH_TERMS if len(t) <= 4]
+
+    def find(s: Column) -> Column:
+        # the text is tokenized only where a short term occurs at all
+        words = F.when(contains_any(s, short), F.split(s, f"{NON_WORD}+")).otherwise(F.array().cast("array<string>"))
+        return let(words, lambda toks: F.filter(terms, lambda t: F.contains(s, t) & ((F.length(t) > 4) | F.array_contains(toks, t))))
+
+    return let(F.lower(squeeze(c)), find)
 
 
 def has_action_hint(c: Column) -> Column:
@@ -169,13 +175,15 @@ def has_format(c: Column) -> Column:
     return has_word(c, fixed.FORMAT_WORDS)
 
 
+def _has_word_low(low: Column, words: Sequence[str]) -> Column:
+    return contains_any(low, words) & low.rlike(any_word(words))
+
+
 def segment_type(c: Column, transition_heavy: Column) -> Column:
-    low = F.lower(squeeze(c))
-    return (F.when(has_format(c), "formatting_review").when(has_issue(c), "issue_report")
-            .when(contains_any(low, fixed.PLANNING_KEYS), "planning")
-            .when(contains_any(low, fixed.PROGRESS_KEYS), "progress_update")
-            .when(contains_any(low, fixed.TECHNICAL_KEYS), "technical_discussion")
-            .when(transition_heavy, "presentation_prep").otherwise("other"))
+    return let(F.lower(squeeze(c)), lambda low: (
+        F.when(_has_word_low(low, fixed.FORMAT_WORDS), "formatting_review").when(_has_word_low(low, fixed.ISSUE_WORDS), "issue_report")
+        .when(contains_any(low, fixed.PLANNING_KEYS), "planning").when(contains_any(low, fixed.PROGRESS_KEYS), "progress_update")
+        .when(contains_any(low, fixed.TECHNICAL_KEYS), "technical_discussion").when(transition_heavy, "presentation_prep").otherwise("other")))
 
 
 def lookup(key: Column, table: dict[str, str], default: str) -> Column:
@@ -197,15 +205,13 @@ def type_overview(kind: Column, tags: Column) -> Column:
 
 
 def action_status(c: Column) -> Column:
-    low = F.lower(squeeze(c))
-    return (F.when(contains_any(low, fixed.DONE_KEYS), "done")
-            .when(contains_any(low, fixed.IN_PROGRESS_KEYS), "in_progress").otherwise("open"))
+    return let(F.lower(squeeze(c)), lambda low: (F.when(contains_any(low, fixed.DONE_KEYS), "done")
+               .when(contains_any(low, fixed.IN_PROGRESS_KEYS), "in_progress").otherwise("open")))
 
 
 def speaker_role(c: Column) -> Column:
-    low = F.lower(squeeze(c))
-    return (F.when(contains_any(low, fixed.ASKED_KEYS), "asked")
-            .when(contains_any(low, fixed.PROPOSED_KEYS), "proposed").otherwise("reported"))
+    return let(F.lower(squeeze(c)), lambda low: (F.when(contains_any(low, fixed.ASKED_KEYS), "asked")
+               .when(contains_any(low, fixed.PROPOSED_KEYS), "proposed").otherwise("reported")))
 
 
 def wer_normalize(c: Column) -> Column:

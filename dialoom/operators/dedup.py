@@ -53,7 +53,7 @@ def near_duplicates(df: DataFrame, keys: Sequence[str], node_id: str, text_col:
     them), so a hot group of copies forms no pairs. Candidates must share a time bin and one of the few tokens that
     similar sets cannot both lack; ordering tokens longest first keeps those tokens rare.
     """
-    d = df.withColumn("_set", F.array_sort(text.token_set(F.col(text_col)))).withColumn("_hash", F.xxhash64("_set"))
+    d = df.withColumn("_set", F.array_sort(text.token_set(F.col(text_col))))
     d = _ordered(d, order, node_id)
     blank = d.filter(F.size("_set") == 0)  # empty sets match nothing
     firsts = keep_first(d.filter(F.size("_set") > 0), [*keys, S, E, "_set"], ["_rank"])
@@ -61,16 +61,22 @@ def near_duplicates(df: DataFrame, keys: Sequence[str], node_id: str, text_col:
     need = F.floor(n * similarity).cast("int") + 1  # more than `similarity` of the larger set
     by_length = F.array_sort(F.transform("_set", lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t"))))
     probe = F.transform(F.slice(by_length, F.lit(1), n - need + 1), lambda x: x["t"])
-    lean = firsts.select(*keys, F.col(node_id).alias("_id"), "_rank", S, E, "_set", F.explode(probe).alias("_tok"))
-    a = lean.withColumn("_bin", F.floor(F.col(S) / max_shift_ms))
-    b = lean.select(*keys, "_tok", *[F.col(c).alias(f"b_{c}") for c in ("_id", "_rank", S, E, "_set")],
-                    F.explode(F.array(*[F.floor(F.col(S) / max_shift_ms) + k for k in (-1, 0, 1)])).alias("_bin"))
+    firsts = cut_lineage(firsts)
+    # candidates carry no texts: ids, spans and set sizes only; an earlier row starts at most one bin before a later one
+    lean = firsts.select(*keys, F.col(node_id).alias("_id"), "_rank", S, E, n.alias("_n"), F.explode(probe).alias("_tok"))
+    near = (0, 1) if list(order[:1]) == [S] else (-1, 0, 1)
+    a = lean.withColumn("_bin", F.explode(F.array(*[F.floor(F.col(S) / max_shift_ms) + k for k in near])))
+    b = lean.select(*keys, "_tok", *[F.col(c).alias(f"b_{c}") for c in ("_id", "_rank", S, E, "_n")], F.floor(F.col(S) / max_shift_ms).alias("_bin"))
     shift = F.abs(F.col(S) - F.col(f"b_{S}")) + F.abs(F.col(E) - F.col(f"b_{E}"))
-    lo, hi = F.least(F.size("_set"), F.size("b__set")), F.greatest(F.size("_set"), F.size("b__set"))
+    lo, hi = F.least("_n", "b__n"), F.greatest("_n", "b__n")
     pairs = (a.join(b, [*keys, "_tok", "_bin"])
              .filter((F.col("_rank") < F.col("b__rank")) & (shift < max_shift_ms) & (lo > hi * similarity))
-             .filter(text.set_similarity(F.col("_set"), F.col("b__set")) > similarity))
-    kept = independent_set(firsts, pairs.select(F.col("_id").alias("early"), F.col("b__id").alias("late")), node_id)
+             .select(F.col("_id").alias("early"), F.col("b__id").alias("late")).distinct())
+    sets = firsts.select(F.col(node_id).alias("_id"), "_set")
+    pairs = (pairs.join(sets.select(F.col("_id").alias("early"), F.col("_set").alias("_sa")), "early")
+             .join(sets.select(F.col("_id").alias("late"), F.col("_set").alias("_sb")), "late")
+             .filter(text.set_similarity(F.col("_sa"), F.col("_sb")) > similarity))
+    kept = independent_set(firsts, pairs.select("early", "late"), node_id)
     return kept.unionByName(blank).select(*df.columns)
 
 

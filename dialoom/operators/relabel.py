@@ -69,7 +69,8 @@ def profiled_atoms(rows: DataFrame, keys: Sequence[str], n: int, width: int) ->
     a = live.select(*keys, S, E, *[c.alias(f"x_{k}") for k, c in names.items()])
     un = spans.speaker_unions(live, keys, width=width)
     b = un.select(*keys, S, E, *[{"u": F.lit(1).cast("long"), "uidx": speakers.speaker_index(F.col("speaker")).cast("long")}.get(k, zero).alias(f"x_{k}") for k in names])
-    st = spans.depth_steps(a.unionByName(b), keys, {k: F.col(f"x_{k}") for k in names}, width)
+    both = cut_lineage(a.unionByName(b))  # the sweep reads it twice
+    st = spans.depth_steps(both, keys, {k: F.col(f"x_{k}") for k in names}, width)
     st = st.filter((F.col("depth") > 0) & F.col("next_ms").isNotNull())
     mean = F.array(*[F.when(F.col("w") > 0, F.round(F.col(f"v{i}") * W_SCALE / V_SCALE / F.col("w"), 9)).otherwise(0.0) for i in range(n)])
     st = st.withColumn("vec", mean).withColumn("_t", fv.top_two(F.col("vec")))

@@ -210,8 +210,9 @@ def relay_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], slab_of
         if prev is not None and final:
             yield pd.DataFrame([(*prev[:-1], *[r[n] for n in names]) for r in flush(state)], columns=[*keys, *names])
 
-    last = df.groupBy(*keys).agg(F.max("_slab").alias("_end"), F.min("_slab").alias("_begin"))
-    if last.agg(F.max(F.col("_end") - F.col("_begin"))).first()[0] in (None, 0):
+    bounds = df.groupBy(*keys).agg(F.max("_slab").alias("_end"), F.min("_slab").alias("_begin"))
+    last = cut_lineage(bounds.filter("_end > _begin").select(*keys, "_end"))  # only keys of several slabs need relaying
+    if last.isEmpty():
         df = df.withColumn("_entry", F.lit("{}")).withColumn("_final", F.lit(True))
         return _ordered_stream(df, group, order, emit, out_schema)
 
@@ -236,10 +237,11 @@ def relay_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], slab_of
             yield pd.DataFrame([(*prev, json.dumps(state, sort_keys=True))], columns=[*group, "_exit"])
 
     over = Window.partitionBy(*keys).orderBy("_slab")
-    entry = df.select(*group).distinct().withColumn("_entry", F.lit("{}"))
+    long_rows = df.join(last.select(*keys), keys, "left_semi")
+    entry = cut_lineage(long_rows.select(*group).distinct().withColumn("_entry", F.lit("{}")))
     exits, redo = None, entry
     while True:
-        again = _ordered_stream(df.join(redo, group), group, order, leave, st)
+        again = _ordered_stream(long_rows.join(redo, group), group, order, leave, st)
         kept = again if exits is None else exits.join(redo, group, "left_anti").unionByName(again)
         exits = cut_lineage(kept)
         fresh = exits.withColumn("_entry", F.coalesce(F.lag("_exit").over(over), F.lit("{}"))).drop("_exit")
@@ -248,8 +250,8 @@ def relay_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], slab_of
         entry = fresh
         if redo.isEmpty():
             break
-    df = df.join(entry, group).join(last.select(*keys, F.col("_end")), keys)
-    df = df.withColumn("_final", F.col("_slab") == F.col("_end")).drop("_end")
+    df = df.join(entry.join(last, keys), group, "left").withColumns({
+        "_entry": F.coalesce("_entry", F.lit("{}")), "_final": F.coalesce(F.col("_slab") == F.col("_end"), F.lit(True))}).drop("_end")
     return _ordered_stream(df, group, order, emit, out_schema)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dialoom.functions import tiers, vectors as fv
-from dialoom.operators import assignment
+from dialoom.operators import assignment, slabs
 from dialoom.operators import vectors as ov
 
 CHUNK = ["recording_id", "chunk"]
@@ -19,6 +19,7 @@ TRACK = ["recording_id", "chunk", "track"]
 SOFT = 0.8  # share of the threshold that still lets a displaced track take its second choice
 MAX_CHUNK_GAP = 4
 VOTE_CONFIDENCE = 0.50
+CHUNKS_PER_SLAB = 65_536
 
 
 def initial_assignment(rows: DataFrame) -> DataFrame:
@@ -151,10 +152,17 @@ def propagate(slots: DataFrame, mapped: DataFrame, forced: DataFrame) -> DataFra
     """
     key = ["recording_id", "track"]
     d = slots.join(mapped.select(*TRACK, "label", "best_sim"), TRACK, "left")
-    w = Window.partitionBy(*key).orderBy("chunk")
+    # nearest labelled chunk on both sides; chunk slabs keep a track of any length out of a single task
     own = F.when(F.col("label").isNotNull(), F.struct("chunk", "label", "best_sim"))
-    d = d.withColumns({"_p": F.last(own, True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-                       "_n": F.first(own, True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    d = d.withColumn("_own", own).withColumn(slabs.SLAB, F.floor(F.col("chunk") / CHUNKS_PER_SLAB).cast("long"))
+    after = lambda w, a: w.rowsBetween(a, Window.unboundedFollowing)
+    d = slabs.scan(
+        d, key, ["chunk"],
+        local=lambda w: [{"_lp": F.max("_own").over(slabs.upto(w)), "_ln": F.min("_own").over(after(w, 0))}],
+        summary=[F.max("_own").alias("_hi"), F.min("_own").alias("_lo")],
+        carry=lambda w: [{"_cp": F.max("_hi").over(slabs.before(w)), "_cn": F.min("_lo").over(after(w, 1))}],
+        carried=["_cp", "_cn"])
+    d = d.withColumns({"_p": F.coalesce("_lp", "_cp"), "_n": F.coalesce("_ln", "_cn")}).drop("_own", "_lp", "_ln", "_cp", "_cn", slabs.SLAB)
     near_p, near_n = F.col("chunk") - F.col("_p.chunk"), F.col("_n.chunk") - F.col("chunk")
     take_p = F.col("_n").isNull() | (F.col("_p").isNotNull() & (near_p <= near_n))
     d = d.withColumn("_near", F.when(take_p, F.col("_p")).otherwise(F.col("_n")))

@@ -8,7 +8,7 @@ from dialoom.functions import text
 from dialoom.operators import metrics
 from dialoom.plans.registry import query
 from dialoom.plans.sequence_queries import rcte
-from dialoom.plans.views import BIN_MS, HYP, KEY, SEG, cte, hyp_events, sliced, table
+from dialoom.plans.views import BIN_MS, HYP, KEY, SEG, cte, hyp_events, sliced, spread, table
 
 
 def _snap(src: str, out: str, extra: str = "") -> str:
@@ -103,8 +103,8 @@ def turn_pairs(spark, sf):
     w = F.split("text", " ")
     hyp = F.array_join(F.flatten(F.transform(w, lambda x, i: F.when(i % 7 == 6, F.array().cast("array<string>"))
                                              .when(i % 5 == 4, F.array(x, x)).otherwise(F.array(x)))), " ")
-    return table(spark, sf, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role",
-                                                    F.col("text").alias("ref"), hyp.alias("hyp"))
+    c = spread(table(spark, sf, "conversations"))
+    return c.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.col("text").alias("ref"), hyp.alias("hyp"))
 
 
 PAIRS = r"""tp AS MATERIALIZED (SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text AS ref, array_to_string(flatten(list_transform(string_split(text, ' '),

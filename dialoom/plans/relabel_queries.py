@@ -56,14 +56,14 @@ def profiled_atoms(spark, sf):
        merged("sz")) + "SELECT * FROM zz WHERE end_ms - start_ms >= 900")
 def stable_zones(spark, sf):
     rows, width = scored_segments(spark, sf)
-    return relabel.stable_zones(relabel.profiled_atoms(rows, KEY, N, width), KEY, width)
+    return relabel.stable_zones(relabel.cut_lineage(relabel.profiled_atoms(rows, KEY, N, width)), KEY, width)
 
 
 @query("trusted_rows", cte(SEG, SCORED, PROFILE, "sz AS (SELECT * FROM pp WHERE n_speakers = 1 AND round(round(s[1],9)-round(s[2],9),9) >= 0.06 AND top1 = idx AND heavy = 0 AND end_ms - start_ms >= 250)",
        merged("sz", ", round(max(cur), 4) AS score")) + "SELECT * FROM zz")
 def trusted_rows(spark, sf):
     rows, width = scored_segments(spark, sf)
-    return relabel.trusted_rows(relabel.profiled_atoms(rows, KEY, N, width), KEY, width).withColumn("score", F.round("score", 4))
+    return relabel.trusted_rows(relabel.cut_lineage(relabel.profiled_atoms(rows, KEY, N, width)), KEY, width).withColumn("score", F.round("score", 4))
 
 
 @query("zone_coverage", cte(SEG, SCORED, PROFILE, "sz AS (SELECT * FROM pp WHERE n_speakers = 1 AND round(round(s[1],9)-round(s[2],9),9) >= 0.14 AND round(s[1]-cur,9) <= 0.06 AND top1 = idx AND heavy = 0)",
@@ -74,7 +74,7 @@ def trusted_rows(spark, sf):
 def zone_coverage(spark, sf):
     """Time of the own speaker's stable zones inside each segment and within 1.5 s around it."""
     rows, width = scored_segments(spark, sf)
-    z = relabel.cut_lineage(relabel.stable_zones(relabel.profiled_atoms(rows, KEY, N, width), KEY, width))
+    z = relabel.cut_lineage(relabel.stable_zones(relabel.cut_lineage(relabel.profiled_atoms(rows, KEY, N, width)), KEY, width))
     s, e = F.col("start_ms"), F.col("end_ms")
     base = rows.select(*KEY, "speaker", "seg_id", "start_ms", "end_ms")
     a = spans.overlap_sum(base, z, [*KEY, "speaker"], ["seg_id"], "inside_ms", width=width)
@@ -134,7 +134,7 @@ def _second(spark, sf):
     other = rows.select(*KEY, "seg_id", F.concat(F.lit("vbx_"), F.when(F.col("seg_id") % 9 == 0, (F.substring("speaker", 5, 1).cast("int") + 1) % 3)
                                                 .otherwise(F.substring("speaker", 5, 1).cast("int")).cast("string")).alias("speaker"),
                         (F.col("start_ms") + shift).alias("start_ms"), (F.col("end_ms") + shift).alias("end_ms"))
-    atoms = relabel.profiled_atoms(rows, KEY, N, width)
+    atoms = relabel.cut_lineage(relabel.profiled_atoms(rows, KEY, N, width))
     anchors = relabel.cut_lineage(relabel.trusted_rows(atoms, KEY, width))
     scores = relabel.cut_lineage(relabel.second_opinion_scores(rows, other, anchors, KEY, N, width, BIN_MS))
     return rows, other, scores, width

@@ -11,7 +11,12 @@ from pyspark.sql import types as T
 from dialoom.functions import fixed, spans as fs, text
 from dialoom.plans import sqltext as q
 from dialoom.plans.registry import query
-from dialoom.plans.views import DOC_LINES, HYP, LINES, SEG, cte, doc_lines, hyp_events, lines, seg_events, table
+from dialoom.plans.views import DOC_LINES, HYP, LINES, SEG, cte, hyp_events, lines, seg_events, spread, table
+
+
+def raw_lines(spark, sf):
+    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "txt"))
 
 
 @query("slug_name", r"""SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(trim(p_name)), '[^a-z0-9_]+', '_', 'g'), '_+', '_', 'g'), '_') AS slug FROM part""")
@@ -48,7 +53,7 @@ def span_arithmetic(spark, sf):
 
 @query("repeat_cleanup", cte(DOC_LINES, *q.cleanup_steps("doc_lines", "doc_id, idx", "txt", "c")) + "SELECT * FROM c")
 def repeat_cleanup(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "txt"))
+    d = raw_lines(spark, sf)
     return d.filter(F.trim("txt") != "").select("doc_id", F.col("idx").cast("long").alias("idx"),
                                                 text.cleanup_repeats(F.col("txt")).alias("cleaned"))
 
@@ -58,7 +63,7 @@ def repeat_cleanup(spark, sf):
        + f"""SELECT * FROM c WHERE length(cleaned) >= 2 AND trim(lower(cleaned), ' .,!?:;-') NOT IN (SELECT unnest({q.lst(fixed.FILLERS)}))""")
 def clean_transcript(spark, sf):
     """Cleaned lines of at least two characters that are no fillers."""
-    d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "txt"))
+    d = raw_lines(spark, sf)
     d = d.filter(F.trim("txt") != "").select("doc_id", F.col("idx").cast("long").alias("idx"),
                                              text.clean_line(F.col("txt")).alias("cleaned"))
     return d.filter((F.length("cleaned") >= 2) & ~text.is_filler(F.col("cleaned")))
@@ -74,7 +79,7 @@ def clean_transcript(spark, sf):
   FROM doc_lines""")
 def line_rules(spark, sf):
     """Transition, action, issue and format tests, dictionary tags, type, action status and speaker role of every line."""
-    d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "txt"))
+    d = raw_lines(spark, sf)
     t = F.col("txt")
     d = d.filter(F.trim("txt") != "").withColumns({"is_transition": text.is_transition(t), "_tags": text.tech_tags(t)})
     d = d.withColumn("kind", text.segment_type(t, F.col("is_transition")))

@@ -14,7 +14,7 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.legacy.allowNonEmptyLocationInCTAS": "false",
+    "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from dialoom.operators import slabs, spans
+
 LOCK_AFTER, LOCK_MINUTES, COOLDOWN_SEC, RETENTION_DAYS = 5, 15, 60, 3  # fixed values
 
 
@@ -21,14 +23,17 @@ def latest_status(events: DataFrame, key: str = "job_id") -> DataFrame:
 def lockouts(failures: DataFrame, key: str = "user_id", minutes: int = LOCK_MINUTES, limit: int = LOCK_AFTER, late: str = "1 hour") -> DataFrame:
     """Stretches of failures with less than the expiry between them that reach the limit.
 
-    Every failure renews the expiry, so the lock is a session with the expiry as its gap. Sessions are merged per input
-    partition before the shuffle (spark.sql.sessionWindow.merge.sessions.in.local.partition).
+    Every failure renews the expiry, so the lock is a session with the expiry as its gap: `session_window` on a stream,
+    the slab-wise interval union on a batch table (there one key may hold most rows).
     """
-    d = failures.withWatermark("ts", late) if failures.isStreaming else failures
-    s = d.groupBy(key, F.session_window("ts", f"{minutes} minutes").alias("s")).agg(F.count(F.lit(1)).alias("failures"))
-    out = s if failures.isStreaming else s.filter(F.col("failures") >= limit)
-    out = out.select(key, F.col("s.start").alias("first_at"), F.col("s.end").alias("expires_at"), "failures")
-    return out.filter(F.col("failures") >= limit)
+    if not failures.isStreaming:
+        us = F.unix_micros("ts")
+        d = failures.select(key, us.alias("start_ms"), (us + minutes * 60_000_000).alias("end_ms"))  # microseconds
+        s = spans.merge_spans(d, [key], 0, slabs.slab_width(d, [key], "start_ms", coarse=86_400_000_000))
+        return s.filter(F.col("n_spans") >= limit).select(key, F.timestamp_micros("start_ms").alias("first_at"),
+                                                          F.timestamp_micros("end_ms").alias("expires_at"), F.col("n_spans").alias("failures"))
+    s = failures.withWatermark("ts", late).groupBy(key, F.session_window("ts", f"{minutes} minutes").alias("s")).agg(F.count(F.lit(1)).alias("failures"))
+    return s.select(key, F.col("s.start").alias("first_at"), F.col("s.end").alias("expires_at"), "failures").filter(F.col("failures") >= limit)
 
 
 def cooldown(requests: DataFrame, key: str = "user_id", seconds: int = COOLDOWN_SEC, late: str = "1 hour") -> DataFrame:

@@ -53,7 +53,9 @@ def test_cannot_link(spark):
     assert c[0] != c[1]
 
 
-def test_propagation(spark):
+@pytest.mark.parametrize("slab", [2, 65_536])
+def test_propagation(spark, monkeypatch, slab):
+    monkeypatch.setattr(speakers, "CHUNKS_PER_SLAB", slab)
     key = "recording_id string, chunk bigint, track bigint"
     slots = spark.createDataFrame([("r", c, t) for c in (1, 3, 5, 20) for t in (0, 1)], key)
     own = spark.createDataFrame([("r", 1, 0, 0, .9), ("r", 5, 0, 1, .5)], key + ", label bigint, best_sim double")
