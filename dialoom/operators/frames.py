@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dialoom.operators import dedup, slabs
+from dialoom.operators import spans
 
 TRACK = ["recording_id", "chunk", "track"]
 PRIMARY_MIN_MS, AUX_MIN_MS, OUT_MIN_MS = 400, 300, 100
@@ -144,3 +144,25 @@ def speech_mask(energy: DataFrame, keys: Sequence[str], threshold: float = 0.002
     w = Window.partitionBy(*keys, "_home").orderBy("_at").rowsBetween(-half, half)
     d = d.withColumn("speech", (F.sum("_on").over(w) >= half + 1).cast("long"))
     return d.filter((F.col("_at") == f) & (F.floor(f / slab_frames) == F.col("_home"))).select(*keys, "frame", "speech")
+
+
+# fixed values: needed speech share, the same for fallback rows, and the score that protects a row
+MIN_SPEECH, MIN_SPEECH_FALLBACK, PROTECTED_SCORE = 0.15, 0.08, 0.45
+
+
+def silence_gate(rows: DataFrame, mask: DataFrame, keys: Sequence[str], row_id: Sequence[str], hop_ms: int = 10, width: int | None = None) -> DataFrame:
+    """Rows with their `speech_ratio` and `keep`: enough speech frames under them, or a protected score.
+
+    The share is a difference of running totals over the speech frames, so long rows cost as much as short ones.
+    """
+    keys = list(keys)
+    n = mask.groupBy(*keys).agg((F.max("frame") + 1).alias("_n"))
+    d = rows.join(n, keys)
+    first = F.least(F.floor(F.col("start_ms") / hop_ms), F.col("_n") - 1)
+    d = d.withColumn("_s", F.greatest(F.lit(0), first).cast("long"))
+    d = d.withColumn("_e", F.greatest(F.col("_s") + 1, F.least(F.floor(F.col("end_ms") / hop_ms), F.col("_n"))).cast("long"))
+    on = mask.filter("speech = 1").select(*keys, (F.col("frame") * hop_ms).cast("long").alias("start_ms"), ((F.col("frame") + 1) * hop_ms).cast("long").alias("end_ms"))
+    d = spans.overlap_sum(d, on, keys, row_id, "_on", windows=[(F.col("_s") * hop_ms, F.col("_e") * hop_ms)], width=width)
+    need = F.when(F.col("tier") == "fallback", MIN_SPEECH_FALLBACK).otherwise(MIN_SPEECH)
+    d = d.withColumn("speech_ratio", F.col("_on") / ((F.col("_e") - F.col("_s")) * hop_ms))
+    return d.withColumn("keep", (F.col("top1_score") >= PROTECTED_SCORE) | (F.col("speech_ratio") >= need)).drop("_n", "_s", "_e", "_on")

@@ -246,7 +246,15 @@ def clean_spans(spark, sf):
     return frames.clean_spans(frame_table(spark, sf), F.col("prob") > 0.4)
 
 
-@query("anchor_spans")
+@query("anchor_spans", cte(VECTORS, FRAMES, RUNS.replace("0.4", "0.6"), """
+  ac AS (SELECT *, sum(CASE WHEN prob > 0.6 THEN 1 ELSE 0 END) OVER (PARTITION BY recording_id, chunk, frame) AS n FROM fr),
+  cf AS (SELECT a.recording_id, a.chunk, a.track, r.g, a.frame, a.frame - row_number() OVER (PARTITION BY a.recording_id, a.chunk, a.track, r.g ORDER BY a.frame) AS c
+    FROM ac a JOIN rn r ON r.recording_id = a.recording_id AND r.chunk = a.chunk AND r.track = a.track AND a.frame >= r.start_frame AND a.frame < r.end_frame WHERE a.n = 1),
+  cs AS (SELECT recording_id, chunk, track, g, min(frame) AS cs, max(frame)+1 AS ce FROM cf GROUP BY recording_id, chunk, track, g, c),
+  cb AS (SELECT *, row_number() OVER (PARTITION BY recording_id, chunk, track, g ORDER BY ce - cs DESC, cs) AS k FROM cs)""") + """
+  SELECT r.recording_id, r.chunk, r.track, start_frame, end_frame, (ce - cs)*60 AS clean_ms, 'primary' AS tier, cs AS used_start, ce AS used_end
+  FROM rn r JOIN cb ON cb.recording_id = r.recording_id AND cb.chunk = r.chunk AND cb.track = r.track AND cb.g = r.g AND k = 1
+  WHERE (end_frame-start_frame)*60 >= 400 AND (ce - cs)*60 >= 400 AND (ce - cs)*100 >= (end_frame - start_frame)*80""")
 def anchor_spans(spark, sf):
     return frames.anchor_spans(frame_table(spark, sf), F.col("prob") > 0.6, dt_ms=60)
 
@@ -264,15 +272,32 @@ def fragment_spans(spark, sf):
     return frames.fragment_spans(frame_table(spark, sf), F.col("prob") > 0.9)
 
 
-@query("speech_mask", cte(VECTORS, """e AS (SELECT 'rec_' || (vec_id//60) AS recording_id, (vec_id%60)*16 + b AS frame,
+SPEECH = """e AS (SELECT 'rec_' || (vec_id//60) AS recording_id, (vec_id%60)*16 + b AS frame,
     sqrt(list_aggregate(list_transform(embedding[b*4+1:least(b*4+8, 64)], lambda q: q*q), 'sum') / (least(b*4+8, 64) - b*4)) AS rms FROM (SELECT *, unnest(range(15)) AS b FROM vectors)),
   d AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY frame) - 1 AS f, count(*) OVER (PARTITION BY recording_id) AS n, sqrt(avg(rms*rms) OVER (PARTITION BY recording_id)) + 1e-8 AS g FROM e),
   o AS (SELECT recording_id, f, n, CASE WHEN rms / g >= 0.9 THEN 1 ELSE 0 END AS a FROM d),
-  x AS (SELECT recording_id, f, f AS p2, a FROM o UNION ALL SELECT recording_id, f, -1-f, a FROM o WHERE f < 7 UNION ALL SELECT recording_id, f, 2*n-1-f, a FROM o WHERE f >= n-7)""") + """
-  SELECT recording_id, f AS frame, speech FROM (SELECT *, CAST(sum(a) OVER (PARTITION BY recording_id ORDER BY p2 ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) >= 8 AS BIGINT) AS speech FROM x) WHERE p2 = f""")
+  x AS (SELECT recording_id, f, f AS p2, a FROM o UNION ALL SELECT recording_id, f, -1-f, a FROM o WHERE f < 7 UNION ALL SELECT recording_id, f, 2*n-1-f, a FROM o WHERE f >= n-7),
+sm AS (SELECT recording_id, f AS frame, speech FROM (SELECT *, CAST(sum(a) OVER (PARTITION BY recording_id ORDER BY p2 ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) >= 8 AS BIGINT) AS speech FROM x) WHERE p2 = f)"""
+
+
+@query("speech_mask", cte(VECTORS, SPEECH) + "SELECT * FROM sm")
 def speech_mask(spark, sf):
     """Energy frames of sample blocks (the 64 components of a vector as samples), smoothed speech mask per recording."""
     v = vectors(spark, sf).select(F.concat(F.lit("rec_"), F.floor(F.col("vec_id") / 60)).alias("recording_id"), (F.col("vec_id") % 60).alias("block"),
                                   F.col("embedding").alias("samples"))
     e = frames.frame_energy(v, REC, 8, 4).withColumn("frame", F.col("block") * 15 + F.col("i"))
     return frames.speech_mask(e, REC, threshold=0.9)
+
+
+@query("silence_gate", cte(VECTORS, ANCHORS, SPEECH, """n AS (SELECT recording_id, max(frame) + 1 AS n FROM sm GROUP BY 1),
+  r AS (SELECT a.recording_id, a.vec_id, a.tier, (vec_id % 10)/20.0 AS top1, greatest(0, least(start_ms//80, n-1)) AS sf, end_ms//80 AS e0, n FROM anchors a JOIN n USING (recording_id)),
+  q AS (SELECT *, greatest(sf+1, least(e0, n)) AS ef FROM r)""") + """
+  SELECT recording_id, vec_id, round(count(*) FILTER (speech = 1) / (ef - sf), 6) AS speech_ratio, top1 >= 0.45 OR count(*) FILTER (speech = 1) / (ef - sf) >= CASE tier WHEN 'fallback' THEN 0.08 ELSE 0.15 END AS keep
+  FROM q JOIN sm USING (recording_id) WHERE frame >= sf AND frame < ef GROUP BY recording_id, vec_id, sf, ef, top1, tier""")
+def silence_gate(spark, sf):
+    """Anchor spans that lie on enough speech frames (80 ms hop) or score high enough to be kept anyway."""
+    v = vectors(spark, sf).select(F.concat(F.lit("rec_"), F.floor(F.col("vec_id") / 60)).alias("recording_id"), (F.col("vec_id") % 60).alias("block"), F.col("embedding").alias("samples"))
+    e = frames.frame_energy(v, REC, 8, 4).withColumn("frame", F.col("block") * 15 + F.col("i"))
+    rows = anchors(spark, sf).select("recording_id", "vec_id", "tier", "start_ms", "end_ms", (F.col("vec_id") % 10 / F.lit(20.0)).alias("top1_score"))
+    g = frames.silence_gate(rows, frames.speech_mask(e, REC, threshold=0.9), REC, ["vec_id"], hop_ms=80, width=60_000)
+    return g.select("recording_id", "vec_id", F.round("speech_ratio", 6).alias("speech_ratio"), "keep")
