@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from dialoom.functions import tiers
 from dialoom.operators import relabel, spans, speakers
 from dialoom.plans.registry import query
+from dialoom.plans.sequence_queries import rcte
 from dialoom.plans.views import KEY, SEG, SPEAKERS, cte, sliced
 
 N = 3
@@ -93,9 +94,15 @@ def span_score_vectors(spark, sf):
     return v.select(*KEY, "seg_id", *[F.round(F.get("score_vector", F.lit(i)), 4).alias(f"v{i}") for i in range(N)])
 
 
-@query("merged_scored_rows")
+@query("merged_scored_rows", rcte(SEG, SCORED, """n AS MATERIALIZED (SELECT recording_id, speaker, start_ms, end_ms, tier, v0, row_number() OVER (PARTITION BY recording_id, speaker ORDER BY start_ms, end_ms, seg_id) AS k FROM sc)""",
+    """w AS (SELECT recording_id, speaker, k, 0 AS isl, start_ms AS s, end_ms AS e, tier, v0 FROM n WHERE k = 1
+    UNION ALL SELECT n.recording_id, n.speaker, n.k, w.isl + x.f, CASE WHEN f = 1 THEN n.start_ms ELSE least(w.s, n.start_ms) END, CASE WHEN f = 1 THEN n.end_ms ELSE greatest(w.e, n.end_ms) END,
+      CASE WHEN f = 1 OR w.e - w.s < n.end_ms - n.start_ms THEN n.tier ELSE w.tier END,
+      CASE WHEN f = 1 THEN n.v0 ELSE ((w.e - w.s)*w.v0 + (n.end_ms - n.start_ms)*n.v0) / greatest(w.e - w.s + n.end_ms - n.start_ms, 1e-8) END
+    FROM w JOIN n ON n.recording_id = w.recording_id AND n.speaker = w.speaker AND n.k = w.k + 1, LATERAL (SELECT CASE WHEN n.start_ms > w.e + 300 THEN 1 ELSE 0 END AS f) x)""")
+    + "SELECT recording_id, speaker, arg_max(s, k) AS start_ms, arg_max(e, k) AS end_ms, arg_max(tier, k) AS tier, round(arg_max(v0, k), 6) AS v0 FROM w GROUP BY recording_id, speaker, isl")
 def merged_scored_rows(spark, sf):
-    """Pairwise merging of scored rows (order-dependent: no SQL twin)."""
+    """Pairwise merging of scored rows (order-dependent: a fold)."""
     rows, width = scored_segments(spark, sf)
     m = relabel.merge_scored_rows(rows, KEY, "seg_id", max(width, 2_160_000))
     return m.select(*KEY, "speaker", "start_ms", "end_ms", "tier", F.round(F.get("sims", F.lit(0)), 6).alias("v0"))
