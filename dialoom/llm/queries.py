@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm import decontamination, packing, quality_rules, simhash_dups, token_counts, token_files
+from dialoom.llm import decontamination, packing, quality_rules, simhash_dups, substring_dups, token_counts, token_files
 from dialoom.llm.common import run_folder, table_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontamination.decontaminate(table_of(spark, sf_dir, "documents"), table_of(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                       F.sha2(F.concat_ws(",", F.array_sort("items")).cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dups.without_repeats(table_of(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
