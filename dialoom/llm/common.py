@@ -8,7 +8,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Mapping
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +20,9 @@ _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolea
           "array<string>": pa.list_(pa.string()), "array<binary>": pa.list_(pa.binary())}
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+REMEMBERED = 1_000_000                   # words whose hash a worker remembers
 _RUNS: dict[str, str] = {}
+_WORD: dict[bytes, int] = {}
 
 
 def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], Iterable[Mapping]], out: Mapping[str, str],
@@ -105,3 +109,20 @@ def text_bytes(df: DataFrame, text_col: str, alias: str):
 
 def table_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text (bytes) and a 128-bit key of both."""
+    return (docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_bytes(docs, text_col, "text"))
+            .select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", F.lit(1), "doc_id").alias("k2")))
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words, remembered per worker up to a bound."""
+    if len(_WORD) > REMEMBERED:
+        _WORD.clear()
+    known, digest = _WORD, xxhash.xxh64_intdigest
+    for w in words:
+        if w not in known:
+            known[w] = digest(w, 7)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))

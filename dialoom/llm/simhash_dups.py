@@ -224,6 +224,8 @@ def signatures(classes: DataFrame, max_bits: int) -> DataFrame:
 def forest(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """Edges (fp, fp) of a spanning forest of the links within one block."""
     near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= max_bits
+    if np.count_nonzero(near) == len(fps):
+        return []
     free = np.ones(len(fps), bool)
     out = []
     for i in range(len(fps)):

@@ -22,28 +22,14 @@ rows with equal id and text count as two places and both lose it; other columns
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import arrow_map, text_bytes, texts, written
+from dialoom.llm.common import arrow_map, keyed, texts, word_hashes, written
 
 RUN = 12                 # words of an anchor
 SHARD = 256              # classes of one automaton
-REMEMBERED = 1_000_000
 BASE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)     # odd multipliers of the two rolling hashes
-_WORD: dict[bytes, int] = {}
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words, remembered per worker up to a bound."""
-    if len(_WORD) > REMEMBERED:
-        _WORD.clear()
-    known, digest = _WORD, xxhash.xxh64_intdigest
-    for w in words:
-        if w not in known:
-            known[w] = digest(w, 7)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -149,12 +135,6 @@ def repeats_in_shard(classes: list[tuple[list[int], int]], window: int) -> list[
     return found
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text (bytes) and a 128-bit key of both."""
-    return (docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_bytes(docs, text_col, "text"))
-            .select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", F.lit(1), "doc_id").alias("k2")))
-
-
 def repeated_spans(rows: DataFrame, window: int) -> DataFrame:
     """k1, k2, start, stop: word spans of keyed rows whose windows all repeat."""
     def scan(batch):
