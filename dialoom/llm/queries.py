@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm import decontamination, line_dedup, packing, quality_rules, simhash_dups, substring_dups, token_counts, token_files
+from dialoom.llm import decontamination, line_dedup, lm_scoring, packing, quality_rules, simhash_dups, substring_dups, token_counts, token_files
 from dialoom.llm.common import run_folder, table_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,8 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.deduped(table_of(spark, sf_dir, "documents"), count_cols=("n_lines", "n_removed"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table_of(spark, sf_dir, "documents"))
