@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm import decontamination, line_dedup, lm_scoring, packing, quality_rules, simhash_dups, substring_dups, token_counts, token_files
+from dialoom.llm import (decontamination, line_dedup, lm_scoring, packing, pseudonyms, quality_rules, simhash_dups, substring_dups,
+                         token_counts, token_files)
 from dialoom.llm.common import run_folder, table_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +76,9 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table_of(spark, sf_dir, "documents"))
+
+
+@query
+def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pseudonyms.pseudonymised(table_of(spark, sf_dir, "documents").select("doc_id", "text"), key="dialoom")
+    return out.select("doc_id", "text", F.size("finds").cast("long").alias("n_found"), F.concat_ws(",", "finds.kind").alias("kinds"))
