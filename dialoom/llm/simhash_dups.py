@@ -171,7 +171,8 @@ def thresholds(bits: np.ndarray, groups: list[list[int]], dist: dict, n: int, ma
         cost = [np.zeros(rows)]
         for t in range(units):
             probes = sum(comb(len(group), d) for d in range(t + 1))
-            cost.append(near[:t + 1].sum(axis=0) * n + PROBE_COST * probes)
+            # A probe also meets the probes of all that share its value, so a crowded value is dear to probe around.
+            cost.append(near[:t + 1].sum(axis=0) * n + (PROBE_COST + near[0] * n) * probes)
         now = np.full_like(best, np.inf)
         took = np.zeros((units + 1, rows), np.int64)
         for u in range(units + 1):
@@ -203,8 +204,8 @@ def signatures(classes: DataFrame, max_bits: int) -> DataFrame:
 
     def step(batch):
         all_fps = batch.column("fp").to_numpy()
-        for lo in range(0, len(all_fps), 4096):
-            fps = all_fps[lo:lo + 4096]
+        for lo in range(0, len(all_fps), 2048):
+            fps = all_fps[lo:lo + 2048]
             bits = _bits(fps)
             t = thresholds(bits, groups, dist.value, n, max_bits)
             keys, owners = [], []
