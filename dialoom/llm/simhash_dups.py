@@ -222,9 +222,15 @@ def signatures(classes: DataFrame, max_bits: int) -> DataFrame:
     return arrow_map(classes.select("fp"), step, {"bucket": "long", "fp": "long"})
 
 
+def within(fps: np.ndarray, max_bits: int) -> np.ndarray:
+    """Table of the pairs that differ in max_bits or fewer bits (counted on unsigned numbers)."""
+    bits = np.ascontiguousarray(fps, np.int64).view(np.uint64)
+    return np.bitwise_count(bits[:, None] ^ bits[None, :]) <= max_bits
+
+
 def forest(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """Edges (fp, fp) of a spanning forest of the links within one block."""
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= max_bits
+    near = within(fps, max_bits)
     if np.count_nonzero(near) == len(fps):
         return []
     free = np.ones(len(fps), bool)
