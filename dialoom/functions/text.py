@@ -23,10 +23,16 @@ def any_word(words: Sequence[str]) -> str:
 
 
 def contains_any(c: Column, needles: Sequence[str]) -> Column:
-    out = F.lit(False)
-    for n in needles:
-        out = out | F.contains(c, F.lit(n))
-    return out
+    """A balanced tree of tests, so that a long word list stays a shallow expression."""
+    tests = [F.contains(c, F.lit(n)) for n in needles] or [F.lit(False)]
+    while len(tests) > 1:
+        tests = [a | b for a, b in zip(tests[::2], tests[1::2])] + tests[len(tests) // 2 * 2:]
+    return tests[0]
+
+
+def strip(c: Column) -> Column:
+    """White space of any kind off both ends (trim() takes blanks only)."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
 
 
 def has_word(c: Column, words: Sequence[str]) -> Column:
@@ -40,12 +46,13 @@ def squeeze(c: Column) -> Column:
 
 
 def slug(c: Column) -> Column:
-    s = F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9_]+", "_")
+    s = F.regexp_replace(F.lower(strip(c)), "[^a-z0-9_]+", "_")
     return F.regexp_replace(F.regexp_replace(s, "_+", "_"), "^_|_$", "")
 
 
 def stable_id(*parts: Column) -> Column:
-    return F.md5(F.concat_ws("||", *[p.cast("string") for p in parts]))
+    """Digest of the parts; a missing part counts as the word None, so it can't be mistaken for a shorter list."""
+    return F.md5(F.concat_ws("||", *[F.coalesce(p.cast("string"), F.lit("None")) for p in parts]))
 
 
 def centiseconds(ms: Column) -> Column:
@@ -112,7 +119,7 @@ def is_hallucination(c: Column, dur_ms: Column, words_per_sec: float = 8.0) -> C
 
 
 def is_asr_artifact(c: Column) -> Column:
-    low = F.lower(F.trim(c))
+    low = F.lower(strip(c))
     return contains_any(low, fixed.ASR_ARTIFACTS) | low.isin(fixed.STRAY_WORDS)
 
 
@@ -215,7 +222,7 @@ def speaker_role(c: Column) -> Column:
 
 
 def wer_normalize(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_\s]", ""))
+    return strip(F.regexp_replace(F.lower(c), r"(?U)[^\p{L}\p{N}_\s]", ""))
 
 
 def mentioned_speaker(question: Column, aliases: dict[str, list[str]] = fixed.SPEAKER_ALIASES) -> Column:
@@ -230,7 +237,7 @@ def mentioned_speaker(question: Column, aliases: dict[str, list[str]] = fixed.SP
 
 def unfence_json(c: Column) -> Column:
     """The JSON inside a model answer: code fences off, from the first to the last bracket."""
-    t = F.trim(F.coalesce(c, F.lit("")))
+    t = strip(F.coalesce(c, F.lit("")))
     t = F.regexp_replace(t, r"(?i)^```(?:json)?\s*", "")
     t = F.regexp_replace(t, r"\s*```$", "")
     hit = F.regexp_extract(t, r"(?s)[\[{].*[\]}]", 0)

@@ -19,15 +19,16 @@ from dialoom.operators import summary, vectors
 from dialoom.session import cut_lineage
 
 Batch = Callable[[pd.DataFrame], Sequence]
+QUOTA_MARKS = ["429", "RESOURCE_EXHAUSTED"]  # fixed values
 
 
-def with_retry(fn: Callable, arg, tries: int = 5, first_wait: float = 1.0, sleep: Callable[[float], None] = time.sleep):
-    """Call with exponential back-off between failures."""
+def with_retry(fn: Callable, arg, tries: int = 5, first_wait: float = 60.0, sleep: Callable[[float], None] = time.sleep):
+    """Call with exponential back-off while the model's quota is exhausted; any other failure is raised at once."""
     for i in range(tries):
         try:
             return fn(arg)
-        except Exception:
-            if i == tries - 1:
+        except Exception as e:
+            if i == tries - 1 or not any(mark in str(e) for mark in QUOTA_MARKS):
                 raise
             sleep(first_wait * 2 ** i)
 

@@ -135,23 +135,34 @@ def diarization_error(ref: DataFrame, hyp: DataFrame, keys: Sequence[str], width
 # ---- word error -------------------------------------------------------------------------------------------------------
 
 EDITS = T.StructType([T.StructField(n, T.LongType()) for n in ("edits", "substitutions", "deletions", "insertions", "ref_words")])
-_EDIT = 1 << 20
 
 
 def word_edits(ref: list[str], hyp: list[str]) -> tuple[int, int, int, int, int]:
-    """Edit counts of a best word alignment (fewest insertions among the best), row by row in numpy."""
+    """Edit counts of a best word alignment (fewest insertions among the best), row by row in numpy.
+
+    A cell holds its edits and, apart, the insertions used; cells are compared by edits, then insertions. Along a row both
+    grow by one per word to the right, so a running minimum of (cell - position) carries insertions.
+    """
     n, m = len(ref), len(hyp)
     ids = {w: i for i, w in enumerate(dict.fromkeys([*ref, *hyp]))}
     h = np.array([ids[w] for w in hyp], dtype=np.int64)
-    ramp = np.arange(m + 1, dtype=np.int64) * (_EDIT + 1)  # an insertion costs an edit and one mark
-    row = ramp.copy()
+    at = np.arange(m + 1, dtype=np.int64)
+    edits, ins = at.copy(), at.copy()
     for w in ref:
-        nxt = row + _EDIT
-        nxt[1:] = np.minimum(nxt[1:], row[:-1] + (h != ids[w]) * _EDIT)
-        row = np.minimum.accumulate(nxt - ramp) + ramp
-    edits, ins = divmod(int(row[m]), _EDIT)
-    dele = ins + n - m
-    return edits, edits - ins - dele, dele, ins, n
+        e, s = edits + 1, ins.copy()                       # leave out the reference word
+        e2, s2 = edits[:-1] + (h != ids[w]), ins[:-1]      # or put the hypothesis word in its place
+        better = (e2 < e[1:]) | ((e2 == e[1:]) & (s2 < s[1:]))
+        e[1:][better], s[1:][better] = e2[better], s2[better]
+        low = np.minimum.accumulate(e - at)
+        # Of equal edits the fewest insertions win; a new minimum of the edits starts anew.
+        run = np.cumsum(np.concatenate(([0], low[1:] < low[:-1])))
+        offset = np.where(e - at == low, s - at, m + n + 1)
+        span = 2 * (m + n + 2)
+        ins = np.minimum.accumulate(offset - run * span) + run * span + at
+        edits = low + at
+    best, used = int(edits[m]), int(ins[m])
+    dele = used + n - m
+    return best, best - used - dele, dele, used, n
 
 
 @F.pandas_udf(EDITS)

@@ -89,10 +89,7 @@ def chunked(docs: DataFrame, size: int = 800, overlap: int = 80, text_col: str =
     def cut(s: pd.Series) -> pd.Series:
         return s.map(lambda b: split_text(b or "", size, overlap))
 
-    long_ = F.length(text_col) > size  # short texts need no Python
-    own = docs.filter(~long_).withColumn("_c", F.array(F.trim(text_col)))
-    far = docs.filter(long_).withColumn("_c", cut(text_col))
-    d = own.unionByName(far)
+    d = docs.withColumn("_c", cut(text_col))  # one rule for texts of any length; null has no chunks
     return d.select(*[c for c in docs.columns if c != text_col], F.posexplode("_c").alias("chunk_no", text_col)).filter(F.col(text_col) != "")
 
 

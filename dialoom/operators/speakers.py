@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from dialoom.functions import tiers, vectors as fv
 from dialoom.operators import assignment, slabs
 from dialoom.operators import vectors as ov
+from dialoom.session import cut_lineage
 
 CHUNK = ["recording_id", "chunk"]
 TRACK = ["recording_id", "chunk", "track"]
@@ -20,6 +21,7 @@ SOFT = 0.8  # share of the threshold that still lets a displaced track take its
 MAX_CHUNK_GAP = 4
 VOTE_CONFIDENCE = 0.50
 CHUNKS_PER_SLAB = 65_536
+SEED_ENROLLED, SEED_CLUSTER = "enrollment", "phase1_bootstrap"  # fixed values
 
 
 def initial_assignment(rows: DataFrame) -> DataFrame:
@@ -32,60 +34,46 @@ def initial_assignment(rows: DataFrame) -> DataFrame:
 def resolve_collisions(rows: DataFrame, row_id: str) -> DataFrame:
     """Two tracks of a chunk speaking at once cannot be one speaker: the weaker one moves to its next choice.
 
-    Track pairs are settled one after another, so each chunk (a fixed stretch of audio) is a small fold. The moved
-    track takes the best other label that meets its threshold, else the best meeting 0.8 of it, else becomes invalid.
+    A chunk's tracks are numbered by their first valid row. One join finds the track pairs whose valid rows overlap in
+    time; then each pair number is one round for all chunks together: an aggregation gives both tracks' strongest valid
+    rows, and where their labels agree the weaker track takes its best other label if that meets its threshold, or 0.8 of
+    it, and loses its rows otherwise. A chunk is a fixed stretch of audio, so it has few tracks and few rounds.
     """
-    names = [*CHUNK, row_id, "label", "score", "valid"]
-    schema = T.StructType([*[rows.schema[c] for c in [*CHUNK, row_id]], T.StructField("label", T.LongType()),
-                           T.StructField("score", T.DoubleType()), T.StructField("valid", T.BooleanType())])
     limit = tiers.ASSIGN_SIM
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(row_id).reset_index(drop=True)
-        sims = p["sims"].tolist()
-        label, score, valid = p["label"].tolist(), p["score"].tolist(), p["valid"].tolist()
-        start, end, thr = p["start_ms"].tolist(), p["end_ms"].tolist(), [limit.get(t, limit["fallback"]) for t in p["tier"]]
-        members: dict = {}
-        for i, t in enumerate(p["track"]):
-            if valid[i]:
-                members.setdefault(t, []).append(i)
-        order = list(members)
-
-        def leader(track):
-            live = [i for i in members[track] if valid[i]]
-            return max(live, key=lambda i: score[i]) if live else None
-
-        def move(track, lab, bar):
-            for i in members[track]:
-                label[i], score[i] = lab, sims[i][lab]
-                valid[i] = score[i] >= (thr[i] if bar is None else bar)
-
-        for x, ta in enumerate(order):
-            for tb in order[x + 1:]:
-                ia, ib = leader(ta), leader(tb)
-                if ia is None or ib is None or label[ia] != label[ib]:
-                    continue
-                if not any(start[i] < end[j] and start[j] < end[i] for i in members[ta] for j in members[tb]):
-                    continue
-                stay, go, track = (ia, ib, tb) if score[ia] >= score[ib] else (ib, ia, ta)
-                others = [k for k in sorted(range(len(sims[go])), key=lambda k: -sims[go][k]) if k != label[stay]]
-                top = others[0] if others else None
-                if top is not None and sims[go][top] >= thr[go]:
-                    move(track, top, None)
-                elif top is not None and sims[go][top] >= thr[go] * SOFT:
-                    move(track, top, thr[go] * SOFT)
-                else:
-                    for i in members[track]:
-                        valid[i] = False
-        return p.assign(label=label, score=score, valid=valid)[names]
-
-    lean = rows.select(*CHUNK, row_id, "track", "tier", "start_ms", "end_ms", "sims", "label", "score", "valid")
-    # only chunks where two tracks share a label can change; the others skip Python
-    seen = lean.filter("valid").groupBy(*CHUNK, "label").agg(F.min("track").alias("a"), F.max("track").alias("b"))
-    clash = seen.filter("a <> b").select(*CHUNK).distinct()
-    fixed = lean.join(clash, CHUNK, "left_semi").groupBy(*CHUNK).applyInPandas(settle, schema)
-    calm = lean.join(clash, CHUNK, "left_anti").select(*names)
-    return rows.drop("label", "score", "valid").join(fixed.unionByName(calm), [*CHUNK, row_id])
+    thr = F.lit(limit["fallback"])
+    for tier, bar in limit.items():
+        thr = F.when(F.col("tier") == tier, F.lit(bar)).otherwise(thr)
+    lean = rows.select(*CHUNK, row_id, "track", "start_ms", "end_ms", "sims", "label", "score", "valid", thr.alias("bar"))
+    firsts = lean.filter("valid").groupBy(*CHUNK, "track").agg(F.min(row_id).alias("first"))
+    firsts = firsts.withColumn("nth", F.row_number().over(Window.partitionBy(*CHUNK).orderBy("first"))).drop("first")
+    now = cut_lineage(lean.join(firsts, [*CHUNK, "track"], "left").withColumn("member", F.col("valid")))
+
+    one = now.filter("member").select(*CHUNK, F.col("nth").alias("x"), F.col("start_ms").alias("xs"), F.col("end_ms").alias("xe"))
+    two = now.filter("member").select(*CHUNK, F.col("nth").alias("y"), F.col("start_ms").alias("ys"), F.col("end_ms").alias("ye"))
+    at_once = one.join(two, CHUNK).filter("x < y AND xs < ye AND ys < xe").groupBy(*CHUNK, "x", "y").agg(F.lit(1).alias("met"))
+    at_once = cut_lineage(at_once)
+
+    rank = F.struct("score", (-F.col(row_id)).alias("early"))
+    lead = F.struct("label", "score", "sims", "bar")
+    for x, y in sorted(tuple(r) for r in at_once.select("x", "y").distinct().collect()):
+        live = lambda k: F.when(F.col("member") & F.col("valid") & (F.col("nth") == k), rank)  # noqa: E731, B023
+        top = now.groupBy(*CHUNK).agg(F.max_by(lead, live(x)).alias("a"), F.max_by(lead, live(y)).alias("b"),
+                                      F.max(live(x)).isNotNull().alias("has_a"), F.max(live(y)).isNotNull().alias("has_b"))
+        clash = top.join(at_once.filter((F.col("x") == x) & (F.col("y") == y)), CHUNK).filter("has_a AND has_b AND a.label = b.label")
+        weaker = F.when(F.col("a.score") >= F.col("b.score"), F.col("b")).otherwise(F.col("a"))
+        clash = clash.select(*CHUNK, F.when(F.col("a.score") >= F.col("b.score"), y).otherwise(x).alias("nth"), weaker.alias("w"))
+        others = F.array_sort(F.filter(F.transform("w.sims", lambda s, i: F.struct((-s).alias("n"), i.cast("long").alias("to"))), lambda o: o["to"] != F.col("w.label")))
+        best = F.get(others, F.lit(0))
+        moves = clash.select(*CHUNK, "nth", F.lit(True).alias("hit"), best["to"].alias("to"), F.col("w.bar").alias("w_bar"), (-best["n"]).alias("reach"))
+        bar = (F.when(F.col("reach") >= F.col("w_bar"), F.col("bar")).when(F.col("reach") >= F.col("w_bar") * SOFT, F.col("w_bar") * SOFT))
+        now = now.join(moves, [*CHUNK, "nth"], "left")
+        moved, new = F.col("hit") & F.col("member"), F.get("sims", F.col("to").cast("int"))
+        stays = bar.isNotNull()
+        now = cut_lineage(now.withColumns({
+            "valid": F.when(moved, F.coalesce(new >= bar, F.lit(False))).otherwise(F.col("valid")),
+            "label": F.when(moved & stays, F.col("to")).otherwise(F.col("label")),
+            "score": F.when(moved & stays, new).otherwise(F.col("score"))}).drop("hit", "to", "w_bar", "reach"))
+    return rows.drop("label", "score", "valid").join(now.select(*CHUNK, row_id, "label", "score", "valid"), [*CHUNK, row_id])
 
 
 def with_margin(rows: DataFrame) -> DataFrame:
@@ -246,22 +234,25 @@ def seed_table(enrolled: DataFrame, clusters: DataFrame, keys: Sequence[str], n:
     """Speaker seeds per recording: enrolled speakers first, then unmatched clusters as unknown_1, unknown_2, …
 
     `enrolled`: keys, name, centroid. `clusters`: keys, cluster, centroid. Each enrolled speaker takes at most one
-    cluster out of the running, by the best one-to-one cosine assignment.
+    cluster out of the running, by the best one-to-one cosine assignment. With n or more enrolled speakers the first n are
+    the seeds and no cluster is matched; a recording with fewer than n seeds in all has none.
     """
     keys = list(keys)
-    pair = enrolled.withColumnRenamed("centroid", "_a").join(clusters.withColumnRenamed("centroid", "_b"), keys)
+    have = enrolled.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"))
+    short = clusters.join(have.filter(F.col("_k") >= n), keys, "left_anti")
+    pair = enrolled.withColumnRenamed("centroid", "_a").join(short.withColumnRenamed("centroid", "_b"), keys)
     sims = pair.select(*keys, "name", "cluster", fv.cosine(F.col("_a"), F.col("_b")).alias("sim"))
     taken = assignment.best_pairs(sims, keys, "name", "cluster", "sim")
     w = Window.partitionBy(*keys)
     a = enrolled.withColumn("idx", F.row_number().over(w.orderBy("name")) - 1).filter(F.col("idx") < n)
     a = a.join(taken.select(*keys, "name", "cluster"), [*keys, "name"], "left")
-    a = a.select(*keys, "idx", F.lit("enrollment").alias("seed_type"), F.col("name").alias("seed_name"), F.col("cluster").alias("matched"), "centroid")
-    have = enrolled.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"))
-    rest = clusters.join(taken.select(*keys, "cluster"), [*keys, "cluster"], "left_anti").join(have, keys, "left").fillna({"_k": 0})
+    a = a.select(*keys, "idx", F.lit(SEED_ENROLLED).alias("seed_type"), F.col("name").alias("seed_name"), F.col("cluster").alias("matched"), "centroid")
+    rest = short.join(taken.select(*keys, "cluster"), [*keys, "cluster"], "left_anti").join(have, keys, "left").fillna({"_k": 0})
     rest = rest.withColumn("_r", F.row_number().over(w.orderBy("cluster"))).filter(F.col("_r") <= n - F.col("_k"))
-    b = rest.select(*keys, (F.col("_k") + F.col("_r") - 1).alias("idx"), F.lit("phase1_bootstrap").alias("seed_type"),
+    b = rest.select(*keys, (F.col("_k") + F.col("_r") - 1).alias("idx"), F.lit(SEED_CLUSTER).alias("seed_type"),
                     F.concat(F.lit("unknown_"), F.col("_r").cast("string")).alias("seed_name"), F.col("cluster").alias("matched"), "centroid")
-    return a.unionByName(b)
+    seeds = a.unionByName(b).withColumn("_n", F.count(F.lit(1)).over(w))
+    return seeds.filter(F.col("_n") >= n).drop("_n")
 
 
 def known_like(rows: DataFrame, packed: DataFrame, keys: Sequence[str], sim: float = 0.42, margin: float = 0.05) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dialoom.operators import slabs
+
 RETENTION_DAYS, MEDIA_DAYS = 3, 30  # fixed values
 
 
@@ -16,6 +18,15 @@ def owner_jobs(jobs: DataFrame, user: Column, deleted: bool = False) -> DataFram
     return d.orderBy(F.desc("deleted_at" if deleted else "created_at"), F.desc("job_id"))
 
 
+def user_list(jobs: DataFrame, user: str, at: str, job: str) -> DataFrame:
+    """All users' lists at once: `rank` (from 1) of each job in its user's list, newest first, by slabs of time."""
+    d = jobs.withColumn("_at", -F.unix_micros(at))
+    d = d.withColumn("_back", -F.col(job))
+    width = slabs.slab_width(d, [user], "_at", coarse=30 * 86_400_000_000)
+    d = slabs.with_slab(d, "_at", width)
+    return slabs.running_sums(d, [user], ["_at", "_back"], {"rank": F.lit(1).cast("long")}).drop("_at", "_back", slabs.SLAB)
+
+
 def job_transcripts(lines: DataFrame, jobs: DataFrame, user: Column, job: Column) -> DataFrame:
     """Lines of a job its owner may see, in time order, times rounded to two places."""
     own = jobs.filter((F.col("user_id") == user) & (F.col("job_id") == job)).select("job_id")
@@ -66,7 +77,7 @@ def apply_flags(events: DataFrame, key: str) -> DataFrame:
 
 
 def asr_to_transcripts(asr: DataFrame, job_id: Column) -> DataFrame:
-    """ASR rows as transcript rows of a job."""
+    """ASR rows as transcript rows of a job; the line id is a digest of the row itself, so a repeated read gives the same ids."""
     ms = lambda c: F.round(F.col(c) * 1000).cast("long")
-    return asr.select(job_id.alias("job_id"), F.monotonically_increasing_id().alias("line_id"), ms("start").alias("start_ms"), ms("end").alias("end_ms"),
+    return asr.select(job_id.alias("job_id"), F.xxhash64(job_id, "start", "end", "speaker", "predicted_text").alias("line_id"), ms("start").alias("start_ms"), ms("end").alias("end_ms"),
                       "speaker", F.coalesce("predicted_text", F.lit("")).alias("text"))

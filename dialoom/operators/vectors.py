@@ -59,45 +59,30 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, query_id: str, base_id:
             digits: int = 6, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Exact k nearest base rows per query by dot product (vectors of length one), ties by base id.
 
-    Up to `block_rows` queries travel to the base partitions as one matrix, each batch keeps its own k best, and the
-    survivors meet per query. More queries are cut into blocks that meet blocks of the base, never all at once.
+    Queries and base are dealt into blocks of about `block_rows` and eight times as many rows; every query block meets
+    every base block as one matrix product, which keeps the k best of each query before anything else is shuffled. A
+    query's survivors, k per base block, are ranked at the end.
     """
     schema = T.StructType([queries.schema[query_id], base.schema[base_id], T.StructField("score", T.DoubleType())])
-
-    def best(qids, qmat, bids, bmat):
-        s = np.round(qmat @ bmat.T, digits)
-        out = []
-        for r in range(len(qids)):
-            for c in _top_rows(s[r], bids, k):
-                out.append((qids[r], bids[c], float(s[r, c])))
-        return pd.DataFrame(out, columns=[query_id, base_id, "score"])
-
-    q = queries.select(query_id, query_vec)
-    rows = q.limit(block_rows + 1).collect()  # bounded
-    if len(rows) <= block_rows:
-        qids = [r[0] for r in rows]
-        qmat = np.array([r[1] for r in rows], dtype=float).reshape(len(rows), -1)
-
-        def scan(batches):
-            for pdf in batches:
-                if len(pdf) and len(qids):
-                    yield best(qids, qmat, pdf[base_id].to_numpy(), np.stack(pdf[base_vec].to_numpy()))
-
-        hits = base.select(base_id, base_vec).mapInPandas(scan, schema)
-    else:
-        qn = math.ceil(q.count() / block_rows)
-        bn = math.ceil(base.count() / (8 * block_rows))
-        block = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m))
-        ql = q.withColumn("_q", block(query_id, qn)).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bn - 1).cast("long"))))
-        bl = base.select(base_id, base_vec).withColumn("_b", block(base_id, bn)).withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(qn - 1).cast("long"))))
-
-        def meet(qs, bs):
-            if not len(qs) or not len(bs):
-                return pd.DataFrame(columns=[query_id, base_id, "score"])
-            return best(qs[query_id].tolist(), np.stack(qs[query_vec].to_numpy()), bs[base_id].to_numpy(), np.stack(bs[base_vec].to_numpy()))
-
-        hits = ql.groupBy("_q", "_b").cogroup(bl.groupBy("_q", "_b")).applyInPandas(meet, schema)
-    w = Window.partitionBy(query_id).orderBy(F.desc("score"), base_id)
+    q, b = queries.select(query_id, query_vec), base.select(base_id, base_vec)
+    qn, bn = (max(1, math.ceil(d.count() / rows)) for d, rows in ((q, block_rows), (b, 8 * block_rows)))
+    block = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m))
+    every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+    ql = q.withColumn("_q", block(query_id, qn)).withColumn("_b", every(bn))
+    bl = b.withColumn("_b", block(base_id, bn)).withColumn("_q", every(qn))
+
+    def meet(qs, bs):
+        if not len(qs) or not len(bs):
+            return pd.DataFrame(columns=[query_id, base_id, "score"])
+        bids = bs[base_id].to_numpy()
+        s = np.round(np.stack(qs[query_vec].to_numpy()) @ np.stack(bs[base_vec].to_numpy()).T, digits)
+        best = [_top_rows(row, bids, k) for row in s]
+        at = np.repeat(np.arange(len(s)), [len(x) for x in best])
+        col = np.concatenate(best)
+        return pd.DataFrame({query_id: qs[query_id].to_numpy()[at], base_id: bids[col], "score": s[at, col]})
+
+    hits = ql.groupBy("_q", "_b").cogroup(bl.groupBy("_q", "_b")).applyInPandas(meet, schema)
+    w = Window.partitionBy(query_id).orderBy(F.desc("score"), base_id)  # at most k rows per base block
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 

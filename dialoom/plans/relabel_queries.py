@@ -104,7 +104,7 @@ def span_score_vectors(spark, sf):
 def merged_scored_rows(spark, sf):
     """Pairwise merging of scored rows (order-dependent: a fold)."""
     rows, width = scored_segments(spark, sf)
-    m = relabel.merge_scored_rows(rows, KEY, "seg_id", max(width, 2_160_000))
+    m = relabel.merge_scored_rows(rows, KEY, "seg_id", width)
     return m.select(*KEY, "speaker", "start_ms", "end_ms", "tier", F.round(F.get("sims", F.lit(0)), 6).alias("v0"))
 
 

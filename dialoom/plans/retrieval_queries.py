@@ -129,9 +129,18 @@ def latest_status(spark, sf):
     return jobs.latest_status(e).select("job_id", "status")
 
 
-@query("lockout_sessions", """WITH e AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts > lag(ts) OVER w + INTERVAL 720 MINUTE THEN 1 ELSE 0 END AS f FROM events WHERE event_type = 'error' WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-  g AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e)
-  SELECT user_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) + 43200000000 AS expires_us, count(*) AS failures FROM g GROUP BY user_id, s HAVING count(*) >= 3""")
+LOCK_US = 43_200_000_000
+
+
+@query("lockout_sessions", rcte("n AS (SELECT user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'error')",
+       f"""w AS (SELECT user_id, k, us AS first_us, us AS last_us, 1 AS c, false AS made FROM n WHERE k = 1
+     UNION ALL SELECT n.user_id, n.k,
+       CASE WHEN w.c = 3 AND n.us < w.last_us + {LOCK_US} THEN w.first_us WHEN w.c = 3 OR n.us >= w.last_us + {LOCK_US} THEN n.us ELSE w.first_us END,
+       CASE WHEN w.c = 3 AND n.us < w.last_us + {LOCK_US} THEN w.last_us ELSE n.us END,
+       CASE WHEN w.c = 3 AND n.us < w.last_us + {LOCK_US} THEN 3 WHEN w.c = 3 OR n.us >= w.last_us + {LOCK_US} THEN 1 ELSE w.c + 1 END,
+       w.c = 2 AND n.us < w.last_us + {LOCK_US}
+     FROM w JOIN n ON n.user_id = w.user_id AND n.k = w.k + 1)""")
+       + f"SELECT user_id, first_us, last_us + {LOCK_US} AS expires_us, CAST(3 AS BIGINT) AS failures FROM w WHERE made")
 def lockout_sessions(spark, sf):
     d = jobs.lockouts(user_events(spark, sf).filter("event_type = 'error'"), minutes=720, limit=3)
     return d.select("user_id", F.unix_micros("first_at").alias("first_us"), F.unix_micros("expires_at").alias("expires_us"), "failures")

@@ -57,14 +57,17 @@ def source_fallback(spark, sf):
     return segments.first_source([d.filter("doc_id % 3 = 0"), d.filter("doc_id % 2 = 0"), d], "doc_id")
 
 
-@query("media_catalogue", """SELECT page_id, regexp_extract(lower(url), '\\.([^./]+)$', 1) AS extension, CASE WHEN regexp_extract(lower(url), '\\.([^./]+)$', 1) NOT IN ('wav','mp3','m4a','flac','ogg','aac','wma','webm','mp4') THEN 'extension'
-   WHEN length(html)*20000 > 78643200 THEN 'too_large' WHEN length(html) = 0 THEN 'empty' END AS reject_reason
-  FROM (SELECT page_id, html, url || CASE WHEN page_id % 3 = 0 THEN '.wav' WHEN page_id % 3 = 1 THEN '.MP3' ELSE '.exe' END AS url FROM pages)""")
+MEDIA_NAMES = """CASE page_id % 5 WHEN 0 THEN '.wav' WHEN 1 THEN '.MKV' WHEN 2 THEN '.3gp' WHEN 3 THEN '.Opus' ELSE '.exe' END"""
+
+
+@query("media_catalogue", f"""SELECT page_id, regexp_extract(lower(url), '\\.([^./]+)$', 1) AS extension,
+   CASE WHEN page_id % 5 = 4 THEN 'extension' WHEN length(html)*20000 > 78643200 THEN 'too_large' WHEN length(html) = 0 THEN 'empty' END AS reject_reason
+  FROM (SELECT page_id, html, url || {MEDIA_NAMES} AS url FROM pages)""")
 def media_catalogue(spark, sf):
-    """Pages as a media folder: every third a wav, mp3 or exe; size in proportion to the page."""
+    """Pages as a media folder of four media kinds and programs; size in proportion to the page."""
     p = table(spark, sf, "pages")
-    ext = F.when(F.col("page_id") % 3 == 0, ".wav").when(F.col("page_id") % 3 == 1, ".MP3").otherwise(".exe")
-    return media.media_catalogue(p.select("page_id", F.concat("url", ext).alias("path"), (F.length("html").cast("long") * 20_000).alias("length"))).select("page_id", "extension", "reject_reason")
+    return media.media_catalogue(p.select("page_id", F.concat("url", F.expr(MEDIA_NAMES)).alias("path"), (F.length("html").cast("long") * 20_000).alias("length"))).select(
+        "page_id", "extension", "reject_reason")
 
 
 @query("table_profile", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in ("orders", "lineitem", "events", "documents")))
@@ -98,12 +101,16 @@ def jobs(spark, sf):
 NOW = "1995-06-17"
 
 
-@query("trash_by_user", "SELECT CAST(o_custkey AS BIGINT) AS user_id, CAST(o_orderkey AS BIGINT) AS job_id, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders WHERE o_orderstatus = 'F') WHERE k <= 10")
+@query("trash_by_user", "SELECT CAST(o_custkey AS BIGINT) AS user_id, CAST(o_orderkey AS BIGINT) AS job_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rank FROM orders WHERE o_orderstatus = 'F'")
 def trash_by_user(spark, sf):
-    """Latest ten trashed jobs of every user (the per-user list, for all users at once)."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("user_id").orderBy(F.desc("deleted_at"), F.desc("job_id"))
-    return jobs(spark, sf).filter("is_deleted").withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 10").select("user_id", "job_id", "rank")
+    """All trashed jobs with their place in their user's list, latest first."""
+    return store.user_list(jobs(spark, sf).filter("is_deleted"), "user_id", "deleted_at", "job_id").select("user_id", "job_id", "rank")
+
+
+@query("history_by_user", "SELECT CAST(o_custkey AS BIGINT) AS user_id, CAST(o_orderkey AS BIGINT) AS job_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rank FROM orders WHERE o_orderstatus <> 'F'")
+def history_by_user(spark, sf):
+    """All jobs that are not trashed with their place in their user's history, latest first."""
+    return store.user_list(jobs(spark, sf).filter("NOT is_deleted"), "user_id", "created_at", "job_id").select("user_id", "job_id", "rank")
 
 
 @query("retention_purge", f"SELECT CAST(l_orderkey AS BIGINT) AS job_id, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderdate + INTERVAL 1 DAY < TIMESTAMP '{NOW}' - INTERVAL 3 DAY)")

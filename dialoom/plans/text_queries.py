@@ -11,11 +11,11 @@ from pyspark.sql import types as T
 from dialoom.functions import fixed, spans as fs, text
 from dialoom.plans import sqltext as q
 from dialoom.plans.registry import query
-from dialoom.plans.views import DOC_LINES, HYP, LINES, SEG, cte, hyp_events, lines, seg_events, spread, table
+from dialoom.plans.views import DOC_LINES, HYP, LINES, SEG, cte, hyp_events, lines, seg_events, table
 
 
 def raw_lines(spark, sf):
-    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    d = table(spark, sf, "documents").select("doc_id", "text")
     return d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "txt"))
 
 

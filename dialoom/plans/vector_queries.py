@@ -14,18 +14,18 @@ REC = ["recording_id"]
 
 
 def anchors(spark, sf):
-    """Sixty embeddings per recording, five chunks of twelve, three tracks; recordings grow with the table."""
+    """Sixty embeddings per recording, five chunks of twelve, three tracks; a hundred recordings make a series."""
     v = vectors(spark, sf)
     i = F.col("vec_id")
     start = F.floor(i % 60 / 12) * 16_000 + (i % 4) * 1500
     return v.select(
-        i, F.concat(F.lit("rec_"), F.floor(i / 60)).alias("recording_id"), F.floor(i % 60 / 12).cast("long").alias("chunk"),
+        i, F.concat(F.lit("rec_"), F.floor(i / 60)).alias("recording_id"), F.floor(i / 6000).cast("long").alias("series"), F.floor(i % 60 / 12).cast("long").alias("chunk"),
         (i % 3).alias("track"), "speaker", F.substring("speaker", 5, 10).cast("long").alias("label0"), "embedding",
         (F.lit(0.3) + (i % 20) / 10).alias("used_dur"), tiers.tier_of(F.floor(i / 2)).alias("tier"),
         start.cast("long").alias("start_ms"), (start + 1200).cast("long").alias("end_ms"))
 
 
-ANCHORS = """anchors AS (SELECT vec_id, 'rec_' || (vec_id//60) AS recording_id, (vec_id%60)//12 AS chunk, vec_id%3 AS track, speaker,
+ANCHORS = """anchors AS (SELECT vec_id, 'rec_' || (vec_id//60) AS recording_id, vec_id//6000 AS series, (vec_id%60)//12 AS chunk, vec_id%3 AS track, speaker,
    CAST(substr(speaker, 5) AS BIGINT) AS label0, embedding, 0.3 + (vec_id%20)/10 AS used_dur,
    CASE (vec_id//2)%3 WHEN 0 THEN 'primary' WHEN 1 THEN 'aux' ELSE 'fallback' END AS tier,
    (vec_id%60)//12*16000 + (vec_id%4)*1500 AS start_ms, (vec_id%60)//12*16000 + (vec_id%4)*1500 + 1200 AS end_ms FROM vectors)"""
@@ -45,26 +45,28 @@ def centroids(spark, sf):
 
 
 def speaker_centroids(spark, sf):
-    """Each recording scored against the centroids of all speakers (a few rows, joined per recording)."""
+    """Anchors and the centroid of every speaker of a series."""
     a = anchors(spark, sf)
-    c = ov.centroids(a, ["speaker"], weight=F.col("used_dur"))
-    return a, c
+    return a, ov.centroids(a, ["series", "speaker"], weight=F.col("used_dur"))
+
+
+def packed_series(c):
+    return ov.packed_centroids(c.withColumn("label", F.substring("speaker", 5, 10).cast("long")), ["series"], "label")
 
 
 SIMS = """sm AS (SELECT a.*, l.label, list_dot_product(a.embedding, l.c) / sqrt(list_dot_product(a.embedding, a.embedding)) AS s
-   FROM anchors a CROSS JOIN (SELECT speaker, CAST(substr(speaker, 5) AS BIGINT) AS label, c FROM ce) l),
+   FROM anchors a JOIN (SELECT series, speaker, CAST(substr(speaker, 5) AS BIGINT) AS label, c FROM ce) l ON l.series = a.series),
 tp AS (SELECT vec_id, max(s) FILTER (k = 1) AS top1_score, max(label) FILTER (k = 1) AS top1_label, max(s) FILTER (k = 2) AS top2_score
    FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) AS k FROM sm) GROUP BY vec_id)"""
 
 
 def scored_anchors(spark, sf):
-    """Anchors with cosines to all speaker centroids; the speaker set is packed into one row per group of ten labels."""
+    """Anchors with cosines to the centroids of their series' ten speakers (one packed row per series)."""
     a, c = speaker_centroids(spark, sf)
-    packed = ov.packed_centroids(c.withColumns({"label": F.substring("speaker", 5, 10).cast("long"), "pool": F.lit(0)}), ["pool"], "label")
-    return ov.scored(a.withColumn("pool", F.lit(0)), packed, ["pool"]).drop("pool", "cents")
+    return ov.scored(a, packed_series(c), ["series"]).drop("cents")
 
 
-@query("nearest_centroid", cte(VECTORS, ANCHORS, cent_sql("anchors", "speaker", "used_dur", "ce"), SIMS) + """
+@query("nearest_centroid", cte(VECTORS, ANCHORS, cent_sql("anchors", "series, speaker", "used_dur", "ce"), SIMS) + """
   SELECT vec_id, top1_label, round(top1_score, 6) AS score, round(top1_score - top2_score, 6) AS margin,
     top1_score >= CASE tier WHEN 'primary' THEN 0.20 WHEN 'aux' THEN 0.22 ELSE 0.26 END AS valid FROM tp JOIN anchors USING (vec_id)""")
 def nearest_centroid(spark, sf):
@@ -78,7 +80,7 @@ def nearest_centroid(spark, sf):
     row_number() OVER (PARTITION BY c.speaker ORDER BY round(list_dot_product(c.c, v.embedding), 6) DESC, v.vec_id) AS rank FROM ce c CROSS JOIN vectors v) WHERE rank <= 8""")
 def knn_top8(spark, sf):
     """The eight vectors nearest to each speaker's centroid."""
-    a, c = speaker_centroids(spark, sf)
+    c = ov.centroids(anchors(spark, sf), ["speaker"], weight=F.col("used_dur"))
     return ov.nearest(c, vectors(spark, sf), 8, "speaker", "vec_id", "centroid", "embedding").select(
         "speaker", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
 
@@ -99,7 +101,7 @@ VOTES = """va AS (SELECT a.*, t.top1_label AS label, t.top1_score AS score, t.to
 wv AS (SELECT *, CASE tier WHEN 'primary' THEN 3.0 WHEN 'aux' THEN 1.5 ELSE 0.75 END * greatest(score, 1e-4) AS w FROM va)"""
 
 
-@query("track_votes", cte(VECTORS, ANCHORS, cent_sql("anchors", "speaker", "used_dur", "ce"), SIMS, VOTES,
+@query("track_votes", cte(VECTORS, ANCHORS, cent_sql("anchors", "series, speaker", "used_dur", "ce"), SIMS, VOTES,
        "pv AS (SELECT recording_id, chunk, track, label, sum(w) AS v, min(vec_id) AS f FROM wv GROUP BY 1, 2, 3, 4)") + """
   SELECT recording_id, chunk, track, label, round(v, 6) AS votes FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, chunk, track ORDER BY round(v, 9) DESC, f) AS k FROM pv) WHERE k = 1""")
 def track_votes(spark, sf):
@@ -107,7 +109,7 @@ def track_votes(spark, sf):
     return speakers.track_votes(r, "vec_id").select("recording_id", "chunk", "track", "label", F.round("votes", 6).alias("votes"))
 
 
-@query("track_profile", cte(VECTORS, ANCHORS, cent_sql("anchors", "speaker", "used_dur", "ce"), SIMS, VOTES, """
+@query("track_profile", cte(VECTORS, ANCHORS, cent_sql("anchors", "series, speaker", "used_dur", "ce"), SIMS, VOTES, """
   ms AS (SELECT recording_id, chunk, track, sm.label, avg(sm.s) AS m FROM sm WHERE vec_id IN (SELECT vec_id FROM va) GROUP BY 1, 2, 3, 4),
   mk AS (SELECT *, row_number() OVER (PARTITION BY recording_id, chunk, track ORDER BY m DESC, label) AS k FROM ms),
   mt AS (SELECT recording_id, chunk, track, max(label) FILTER (k=1) AS top1_label, max(m) FILTER (k=1) AS s1, max(m) FILTER (k=2) AS s2 FROM mk GROUP BY 1, 2, 3),
@@ -149,8 +151,7 @@ def propagated_tracks(spark, sf):
     """All propagation rules over voted labels and forced profiles."""
     rows = assigned(spark, sf)
     a, c = speaker_centroids(spark, sf)
-    packed = ov.packed_centroids(c.withColumns({"label": F.substring("speaker", 5, 10).cast("long"), "pool": F.lit(0)}), ["pool"], "label")
-    packed = a.select("recording_id").distinct().withColumn("pool", F.lit(0)).join(packed, "pool").drop("pool")
+    packed = a.select("recording_id", "series").distinct().join(packed_series(c), "series").drop("series")
     mapped = speakers.track_votes(rows, "vec_id").join(speakers.track_profile(rows).select("recording_id", "chunk", "track", "best_sim"), speakers.TRACK)
     forced = speakers.force_profile(a, packed)
     return speakers.propagate(_slots(spark, sf), mapped, forced)
@@ -177,7 +178,7 @@ def speaker_seeds(spark, sf):
     return speakers.seed_table(enrolled.select(*REC, "name", "centroid"), cents.select(*REC, "cluster", "centroid"), REC, 3).drop("centroid")
 
 
-@query("purify_gates", cte(VECTORS, ANCHORS, cent_sql("anchors", "speaker", "used_dur", "ce"), SIMS) + """
+@query("purify_gates", cte(VECTORS, ANCHORS, cent_sql("anchors", "series, speaker", "used_dur", "ce"), SIMS) + """
   SELECT gate, count(*) AS n FROM (SELECT CASE WHEN top1_score < CASE tier WHEN 'primary' THEN 0.20 WHEN 'aux' THEN 0.22 ELSE 0.26 END THEN 'invalid'
     WHEN tier NOT IN ('primary', 'aux') THEN 'tier' WHEN used_dur < 1.2 THEN 'short' WHEN top1_score < 0.35 THEN 'low_sim' WHEN top1_score - top2_score < 0.12 THEN 'low_margin' ELSE 'ok' END AS gate
     FROM tp JOIN anchors USING (vec_id)) GROUP BY gate""")
@@ -186,22 +187,22 @@ def purify_gates(spark, sf):
     return ov.purify_gates(r).groupBy("gate").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("purified_centroids", cte(VECTORS, ANCHORS, cent_sql("anchors", "speaker", "used_dur", "ce"), SIMS, """
-  ok AS (SELECT a.vec_id, a.embedding, 'SPK_' || top1_label AS speaker, used_dur * greatest(top1_score, 1e-4) AS w FROM tp JOIN anchors a USING (vec_id)
+@query("purified_centroids", cte(VECTORS, ANCHORS, cent_sql("anchors", "series, speaker", "used_dur", "ce"), SIMS, """
+  ok AS (SELECT a.vec_id, a.series, a.embedding, 'SPK_' || top1_label AS speaker, used_dur * greatest(top1_score, 1e-4) AS w FROM tp JOIN anchors a USING (vec_id)
     WHERE top1_score >= CASE tier WHEN 'primary' THEN 0.20 WHEN 'aux' THEN 0.22 ELSE 0.26 END AND tier IN ('primary', 'aux') AND used_dur >= 1.2 AND top1_score >= 0.35 AND top1_score - top2_score >= 0.12),
-  pn AS (SELECT speaker, count(*) AS n, sum(w) AS lw FROM ok GROUP BY speaker),
-  hl AS (SELECT sum(coalesce(n, 0)) AS total, min(coalesce(n, 0)) AS low, max(coalesce(n, 0)) AS high, sum(lw) AS tw FROM ce LEFT JOIN pn USING (speaker)),
-  rk AS (SELECT ok.*, row_number() OVER (PARTITION BY speaker ORDER BY w DESC, vec_id) AS r, n, CASE WHEN lw / tw > 0.44 THEN greatest(1, floor(n * 0.44)) ELSE n END AS keep
-    FROM ok JOIN pn USING (speaker), hl WHERE total >= 18 AND low >= 3 AND high / greatest(low, 1) <= 6 AND n >= 18),
-  ch AS (SELECT * FROM rk WHERE r <= keep)""", cent_sql("ch", "speaker", "w", "fr"), """
-  bl AS (SELECT ce.speaker, CASE WHEN fr.c IS NOT NULL THEN list_transform(list_zip(fr.c, ce.c), lambda z: z[1] * 0.85 + z[2] * 0.15) END AS b, ce.c FROM ce LEFT JOIN fr USING (speaker))""") + """
-  SELECT speaker, round(CASE WHEN b IS NULL THEN 1.0 ELSE list_dot_product(c, b) / sqrt(list_dot_product(b, b)) END, 6) AS shift_cosine FROM bl""")
+  pn AS (SELECT series, speaker, count(*) AS n, sum(w) AS lw FROM ok GROUP BY series, speaker),
+  hl AS (SELECT series, sum(coalesce(n, 0)) AS total, min(coalesce(n, 0)) AS low, max(coalesce(n, 0)) AS high, sum(lw) AS tw FROM ce LEFT JOIN pn USING (series, speaker) GROUP BY series),
+  rk AS (SELECT ok.*, row_number() OVER (PARTITION BY ok.series, ok.speaker ORDER BY w DESC, vec_id) AS r, n, CASE WHEN lw / tw > 0.44 THEN greatest(1, floor(n * 0.44)) ELSE n END AS keep
+    FROM ok JOIN pn USING (series, speaker) JOIN hl USING (series) WHERE total >= 18 AND low >= 3 AND high / greatest(low, 1) <= 6 AND n >= 18),
+  ch AS (SELECT * FROM rk WHERE r <= keep)""", cent_sql("ch", "series, speaker", "w", "fr"), """
+  bl AS (SELECT ce.series, ce.speaker, CASE WHEN fr.c IS NOT NULL THEN list_transform(list_zip(fr.c, ce.c), lambda z: z[1] * 0.85 + z[2] * 0.15) END AS b, ce.c FROM ce LEFT JOIN fr USING (series, speaker))""") + """
+  SELECT series, speaker, round(CASE WHEN b IS NULL THEN 1.0 ELSE list_dot_product(c, b) / sqrt(list_dot_product(b, b)) END, 6) AS shift_cosine FROM bl""")
 def purified_centroids(spark, sf):
     rows = speakers.with_margin(speakers.initial_assignment(scored_anchors(spark, sf)))
-    rows = rows.withColumns({"speaker": F.concat(F.lit("SPK_"), F.col("label").cast("string")), "pool": F.lit(0)})
-    a, c = speaker_centroids(spark, sf)
-    return ov.purify(rows, c.select("speaker", "centroid").withColumn("pool", F.lit(0)), ["pool"], "speaker", "vec_id").select(
-        "speaker", F.round("shift_cosine", 6).alias("shift_cosine"))
+    rows = rows.withColumn("speaker", F.concat(F.lit("SPK_"), F.col("label").cast("string")))
+    _, c = speaker_centroids(spark, sf)
+    return ov.purify(rows, c.select("series", "speaker", "centroid"), ["series"], "speaker", "vec_id").select(
+        "series", "speaker", F.round("shift_cosine", 6).alias("shift_cosine"))
 
 
 # ---- frames -----------------------------------------------------------------------------------------------------------

@@ -16,12 +16,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread an input with fewer splits than cores; anything larger keeps the splits of its files."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def seg_events(spark: SparkSession, sf: str) -> DataFrame:
     """Speaker segments: one recording per day, event type as speaker, value as seconds of speech."""
     ts = F.col("ts").cast("timestamp")
@@ -67,7 +61,7 @@ HYP = """hyp AS (
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     """Timed conversation turns. A conversation is a handful of turns, so the clock is a plain window."""
-    c = spread(table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")).select(
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").select(
         "conv_id", "turn", F.col("role").alias("speaker"), "text", (60 * F.length("text")).cast("long").alias("dur"))
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     st = F.coalesce(F.sum(F.col("dur") + 200 + 150 * (F.col("turn") % 9)).over(w), F.lit(0)).cast("long")
@@ -85,7 +79,7 @@ LINES = """lines AS (
 
 def doc_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Document lines as a transcript; the clock of a document is computed over the lines of that one cell."""
-    d = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "txt"))
+    d = table(spark, sf, "documents").select("doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "txt"))
     d = d.filter(F.trim("txt") != "").withColumn("dur", (40 * F.length("txt")).cast("long"))
     w = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     st = F.coalesce(F.sum(F.col("dur") + 100 * (F.col("idx") % 7)).over(w), F.lit(0)).cast("long")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from dialoom.operators import slabs
 
 # fixed values
-AUDIO_EXTENSIONS = ["wav", "mp3", "m4a", "flac", "ogg", "aac", "wma", "webm", "mp4"]
+AUDIO_EXTENSIONS = ["wav", "mp3", "flac", "m4a", "mp4", "aac", "ogg", "opus", "webm", "mov", "mkv", "wma", "aiff", "aif", "amr", "3gp",
+                    "mpeg", "mpg"]
 MAX_BYTES = 75 * 1024 * 1024
 
 

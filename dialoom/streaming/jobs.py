@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from dialoom.operators import slabs, spans
+from dialoom.operators import sequence, slabs
 
 LOCK_AFTER, LOCK_MINUTES, COOLDOWN_SEC, RETENTION_DAYS = 5, 15, 60, 3  # fixed values
 
@@ -20,20 +20,56 @@ def latest_status(events: DataFrame, key: str = "job_id") -> DataFrame:
     return events.groupBy(key).agg(F.max_by(F.struct("status", "ts"), F.struct("ts", "event_id")).alias("l")).select(key, "l.status", F.col("l.ts").alias("updated_at"))
 
 
+def lock_step(state: dict, us: int, window: int, limit: int) -> tuple[int, int] | None:
+    """One failure at `us`: refused while the lock stands, else counted; (first, expiry) when it makes the lock."""
+    n, last = state.get("n", 0), state.get("last", 0)
+    if n >= limit and us < last + window:
+        return None
+    if n >= limit or us >= last + window:
+        n = 0
+    state["first"] = us if n == 0 else state["first"]
+    state["n"], state["last"] = n + 1, us
+    return (state["first"], us + window) if n + 1 == limit else None
+
+
 def lockouts(failures: DataFrame, key: str = "user_id", minutes: int = LOCK_MINUTES, limit: int = LOCK_AFTER, late: str = "1 hour") -> DataFrame:
-    """Stretches of failures with less than the expiry between them that reach the limit.
+    """Locks: `limit` failures, each within `minutes` of the one before, lock a key for `minutes` from the last of them.
 
-    Every failure renews the expiry, so the lock is a session with the expiry as its gap: `session_window` on a stream,
-    the slab-wise interval union on a batch table (there one key may hold most rows).
+    Attempts during a lock are refused before they count, so they neither count nor renew it; afterwards counting starts
+    anew. A batch table is folded slab by slab (a key may hold most rows), a stream keeps three numbers per live key.
     """
+    window = minutes * 60_000_000
     if not failures.isStreaming:
-        us = F.unix_micros("ts")
-        d = failures.select(key, us.alias("start_ms"), (us + minutes * 60_000_000).alias("end_ms"))  # microseconds
-        s = spans.merge_spans(d, [key], 0, slabs.slab_width(d, [key], "start_ms", coarse=86_400_000_000))
-        return s.filter(F.col("n_spans") >= limit).select(key, F.timestamp_micros("start_ms").alias("first_at"),
-                                                          F.timestamp_micros("end_ms").alias("expires_at"), F.col("n_spans").alias("failures"))
-    s = failures.withWatermark("ts", late).groupBy(key, F.session_window("ts", f"{minutes} minutes").alias("s")).agg(F.count(F.lit(1)).alias("failures"))
-    return s.select(key, F.col("s.start").alias("first_at"), F.col("s.end").alias("expires_at"), "failures").filter(F.col("failures") >= limit)
+        d = failures.select(key, F.unix_micros("ts").alias("us"))
+        out = T.StructType([T.StructField("first_us", T.LongType()), T.StructField("expires_us", T.LongType())])
+        width = slabs.slab_width(d, [key], "us", coarse=86_400_000_000)
+
+        def step(state, row):
+            lock = lock_step(state, int(row["us"]), window, limit)
+            return [{"first_us": lock[0], "expires_us": lock[1]}] if lock else []
+
+        locks = sequence.relay_fold(d, [key], ["us"], F.floor(F.col("us") / width), step, lambda st: [], out)
+        return locks.select(key, F.timestamp_micros("first_us").alias("first_at"), F.timestamp_micros("expires_us").alias("expires_at"),
+                            F.lit(limit).cast("long").alias("failures"))
+    schema = T.StructType([failures.schema[key], T.StructField("first_at", T.TimestampType()), T.StructField("expires_at", T.TimestampType()),
+                           T.StructField("failures", T.LongType())])
+    kept = T.StructType([T.StructField(n, T.LongType()) for n in ("n", "first", "last")])
+
+    def arrive(k, batches: Iterator[pd.DataFrame], st: GroupState) -> Iterator[pd.DataFrame]:
+        if st.hasTimedOut:
+            st.remove()
+            return
+        state = dict(zip(("n", "first", "last"), st.get)) if st.exists else {}
+        locks = [x for us in sorted(int(pd.Timestamp(t).value // 1000) for pdf in batches for t in pdf["ts"])
+                 if (x := lock_step(state, us, window, limit))]
+        st.update((state["n"], state["first"], state["last"]))
+        st.setTimeoutTimestamp(max((state["last"] + window) // 1000, st.getCurrentWatermarkMs() + 1))
+        at = lambda us: pd.Timestamp(us, unit="us", tz="UTC")
+        yield pd.DataFrame({key: [k[0]] * len(locks), "first_at": [at(a) for a, _ in locks], "expires_at": [at(b) for _, b in locks],
+                            "failures": [limit] * len(locks)})
+
+    return (failures.withWatermark("ts", late).groupBy(key)
+            .applyInPandasWithState(arrive, schema, kept, "append", GroupStateTimeout.EventTimeTimeout))
 
 
 def cooldown(requests: DataFrame, key: str = "user_id", seconds: int = COOLDOWN_SEC, late: str = "1 hour") -> DataFrame:

@@ -154,10 +154,19 @@ def test_retry_backs_off():
     def flaky(x):
         calls.append(x)
         if len(calls) < 3:
-            raise RuntimeError("quota")
+            raise RuntimeError("429: quota")
         return x
 
-    assert hooks.with_retry(flaky, 5, sleep=waits.append) == 5 and waits == [1.0, 2.0]
+    assert hooks.with_retry(flaky, 5, sleep=waits.append) == 5 and waits == [60.0, 120.0]
+
+    def broken(x):
+        calls.append(x)
+        raise ValueError("a bug")
+
+    calls.clear()
+    with pytest.raises(ValueError):
+        hooks.with_retry(broken, 5, sleep=waits.append)
+    assert calls == [5]
 
 
 def test_transcribe_retries_once(spark):
