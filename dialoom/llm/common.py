@@ -122,7 +122,8 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     if len(_WORD) > REMEMBERED:
         _WORD.clear()
     known, digest = _WORD, xxhash.xxh64_intdigest
-    for w in words:
-        if w not in known:
-            known[w] = digest(w, 7)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    got = list(map(known.get, words))
+    if None in got:
+        known.update((w, digest(w, 7)) for w in {w for w, h in zip(words, got) if h is None})
+        got = list(map(known.__getitem__, words))
+    return np.array(got, np.uint64)

@@ -32,7 +32,7 @@ from dialoom.llm.components import components
 BITS = 64
 BLOCK = 512            # classes verified against each other
 FOLD = 16              # bits of a histogram
-PROBE_COST = 4.0       # one probe row costs as much as so many candidates
+PROBE_COST = 512.0     # one probe row, shuffled and gathered, costs as much as so many comparisons in a block
 BUCKET = 16            # expected classes of a bucket
 
 
