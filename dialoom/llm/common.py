@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dialoom.session import ship
+
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(),
           "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()),
           "array<string>": pa.list_(pa.string()), "array<binary>": pa.list_(pa.binary())}
@@ -28,6 +30,7 @@ _WORD: dict[bytes, int] = {}
 def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], Iterable[Mapping]], out: Mapping[str, str],
               keep: Iterable[str] = ()) -> DataFrame:
     """`mapInArrow` with columns by name: `step` turns a batch into dicts of arrays; `keep` names columns handed on."""
+    ship(df.sparkSession)
     keep = list(keep)
     schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in keep]
                           + [T.StructField(n, T._parse_datatype_string(t)) for n, t in out.items()])
