@@ -87,25 +87,25 @@ def fragment_spans(df: DataFrame, active: Column, dt_ms: int = 20, min_total_ms:
     """
     frames = lambda ms: max(1, round(ms / dt_ms))
     d = densest_windows(df, active, frames(window_ms))
-    total = df.groupBy(*TRACK).agg(F.count_if(active).alias("total_active"))
-    d = d.join(total, TRACK)
-    n = F.col("n_frames")
+    d = d.join(df.groupBy(*TRACK).agg(F.count_if(active).alias("total_active")), TRACK)
+    n, least = F.col("n_frames"), frames(min_ms)
+    most = max(least, frames(max_ms))
+
+    def placed(start: Column, width: Column) -> tuple[Column, Column]:
+        """An interval of a width moved to lie inside the track, or the whole track if that is shorter."""
+        s = F.greatest(F.least(start, n - width), F.lit(0))
+        return s, F.least(s + width, n)
+
     s, e = F.greatest(F.lit(0), F.col("start_frame") - frames(pad_ms)), F.least(n, F.col("end_frame") + frames(pad_ms))
-    need = F.lit(frames(min_ms)) - (e - s)
-    s1 = F.when(need > 0, F.greatest(F.lit(0), s - F.floor(need / 2))).otherwise(s)
-    e1 = F.when(need > 0, F.least(n, e + need - F.floor(need / 2))).otherwise(e)
-    short = (e1 - s1) < frames(min_ms)
-    e2 = F.when(short & (s1 == 0), F.least(n, F.lit(frames(min_ms)))).otherwise(e1)
-    s2 = F.when(short & (s1 > 0) & (e1 == n), F.greatest(F.lit(0), n - frames(min_ms))).otherwise(s1)
-    cap = max(frames(min_ms), frames(max_ms))
-    long_ = (e2 - s2) > cap
-    s3 = F.greatest(F.lit(0), F.bround((s2 + e2) / 2).cast("long") - cap // 2)
-    e3 = F.least(n, s3 + cap)
+    grown = placed(s - F.floor((least - (e - s)) / 2), F.lit(least))
+    s, e = F.when(e - s < least, grown[0]).otherwise(s), F.when(e - s < least, grown[1]).otherwise(e)
+    cut = placed(F.bround((s + e) / 2).cast("long") - most // 2, F.lit(most))
+    long_ = e - s > most
     reason = F.when(F.col("total_active") == 0, "no_active").when(F.col("total_active") * dt_ms < min_total_ms, "too_sparse").otherwise("ok")
     good = reason == "ok"
     return d.select(*TRACK, "total_active", "active_frames", reason.alias("reason"),
-                    F.when(good, F.when(long_, F.greatest(F.lit(0), e3 - cap)).otherwise(s2)).cast("long").alias("start_frame"),
-                    F.when(good, F.when(long_, e3).otherwise(e2)).cast("long").alias("end_frame"))
+                    F.when(good, F.when(long_, cut[0]).otherwise(s)).cast("long").alias("start_frame"),
+                    F.when(good, F.when(long_, cut[1]).otherwise(e)).cast("long").alias("end_frame"))
 
 
 def raw_hypothesis(run_spans: DataFrame, labels: DataFrame, profile: DataFrame, offset_ms: Column, dt_ms: int = 20) -> DataFrame:

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import zlib
-
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from dialoom.functions import fixed, spans as fs, text
+from dialoom.operators.hooks import compression_ratio
 from dialoom.plans import sqltext as q
 from dialoom.plans.registry import query
 from dialoom.plans.views import DOC_LINES, HYP, LINES, SEG, cte, hyp_events, lines, seg_events, table
@@ -105,16 +102,17 @@ def hallucination_flags(spark, sf):
                      text.is_asr_artifact(F.col("text")).alias("artifact"))
 
 
-@query("noise_scores")
-def noise_scores(spark, sf):
-    """0..5 per line: fillers, triple repeats, punctuation runs, known artifacts (back-references: no SQL twin)."""
-    return lines(spark, sf).select("conv_id", "turn", text.noise_score(F.col("text")).alias("score"))
+LOW_TEXT = f"""t AS (SELECT conv_id, turn, text, lower({q.sq('text')}) AS low, string_split(lower({q.sq('text')}), ' ') AS w FROM lines)"""
 
 
-@F.pandas_udf(T.DoubleType())
-def compression_ratio(s: pd.Series) -> pd.Series:
-    raw = s.fillna("").str.encode("utf-8")
-    return raw.map(lambda b: len(b) / max(len(zlib.compress(b)), 1) if b else 0.0)
+@query("noise_scores", cte(LINES, LOW_TEXT) + f"""
+  SELECT conv_id, turn, CAST(CASE WHEN regexp_matches(low, '{q.word_rx(fixed.NOISE_FILLERS)}') THEN 1 ELSE 0 END
+    + CASE WHEN len(list_filter(range(1, greatest(len(w) - 1, 1)), lambda i: regexp_full_match(w[i+1], '[a-zA-ZÀ-ỹ]+') AND suffix(w[i], w[i+1]) AND starts_with(w[i+2], w[i+1]))) > 0 THEN 1 ELSE 0 END
+    + CASE WHEN {' OR '.join(f"contains(low, '{a}')" for a in fixed.ARTIFACTS)} THEN 2 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[!?.]{{2,}}') THEN 1 ELSE 0 END AS INTEGER) AS score FROM t""")
+def noise_scores(spark, sf):
+    """0..5 per line: fillers, a word three times in a row, punctuation runs, known artifacts."""
+    return lines(spark, sf).select("conv_id", "turn", text.noise_score(F.col("text")).alias("score"))
 
 
 @query("compression_flags")

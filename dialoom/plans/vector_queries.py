@@ -268,7 +268,18 @@ def densest_windows(spark, sf):
     return frames.densest_windows(frame_table(spark, sf), F.col("prob") > 0.7, 20).drop("n_frames")
 
 
-@query("fragment_spans")
+@query("fragment_spans", cte(VECTORS, FRAMES, """w AS (SELECT recording_id, chunk, track, frame, count(*) OVER (PARTITION BY recording_id, chunk, track) AS n,
+    sum(CASE WHEN prob > 0.9 THEN 1 ELSE 0 END) OVER (PARTITION BY recording_id, chunk, track ORDER BY frame ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS hit FROM fr),
+  k AS (SELECT *, row_number() OVER (PARTITION BY recording_id, chunk, track ORDER BY hit DESC, frame) AS k FROM w WHERE frame + 20 <= n OR frame = 0),
+  t AS (SELECT recording_id, chunk, track, count(*) FILTER (prob > 0.9) AS total FROM fr GROUP BY 1, 2, 3),
+  a AS (SELECT recording_id, chunk, track, n, total, hit, greatest(frame - 4, 0) AS s0, least(least(frame + 20, n) + 4, n) AS e0 FROM k JOIN t USING (recording_id, chunk, track) WHERE k = 1),
+  b AS (SELECT *, CASE WHEN e0 - s0 < 12 THEN greatest(s0 - (12 - e0 + s0)//2, 0) ELSE s0 END AS s1, CASE WHEN e0 - s0 < 12 THEN least(e0 + (12 - e0 + s0) - (12 - e0 + s0)//2, n) ELSE e0 END AS e1 FROM a),
+  c AS (SELECT *, CASE WHEN e1 - s1 < 12 AND s1 > 0 AND e1 = n THEN greatest(n - 12, 0) ELSE s1 END AS s2, CASE WHEN e1 - s1 < 12 AND s1 = 0 THEN least(n, 12) ELSE e1 END AS e2 FROM b),
+  m AS (SELECT *, greatest(CAST(round_even((s2 + e2) / 2.0, 0) AS BIGINT) - 20, 0) AS s3 FROM c)""") + """
+  SELECT recording_id, chunk, track, total AS total_active, CAST(hit AS BIGINT) AS active_frames,
+    CASE WHEN total = 0 THEN 'no_active' WHEN total * 20 < 60 THEN 'too_sparse' ELSE 'ok' END AS reason,
+    CASE WHEN total * 20 >= 60 THEN CAST(CASE WHEN e2 - s2 > 40 THEN greatest(least(n, s3 + 40) - 40, 0) ELSE s2 END AS BIGINT) END AS start_frame,
+    CASE WHEN total * 20 >= 60 THEN CAST(CASE WHEN e2 - s2 > 40 THEN least(n, s3 + 40) ELSE e2 END AS BIGINT) END AS end_frame FROM m""")
 def fragment_spans(spark, sf):
     return frames.fragment_spans(frame_table(spark, sf), F.col("prob") > 0.9)
 

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dialoom.operators import slabs
+from dialoom.session import configure
 
 KEY = ["recording_id"]
 BIN_MS = 300_000
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    configure(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,18 +26,39 @@ def local_session(cpus: str | int = "*", memory: str = "20g", app: str = "dialoo
          .config("spark.driver.memory", memory)
          .config("spark.ui.enabled", "false")
          .config("spark.sql.shuffle.partitions", "8")
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.driver.extraJavaOptions", "-Xss16m"))
     for k, v in SQL_SETTINGS.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return ship(spark)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Hand this package to the session's Python workers (once per application), in place of --py-files."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        here = os.path.dirname(os.path.abspath(__file__))
+        path = os.path.join(tempfile.mkdtemp(prefix="dialoom-"), "dialoom.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for folder, _, names in os.walk(here):
+                for n in names:
+                    if n.endswith(".py"):
+                        full = os.path.join(folder, n)
+                        z.write(full, os.path.join("dialoom", os.path.relpath(full, here)))
+        sc.addPyFile(path)
+        _SHIPPED.add(sc.applicationId)
     return spark
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the result-relevant settings to a session somebody else built."""
+    """Apply the result-relevant settings to a session somebody else built, and give its workers this package."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark
+    return ship(spark)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -45,8 +68,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="dialoom-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = "file://" + tempfile.mkdtemp(prefix="dialoom-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
