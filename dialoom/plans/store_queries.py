@@ -70,9 +70,13 @@ def media_catalogue(spark, sf):
         "page_id", "extension", "reject_reason")
 
 
-@query("table_profile", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in ("orders", "lineitem", "events", "documents")))
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels",
+          "conversations"]
+
+
+@query("table_profile", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in TABLES))
 def table_profile(spark, sf):
-    return media.table_profile({t: table(spark, sf, t) for t in ("orders", "lineitem", "events", "documents")})
+    return media.table_profile({t: table(spark, sf, t) for t in TABLES})
 
 
 @query("stage_times", """SELECT user_id, event_id, seconds FROM (SELECT user_id, event_id, round((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id))/1e6, 3) AS seconds FROM events) WHERE seconds IS NOT NULL""")

@@ -40,12 +40,12 @@ def read_rttm(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return d.select("path", recording_of(F.col("path")).alias("recording_id"), "uri", "speaker", S, E, "line_no")
 
 
-def write_rttm(df: DataFrame, path: str, recording: str = "recording_id") -> None:
-    """One folder per recording; lines are ordered inside each written file."""
-    out = df.select(F.col(recording).alias("recording"), F.col(S), F.col(E), rttm_line(F.col(recording), F.col(S), F.col(E), F.col("speaker")).alias("value"))
+def write_rttm(df: DataFrame, path: str, recording: str = "recording_id", buckets: int = 256) -> None:
+    """Recordings in a fixed number of folders (each line names its recording); a recording's lines are ordered in each file."""
+    out = df.select(F.pmod(F.crc32(F.col(recording).cast("binary")), F.lit(buckets)).alias("bucket"), F.col(recording).alias("recording"), F.col(S), F.col(E), rttm_line(F.col(recording), F.col(S), F.col(E), F.col("speaker")).alias("value"))
     # start time takes part in the partitioning, so one long recording spreads over several files
-    out = out.repartitionByRange("recording", S).sortWithinPartitions("recording", S, E)
-    out.select("recording", "value").write.mode("overwrite").partitionBy("recording").text(path)
+    out = out.repartitionByRange("bucket", "recording", S).sortWithinPartitions("bucket", "recording", S, E)
+    out.select("bucket", "value").write.mode("overwrite").partitionBy("bucket").text(path)
 
 
 def parse_stm(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -66,6 +66,7 @@ def lab_line(start: Column, end: Column) -> Column:
 
 
 def write_lab(df: DataFrame, path: str, recording: str = "recording_id") -> None:
+    """One folder per recording, as the format's lines don't name theirs: for exports of selected recordings."""
     out = df.withColumn("value", lab_line(F.col(S), F.col(E))).repartitionByRange(recording, S).sortWithinPartitions(recording, S)
     out.select(F.col(recording).alias("recording"), "value").write.mode("overwrite").partitionBy("recording").text(path)
 

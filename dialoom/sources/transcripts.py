@@ -82,15 +82,21 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     return read_lenient_jsonl(spark, path) if path.lower().endswith(".jsonl") else read_bracketed(spark, path)
 
 
-def read_asr_csv(spark: SparkSession, path: str | Sequence[str], strings: bool = False) -> DataFrame:
-    """ASR results; `strings` keeps every column as text for the quality gate."""
+def read_asr_csv(spark: SparkSession, path: str | Sequence[str], strings: bool = False, raw_newlines: bool = False) -> DataFrame:
+    """ASR results; `strings` keeps every column as text for the quality gate.
+
+    Files are split among tasks, a row being a line; `raw_newlines` reads foreign files whose texts hold line breaks (one
+    task per file).
+    """
     schema = T.StructType([T.StructField(f.name, T.StringType()) for f in ASR_SCHEMA]) if strings else ASR_SCHEMA
-    return spark.read.csv(path if isinstance(path, str) else list(path), schema=schema, header=True, multiLine=True,
+    return spark.read.csv(path if isinstance(path, str) else list(path), schema=schema, header=True, multiLine=raw_newlines,
                           escape='"')
 
 
 def write_asr_csv(df: DataFrame, path: str) -> None:
-    df.select(*[F.col(f.name).cast(f.dataType) for f in ASR_SCHEMA]).write.mode("overwrite").csv(path, header=True, escape='"')
+    """One row per line: line breaks inside texts are written as blanks."""
+    line = lambda f: F.regexp_replace(F.col(f.name), r"[\r\n]+", " ") if isinstance(f.dataType, T.StringType) else F.col(f.name).cast(f.dataType)
+    df.select(*[line(f).alias(f.name) for f in ASR_SCHEMA]).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def quality_gate(raw: DataFrame) -> DataFrame:
