@@ -33,7 +33,7 @@ BITS = 64
 BLOCK = 512            # classes verified against each other
 FOLD = 16              # bits of a histogram
 PROBE_COST = 512.0     # one probe row, shuffled and gathered, costs as much as so many comparisons in a block
-BUCKET = 16            # expected classes of a bucket
+BUCKET = 1024          # expected classes of a bucket of independent bits
 
 
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
@@ -250,21 +250,28 @@ def forest(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     return out
 
 
+def blocks(rows: DataFrame, columns: list[str], block: int) -> DataFrame:
+    """Rows (bucket, columns) that meet, as arrays `block` of at most about 2 * `block` structs of `columns`.
+
+    A bucket larger than a block is cut into blocks by the first column's hash, and every pair of its blocks becomes an array.
+    """
+    full = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+                   .select("bucket", F.ceil(F.col("n") / block).alias("k")), "buckets")
+    return (rows.join(full, "bucket").withColumn("x", F.pmod(F.xxhash64(columns[0]), F.col("k")))
+            .select("bucket", *columns, "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("y"))
+            .groupBy("bucket", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+            .agg(F.collect_list(F.struct(*columns)).alias("block")).where(F.size("block") > 1).select("block"))
+
+
 def links(classes: DataFrame, max_bits: int = 3, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) that connect all classes (column fp, distinct) within max_bits of each other."""
     rows = written(signatures(classes, max_bits), "signatures")
-    full = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-                   .select("bucket", F.ceil(F.col("n") / block).alias("k")), "buckets")
-    dealt = (rows.join(full, "bucket").withColumn("x", F.pmod(F.xxhash64("fp"), F.col("k")))
-             .select("bucket", "fp", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("y"))
-             .groupBy("bucket", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-             .agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps"))
 
     def step(batch):
-        edges = [e for cell in batch.column("fps") for e in forest(np.unique(cell.values.to_numpy()), max_bits)]
+        edges = [e for cell in batch.column("block") for e in forest(np.unique(cell.values.field("fp").to_numpy()), max_bits)]
         yield {"a": [e[0] for e in edges], "b": [e[1] for e in edges]}
 
-    return arrow_map(dealt, step, {"a": "long", "b": "long"})
+    return arrow_map(blocks(rows, ["fp"], block), step, {"a": "long", "b": "long"})
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3,
