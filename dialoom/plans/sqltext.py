@@ -32,6 +32,15 @@ def tags(x: str) -> str:
             f"list_contains(regexp_split_to_array(lower({sq(x)}), '{NW}+'), t) ELSE contains(lower({sq(x)}), t) END)")
 
 
+def noise(x: str, low: str, words: str) -> str:
+    """Noise score of a text `x`, given its squeezed lower form and that form's words."""
+    return (f"CAST(CASE WHEN regexp_matches({low}, '{word_rx(fixed.NOISE_FILLERS)}') THEN 1 ELSE 0 END"
+            f" + CASE WHEN len(list_filter(range(1, greatest(len({words}) - 1, 1)), lambda i: regexp_full_match({words}[i+1], '[a-zA-ZÀ-ỹ]+')"
+            f" AND suffix({words}[i], {words}[i+1]) AND starts_with({words}[i+2], {words}[i+1]))) > 0 THEN 1 ELSE 0 END"
+            f" + CASE WHEN {' OR '.join(f"contains({low}, '{a}')" for a in fixed.ARTIFACTS)} THEN 2 ELSE 0 END"
+            f" + CASE WHEN regexp_matches({x}, '[!?.]{{2,}}') THEN 1 ELSE 0 END AS INTEGER)")
+
+
 def transition(x: str) -> str:
     return f"regexp_matches(lower({sq(x)}), '{'|'.join('(' + p + ')' for p in fixed.TRANSITIONS)}')"
 

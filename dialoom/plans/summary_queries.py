@@ -42,12 +42,34 @@ def block_scores_topk(spark, sf):
     return summary.choose_blocks(summary.features(doc_blocks(spark, sf)), DOC).select("doc_id", "block_id", F.col("score").cast("long").alias("score"))
 
 
-@query("block_routing", rcte(DOC_LINES, BLOCKS, FEATURES, "nl AS (SELECT doc_id, block_id, count(*) AS nl FROM walk GROUP BY 1, 2)") + """
-  SELECT doc_id, block_id, (nl <= 2 AND chars <= 220 AND len(tags) <= 1 AND NOT act) OR (heavy AND chars <= 420) AS skip_summary,
+SHOWN = f"""sh AS MATERIALIZED (SELECT doc_id, w.block_id, count(*) AS nl, string_agg(printf('[%.1fs - %.1fs] %s: %s', start_ms/1000.0, end_ms/1000.0, speaker, txt), chr(10) ORDER BY pos) AS shown
+   FROM walk w JOIN n USING (doc_id, pos) GROUP BY 1, 2),
+nl AS MATERIALIZED (SELECT *, lower({q.sq('shown')}) AS low, string_split(lower({q.sq('shown')}), ' ') AS wd FROM sh)"""
+
+
+@query("block_routing", rcte(DOC_LINES, BLOCKS, FEATURES, SHOWN) + f"""
+  SELECT doc_id, block_id, {q.noise('shown', 'low', 'wd')} <= 1 AND length(shown) <= 1400 AS skip_normalize, (nl <= 2 AND chars <= 220 AND len(tags) <= 1 AND NOT act) OR (heavy AND chars <= 420) AS skip_summary,
     CASE WHEN chars <= 260 AND len(tags) <= 1 AND NOT act THEN 80 WHEN chars <= 600 AND len(tags) <= 2 AND NOT act THEN 104 WHEN chars <= 1100 AND len(tags) <= 4 THEN 128 ELSE 128 END AS max_tokens
   FROM sc JOIN nl USING (doc_id, block_id)""")
 def block_routing(spark, sf):
-    return summary.routing(summary.features(doc_blocks(spark, sf))).select("doc_id", "block_id", "skip_summary", "max_tokens")
+    return summary.routing(summary.features(doc_blocks(spark, sf))).select("doc_id", "block_id", "skip_normalize", "skip_summary", "max_tokens")
+
+
+# Turns with an action, a finished action or neither at their end.
+TASKED = "concat(text, CASE turn % 4 WHEN 0 THEN ' cần kiểm tra' WHEN 1 THEN ' đã update' WHEN 2 THEN ' đợi test lại' ELSE '' END)"
+
+
+@query("block_action_items", cte(LINES, f"t AS (SELECT conv_id, turn, speaker, start_ms, end_ms, {TASKED} AS text FROM lines)",
+       f"h AS (SELECT conv_id, turn // 8 AS block, turn, speaker, start_ms, end_ms, {q.sq('text')} AS task, {q.status('text')} AS status FROM t WHERE length({q.sq('text')}) >= 8 AND {q.has_word('text', fixed.ACTION_WORDS)})",
+       "d AS (SELECT *, row_number() OVER (PARTITION BY conv_id, block, lower(speaker), lower(task) ORDER BY turn) AS k FROM h)",
+       "r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, block ORDER BY turn) AS place FROM d WHERE k = 1)") + """
+  SELECT conv_id, block, place, speaker AS owner, task, status, start_ms, end_ms FROM r WHERE place <= 6""")
+def block_action_items(spark, sf):
+    """The action items of blocks of eight turns: lines that hint at an action, first per owner and task, six a block."""
+    ln = lines(spark, sf).withColumn("text", F.expr(TASKED)).withColumn("block", F.floor(F.col("turn") / 8))
+    blocks = ln.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(F.struct("turn", "start_ms", "end_ms", "speaker", "text"))).alias("ls"))
+    out = blocks.select("conv_id", "block", F.posexplode(summary.action_items(F.col("ls"))).alias("place", "a"))
+    return out.select("conv_id", "block", (F.col("place") + 1).cast("long").alias("place"), "a.*")
 
 
 @query("action_items", cte(LINES, f"h AS (SELECT conv_id, turn, speaker, {q.sq('text')} AS task, {q.status('text')} AS status FROM lines WHERE length({q.sq('text')}) >= 8 AND {q.any_in('text', fixed.PROPOSED_KEYS + ['en', 'un'])})") + """

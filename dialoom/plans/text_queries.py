@@ -105,11 +105,7 @@ def hallucination_flags(spark, sf):
 LOW_TEXT = f"""t AS (SELECT conv_id, turn, text, lower({q.sq('text')}) AS low, string_split(lower({q.sq('text')}), ' ') AS w FROM lines)"""
 
 
-@query("noise_scores", cte(LINES, LOW_TEXT) + f"""
-  SELECT conv_id, turn, CAST(CASE WHEN regexp_matches(low, '{q.word_rx(fixed.NOISE_FILLERS)}') THEN 1 ELSE 0 END
-    + CASE WHEN len(list_filter(range(1, greatest(len(w) - 1, 1)), lambda i: regexp_full_match(w[i+1], '[a-zA-ZÀ-ỹ]+') AND suffix(w[i], w[i+1]) AND starts_with(w[i+2], w[i+1]))) > 0 THEN 1 ELSE 0 END
-    + CASE WHEN {' OR '.join(f"contains(low, '{a}')" for a in fixed.ARTIFACTS)} THEN 2 ELSE 0 END
-    + CASE WHEN regexp_matches(text, '[!?.]{{2,}}') THEN 1 ELSE 0 END AS INTEGER) AS score FROM t""")
+@query("noise_scores", cte(LINES, LOW_TEXT) + f"SELECT conv_id, turn, {q.noise('text', 'low', 'w')} AS score FROM t")
 def noise_scores(spark, sf):
     """0..5 per line: fillers, a word three times in a row, punctuation runs, known artifacts."""
     return lines(spark, sf).select("conv_id", "turn", text.noise_score(F.col("text")).alias("score"))
