@@ -130,3 +130,10 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
         known.update((w, digest(w, 7)) for w in {w for w, h in zip(words, got) if h is None})
         got = list(map(known.__getitem__, words))
     return np.array(got, np.uint64)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Spreads 64-bit numbers evenly over all bits (a bijection)."""
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))

@@ -25,19 +25,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import arrow_map, keyed, texts, word_hashes, written
+from dialoom.llm.common import arrow_map, keyed, mixed, texts, word_hashes, written
 
 RUN = 12                 # words of an anchor
 SHARD = 256              # classes of one automaton
 BASE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)     # odd multipliers of the two rolling hashes
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
 class Rolling:
     """Hashes of any runs of a word sequence: differences of prefix sums of powers, modulo 2**64."""
 
