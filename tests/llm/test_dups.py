@@ -129,7 +129,7 @@ def plain_lines(rows):
                 places.append((i is None, i if i is not None else 0, k, (i, t), number.setdefault(tuple(ws), len(number))))
     lines = list(number)
     fps = line_dedup.line_fingerprints([list(x) for x in lines]) if lines else []
-    links = [(i, j) for i in range(len(lines)) for j in range(i) if bin((int(fps[i]) ^ int(fps[j])) % 2**64).count("1") <= 3]
+    links = [(i, j) for i in range(len(lines)) for j in range(i) if bin((int(fps[i]) ^ int(fps[j])) % 2**64).count("1") <= 4]
     links = [(i, j) for i, j in links if 1 - lev(lines[i], lines[j]) / max(len(lines[i]), len(lines[j])) >= 0.8 - 1e-12]
     root = data.grouped(len(lines), links)
     return lines, root, places
