@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm import (decontamination, line_dedup, lm_scoring, packing, pseudonyms, quality_rules, simhash_dups, substring_dups,
+from dialoom.llm import (decontamination, line_dedup, lm_scoring, packing, pseudonyms, quality_rules, simhash_dups, sqltext, substring_dups,
                          token_counts, token_files)
 from dialoom.llm.common import run_folder, table_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_substring_dedup": sqltext.SUBSTRING_DEDUP,
+    "op9_quality_rules": sqltext.QUALITY_RULES,
+    "op10_decontamination": sqltext.DECONTAMINATION,
+}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
