@@ -35,6 +35,11 @@ def _weighted(i: int) -> Column:
     return F.round(F.coalesce(F.get(F.col("sims"), F.lit(i)), F.lit(0.0)) * score_weight(F.col("tier")) * V_SCALE / W_SCALE).cast("long")
 
 
+def _fitting(rows: DataFrame, n: int) -> DataFrame:
+    """Rows as they are; a row with more than `n` score positions is an error, as none may be dropped unseen."""
+    return rows.withColumn("sims", F.when(F.size("sims") > n, F.raise_error(F.lit(f"a row has more than {n} score positions"))).otherwise(F.col("sims")))
+
+
 def span_score_vectors(df: DataFrame, rows: DataFrame, keys: Sequence[str], row_id: Sequence[str], n: int, width: int) -> DataFrame:
     """Overlap-weighted mean score vector of each span over all rows of its key (zeros without any overlap).
 
@@ -42,7 +47,7 @@ def span_score_vectors(df: DataFrame, rows: DataFrame, keys: Sequence[str], row_
     """
     keys = list(keys)
     dims = F.array(*[F.struct(F.lit(i).alias("d"), (F.lit(1).cast("long") * (score_weight(F.col("tier")) if i < 0 else _weighted(i))).alias("w")) for i in range(-1, n)])
-    per = rows.filter(F.col(E) > F.col(S)).select(*keys, S, E, F.explode(dims).alias("_x")).select(*keys, S, E, F.col("_x.d").alias("_d"), F.col("_x.w").alias("_w2"))
+    per = _fitting(rows, n).filter(F.col(E) > F.col(S)).select(*keys, S, E, F.explode(dims).alias("_x")).select(*keys, S, E, F.col("_x.d").alias("_d"), F.col("_x.w").alias("_w2"))
     ask = df.select(*dict.fromkeys([*keys, *row_id]), S, E).withColumn("_d", F.explode(F.sequence(F.lit(-1), F.lit(n - 1))))
     got = spans.overlap_sum(ask, per, [*keys, "_d"], row_id, "_sum", weight=F.col("_w2"), width=width)
     ids = list(dict.fromkeys([*keys, *row_id]))
@@ -60,7 +65,7 @@ def profiled_atoms(rows: DataFrame, keys: Sequence[str], n: int, width: int) ->
     *is* that speaker.
     """
     keys = list(keys)
-    live = rows.filter(F.col(E) > F.col(S))
+    live = _fitting(rows, n).filter(F.col(E) > F.col(S))
     zero = F.lit(0).cast("long")
     names = {"depth": F.lit(1).cast("long"), "w": score_weight(F.col("tier")), "u": zero, "uidx": zero,
              "fb": F.when(tiers.fallback_ratio(F.col("tier")) > 0, score_weight(F.col("tier"))).otherwise(zero),
