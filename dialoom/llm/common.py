@@ -22,9 +22,7 @@ _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolea
           "array<string>": pa.list_(pa.string()), "array<binary>": pa.list_(pa.binary())}
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-REMEMBERED = 1_000_000                   # words whose hash a worker remembers
 _RUNS: dict[str, str] = {}
-_WORD: dict[bytes, int] = {}
 
 
 def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], Iterable[Mapping]], out: Mapping[str, str],
@@ -121,15 +119,8 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words, remembered per worker up to a bound."""
-    if len(_WORD) > REMEMBERED:
-        _WORD.clear()
-    known, digest = _WORD, xxhash.xxh64_intdigest
-    got = list(map(known.get, words))
-    if None in got:
-        known.update((w, digest(w, 7)) for w in {w for w, h in zip(words, got) if h is None})
-        got = list(map(known.__getitem__, words))
-    return np.array(got, np.uint64)
+    """64-bit hashes of words (hashing a word is quicker than looking it up)."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
