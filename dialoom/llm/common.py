@@ -21,6 +21,7 @@ _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolea
           "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()),
           "array<string>": pa.list_(pa.string()), "array<binary>": pa.list_(pa.binary())}
 
+BATCH_BYTES = "8m"
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _RUNS: dict[str, str] = {}
 
@@ -28,7 +29,8 @@ _RUNS: dict[str, str] = {}
 def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], Iterable[Mapping]], out: Mapping[str, str],
               keep: Iterable[str] = ()) -> DataFrame:
     """`mapInArrow` with columns by name: `step` turns a batch into dicts of arrays; `keep` names columns handed on."""
-    ship(df.sparkSession)
+    spark = ship(df.sparkSession)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)   # long texts come in smaller batches
     keep = list(keep)
     schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in keep]
                           + [T.StructField(n, T._parse_datatype_string(t)) for n, t in out.items()])

@@ -222,31 +222,39 @@ def signatures(classes: DataFrame, max_bits: int) -> DataFrame:
     return arrow_map(classes.select("fp"), step, {"bucket": "long", "fp": "long"})
 
 
-def within(fps: np.ndarray, max_bits: int) -> np.ndarray:
-    """Table of the pairs that differ in max_bits or fewer bits (counted on unsigned numbers)."""
-    bits = np.ascontiguousarray(fps, np.int64).view(np.uint64)
-    return np.bitwise_count(bits[:, None] ^ bits[None, :]) <= max_bits
+def near_pairs(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) with i < j of all pairs within max_bits, compared strip by strip."""
+    bits, left, right = np.ascontiguousarray(fps, np.int64).view(np.uint64), [], []
+    for lo in range(0, len(bits), 64):
+        i, j = np.nonzero(np.bitwise_count(bits[lo:lo + 64, None] ^ bits[None, lo:]) <= max_bits)
+        keep = i < j
+        left.append(i[keep] + lo)
+        right.append(j[keep] + lo)
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
 
 
 def forest(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """Edges (fp, fp) of a spanning forest of the links within one block."""
-    near = within(fps, max_bits)
-    if np.count_nonzero(near) == len(fps):
-        return []
-    free = np.ones(len(fps), bool)
-    out = []
-    for i in range(len(fps)):
-        if not free[i]:
-            continue
-        free[i] = False
-        queue = [i]
-        while queue:
-            j = queue.pop()
-            new = np.flatnonzero(near[j] & free)
-            if len(new):
-                free[new] = False
-                queue += new.tolist()
-                out += [(int(fps[j]), int(fps[x])) for x in new]
+    left, right = near_pairs(fps, max_bits)
+    up, out = list(range(len(fps))), []
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    # Each row's first partner, then what that leaves apart: dense groups cost a few passes, not a look at every pair.
+    while len(left):
+        first = np.flatnonzero(np.diff(left, prepend=-1))
+        for i, j in zip(left[first].tolist(), right[first].tolist()):
+            a, b = top(i), top(j)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                out.append((int(fps[i]), int(fps[j])))
+        root = np.array([top(i) for i in range(len(up))])
+        apart = root[left] != root[right]
+        left, right = left[apart], right[apart]
     return out
 
 

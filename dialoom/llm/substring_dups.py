@@ -162,7 +162,8 @@ def repeated_spans(rows: DataFrame, window: int) -> DataFrame:
     sequences = written(arrow_map(rows.select("text", "k1", "k2").join(asked, ["k1", "k2"]), fetch, kinds), "sequences").dropDuplicates(["k1", "k2", "start"])
 
     def match(batch):
-        for shard in batch.column("shard").to_pylist():
+        for cell in batch.column("shard"):
+            shard = cell.as_py()
             number: dict[int, int] = {}
             classes = [([number.setdefault(w, len(number)) for w in x["seq"]], x["n"]) for x in shard]
             hits = [(x, at) for x, found in zip(shard, repeats_in_shard(classes, window)) if x["n"] == 1 for at in found]
