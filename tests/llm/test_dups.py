@@ -170,6 +170,36 @@ def test_line_dedup_query_equals_brute_force(spark):
     assert {tuple(r) for r in QUERIES["op4_line_dedup"](spark, SF).collect()} == want
 
 
+@pytest.mark.parametrize("block", [4, 1024])
+def test_lines_meet_all_similar_lines(spark, block):
+    """All pairs by edit similarity alone, without a look at fingerprints: recall must be whole."""
+    rng = random.Random(11)
+    many = [w + x for w in data.WORDS for x in data.WORDS]
+    texts = [t for _, t in table()[:60]]
+    for n in (5, 6, 9, 10, 19, 20, 50, 120):
+        for _ in range(12):
+            base = [rng.choice(many) for _ in range(n)]
+            texts.append(" ".join(base))
+            for _ in range(rng.randint(0, n // 5 + 1)):
+                k = rng.randrange(len(base))
+                base[k:k + 1] = rng.choice(([], [rng.choice(many)], [base[k], rng.choice(many)], [base[k]] * 2))
+            texts.append(" ".join(base))
+    texts += ["to be or not to be " * 3, "to be or not to be to to or not to be to be or not to be"]
+    lines = sorted({tuple(ws) for t in texts for ws in line_dedup.normalised((t or "").encode()) if len(ws) >= 5})
+    number = {w: i for i, w in enumerate({w for x in lines for w in x})}
+    coded = [[number[w] for w in x] for x in lines]
+    links = [(i, j) for i in range(len(lines)) for j in range(i)
+             if 5 * abs(len(coded[i]) - len(coded[j])) <= max(len(coded[i]), len(coded[j]))
+             and 5 * line_dedup.edits(coded[i], coded[j]) <= max(len(coded[i]), len(coded[j]))]
+    fps = line_dedup.line_fingerprints([list(x) for x in lines])
+    assert any((int(fps[i]) ^ int(fps[j])).bit_count() > 4 for i, j in links)
+    rows = spark.createDataFrame([(k, b" ".join(x).decode("utf-8", "surrogateescape")) for k, x in enumerate(lines)], "doc_id long, text string")
+    keyed = line_dedup.keyed(rows, "doc_id", "text")
+    gone = {r.doc_id for r in line_dedup.removed_lines(keyed, 5, 0.8, block).join(keyed, ["k1", "k2"]).collect()}
+    root = data.grouped(len(lines), links)
+    assert gone == {i for i in range(len(lines)) if root[i] != i} and len(gone) > 60
+
+
 def test_edits():
     rng = random.Random(2)
     for _ in range(300):
