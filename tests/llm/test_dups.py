@@ -200,6 +200,16 @@ def test_lines_meet_all_similar_lines(spark, block):
     assert gone == {i for i in range(len(lines)) if root[i] != i} and len(gone) > 60
 
 
+def test_short_lines_and_scripts_without_blanks(spark):
+    zh, th = "数据清洗是训练语言模型之前必须完成的一个重要步骤之一", "การทำความสะอาดข้อมูลเป็นขั้นตอนสำคัญ"
+    texts = [f"Share this article now\n{zh}\n---\nOnly here", f"share this ARTICLE now!\n{zh}\n---\n{th}",
+             f"{zh.replace('训', '驯')}\n{th.replace('สำ', 'ส')}\nShare that article now", "数据很好\nnow\n\nnow"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in line_dedup.deduped(rows).orderBy("doc_id").collect()]
+    assert got == [texts[0], f"---\n{th}", "Share that article now", "数据很好\nnow\n"]
+    assert len(line_dedup.normalised("お早う ございます, 안녕 하세요".encode())[0]) == 10
+
+
 def test_edits():
     rng = random.Random(2)
     for _ in range(300):
