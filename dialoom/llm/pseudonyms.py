@@ -27,7 +27,11 @@ IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
-CARD = r"(?<![0-9])(?:[0-9][ -]?){12,18}[0-9](?![0-9])"
+# The usual shapes of cards go first, with at most a short number behind them (a card's own last digits, or a CVV or count); a
+# looser run doesn't go on into one of these shapes. So a number beside a card can't hide it.
+SHAPE = r"(?:[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{4,5}|[0-9]{4}-[0-9]{6}-[0-9]{4,5}|[0-9]{13,19})(?![0-9])"
+BEHIND = r"(?:[ -][0-9]{1,3}(?![0-9/.]|[ -][0-9]))?"
+CARD = rf"(?<![0-9])(?:{SHAPE}{BEHIND}|(?:[0-9](?:[ -](?!{SHAPE}))?){{12,18}}[0-9](?![0-9]))"
 # Every kind has one of these, so most texts are passed over by one quick look.
 HINT = r"[0-9@=:]|AKIA"
 FOUND = "|".join((SECRET, MAIL, IPV4, DATE, SSN, PHONE, CARD))
@@ -82,16 +86,30 @@ def check_digit(payload: Column) -> Column:
     return F.pmod(10 - total % 10, F.lit(10)).cast("string")
 
 
+def named(value: Column, use) -> Column:
+    """use(value), with the value computed once and written into the plan once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def card(m: Column, key: Column) -> Column:
-    d = digits_of(m)
-    n = F.length(d)
-    half = F.floor((n - 2) / 2).cast("int")
-    rest = n - 2 - half
-    ten = lambda k: long(F.rpad(F.lit("1"), k + 1, "0"))
-    new = feistel(key, "card", part(d, F.lit(2), half), ten(half), part(d, half + 2, rest), ten(rest))
-    payload = F.concat(part(d, 1, 1), padded(new["a"], half), padded(new["b"], rest))
-    valid = check_digit(part(d, F.lit(1), n - 1)) == part(d, n, F.lit(1))
-    return F.when(valid, with_digits(m, F.concat(payload, check_digit(payload))))
+    def passes(d: Column) -> Column:
+        n = F.length(d)
+        return n.between(13, 19) & (check_digit(part(d, F.lit(1), n - 1)) == part(d, n, F.lit(1)))
+
+    def moved(own: Column) -> Column:
+        def change(d: Column) -> Column:
+            n = F.length(d)
+            half = F.floor((n - 2) / 2).cast("int")
+            rest = n - 2 - half
+            ten = lambda k: long(F.rpad(F.lit("1"), k + 1, "0"))
+            new = feistel(key, "card", part(d, F.lit(2), half), ten(half), part(d, half + 2, rest), ten(rest))
+            payload = F.concat(part(d, 1, 1), padded(new["a"], half), padded(new["b"], rest))
+            return F.when(passes(d), F.concat(with_digits(own, F.concat(payload, check_digit(payload))), part(m, F.length(own) + 1, F.length(m))))
+        return named(digits_of(own), change)
+
+    def head_or_all(head: Column) -> Column:
+        return named(digits_of(head), lambda d: F.when(passes(d), head).otherwise(m))
+    return named(named(F.regexp_extract(m, f"^{SHAPE}", 0), head_or_all), moved)
 
 
 def phone(m: Column, key: Column) -> Column:

@@ -172,6 +172,20 @@ def test_formats_are_kept(spark):
     assert new(spark, ["4041894974608795"], "other") != new(spark, ["4041894974608795"])
 
 
+def test_numbers_beside_a_card_do_not_hide_it(spark):
+    plain, blanks, hyphens = "4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111"
+    around = [f"{blanks} 12/26", f"{plain} 123", f"{hyphens} 25 items", f"order 12 {blanks}", f"123456 {blanks}", f"77 {plain} 8", f"{hyphens} {blanks}"]
+    want = new(spark, [plain])[0][0]
+    assert want != plain
+    shapes = {plain: want, blanks: " ".join(re.findall("....", want)), hyphens: "-".join(re.findall("....", want))}
+    for text, (got, kinds) in zip(around, new(spark, around)):
+        assert got == re.sub("|".join(shapes), lambda m: shapes[m[0]], text) and set(kinds) == {"card"}
+    other = [f"{plain} 988-555-2485", f"{blanks} 02/29/1980", "3782 822463 10005 99", "6304 0000 0000 0000 000", "4111 1111 1111 1112 5"]
+    got = new(spark, other)
+    assert [k for _, k in got] == [["card", "phone"], ["card", "date"], ["card"], ["card"] if luhn("6304" + "0" * 15) else [], []]
+    assert luhn(re.sub(r"\D", "", got[2][0])[:15]) and got[2][0].endswith(" 99") and got[4][0] == other[4]
+
+
 def test_feistel_is_a_permutation(spark):
     days = spark.range(pseudonyms.DAYS).select(F.date_format(F.date_add(F.lit(pseudonyms.FIRST_DAY).cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
     assert pseudonyms.pseudonymised(days.sample(0.05, 1), "k").agg(F.count_distinct("text") == F.count("text")).first()[0]
