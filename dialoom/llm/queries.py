@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm import (decontamination, line_dedup, lm_scoring, packing, pseudonyms, quality_rules, simhash_dups, sqltext, substring_dups,
-                         token_counts, token_files)
+from dialoom.llm import (best_fit, decontamination, line_dedup, lm_scoring, packing, pseudonyms, quality_rules, simhash_dups, spelling,
+                         sqltext, substring_dups, token_counts, token_files, whitening)
 from dialoom.llm.common import run_folder, table_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,19 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pseudonyms.pseudonymised(table_of(spark, sf_dir, "documents").select("doc_id", "text"), key="dialoom")
     return out.select("doc_id", "text", F.size("finds").cast("long").alias("n_found"), F.concat_ws(",", "finds.kind").alias("kinds"))
+
+
+@query
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = best_fit.best_fit_pack(table_of(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+@query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table_of(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table_of(spark, sf_dir, "documents"))
