@@ -94,7 +94,7 @@ def stage_manifest(all_samples: DataFrame, all_recs: DataFrame, stage: Stage, se
     rows = overlap_filter(all_samples.filter("split_name = 'train'").join(chosen.distinct(), "parent_audio_id", "left_semi"), stage)
     val = overlap_filter(all_samples.filter("split_name = 'val'"), stage, validation=True)
     both = rows.withColumn("split", F.lit("train")).unionByName(val.withColumn("split", F.lit("val")))
-    kept = dedup.same_text_duplicates(both, ["split", "parent_audio_id"], row_id, "text", [S, E])
+    kept = dedup.same_text_duplicates(both, ["split", "parent_audio_id"], row_id, "text")
     kept = dedup.keep_first(kept, ["split", "audio_path", S, E, text.squeeze(F.col("text"))], [row_id])
     pooled = kept.filter((F.col("source_type") == "vivos") & (F.col("split") == "train"))
     if "base_utt_ids" in kept.columns:

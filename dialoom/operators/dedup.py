@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dialoom.functions import spans as fs
 from dialoom.functions import text
+from dialoom.operators import settle
 from dialoom.operators.spans import E, S
 from dialoom.session import cut_lineage
 
@@ -19,99 +19,46 @@ def keep_first(df: DataFrame, by: Sequence[str | Column], order: Sequence[str |
     return df.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n).drop("_k")
 
 
-def independent_set(nodes: DataFrame, edges: DataFrame, node_id: str) -> DataFrame:
-    """Rows that survive when each row is dropped if it matches an earlier *kept* row.
-
-    `edges(early, late)` lists matches. Each round keeps the rows no undecided row precedes and drops their matches;
-    rows without an edge never enter the rounds.
-    """
-    left = cut_lineage(edges.select("early", "late").distinct())
-    dropped = None
-    while not left.isEmpty():
-        heads = left.select("early").subtract(left.select("late"))
-        gone = left.join(heads, "early", "left_semi").select(F.col("late").alias("gone")).distinct()
-        gone = cut_lineage(gone)
-        dropped = gone if dropped is None else dropped.unionByName(gone)
-        # edges of decided rows are spent: heads lead nowhere but to dropped rows, dropped rows decide nothing
-        left = cut_lineage(left.join(heads, "early", "left_anti")
-                           .join(gone, F.col("early") == F.col("gone"), "left_anti")
-                           .join(gone, F.col("late") == F.col("gone"), "left_anti"))
-    if dropped is None:
-        return nodes
-    return nodes.join(dropped, F.col(node_id) == F.col("gone"), "left_anti")
-
-
-def _ordered(df: DataFrame, order: Sequence[str], node_id: str) -> DataFrame:
-    return df.withColumn("_rank", F.struct(*[F.col(c) for c in [*order, node_id]]))
-
-
-def near_duplicates(df: DataFrame, keys: Sequence[str], node_id: str, text_col: str, order: Sequence[str],
-                    max_shift_ms: int = 1000, similarity: float = 0.8) -> DataFrame:
+def near_duplicates(df: DataFrame, keys: Sequence[str], node_id: str, text_col: str, max_shift_ms: int = 1000,
+                    similarity: float = 0.8, width: int | None = None) -> DataFrame:
     """Drop a row when an earlier kept row has |dstart| + |dend| < `max_shift_ms` and token similarity > `similarity`.
 
-    Copies with equal span and token set are reduced to their first row up front (whatever removes the first removes
-    them), so a hot group of copies forms no pairs. Candidates must share a time bin and one of the few tokens that
-    similar sets cannot both lack; ordering tokens longest first keeps those tokens rare.
+    Rows are ordered by (start, end, id). Copies with equal span and token set are reduced to their first row up front
+    (whatever removes the first removes them); the others are settled in one ordered pass over a second of kept rows.
     """
     d = df.withColumn("_set", F.array_sort(text.token_set(F.col(text_col))))
-    d = _ordered(d, order, node_id)
     blank = d.filter(F.size("_set") == 0)  # empty sets match nothing
-    firsts = keep_first(d.filter(F.size("_set") > 0), [*keys, S, E, "_set"], ["_rank"])
-    n = F.size("_set")
-    need = F.floor(n * similarity).cast("int") + 1  # more than `similarity` of the larger set
-    by_length = F.array_sort(F.transform("_set", lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t"))))
-    probe = F.transform(F.slice(by_length, F.lit(1), n - need + 1), lambda x: x["t"])
-    firsts = cut_lineage(firsts)
-    # candidates carry no texts: ids, spans and set sizes only; an earlier row starts at most one bin before a later one
-    lean = firsts.select(*keys, F.col(node_id).alias("_id"), "_rank", S, E, n.alias("_n"), F.explode(probe).alias("_tok"))
-    near = (0, 1) if list(order[:1]) == [S] else (-1, 0, 1)
-    a = lean.withColumn("_bin", F.explode(F.array(*[F.floor(F.col(S) / max_shift_ms) + k for k in near])))
-    b = lean.select(*keys, "_tok", *[F.col(c).alias(f"b_{c}") for c in ("_id", "_rank", S, E, "_n")], F.floor(F.col(S) / max_shift_ms).alias("_bin"))
-    shift = F.abs(F.col(S) - F.col(f"b_{S}")) + F.abs(F.col(E) - F.col(f"b_{E}"))
-    lo, hi = F.least("_n", "b__n"), F.greatest("_n", "b__n")
-    pairs = (a.join(b, [*keys, "_tok", "_bin"])
-             .filter((F.col("_rank") < F.col("b__rank")) & (shift < max_shift_ms) & (lo > hi * similarity))
-             .select(F.col("_id").alias("early"), F.col("b__id").alias("late")).distinct())
-    sets = firsts.select(F.col(node_id).alias("_id"), "_set")
-    pairs = (pairs.join(sets.select(F.col("_id").alias("early"), F.col("_set").alias("_sa")), "early")
-             .join(sets.select(F.col("_id").alias("late"), F.col("_set").alias("_sb")), "late")
-             .filter(text.set_similarity(F.col("_sa"), F.col("_sb")) > similarity))
-    kept = independent_set(firsts, pairs.select("early", "late"), node_id)
+    firsts = cut_lineage(keep_first(d.filter(F.size("_set") > 0), [*keys, S, E, "_set"], [node_id]))
+
+    def match(a: tuple, b: tuple) -> bool:
+        if abs(a[0] - b[0]) + abs(a[1] - b[1]) >= max_shift_ms:
+            return False
+        most, least = max(len(a[2]), len(b[2])), min(len(a[2]), len(b[2]))
+        return least / most > similarity and len(a[2] & b[2]) / most > similarity
+
+    kept = settle.kept_rows(firsts, keys, node_id, F.col(S) + (max_shift_ms - 1), match, "_set", frozenset, width)
     return kept.unionByName(blank).select(*df.columns)
 
 
-def same_text_duplicates(df: DataFrame, keys: Sequence[str], node_id: str, text_col: str, order: Sequence[str],
-                         edge_ms: int = 300, iou: float = 0.85) -> DataFrame:
+def same_text_duplicates(df: DataFrame, keys: Sequence[str], node_id: str, text_col: str, edge_ms: int = 300, iou: float = 0.85,
+                         width: int | None = None) -> DataFrame:
     """Drop a row when an earlier kept row of the key has the same clean text and both edges within `edge_ms`, or a
     hull IoU of at least `iou`.
 
-    Spans with such an IoU have lengths within that ratio and starts within a fixed share of the length, so candidates
-    meet in bins whose width grows with the length.
+    Rows are ordered by (start, end, id). A row can match what starts within `edge_ms`, or within the share of its
+    length that such an IoU leaves; rows of one text are settled in one ordered pass.
     """
-    d = _ordered(df.withColumn("_t", text.squeeze(F.col(text_col))), order, node_id)
-    firsts = keep_first(d, [*keys, "_t", S, E], ["_rank"])
-    lean = firsts.select(*keys, "_t", F.col(node_id).alias("_id"), "_rank", S, E)
-    dur = F.greatest(F.col(E) - F.col(S), F.lit(1))
-    level = F.floor(F.log(dur.cast("double")) / F.log(F.lit(1 / iou))).cast("long")
-
-    def grow(lv: Column) -> Column:  # at least the largest start shift possible between spans of levels lv and lv+1
-        return F.ceil(F.pow(F.lit(1 / iou), lv + 2) * (1 - iou) / iou).cast("long") + 1
-
-    def meet(cell_a: Column, cell_b: Column, cond: Column) -> DataFrame:
-        a = lean.withColumn("_cell", F.explode(cell_a))
-        b = lean.select(*keys, "_t", *[F.col(c).alias(f"b_{c}") for c in ("_id", "_rank", S, E)],
-                        F.explode(cell_b).alias("_cell"))
-        return (a.join(b, [*keys, "_t", "_cell"]).filter((F.col("_rank") < F.col("b__rank")) & cond)
-                .select(F.col("_id").alias("early"), F.col("b__id").alias("late")))
-
-    cell = lambda lv, step, k: F.struct(lv.alias("l"), (F.floor(F.col(S) / step) + k).alias("c"))
-    zero, wide = F.lit(-1).cast("long"), F.lit(edge_ms + 1)
-    near = meet(F.array(cell(zero, wide, 0)), F.array(*[cell(zero, wide, k) for k in (-1, 0, 1)]),
-                (F.abs(F.col(S) - F.col(f"b_{S}")) <= edge_ms) & (F.abs(F.col(E) - F.col(f"b_{E}")) <= edge_ms))
-    mine = F.array(*[cell(level + d_, grow(level + d_), 0) for d_ in (-1, 0)])
-    theirs = F.array(*[cell(level + d_, grow(level + d_), k) for d_ in (-1, 0) for k in (-1, 0, 1)])
-    alike = meet(mine, theirs, fs.temporal_iou(F.col(S), F.col(E), F.col(f"b_{S}"), F.col(f"b_{E}")) >= iou)
-    return independent_set(firsts, near.unionByName(alike), node_id).select(*df.columns)
+    d = df.withColumn("_t", text.stable_id(text.squeeze(F.col(text_col))))
+    firsts = cut_lineage(keep_first(d, [*keys, "_t", S, E], [node_id]))
+    reach = F.col(S) + F.greatest(F.lit(edge_ms), F.ceil((F.col(E) - F.col(S)) * (1 - iou)) + 1)
+
+    def match(a: tuple, b: tuple) -> bool:
+        if abs(a[0] - b[0]) <= edge_ms and abs(a[1] - b[1]) <= edge_ms:
+            return True
+        hull = max(a[1], b[1]) - min(a[0], b[0])
+        return hull > 0 and max(0, min(a[1], b[1]) - max(a[0], b[0])) / hull >= iou
+
+    return settle.kept_rows(firsts, [*keys, "_t"], node_id, reach, match, width=width).select(*df.columns)
 
 
 def exact_fingerprint(df: DataFrame, parts: Sequence[Column], order: Sequence[str]) -> DataFrame:

@@ -120,14 +120,14 @@ SELECT doc_id, row_id FROM walk WHERE keep"""
     feat=f"list_distinct(string_split(lower({q.sq('txt')}), ' '))",
     match="abs(k.s - o.start_ms) + abs(k.e - o.end_ms) < 1000 AND len(list_intersect(k.f, o.f)) / greatest(len(k.f), len(o.f)) > 0.8")))
 def token_set_dedup(spark, sf):
-    return dedup.near_duplicates(jittered(spark, sf), ["doc_id"], "row_id", "txt", ["start_ms", "end_ms"]).select("doc_id", "row_id")
+    return dedup.near_duplicates(jittered(spark, sf), ["doc_id"], "row_id", "txt").select("doc_id", "row_id")
 
 
 @query("same_text_dedup", rcte(DOC_LINES, JITTER, GREEDY.format(
     feat=q.sq("txt"),
     match="k.f = o.f AND ((abs(k.s - o.start_ms) <= 300 AND abs(k.e - o.end_ms) <= 300) OR greatest(0, least(k.e, o.end_ms) - greatest(k.s, o.start_ms)) / (greatest(k.e, o.end_ms) - least(k.s, o.start_ms)) >= 0.85)")))
 def same_text_dedup(spark, sf):
-    return dedup.same_text_duplicates(jittered(spark, sf), ["doc_id"], "row_id", "txt", ["start_ms", "end_ms"]).select("doc_id", "row_id")
+    return dedup.same_text_duplicates(jittered(spark, sf), ["doc_id"], "row_id", "txt").select("doc_id", "row_id")
 
 
 @query("exact_fingerprint", f"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY md5({q.sq('text')} || '||' || lang) ORDER BY doc_id) AS k FROM documents) WHERE k = 1")

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from dialoom.operators import dedup, sequence
+from dialoom.operators import dedup, sequence, settle
 
 LINE = "k string, idx bigint, speaker string, start_ms bigint, end_ms bigint, text string"
 
@@ -149,18 +149,47 @@ def greedy(rows, match):
     return kept
 
 
-def test_independent_set(spark):
-    r = random.Random(3)
-    edges = sorted({tuple(sorted(r.sample(range(60), 2))) for _ in range(90)})
-    near = set(edges)
-    want = greedy(range(60), lambda a, b: (a, b) in near)
-    got = dedup.independent_set(spark.range(60), spark.createDataFrame(edges, "early bigint, late bigint"), "id")
-    assert sorted(x["id"] for x in got.collect()) == want
+def settled(df, match, reach=400, width=None):
+    return sorted(x["id"] for x in settle.kept_rows(df, ["k"], "id", F.col("start_ms") + reach, match, width=width).collect())
 
 
-def test_chain_keeps_first_and_third(spark):
-    got = dedup.independent_set(spark.range(1, 4), spark.createDataFrame([(1, 2), (2, 3)], "early bigint, late bigint"), "id")
-    assert sorted(x["id"] for x in got.collect()) == [1, 3]
+SPANS = "k string, id bigint, start_ms bigint, end_ms bigint"
+
+
+@pytest.mark.parametrize("width", [None, 700, 1500, 10_000])
+@pytest.mark.parametrize("density", [40, 130, 300])
+def test_settled_rows_equal_the_sequential_rule(spark, width, density):
+    """Random links inside the reach, over pieces of any length; the densest rows leave few moments to cut at."""
+    r = random.Random(density)
+    rows = [(r.choice("xy"), i, t := r.randrange(density * 200), t + r.randrange(500)) for i in range(200)]
+    match = lambda a, b: b[0] - a[0] <= 400 and (a[0] * 7 + b[0] * 13 + a[1] * 3 + b[1]) % 3 == 0
+    want = []
+    for k in "xy":
+        mine = sorted((x for x in rows if x[0] == k), key=lambda x: (x[2], x[3], x[1]))
+        want += [x[1] for x in greedy(mine, lambda a, b: match(a[2:], b[2:]))]
+    assert settled(spark.createDataFrame(rows, SPANS), match, width=width) == sorted(want)
+
+
+@pytest.mark.parametrize("width", [50_000, None])
+def test_a_chain_of_ten_thousand_links_takes_the_jobs_of_a_short_one(spark, width):
+    """Each row matches the next: every other one stays, whatever the number of pieces."""
+    sc, jobs = spark.sparkContext, []
+    for n in (20, 10_001):
+        rows = spark.range(n).select(F.lit("x").alias("k"), "id", (F.col("id") * 250).alias("start_ms"), (F.col("id") * 250 + 100).alias("end_ms"))
+        sc.setJobGroup(f"chain-{n}-{width}", "chain")
+        assert settled(rows, lambda a, b: b[0] - a[0] <= 250, 250, width) == list(range(0, n, 2))
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"chain-{n}-{width}")))
+    sc.setJobGroup("", "")
+    assert jobs[1] <= jobs[0] + 6                     # adaptive execution may run a few more stages as jobs
+
+
+def test_rows_that_reach_over_many_cuts(spark):
+    """Three long rows stay open across all pieces and each decides rows far away."""
+    rows = [("x", i, i, 10**9) for i in range(3)] + [("x", 10 + i, 1000 + 500 * i, 1000 + 500 * i + 10) for i in range(300)]
+    match = lambda a, b: a[1] == 10**9 and b[1] != 10**9 and b[0] // 500 % 5 == a[0]
+    got = settle.kept_rows(spark.createDataFrame(rows, SPANS), ["k"], "id", F.when(F.col("end_ms") == 10**9, 200_000).otherwise(F.col("start_ms")),
+                           match, width=7000)
+    assert sorted(x["id"] for x in got.collect()) == [r[1] for r in rows if r[3] == 10**9 or r[2] // 500 % 5 > 2]
 
 
 def dup_rows(seed, n=160):
@@ -174,7 +203,8 @@ def dup_rows(seed, n=160):
     return out
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("width", [None, 1700])
+def test_near_duplicates(spark, width):
     rows = dup_rows(1)
     sim = lambda a, b: (len(a & b) / max(len(a), len(b))) if a and b else 0
     want = []
@@ -182,11 +212,12 @@ def test_near_duplicates(spark):
         mine = sorted((r for r in rows if r[0] == k), key=lambda r: (r[2], r[3], r[1]))
         want += [r[1] for r in greedy(mine, lambda p, c: abs(p[2] - c[2]) + abs(p[3] - c[3]) < 1000 and sim(set(p[4].split()), set(c[4].split())) > .8)]
     df = spark.createDataFrame(rows, "k string, id bigint, start_ms bigint, end_ms bigint, text string")
-    got = dedup.near_duplicates(df, ["k"], "id", "text", ["start_ms", "end_ms"])
+    got = dedup.near_duplicates(df, ["k"], "id", "text", width=width)
     assert sorted(r["id"] for r in got.collect()) == sorted(want)
 
 
-def test_same_text_duplicates(spark):
+@pytest.mark.parametrize("width", [None, 1700])
+def test_same_text_duplicates(spark, width):
     rows = dup_rows(2)
     iou = lambda p, c: max(0, min(p[3], c[3]) - max(p[2], c[2])) / (max(p[3], c[3]) - min(p[2], c[2]))
     want = []
@@ -194,7 +225,7 @@ def test_same_text_duplicates(spark):
         mine = sorted((r for r in rows if r[0] == k), key=lambda r: (r[2], r[3], r[1]))
         want += [r[1] for r in greedy(mine, lambda p, c: p[4] == c[4] and ((abs(p[2] - c[2]) <= 300 and abs(p[3] - c[3]) <= 300) or iou(p, c) >= .85))]
     df = spark.createDataFrame(rows, "k string, id bigint, start_ms bigint, end_ms bigint, text string")
-    got = dedup.same_text_duplicates(df, ["k"], "id", "text", ["start_ms", "end_ms"])
+    got = dedup.same_text_duplicates(df, ["k"], "id", "text", width=width)
     assert sorted(r["id"] for r in got.collect()) == sorted(want)
 
 
