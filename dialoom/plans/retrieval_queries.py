@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dialoom.functions import text
-from dialoom.operators import hooks, retrieval, sequence
+from dialoom.operators import hooks, jumps, retrieval, sequence
 from dialoom.plans import sqltext as q
 from dialoom.plans.registry import query
 from dialoom.plans.sequence_queries import rcte
@@ -153,14 +153,6 @@ DAY_US = 86_400_000_000
        f"w AS (SELECT user_id, k, event_id, us AS acc, true AS ok FROM n WHERE k = 1 UNION ALL SELECT n.user_id, n.k, n.event_id, CASE WHEN n.us >= w.acc + {DAY_US} THEN n.us ELSE w.acc END, n.us >= w.acc + {DAY_US} FROM w JOIN n ON n.user_id = w.user_id AND n.k = w.k + 1)")
        + "SELECT user_id, event_id FROM w WHERE ok")
 def cooldown_accepts(spark, sf):
-    """One accepted event per day and user, in order: a sequential rule, relayed over time slabs."""
+    """One accepted event per day and user, in order: each event points to the first one a day later."""
     e = user_events(spark, sf).select("user_id", "event_id", F.unix_micros("ts").alias("us"))
-    out = T.StructType([e.schema["event_id"]])
-
-    def step(state, row):
-        if "until" in state and row["us"] < state["until"]:
-            return []
-        state["until"] = int(row["us"]) + DAY_US
-        return [{"event_id": row["event_id"]}]
-
-    return sequence.relay_fold(e, ["user_id"], ["us", "event_id"], F.floor(F.col("us") / (DAY_US * 30)), step, lambda st: [], out)
+    return jumps.starts(e, ["user_id"], "us", "event_id", jumps.cooldown_step(DAY_US), DAY_US).select("user_id", "event_id")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from dialoom.operators import sequence, slabs
+from dialoom.operators import jumps
 
 LOCK_AFTER, LOCK_MINUTES, COOLDOWN_SEC, RETENTION_DAYS = 5, 15, 60, 3  # fixed values
 
@@ -36,20 +36,13 @@ def lockouts(failures: DataFrame, key: str = "user_id", minutes: int = LOCK_MINU
     """Locks: `limit` failures, each within `minutes` of the one before, lock a key for `minutes` from the last of them.
 
     Attempts during a lock are refused before they count, so they neither count nor renew it; afterwards counting starts
-    anew. A batch table is folded slab by slab (a key may hold most rows), a stream keeps three numbers per live key.
+    anew. A batch table follows jumps slab by slab (a key may hold most rows), a stream keeps three numbers per live key.
     """
     window = minutes * 60_000_000
     if not failures.isStreaming:
-        d = failures.select(key, F.unix_micros("ts").alias("us"))
-        out = T.StructType([T.StructField("first_us", T.LongType()), T.StructField("expires_us", T.LongType())])
-        width = slabs.slab_width(d, [key], "us", coarse=86_400_000_000)
-
-        def step(state, row):
-            lock = lock_step(state, int(row["us"]), window, limit)
-            return [{"first_us": lock[0], "expires_us": lock[1]}] if lock else []
-
-        locks = sequence.relay_fold(d, [key], ["us"], F.floor(F.col("us") / width), step, lambda st: [], out)
-        return locks.select(key, F.timestamp_micros("first_us").alias("first_at"), F.timestamp_micros("expires_us").alias("expires_at"),
+        d = failures.select(key, F.unix_micros("ts").alias("us")).withColumn("tie", F.lit(0))
+        locks = jumps.starts(d, [key], "us", "tie", jumps.lockout_step(window, limit), limit * window, limit * window).filter("flag")
+        return locks.select(key, F.timestamp_micros("us").alias("first_at"), F.timestamp_micros("until").alias("expires_at"),
                             F.lit(limit).cast("long").alias("failures"))
     schema = T.StructType([failures.schema[key], T.StructField("first_at", T.TimestampType()), T.StructField("expires_at", T.TimestampType()),
                            T.StructField("failures", T.LongType())])
@@ -73,7 +66,11 @@ def lockouts(failures: DataFrame, key: str = "user_id", minutes: int = LOCK_MINU
 
 
 def cooldown(requests: DataFrame, key: str = "user_id", seconds: int = COOLDOWN_SEC, late: str = "1 hour") -> DataFrame:
-    """Requests accepted at most once per period and key, in event order inside each micro-batch."""
+    """Requests accepted at most once per period and key, in event order; in a stream inside each micro-batch."""
+    if not requests.isStreaming:
+        d = requests.select(key, F.unix_micros("ts").alias("us")).withColumn("tie", F.lit(0))
+        got = jumps.starts(d, [key], "us", "tie", jumps.cooldown_step(seconds * 1_000_000), seconds * 1_000_000)
+        return got.select(key, F.timestamp_micros("us").alias("ts"))
     out = T.StructType([requests.schema[key], T.StructField("ts", T.TimestampType())])
     state = T.StructType([T.StructField("until_us", T.LongType())])
 
