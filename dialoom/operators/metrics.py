@@ -106,18 +106,15 @@ def precision_recall(df: DataFrame) -> DataFrame:
         "f1", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0))
 
 
-def diarization_error(ref: DataFrame, hyp: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
+def diarization_error(ref: DataFrame, hyp: DataFrame, keys: Sequence[str], width: int, bin_ms: int = 300_000) -> DataFrame:
     """Missed, false-alarm and confused time per key (no collar, overlap scored, optimal one-to-one label mapping).
 
-    Shared time per label pair and the per-instant counts are running totals, so overlapping segments form no pairs.
+    Shared time per label pair meets only labels that are active together; the per-instant counts are running totals.
     """
     keys = list(keys)
     ref, hyp = ref.filter(F.col(E) > F.col(S)), hyp.filter(F.col(E) > F.col(S))
-    names = ref.select(*keys, F.col("speaker").alias("ref_speaker")).distinct()
-    against = hyp.select(*keys, "seg_id", "speaker", S, E).join(names, keys)
-    per_ref = ref.select(*keys, F.col("speaker").alias("ref_speaker"), S, E)
-    shared = spans.overlap_sum(against, per_ref, [*keys, "ref_speaker"], ["seg_id"], "ms", width=width)
-    cells = shared.groupBy(*keys, "speaker", "ref_speaker").agg(F.sum("ms").cast("double").alias("ms"))
+    cells = (spans.coactive(hyp, ref, keys, bin_ms, width=width)
+             .select(*keys, "speaker", F.col("r_speaker").alias("ref_speaker"), F.col("ms").cast("double").alias("ms")))
     pairs = assignment.best_pairs(cells, keys, "speaker", "ref_speaker", "ms").filter("ms > 0").drop("ms")
     mapped = cut_lineage(hyp.join(pairs, [*keys, "speaker"]).select(*keys, F.col("ref_speaker").alias("speaker"), S, E))
     same = _counted({"r": ref, "h": mapped}, [*keys, "speaker"], width)

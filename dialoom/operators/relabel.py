@@ -189,7 +189,7 @@ def temporal_relabel(rows: DataFrame, keys: Sequence[str], n: int, width: int) -
 def apply_relabels(rows: DataFrame, relabels: DataFrame, keys: Sequence[str], row_id: str, bin_ms: int, width: int) -> DataFrame:
     """Cut the moved stretches out of their old speaker and add them to the new one (rows: row_id, tier, sims)."""
     gone = relabels.select(*keys, F.col("old").alias("speaker"), S, E)
-    kept = spans.subtract(rows.select(*keys, row_id, "speaker", S, E, "tier", "sims"), gone, [*keys, "speaker"], [row_id], bin_ms, width)
+    kept = spans.subtract(rows.select(*keys, row_id, "speaker", S, E, "tier", "sims"), gone, [*keys, "speaker"], [row_id], width)
     moved = relabels.select(*keys, F.lit(-1).cast("long").alias(row_id), F.col("new").alias("speaker"), S, E, F.lit("reseg").alias("tier"), F.col("vec").alias("sims"))
     return kept.select(*moved.columns).unionByName(moved)
 
@@ -198,16 +198,18 @@ def second_opinion_scores(rows: DataFrame, other: DataFrame, anchors: DataFrame,
     """Speaker-by-speaker matrix between a second diarization and the own labels (rows: seg_id, speaker, span, tier, sims)."""
     keys = list(keys)
     local = rows.select(*keys, F.col("speaker").alias("local")).distinct()
-    ask = other.filter(F.col(E) > F.col(S)).select(*keys, "seg_id", F.col("speaker").alias("other"), S, E)
-    pairs = cut_lineage(ask.join(local, keys))
-    cov = spans.overlap_sum(pairs, anchors.select(*keys, F.col("speaker").alias("local"), S, E), [*keys, "local"], ["seg_id"], "v", width=width)
-    overlap = cov.groupBy(*keys, "other", "local").agg(F.sum("v").cast("double").alias("v"))
-    vec = span_score_vectors(ask, rows, keys, ["seg_id"], n, width).select(*keys, "seg_id", "other", (F.col(E) - F.col(S)).alias("d"), "score_vector")
-    tot = vec.join(local, keys).withColumn("_x", F.coalesce(F.get("score_vector", speakers.speaker_index(F.col("local"))), F.lit(0.0)))
-    acoustic = tot.groupBy(*keys, "other", "local").agg((F.sum(F.col("_x") * F.col("d")) / F.sum("d")).alias("v"))
-    nb = spans.overlap_sum(pairs, rows.select(*keys, F.col("speaker").alias("local"), S, E, "tier"), [*keys, "local"], ["seg_id"], "v",
-                           windows=_around_edges(SECOND["window_ms"]), weight=tiers.support_weight(F.col("tier")), width=width)
-    neighbour = nb.groupBy(*keys, "other", "local").agg(F.sum("v").cast("double").alias("v"))
+    ask = cut_lineage(other.filter(F.col(E) > F.col(S)).select(*keys, "seg_id", F.col("speaker").alias("other"), S, E))
+    named = lambda d: d.withColumnsRenamed({"r_speaker": "local"}).withColumn("v", F.col("ms").cast("double")).drop("ms")
+    overlap = named(spans.coactive(ask, anchors, keys, bin_ms, "other", width=width))
+    # the score vector of a second-opinion speaker, weighted by the length of the spans, holds the scores of all own labels
+    vec = span_score_vectors(ask, rows, keys, ["seg_id"], n, width).select(*keys, "other", (F.col(E) - F.col(S)).alias("d"), F.posexplode("score_vector").alias("i", "x"))
+    summed = vec.groupBy(*keys, "other", "i").agg(F.sum(F.col("x") * F.col("d")).alias("x"))
+    length = ask.groupBy(*keys, "other").agg(F.sum(F.col(E) - F.col(S)).alias("_d"))
+    every = length.join(local.withColumn("i", speakers.speaker_index(F.col("local"))), keys)     # speakers by speakers
+    acoustic = (every.join(summed, [*keys, "other", "i"], "left")
+                .select(*keys, "other", "local", F.coalesce(F.col("x") / F.col("_d"), F.lit(0.0)).alias("v")))
+    around = ask.select(*keys, "other", F.explode(F.array(*[F.struct(a.cast("long").alias(S), b.cast("long").alias(E)) for a, b in _around_edges(SECOND["window_ms"])])).alias("w"))
+    neighbour = named(spans.coactive(around.select(*keys, "other", "w.*"), rows, keys, bin_ms, "other", right_weight=tiers.support_weight(F.col("tier")), width=width))
     return speakers.label_scores(overlap, acoustic, neighbour, keys)
 
 

@@ -179,20 +179,51 @@ def pair_regions(df: DataFrame, keys: Sequence[str], bin_ms: int, width: int | N
     return merge_spans(two, [*keys, "speaker_a", "speaker_b"], 0, width).drop("n_spans")
 
 
-def subtract(df: DataFrame, removals: DataFrame, keys: Sequence[str], row_id: Sequence[str], bin_ms: int,
-             width: int | None = None) -> DataFrame:
-    """Remove `removals` (same keys) from every span and keep the fragments."""
-    gone = merge_spans(removals, keys, 0, width).drop("n_spans")
-    hit = overlap_join(df.select(*dict.fromkeys([*keys, *row_id]), S, E), gone, keys, bin_ms)
-    ids = list(dict.fromkeys([*keys, *row_id]))
-    w = Window.partitionBy(*ids).orderBy("r_start_ms")
-    heads = hit.select(*ids, F.coalesce(F.lag("r_end_ms").over(w), F.col(S)).alias("_fs"),
-                       F.col("r_start_ms").alias("_fe"))
-    tails = hit.groupBy(*ids, E).agg(F.max("r_end_ms").alias("_fs")).select(*ids, "_fs", F.col(E).alias("_fe"))
-    frags = heads.unionByName(tails).filter(F.col("_fe") > F.col("_fs"))
-    cut = df.join(frags, ids).withColumn(S, F.col("_fs")).withColumn(E, F.col("_fe")).drop("_fs", "_fe")
-    whole = df.join(hit.select(*ids).distinct(), ids, "left_anti")
-    return whole.filter(F.col(E) > F.col(S)).unionByName(cut)
+def coactive(left: DataFrame, right: DataFrame, keys: Sequence[str], bin_ms: int, left_by: str = "speaker", right_by: str = "speaker",
+             left_weight: Column | None = None, right_weight: Column | None = None, width: int | None = None) -> DataFrame:
+    """Time during which a left and a right label of a key are active together: keys, left_by, right_by (prefixed `r_`), `ms`.
+
+    Every span counts, so a label active twice counts twice (or with its integer weights). Each label becomes one step
+    function first; only labels that are active at the same time meet, and the sums are taken before the shuffle. Pairs
+    that never meet have no row.
+    """
+    def stepped(df, by, weight):
+        one = F.lit(1).cast("long") if weight is None else weight.cast("long")
+        st = depth_steps(df.filter(F.col(E) > F.col(S)), [*keys, by], {"w": one}, width)
+        return st.filter((F.col("w") != 0) & F.col("next_ms").isNotNull()).select(*keys, by, F.col("t").alias(S), F.col("next_ms").alias(E), "w")
+
+    pairs = overlap_join(stepped(left, left_by, left_weight), stepped(right, right_by, right_weight), keys, bin_ms)
+    return pairs.groupBy(*keys, left_by, f"r_{right_by}").agg(F.sum(F.col("overlap_ms") * F.col("w") * F.col("r_w")).alias("ms"))
+
+
+def subtract(df: DataFrame, removals: DataFrame, keys: Sequence[str], row_id: Sequence[str], width: int | None = None) -> DataFrame:
+    """Remove `removals` (same keys) from every span and keep the fragments.
+
+    Merged removals leave gaps, numbered along the key. A span's first gap is as many as removals ended before its start,
+    its last gap as many as removals began before its end: two running counts. So a span is dealt out to the gaps between
+    by number, one row a fragment, and never meets a removal.
+    """
+    keys, ids = list(keys), list(dict.fromkeys([*keys, *row_id]))
+    width = width or slabs.slab_width(df, keys, S)
+    gone = cut_lineage(merge_spans(removals.filter(F.col(E) > F.col(S)), keys, 0, width).drop("n_spans"))
+    side = lambda c, order, first, last: F.struct(c.alias("t"), F.lit(order).alias("o"), F.lit(first).cast("long").alias("first"),
+                                                  F.lit(last).cast("long").alias("last"))
+    # at equal times ends of removals come before, and starts of removals after, the edges of spans
+    ev = gone.select(*keys, F.explode(F.array(side(F.col(E), 0, 1, 0), side(F.col(S), 2, 0, 1))).alias("e")).select(*keys, "e.*")
+    live = df.filter(F.col(E) > F.col(S)).select(*ids, S, E)
+    edges = live.select(*keys, F.struct(*[F.col(c) for c in [*row_id, S, E]]).alias("_row"),
+                        F.explode(F.array(side(F.col(S), 1, 0, 0), side(F.col(E), 1, 0, 0))).alias("e")).select(*keys, "_row", "e.*")
+    ev = slabs.with_slab(edges.unionByName(ev, allowMissingColumns=True), "t", width)
+    ev = slabs.running_sums(ev, keys, ["t", "o"], {"first": F.col("first"), "last": F.col("last")}).filter("_row IS NOT NULL")
+    own = [c for c in row_id if c not in keys]
+    spot = ev.groupBy(*keys, "_row").agg(F.min("first").alias("_a"), F.max("last").alias("_b"))
+    parts = spot.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in [*own, S, E]], F.explode(F.sequence("_a", "_b")).alias("_gap"))
+    nth = slabs.running_sums(slabs.with_slab(gone, S, width), keys, [S], {"_gap": F.lit(1).cast("long")}, next_of={"_to": S})
+    after = nth.select(*keys, "_gap", F.col(E).alias("_from"), "_to")
+    before = nth.filter("_gap = 1").select(*keys, F.lit(0).cast("long").alias("_gap"), F.lit(None).cast("long").alias("_from"), F.col(S).alias("_to"))
+    cut = (parts.join(after.unionByName(before), [*keys, "_gap"], "left")
+           .select(*ids, F.greatest(F.col(S), "_from").alias("_fs"), F.least(F.col(E), "_to").alias("_fe")).filter("_fe > _fs"))
+    return df.join(cut, ids).withColumn(S, F.col("_fs")).withColumn(E, F.col("_fe")).drop("_fs", "_fe")
 
 
 def clamp_to_regions(df: DataFrame, regions: DataFrame, keys: Sequence[str], row_id: Sequence[str],

@@ -295,12 +295,13 @@ def dominant_tier(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def label_scores(overlap: DataFrame, acoustic: DataFrame, neighbour: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Overlap 1.0, acoustic 0.8 and neighbour 0.55, each over its largest cell of the recording.
 
-    Inputs are (keys, other, local, v); `overlap` lists every pair of speakers of the recording.
+    Inputs are (keys, other, local, v); a pair that an input lacks has nothing there.
     """
     keys = list(keys)
     pair = [*keys, "other", "local"]
-    d = overlap.withColumnRenamed("v", "overlap").join(acoustic.withColumnRenamed("v", "acoustic"), pair, "left")
-    d = d.join(neighbour.withColumnRenamed("v", "neighbour"), pair, "left").fillna(0.0, ["overlap", "acoustic", "neighbour"])
+    parts = {"overlap": overlap, "acoustic": acoustic, "neighbour": neighbour}
+    long = [d.select(*pair, *[(F.col("v") if c == n else F.lit(0.0)).alias(c) for c in parts]) for n, d in parts.items()]
+    d = long[0].unionByName(long[1]).unionByName(long[2]).groupBy(*pair).agg(*[F.sum(c).alias(c) for c in parts])
     top = d.groupBy(*keys).agg(*[F.max(c).alias(f"_{c}") for c in ("overlap", "acoustic", "neighbour")])
     d = d.join(top, keys)
     part = lambda c: F.when(F.col(f"_{c}") > 1e-8, F.col(c) / F.col(f"_{c}")).otherwise(0.0)

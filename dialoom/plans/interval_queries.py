@@ -134,7 +134,7 @@ def _removals(seg):
   WHERE end_ms > start_ms AND seg_id NOT IN (SELECT seg_id FROM hit)""")
 def interval_subtract(spark, sf):
     seg, width = sliced(spark, sf)
-    return spans.subtract(seg, _removals(seg), [*KEY, "speaker"], ["seg_id"], BIN_MS, width).select(
+    return spans.subtract(seg, _removals(seg), [*KEY, "speaker"], ["seg_id"], width).select(
         *KEY, "seg_id", "speaker", "start_ms", "end_ms")
 
 

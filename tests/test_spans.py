@@ -102,7 +102,7 @@ def test_atoms_pairs_and_joins(spark, seed):
 def test_subtract_clamp_gap(spark, seed):
     rows, cuts = sample(seed, 25), sample(seed + 50, 12)
     df, rm = frame(spark, rows), frame(spark, cuts)
-    out = got(spans.subtract(df, rm, ["k", "speaker"], ["seg_id"], 10, W), "seg_id", "start_ms", "end_ms")
+    out = got(spans.subtract(df, rm, ["k", "speaker"], ["seg_id"], W), "seg_id", "start_ms", "end_ms")
     for r in rows:
         gone = {t for c in cuts if (c[0], c[2]) == (r[0], r[2]) for t in range(c[3], c[4])}
         assert {t for i, s, e in out if i == r[1] for t in range(s, e)} == set(range(r[3], r[4])) - gone
@@ -112,6 +112,35 @@ def test_subtract_clamp_gap(spark, seed):
     assert hit == sorted(want)
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_subtract_numbers_the_gaps(spark, seed):
+    """Many removals per span, touching ones, spans at exact edges of removals, keys without removals."""
+    r = random.Random(seed)
+    cuts = [("x", i, "a", t := r.randrange(400), t + r.randrange(0, 9)) for i in range(120)] + [("y", 500, "a", 5, 9), ("y", 501, "a", 9, 12)]
+    rows = [(k, i, "a", t := r.randrange(300), t + r.randrange(0, 200)) for i, k in enumerate(["x", "y", "z"] * 12)]
+    rows += [("y", 100, "a", 5, 12), ("y", 101, "a", 0, 5), ("y", 102, "a", 12, 20), ("y", 103, "a", 4, 13)]
+    out = got(spans.subtract(frame(spark, rows), frame(spark, cuts), ["k", "speaker"], ["seg_id"], 37), "seg_id", "start_ms", "end_ms")
+    want = []
+    for k, i, _, s, e in rows:
+        left = [t for t in range(s, e) if not any(c[0] == k and c[3] <= t < c[4] for c in cuts)]
+        begins = [t for t in left if t - 1 not in left]
+        want += [(i, t, next(u for u in range(t, e + 1) if u not in left)) for t in begins]
+    assert out == sorted(want)
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_coactive_equals_frame_counts(spark, seed):
+    a, b = sample(seed, 30), sample(seed + 9, 25)
+    df = spans.coactive(frame(spark, a), frame(spark, b), ["k"], 10, right_weight=F.col("seg_id") % 3 + 1, width=W)
+    want = {}
+    for x in a:
+        for y in b:
+            ms = min(x[4], y[4]) - max(x[3], y[3])
+            if x[0] == y[0] and ms > 0:
+                want[x[0], x[2], y[2]] = want.get((x[0], x[2], y[2]), 0) + ms * (y[1] % 3 + 1)
+    assert {(r.k, r.speaker, r.r_speaker): r.ms for r in df.collect() if r.ms} == want
+
+
 def test_split_long(spark):
     df = spark.createDataFrame([("x", 0, 70_000, "a b c d e f g")], "k string, start_ms bigint, end_ms bigint, text string")
     p = got(spans.split_long(df, 30_000, "text"), "part", "part_start_ms", "part_end_ms", "text")
