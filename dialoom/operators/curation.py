@@ -33,13 +33,19 @@ def bucket(class_name: Column, source_type: Column, forced: Column | None = None
     return own if forced is None else F.coalesce(forced, own)
 
 
-def recordings(found: DataFrame, metadata: DataFrame, source_type: str, split: str) -> DataFrame:
-    """Recordings (data_name, audio_path, duration_ms) with class, bucket and id; the class defaults to the data name."""
+def recordings(found: DataFrame, metadata: DataFrame, source_type: str, split: str, forced_bucket: str | None = None,
+               overlap_mode: bool = False) -> DataFrame:
+    """Recordings (data_name, audio_path, duration_ms) with class, bucket and id; the class defaults to the data name.
+
+    In overlap mode the metadata's class only names the group: class and (unless forced) bucket are those of re-used
+    read speech."""
     d = found.join(metadata, "data_name", "left")
-    cls = text.slug(F.coalesce("class_name", "data_name"))
-    return d.withColumns({"class_name": cls, "group_name": cls, "episode_index": F.coalesce("episode_index", F.lit("")),
-                          "source_type": F.lit(source_type), "split_name": F.lit(split)}).withColumns({
-        "bucket": bucket(F.col("class_name"), F.col("source_type")),
+    group = text.slug(F.coalesce("class_name", "data_name"))
+    d = d.withColumns({"group_name": group, "class_name": F.lit(fixed.OVERLAP_CLASS) if overlap_mode else group,
+                       "episode_index": F.coalesce("episode_index", F.lit("")), "source_type": F.lit(source_type), "split_name": F.lit(split)})
+    forced = forced_bucket or (fixed.OVERLAP_CLASS if overlap_mode else None)
+    return d.withColumns({
+        "bucket": bucket(F.col("class_name"), F.col("source_type"), None if forced is None else F.lit(forced)),
         "parent_audio_id": text.stable_id(F.col("source_type"), F.col("split_name"), F.col("data_name"), F.col("audio_path"))})
 
 

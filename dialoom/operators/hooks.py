@@ -102,9 +102,9 @@ def compression_ratio(s: pd.Series) -> pd.Series:
 def transcribe(df: DataFrame, first: Callable[[], Batch], second: Callable[[], Batch], row_id: Sequence[str], dur_ms: Column, max_ratio: float = 2.4) -> DataFrame:
     """Text per segment: suspicious first answers are asked again, a second suspicious one becomes empty (`was_retried`)."""
     ids = list(row_id)
-    a = call_model(df, first, "_t1", T.StringType()).withColumn("_t1", F.trim(F.coalesce("_t1", F.lit(""))))
+    a = call_model(df, first, "_t1", T.StringType()).withColumn("_t1", text.strip(F.coalesce("_t1", F.lit(""))))
     a = cut_lineage(a.withColumn("_bad", (F.col("_t1") != "") & ((compression_ratio("_t1") > max_ratio) | text.is_hallucination(F.col("_t1"), dur_ms))))
-    b = call_model(a.filter("_bad").drop("_t1", "_bad"), second, "_t2", T.StringType()).withColumn("_t2", F.trim(F.coalesce("_t2", F.lit(""))))
+    b = call_model(a.filter("_bad").drop("_t1", "_bad"), second, "_t2", T.StringType()).withColumn("_t2", text.strip(F.coalesce("_t2", F.lit(""))))
     b = b.withColumn("_t2", F.when(text.is_hallucination(F.col("_t2"), dur_ms), "").otherwise(F.col("_t2"))).select(*ids, "_t2")
     out = a.join(b, ids, "left")
     return out.withColumns({"predicted_text": F.when(F.col("_bad"), F.coalesce("_t2", F.lit(""))).otherwise(F.col("_t1")), "was_retried": F.col("_bad")}).drop("_t1", "_t2", "_bad")

@@ -17,11 +17,11 @@ TOP_ALL, TOP_SPEAKER, TOP_WINDOWS = 8, 50, 3
 
 
 def window_line() -> Column:
-    return F.concat(F.lit("["), "speaker", F.lit("] ("), text.hhmmss(F.col("start_ms") / 1000), F.lit(") "), F.trim("text"))
+    return F.concat(F.lit("["), "speaker", F.lit("] ("), text.hhmmss(F.col("start_ms") / 1000), F.lit(") "), text.strip(F.col("text")))
 
 
 def utterance_documents(lines: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
-    d = lines.withColumn("text", F.trim("text")).filter("text <> ''")
+    d = lines.withColumn("text", text.strip(F.col("text"))).filter("text <> ''")
     return d.select(*keys, F.concat(F.lit("u"), F.col(pos).cast("string")).alias("chunk_id"), F.lit("utterance").alias("chunk_type"), "speaker",
                     "start_ms", "end_ms", F.concat(F.col("speaker"), F.lit(": "), F.col("text")).alias("text"))
 

@@ -77,7 +77,12 @@ def apply_flags(events: DataFrame, key: str) -> DataFrame:
 
 
 def asr_to_transcripts(asr: DataFrame, job_id: Column) -> DataFrame:
-    """ASR rows as transcript rows of a job; the line id is a digest of the row itself, so a repeated read gives the same ids."""
+    """ASR rows as transcript rows of a job. The line id is a digest of the row and its occurrence number among equal rows,
+    so a repeated read gives the same ids and equal rows stay apart. Equal rows are counted before the shuffle."""
     ms = lambda c: F.round(F.col(c) * 1000).cast("long")
-    return asr.select(job_id.alias("job_id"), F.xxhash64(job_id, "start", "end", "speaker", "predicted_text").alias("line_id"), ms("start").alias("start_ms"), ms("end").alias("end_ms"),
-                      "speaker", F.coalesce("predicted_text", F.lit("")).alias("text"))
+    what = ["start", "end", "speaker", "predicted_text"]
+    n = asr.select(job_id.alias("job_id"), *what).groupBy("job_id", *what).agg(F.count(F.lit(1)).alias("_n"))
+    d = n.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    first = F.xxhash64("job_id", *what)
+    return d.select("job_id", F.when(F.col("_k") == 1, first).otherwise(F.xxhash64("job_id", *what, "_k")).alias("line_id"), ms("start").alias("start_ms"),
+                    ms("end").alias("end_ms"), "speaker", F.coalesce("predicted_text", F.lit("")).alias("text"))

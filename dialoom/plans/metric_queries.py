@@ -126,6 +126,20 @@ def wer(spark, sf):
     return metrics.with_wer(turn_pairs(spark, sf), "ref", "hyp").select("conv_id", "turn", "edits", "ref_words", F.round("wer", 6).alias("wer"))
 
 
+# deletions and substitutions weigh 100000, insertions one more: the remainder counts the insertions of a best alignment with
+# the fewest of them
+COUNTED = (PAIRS.replace("range(0, len(h) + 1)) AS BIGINT) AS v FROM ids", "range(0, len(h) + 1)) AS BIGINT) * 100001 AS v FROM ids")
+           .replace("j + min(t - j) OVER", "j * 100001 + min(t - j * 100001) OVER").replace("THEN d.i + 1 ELSE least(d.v + 1,", "THEN (d.i + 1) * 100000 ELSE least(d.v + 100000,")
+           .replace("THEN 0 ELSE 1 END) END AS t", "THEN 0 ELSE 100000 END) END AS t")
+           .replace("v AS edits, len(r) AS n FROM dp", "v // 100000 AS edits, v % 100000 AS ins, len(r) AS n, len(h) AS m FROM dp"))
+
+
+@query("word_errors", rcte(COUNTED) + "SELECT conv_id, turn, edits - ins - (ins + n - m) AS substitutions, ins + n - m AS deletions, ins AS insertions FROM fin")
+def word_errors(spark, sf):
+    """Substitutions, deletions and insertions of each turn's best word alignment."""
+    return metrics.with_wer(turn_pairs(spark, sf), "ref", "hyp").select("conv_id", "turn", "substitutions", "deletions", "insertions")
+
+
 @query("wer_by_role", rcte(PAIRS) + """SELECT role, count(*) AS "rows", round(avg(edits / n), 6) AS mean_wer, round(sum(edits) / sum(n), 6) AS corpus_wer
   FROM fin JOIN tp USING (conv_id, turn) GROUP BY role""")
 def wer_by_role(spark, sf):

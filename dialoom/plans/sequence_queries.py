@@ -151,16 +151,51 @@ def reuse_quota_sets(spark, sf):
     return dedup.reuse_quota(li, "ids", "sample").select("sample")
 
 
-@query("short_line_merge")
+# The sequential rules as walks over a document's lines: c is the open line, p the one before it, o what a step finishes.
+NEAR = "({b}s - {a}e <= 500 AND (({a}sp <> '' AND {a}sp = {b}sp) OR {b}s - {a}e <= 250))"
+JOIN = lambda a, b: f"{a}s, {b}e, coalesce(nullif({a}sp, ''), {b}sp), {q.sq(a + 't || chr(32) || ' + b + 't')}"
+SHORT = f"""ln AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start_ms, end_ms, idx) AS n, start_ms AS s, end_ms AS e, speaker AS sp, txt AS t FROM doc_lines),
+sw AS (SELECT doc_id, n, s AS cs, e AS ce, sp AS csp, t AS ct, CAST(NULL AS BIGINT) AS ps, CAST(NULL AS BIGINT) AS pe, CAST(NULL AS VARCHAR) AS psp, CAST(NULL AS VARCHAR) AS pt,
+    CAST(NULL AS BIGINT) AS os, CAST(NULL AS BIGINT) AS oe, CAST(NULL AS VARCHAR) AS osp, CAST(NULL AS VARCHAR) AS ot FROM ln WHERE n = 1
+  UNION ALL SELECT doc_id, n, x.c.s, x.c.e, x.c.sp, x.c.t, x.p.s, x.p.e, x.p.sp, x.p.t, x.o.s, x.o.e, x.o.sp, x.o.t FROM (SELECT w.doc_id, r.n,
+    CASE WHEN f.fwd THEN row({JOIN('w.c', 'r.')}) ELSE row(r.s, r.e, r.sp, r.t) END::STRUCT(s BIGINT, e BIGINT, sp VARCHAR, t VARCHAR) AS c,
+    CASE WHEN f.fwd THEN row(w.ps, w.pe, w.psp, w.pt) WHEN f.back THEN row({JOIN('w.p', 'w.c')}) ELSE row(w.cs, w.ce, w.csp, w.ct) END::STRUCT(s BIGINT, e BIGINT, sp VARCHAR, t VARCHAR) AS p,
+    CASE WHEN f.fwd OR f.back THEN row(NULL, NULL, NULL, NULL) ELSE row(w.ps, w.pe, w.psp, w.pt) END::STRUCT(s BIGINT, e BIGINT, sp VARCHAR, t VARCHAR) AS o
+    FROM sw w JOIN ln r ON r.doc_id = w.doc_id AND r.n = w.n + 1,
+    LATERAL (SELECT w.ce - w.cs < 2500 AND {NEAR.format(a='w.c', b='r.')} AS fwd, w.ps IS NOT NULL AND w.ce - w.cs < 2500 AND {NEAR.format(a='w.p', b='w.c')} AS back) f) x),
+se AS (SELECT sw.*, ps IS NOT NULL AND ce - cs < 2500 AND {NEAR.format(a='p', b='c')} AS back FROM sw JOIN (SELECT doc_id, max(n) AS n FROM ln GROUP BY doc_id) USING (doc_id, n)),
+short_lines AS MATERIALIZED (SELECT doc_id, os AS s, oe AS e, osp AS sp, ot AS t FROM sw WHERE os IS NOT NULL
+  UNION ALL SELECT doc_id, ps, pe, psp, pt FROM se WHERE ps IS NOT NULL AND NOT back
+  UNION ALL SELECT doc_id, cs, ce, csp, ct FROM se WHERE NOT back
+  UNION ALL SELECT doc_id, {JOIN('p', 'c')} FROM se WHERE back)"""
+
+
+@query("short_line_merge", rcte(DOC_LINES, SHORT) + "SELECT doc_id, s AS start_ms, e AS end_ms, sp AS speaker, t AS text FROM short_lines")
 def short_line_merge(spark, sf):
-    """Short lines merged forward, else backward, consuming the merged result (a fold: no SQL twin)."""
+    """Short lines merged forward, else backward, consuming the merged result."""
     d = doc_lines(spark, sf).select("doc_id", "idx", F.col("txt").alias("text"), "speaker", "start_ms", "end_ms")
     return sequence.merge_short(d, ["doc_id"], "idx", F.floor(F.col("start_ms") / 3_600_000))
 
 
-@query("training_chunks")
+# Lines of a document follow each other, so they lie inside speech regions (nothing to clamp) and gaps are silent.
+CHUNKS = SHORT + f""",
+it AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, e) AS n FROM short_lines),
+cw AS (SELECT doc_id, n, s AS cs, e AS ce, sp AS csp, t AS ct, CAST(NULL AS BIGINT) AS os, CAST(NULL AS BIGINT) AS oe, CAST(NULL AS VARCHAR) AS osp, CAST(NULL AS VARCHAR) AS ot FROM it WHERE n = 1
+  UNION ALL SELECT doc_id, n, x.c.s, x.c.e, x.c.sp, x.c.t, x.o.s, x.o.e, x.o.sp, x.o.t FROM (SELECT w.doc_id, r.n,
+    CASE WHEN f.fits THEN row({JOIN('w.c', 'r.')}) ELSE row(r.s, r.e, r.sp, r.t) END::STRUCT(s BIGINT, e BIGINT, sp VARCHAR, t VARCHAR) AS c,
+    CASE WHEN f.fits THEN row(NULL, NULL, NULL, NULL) ELSE row(w.cs, w.ce, w.csp, w.ct) END::STRUCT(s BIGINT, e BIGINT, sp VARCHAR, t VARCHAR) AS o
+    FROM cw w JOIN it r ON r.doc_id = w.doc_id AND r.n = w.n + 1,
+    LATERAL (SELECT r.e - w.cs <= 18000 AND ((w.csp <> '' AND w.csp = r.sp AND r.s - w.ce <= 1500) OR r.s - w.ce <= 200) AS fits) f) x),
+ch AS (SELECT doc_id, os AS s, oe AS e, osp AS sp, ot AS t FROM cw WHERE os IS NOT NULL
+  UNION ALL SELECT doc_id, cs, ce, csp, ct FROM cw JOIN (SELECT doc_id, max(n) AS n FROM it GROUP BY doc_id) USING (doc_id, n)),
+pt AS (SELECT *, unnest(range(k)) AS i FROM (SELECT *, CAST(greatest(ceil((e - s) / 30000.0), 1) AS BIGINT) AS k, regexp_split_to_array(t, '\\s+') AS w FROM ch)),
+pp AS (SELECT doc_id, sp, s + (e - s) * i // k AS ps, s + (e - s) * (i + 1) // k AS pe, CASE WHEN k = 1 THEN t ELSE coalesce(nullif(array_to_string(
+   w[i * greatest(1, len(w) // k) + 1 : CASE WHEN i = k - 1 THEN len(w) ELSE (i + 1) * greatest(1, len(w) // k) END], ' '), ''), t) END AS t FROM pt)"""
+
+
+@query("training_chunks", rcte(DOC_LINES, CHUNKS) + "SELECT doc_id, ps AS start_ms, pe AS end_ms, sp AS speaker, t AS text FROM pp WHERE pe > ps AND trim(t) <> ''")
 def training_chunks(spark, sf):
-    """Clamp, merge, bridge and split document lines into chunks (a fold: no SQL twin)."""
+    """Clamp, merge, bridge and split document lines into chunks."""
     d = doc_lines(spark, sf).select("doc_id", "idx", F.col("txt").alias("text"), "speaker", "start_ms", "end_ms")
     segs = d.select("doc_id", "speaker", "start_ms", "end_ms")
     return sequence.build_chunks(d, segs, ["doc_id"], "idx", 3_600_000, width=3_600_000)

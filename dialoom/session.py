@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,3 +76,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+_SCRATCH: dict[str, str] = {}
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder for files of this session in the shared folder `spark.checkpoint.dir`; Spark removes it at its end."""
+    app = spark.sparkContext.applicationId
+    if app not in _SCRATCH:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if base is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="dialoom-files-", dir=os.environ.get("TMPDIR", "/tmp"))
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/files-{uuid.uuid4().hex}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _SCRATCH[app] = path.toString()
+    return f"{_SCRATCH[app]}/{uuid.uuid4().hex}"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dialoom.functions import fixed, text
+from dialoom.operators import slabs
 
 ASR_SCHEMA = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("sample_id", "parent_audio_id", "audio_path", "rttm_path", "data_name",
@@ -24,10 +25,15 @@ def recording_of(path: Column) -> Column:
 
 
 def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Text lines with their file and byte-independent position (`line_no` is the order inside the file)."""
+    """Text lines with their file and their number in it, from 0, however the file is split among tasks.
+
+    Rows are counted inside each split, and the counts of a file's splits are summed up in their order.
+    """
     df = spark.read.text(path if isinstance(path, str) else list(path))
-    return df.select(F.col("_metadata.file_path").alias("path"), "value",
-                     F.monotonically_increasing_id().alias("line_no"))
+    df = df.select(F.col("_metadata.file_path").alias("path"), "value", F.col("_metadata.file_block_start").alias(slabs.SLAB),
+                   F.monotonically_increasing_id().alias("_seen"))
+    d = slabs.running_sums(df, ["path"], ["_seen"], {"line_no": F.lit(1).cast("long")})
+    return d.select("path", "value", (F.col("line_no") - 1).alias("line_no"))
 
 
 def _ms(c: Column) -> Column:
@@ -71,7 +77,7 @@ BRACKETED = r"^\[([\d.]+)s\s*-\s*([\d.]+)s\]\s*([^:]+):\s*(.*)$"
 
 def read_bracketed(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """`[1.0s - 2.0s] speaker: text` lines; anything else is dropped."""
-    raw = read_lines(spark, path).withColumn("v", F.trim("value")).filter(F.col("v").rlike(BRACKETED))
+    raw = read_lines(spark, path).withColumn("v", text.strip(F.col("value"))).filter(F.col("v").rlike(BRACKETED))
     part = lambda i: F.regexp_extract("v", BRACKETED, i)
     return (raw.select("path", F.col("line_no").alias("source_idx"), recording_of(F.col("path")).alias("recording_id"),
                        _ms(part(1)).alias("start_ms"), _ms(part(2)).alias("end_ms"),
@@ -101,13 +107,13 @@ def write_asr_csv(df: DataFrame, path: str) -> None:
 
 def quality_gate(raw: DataFrame) -> DataFrame:
     """ASR rows with `ok`: text present and no artifact, times castable. Speaker falls back to the data-name suffix."""
-    txt = F.trim(F.coalesce("predicted_text", F.lit("")))
+    txt = text.strip(F.coalesce("predicted_text", F.lit("")))
     start = F.coalesce(F.col("start"), F.lit("0.0"))
     s, e = start.try_cast("double"), F.coalesce(F.col("end"), start).try_cast("double")
     ok = (txt != "") & ~text.is_asr_artifact(txt) & s.isNotNull() & e.isNotNull()
     return raw.withColumns({
         "text": txt, "start_ms": F.round(s * 1000).cast("long"), "end_ms": F.round(e * 1000).cast("long"),
-        "speaker": F.coalesce(F.nullif(F.trim("speaker"), F.lit("")), text.speaker_of_name(F.col("data_name"))), "ok": ok})
+        "speaker": F.coalesce(F.nullif(text.strip(F.col("speaker")), F.lit("")), text.speaker_of_name(F.col("data_name"))), "ok": ok})
 
 
 def gate_counters(gated: DataFrame) -> DataFrame:
@@ -118,7 +124,7 @@ def gate_counters(gated: DataFrame) -> DataFrame:
 def legacy_summary_rows(asr: DataFrame) -> DataFrame:
     """ASR rows as (start, end, speaker, text), the speaker read from the data name, blank text dropped."""
     spk = F.regexp_extract("data_name", r"_([^_]+)$", 1)
-    return (asr.withColumn("text", F.trim("predicted_text")).filter("text <> ''")
+    return (asr.withColumn("text", text.strip(F.col("predicted_text"))).filter("text <> ''")
             .select("start", "end", F.when(spk != "", spk).otherwise("Unknown").alias("speaker"), "text"))
 
 

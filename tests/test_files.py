@@ -44,6 +44,43 @@ def test_transcript_jsonl(spark, tmp_path):
     assert [tuple(r) for r in transcripts.read_transcripts(spark, b).select("start_ms", "end_ms", "speaker", "text").collect()] == [(1000, 2500, "An", "xin chào")]
 
 
+def test_line_numbers_do_not_depend_on_splits(spark, tmp_path):
+    """Numbers, and with them the last duplicate of a metadata name, are those of the file for any split size."""
+    names = [f"data{i % 40}" for i in range(4000)]
+    a = put(tmp_path / "a" / "metadata.txt", "\n".join(f"{n} | class {i} é" for i, n in enumerate(names)))
+    put(tmp_path / "b" / "c.txt", "x\ny\n\nz")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    want = {n: f"class {i} é" for i, n in enumerate(names)}
+    try:
+        for size in ("1k", "7000", before):
+            spark.conf.set(key, size)
+            got = transcripts.read_lines(spark, a)
+            assert sorted((r["line_no"], r["value"]) for r in got.collect()) == [(i, f"{n} | class {i} é") for i, n in enumerate(names)]
+            assert {r["data_name"]: r["class_name"] for r in segments.read_metadata(spark, a).collect()} == want
+            two = transcripts.read_lines(spark, [a, str(tmp_path / "b" / "c.txt")]).filter(F.col("path").endswith("c.txt"))
+            assert sorted((r["line_no"], r["value"]) for r in two.collect()) == [(0, "x"), (1, "y"), (2, ""), (3, "z")]
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_white_space_of_any_kind_is_stripped(spark, tmp_path):
+    odd = "\u00a0\t xin chào \u2003\n"
+    df = asr(spark, [{"data_name": "d_An", "start": 0.0, "end": 1.0, "predicted_text": odd, "speaker": "\u00a0"}])
+    assert transcripts.quality_gate(df).first()["text"] == "xin chào" and transcripts.quality_gate(df).first()["speaker"] == "An"
+    assert transcripts.legacy_summary_rows(df).first()["text"] == "xin chào"
+    assert not transcripts.quality_gate(asr(spark, [{"start": 0.0, "end": 1.0, "predicted_text": "\u00a0\n"}])).first()["ok"]
+    b = put(tmp_path / "b.txt", "\u00a0[1.0s - 2.5s] An: xin chào\u00a0\n")
+    assert transcripts.read_bracketed(spark, b).first()["text"] == "xin chào"
+
+
+def test_equal_asr_rows_have_ids_of_their_own(spark):
+    row = {"start": 0.0, "end": 1.0, "speaker": "A", "predicted_text": "x"}
+    df = asr(spark, [row, row, row, {**row, "end": 2.0}, {**row, "predicted_text": None}])
+    ids = [sorted(r["line_id"] for r in store.asr_to_transcripts(d, F.lit(7)).collect()) for d in (df, df.repartition(3))]
+    assert ids[0] == ids[1] and len(set(ids[0])) == 5
+
+
 def asr(spark, rows):
     names = [f.name for f in transcripts.ASR_SCHEMA]
     base = dict.fromkeys(names)
@@ -95,6 +132,28 @@ def test_folder_scan(spark, tmp_path):
     assert {x["recording_id"] for x in folders.scan_segments(spark, root, dur, skip_unknown=True).collect()} == {"data1"}
 
 
+def test_all_sources(spark, tmp_path):
+    """The splits of the self-labelled root, forced buckets, and overlap mode, in which the metadata names the group only."""
+    from dialoom.functions import fixed
+    places = {f"self_{s}": tmp_path / "self" / f for f, s in fixed.SELF_LABELED_FOLDERS.items()} | {f"{k}_train": tmp_path / k for k in ("dubbed", "vivos")}
+    for place in places.values():
+        place.mkdir(parents=True)
+        tree(place)
+    put(places["self_val"] / "data3" / "mixture.wav", "x")                        # no text: not a recording
+    put(places["self_val"] / "data3" / "labeled" / "mixture.rttm", "SPEAKER data3 1 0 10 <NA> <NA> A <NA> <NA>\n")
+    dur = spark.createDataFrame([(p, n, 20_000) for p in places for n in ("data1", "data2", "data3")], "part string, data_name string, duration_ms bigint")
+    recs, smp = folders.scan_all(spark, str(tmp_path / "self"), dur, dubbed=str(tmp_path / "dubbed"), vivos=str(tmp_path / "vivos"), robustness="")
+    got = {(r["part"], r["recording_id"]): (r["class_name"], r["group_name"], r["bucket"], r["split_name"]) for r in recs.collect()}
+    assert set(got) == {(p, n) for p in places for n in ("data1", "data2")}
+    assert got["self_train", "data1"] == ("vif", "vif", "gold_real", "train") and got["self_val", "data2"] == ("data2", "data2", "silver_real", "val")
+    assert got["dubbed_train", "data1"] == ("vif", "vif", "silver_dubbed", "train")
+    assert got["vivos_train", "data1"] == ("vivos", "vif", "vivos", "train") and got["vivos_train", "data2"][1:3] == ("data2", "vivos")
+    n = {(r["part"], r["recording_id"]): r["count"] for r in smp.groupBy("part", "recording_id").count().collect()}
+    assert n == {(p, r): 2 if r == "data1" else 1 for p, r in got}
+    assert [x["bucket"] for x in curation.recordings(recs.select(F.col("recording_id").alias("data_name"), "audio_path", "duration_ms").limit(1),
+            segments.read_metadata(spark, str(places["self_train"] / "metadata.txt")), "self_labeled", "train", "special").collect()] == ["special"]
+
+
 def test_media(spark, tmp_path):
     for f in ("s/An/a.wav", "s/An/b.MP3", "s/Binh/c.wav", "s/root.wav", "s/note.txt", "t/Chi.wav"):
         put(tmp_path / f, "xx")
