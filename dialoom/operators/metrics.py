@@ -12,20 +12,17 @@ from pyspark.sql import types as T
 
 from dialoom.functions import text
 from dialoom.operators import assignment, spans
+from dialoom.operators.best_overlap import best_overlaps
 from dialoom.operators.spans import E, S
 from dialoom.session import cut_lineage
 
 FRAME_MS = 10
 
 
-def best_match(hyp: DataFrame, ref: DataFrame, keys: Sequence[str], bin_ms: int, min_ms: int = 500) -> DataFrame:
-    """Each hypothesis row with its most-overlapping reference row (earliest id on ties), null below the minimum."""
-    pairs = spans.overlap_join(hyp.select(*keys, "seg_id", S, E), ref.select(*keys, "seg_id", S, E), keys, bin_ms,
-                               min_overlap_ms=min_ms + 1)
-    best = pairs.groupBy(*keys, "seg_id").agg(
-        F.max_by(F.struct(F.col("r_seg_id").alias("ref_id"), "overlap_ms"),
-                 F.struct(F.col("overlap_ms"), -F.col("r_seg_id"))).alias("m"))
-    return hyp.join(best, [*keys, "seg_id"], "left").select(hyp["*"], "m.ref_id", "m.overlap_ms")
+def best_match(hyp: DataFrame, ref: DataFrame, keys: Sequence[str], width: int | None = None, min_ms: int = 500) -> DataFrame:
+    """Each hypothesis row with its most-overlapping reference row (smallest id on ties), null up to the minimum."""
+    best = best_overlaps(hyp, ref, keys, "seg_id", width, min_ms + 1)
+    return hyp.join(best, [*keys, "seg_id"], "left").select(hyp["*"], "ref_id", "overlap_ms")
 
 
 def majority_labels(pairs: DataFrame, keys: Sequence[str], left: str, right: str) -> DataFrame:

@@ -204,5 +204,5 @@ def neighbor_support(spark, sf):
   SELECT h.recording_id, h.seg_id AS hyp_id, k.ref_id, k.overlap_ms FROM hyp h LEFT JOIN k ON k.hyp_id = h.seg_id AND k = 1""")
 def best_overlap_match(spark, sf):
     from dialoom.operators.metrics import best_match
-    return best_match(hyp_events(spark, sf), seg_events(spark, sf), KEY, BIN_MS).select(
+    return best_match(hyp_events(spark, sf), seg_events(spark, sf), KEY).select(
         *KEY, F.col("seg_id").alias("hyp_id"), "ref_id", "overlap_ms")

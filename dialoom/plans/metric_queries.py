@@ -42,7 +42,7 @@ def hyp_ref_label_map(spark, sf):
   SELECT recording_id, speaker, ref_speaker, votes FROM b WHERE k = 1""")
 def speaker_majority_map(spark, sf):
     seg, _ = sliced(spark, sf)
-    m = metrics.best_match(hyp_events(spark, sf), seg, KEY, BIN_MS).filter("ref_id IS NOT NULL")
+    m = metrics.best_match(hyp_events(spark, sf), seg, KEY).filter("ref_id IS NOT NULL")
     ref = seg.select(*KEY, F.col("seg_id").alias("ref_id"), F.col("speaker").alias("ref_speaker"))
     return metrics.majority_labels(m.join(ref, [*KEY, "ref_id"]), KEY, "speaker", "ref_speaker")
 
