@@ -28,9 +28,24 @@ def merge_adjacent_lines(spark, sf):
     return sequence.merge_adjacent(doc_lines(spark, sf), ["doc_id"], "idx", width=3_600_000)
 
 
-@query("merged_text")
+CLEAN_LINES = [f"pc AS (SELECT doc_id, idx, {q.pre_clean('txt')} AS t FROM doc_lines)", *q.cleanup_steps("pc", "doc_id, idx", "t", "kc"),
+               f"cl AS MATERIALIZED (SELECT d.doc_id, d.idx, speaker, start_ms, end_ms, {q.sq('cleaned')} AS txt FROM doc_lines d JOIN kc USING (doc_id, idx))"]
+ISLANDS = RUN.format(src="cl", k="doc_id", i="idx", gap=1000).split("\nSELECT")[0]
+# each step cleans the text so far and the next line together; s1 to s4 are the steps of the cleaning
+MERGED = (f"""il AS MATERIALIZED (SELECT doc_id, isl, idx, txt, row_number() OVER (PARTITION BY doc_id, isl ORDER BY start_ms, end_ms, idx) AS n FROM r3),
+mw AS (SELECT doc_id, isl, n, idx, txt AS acc FROM il WHERE n = 1
+  UNION ALL SELECT w.doc_id, w.isl, r.n, w.idx, s4.x FROM mw w JOIN il r ON r.doc_id = w.doc_id AND r.isl = w.isl AND r.n = w.n + 1,
+  LATERAL (SELECT {q.pre_clean("w.acc || ' ' || r.txt")} AS x) s0,
+  LATERAL (SELECT string_split({q.sq('s0.x')}, ' ') AS x) s1,
+""" + r"""  LATERAL (SELECT list_filter(string_split(regexp_replace(array_to_string(list_filter(s1.x, lambda t, i: i = 1 OR lower(t) <> lower(s1.x[i-1])), ' '), '([.?!])\s+', '\1' || chr(1), 'g'), chr(1)), lambda p: p <> '') AS x) s2,
+  LATERAL (SELECT list_transform(s2.x, lambda y: lower(y)) AS x) s3,
+""" + f"""  LATERAL (SELECT {q.sq("array_to_string(list_filter(s2.x, lambda p, j: list_position(s3.x, lower(p)) = j), ' ')")} AS x) s4)""")
+
+
+@query("merged_text", "WITH RECURSIVE " + ",\n".join([DOC_LINES, *CLEAN_LINES, ISLANDS, MERGED])
+       + "\nSELECT doc_id, idx, n AS n_lines, acc AS txt FROM mw JOIN (SELECT doc_id, isl, max(n) AS n FROM il GROUP BY doc_id, isl) USING (doc_id, isl, n)")
 def merged_text(spark, sf):
-    """As merge_adjacent_lines with the merged text, re-cleaned at every step (a fold: no SQL twin)."""
+    """As merge_adjacent_lines with the merged text, re-cleaned at every step."""
     d = doc_lines(spark, sf).withColumn("txt", text.clean_line(F.col("txt")))
     return sequence.merge_adjacent(d, ["doc_id"], "idx", width=3_600_000, text_col="txt").select("doc_id", "idx", "n_lines", "txt")
 
@@ -143,9 +158,16 @@ def reuse_quota(spark, sf):
     return dedup.keep_first(li, ["l_partkey"], ["l_orderkey", "l_linenumber"], 2).drop("l_partkey")
 
 
-@query("reuse_quota_sets")
+# The walk carries how often each part has been used, as a list by part number (from 0).
+QUOTA = """o AS MATERIALIZED (SELECT l_orderkey AS sample, list(DISTINCT l_partkey) AS ids, row_number() OVER (ORDER BY l_orderkey) AS n FROM lineitem GROUP BY l_orderkey),
+uw AS (SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS sample, false AS ok, list_transform(range((SELECT max(l_partkey) + 1 FROM lineitem)), lambda i: 0::TINYINT) AS used
+  UNION ALL SELECT o.n, o.sample, f.ok, CASE WHEN f.ok THEN list_transform(w.used, lambda c, i: CASE WHEN list_contains(o.ids, i - 1) THEN (c + 1)::TINYINT ELSE c END) ELSE w.used END
+  FROM uw w JOIN o ON o.n = w.n + 1, LATERAL (SELECT len(list_filter(o.ids, lambda p: w.used[p + 1] >= 2)) = 0 AS ok) f)"""
+
+
+@query("reuse_quota_sets", rcte(QUOTA) + "SELECT CAST(sample AS BIGINT) AS sample FROM uw WHERE ok")
 def reuse_quota_sets(spark, sf):
-    """Several base ids per row (the parts of an order); a sequential rule across shared ids: no SQL twin."""
+    """Several base ids per row (the parts of an order); a sequential rule across shared ids."""
     li = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").cast("long").alias("sample")).agg(
         F.collect_set(F.col("l_partkey").cast("string")).alias("ids"))
     return dedup.reuse_quota(li, "ids", "sample").select("sample")
