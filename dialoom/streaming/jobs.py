@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,11 +15,43 @@ from dialoom.operators import jumps
 LOCK_AFTER, LOCK_MINUTES, COOLDOWN_SEC, RETENTION_DAYS = 5, 15, 60, 3  # fixed values
 
 
-def latest_status(events: DataFrame, key: str = "job_id") -> DataFrame:
-    """Latest status per job (update or complete mode); works on a batch table as well."""
+def latest_status(events: DataFrame, key: str = "job_id", ttl_days: float | None = None, final: Sequence[str] = (), late: str = "1 hour") -> DataFrame:
+    """Latest status per job (update or complete mode); works on a batch table as well.
+
+    With `ttl_days` a stream (update mode) forgets a job that long after its last event, and one with a `final` status as soon
+    as no earlier event can arrive any more."""
+    if events.isStreaming and ttl_days is not None:
+        return _latest(events, key, "status", ttl_days, final, late).select(key, F.col("value").alias("status"), F.col("ts").alias("updated_at"))
     return events.groupBy(key).agg(F.max_by(F.struct("status", "ts"), F.struct("ts", "event_id")).alias("l")).select(key, "l.status", F.col("l.ts").alias("updated_at"))
 
 
+def _latest(events: DataFrame, key: str, value: str, ttl_days: float, final: Sequence[str], late: str) -> DataFrame:
+    """key, value, ts whenever a key's latest event (by time, then event id) changes; keys leave the state by event time."""
+    out = T.StructType([events.schema[key], T.StructField("value", T.StringType()), T.StructField("ts", T.TimestampType())])
+    kept = T.StructType([T.StructField("value", T.StringType()), T.StructField("us", T.LongType()), T.StructField("event_id", T.LongType())])
+    ttl, final = int(ttl_days * 86_400_000), set(final)
+
+    def step(k, batches: Iterator[pd.DataFrame], st: GroupState) -> Iterator[pd.DataFrame]:
+        if st.hasTimedOut:
+            st.remove()
+            return
+        had = st.get if st.exists else None
+        best = had
+        for pdf in batches:
+            for v, t, i in zip(pdf[value], pdf["ts"], pdf["event_id"]):
+                us = int(pd.Timestamp(t).value // 1000)
+                if best is None or (us, i) > best[1:]:
+                    best = (v, us, int(i))
+        st.update(best)
+        due = best[1] // 1000 + (1 if best[0] in final else ttl)
+        st.setTimeoutTimestamp(max(due, st.getCurrentWatermarkMs() + 1))
+        if best != had:
+            yield pd.DataFrame({key: [k[0]], "value": [best[0]], "ts": [pd.Timestamp(best[1], unit="us", tz="UTC")]})
+
+    return (events.withWatermark("ts", late).groupBy(key)
+            .applyInPandasWithState(step, out, kept, "update", GroupStateTimeout.EventTimeTimeout))
+
+
 def lock_step(state: dict, us: int, window: int, limit: int) -> tuple[int, int] | None:
     """One failure at `us`: refused while the lock stands, else counted; (first, expiry) when it makes the lock."""
     n, last = state.get("n", 0), state.get("last", 0)
@@ -127,8 +159,14 @@ def purge_due(flags: DataFrame, key: str = "job_id", days: int = RETENTION_DAYS,
             .applyInPandasWithState(step, out, state, "append", GroupStateTimeout.EventTimeTimeout))
 
 
-def flag_state(flags: DataFrame, key: str = "job_id") -> DataFrame:
-    """Soft delete and restore as the last event of a key (update or complete mode)."""
+def flag_state(flags: DataFrame, key: str = "job_id", ttl_days: float | None = None, late: str = "1 hour") -> DataFrame:
+    """Soft delete and restore as the last event of a key (update or complete mode).
+
+    With `ttl_days` a stream (update mode) forgets a key that long after its last event, and a restored one as soon as no earlier
+    event can arrive any more."""
+    if flags.isStreaming and ttl_days is not None:
+        got = _latest(flags, key, "action", ttl_days, ("restore",), late)
+        return got.select(key, (F.col("value") == "delete").alias("is_deleted"), F.col("ts").alias("changed_at"))
     return flags.groupBy(key).agg(F.max_by(F.struct("action", "ts"), F.struct("ts", "event_id")).alias("l")).select(
         key, (F.col("l.action") == "delete").alias("is_deleted"), F.col("l.ts").alias("changed_at"))
 

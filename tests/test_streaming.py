@@ -44,6 +44,38 @@ def test_flag_state(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, fn(spark.createDataFrame(rows, SCHEMA)).collect()))
 
 
+def state_rows(spark, tmp_path, rows, build):
+    """Updates of a stream over one file a batch, and how many keys the state holds after each batch."""
+    src, seen = str(tmp_path / "in"), []
+    for some in rows:
+        spark.createDataFrame(some, SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    s = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+    q = build(s).writeStream.foreachBatch(lambda df, i: seen.extend(map(tuple, df.collect()))).outputMode("update").option(
+        "checkpointLocation", str(tmp_path / "ck")).start()
+    try:
+        q.processAllAvailable()
+        return seen, [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    finally:
+        q.stop()
+
+
+def test_state_of_silent_and_finished_keys_goes(spark, tmp_path):
+    """Latest values equal the batch table; a day after its last event, or once done, a key is forgotten."""
+    t, hour = datetime(2024, 1, 1, tzinfo=timezone.utc), timedelta(hours=1)
+    rows = [[(1, 0, "PENDING", "delete", t), (2, 1, "DONE", "restore", t), (3, 2, "PENDING", "delete", t + hour)],
+            [(1, 4, "RUNNING", "delete", t + hour), (1, 3, "PENDING", "restore", t + hour / 2), (3, 5, "DONE", "restore", t + 2 * hour)],
+            [(9, 6, "DONE", "restore", t + 10 * hour)], [(9, 7, "DONE", "restore", t + 40 * hour)], [(9, 8, "DONE", "restore", t + 80 * hour)],
+            [(9, 9, "DONE", "restore", t + 120 * hour)]]
+    flat = spark.createDataFrame([r for some in rows for r in some], SCHEMA)
+    seen, held = state_rows(spark, tmp_path, rows, lambda s: jobs.latest_status(s, "user_id", 1, ("DONE",)))
+    last = {k: (v, ts) for k, v, ts in seen}
+    assert last == {r["user_id"]: (r["status"], r["updated_at"]) for r in jobs.latest_status(flat, "user_id").collect()}
+    assert max(held) >= 3 and held[-1] <= 1
+    seen, held = state_rows(spark, tmp_path / "f", rows, lambda s: jobs.flag_state(s, "user_id", 1))
+    assert {k: (v, ts) for k, v, ts in seen} == {r["user_id"]: (r["is_deleted"], r["changed_at"]) for r in jobs.flag_state(flat, "user_id").collect()}
+    assert max(held) >= 3 and held[-1] <= 1
+
+
 def test_lockouts(spark, tmp_path):
     rows = events(3, 80)
     closer = (9, 999, "x", "delete", rows[-1][4] + timedelta(days=2))  # moves the watermark past all sessions
