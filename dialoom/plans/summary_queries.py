@@ -8,7 +8,7 @@ from dialoom.functions import fixed, text, validate
 from dialoom.operators import dedup, sequence, summary
 from dialoom.plans import sqltext as q
 from dialoom.plans.registry import query
-from dialoom.plans.sequence_queries import BLOCKS, rcte
+from dialoom.plans.sequence_queries import BLOCKS, CLEAN_LINES, ISLANDS, MERGED, rcte
 from dialoom.plans.views import DOC_LINES, LINES, cte, doc_lines, lines, table
 
 DOC = ["doc_id"]
@@ -125,13 +125,26 @@ def meeting_documents(spark, sf):
                     F.size("speakers").alias("n_speakers"), F.size("cleaned_transcript").alias("n_lines"))
 
 
-@query("summary_counters")
+# The lines of the rule path: cleaned, without fillers, merged with their neighbours, then packed into blocks.
+KEPT_LINES = [*CLEAN_LINES, f"kl AS MATERIALIZED (SELECT * FROM cl WHERE length(txt) >= 2 AND trim(lower(txt), ' .,!?:;-') NOT IN (SELECT unnest({q.lst(fixed.FILLERS)})))"]
+RULE_LINES = [DOC_LINES, *KEPT_LINES, ISLANDS.replace("FROM cl ", "FROM kl "), MERGED,
+              """ml AS MATERIALIZED (SELECT t.doc_id, t.idx, x.speaker, x.start_ms, x.end_ms, t.txt FROM (SELECT doc_id, isl, idx, acc AS txt FROM mw JOIN (SELECT doc_id, isl, max(n) AS n FROM il GROUP BY 1, 2) USING (doc_id, isl, n)) t
+  JOIN (SELECT doc_id, isl, any_value(speaker) AS speaker, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM r3 GROUP BY 1, 2) x USING (doc_id, isl))""",
+              BLOCKS.replace("FROM doc_lines", "FROM ml")]
+
+
+@query("summary_counters", rcte(*RULE_LINES) + """SELECT doc_id, count(DISTINCT block_id) AS normalize_rule_blocks, CAST(0 AS BIGINT) AS normalize_model_blocks, count(DISTINCT block_id) AS summary_rule_blocks, CAST(0 AS BIGINT) AS summary_model_blocks
+  FROM walk GROUP BY doc_id""")
 def summary_counters(spark, sf):
     _, s = _summaries(spark, sf)
     return summary.pipeline_counters(s, DOC)
 
 
-@query("repaired_summaries")
+# An answer that is no JSON has nothing usable; else the type falls back to other, a missing overview to the first key point,
+# and an unknown status to open.
+@query("repaired_summaries", cte("cv AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations)", *q.cleanup_steps("cv", "conv_id, turn, role", "text", "rc")) + """
+  SELECT conv_id, turn, CASE WHEN turn % 4 <> 3 AND turn % 2 = 0 THEN 'planning' ELSE 'other' END AS segment_type, CASE WHEN turn % 4 = 3 THEN '' WHEN cleaned <> '' THEN cleaned ELSE role END AS overview,
+    CASE WHEN turn % 4 = 3 THEN 0 WHEN cleaned <> '' THEN 2 ELSE 1 END AS n_points, CASE WHEN turn % 4 <> 3 AND cleaned <> '' THEN 'open' END AS status, turn % 4 = 3 AS severe FROM rc""")
 def repaired_summaries(spark, sf):
     """Model-like answers of uneven quality built from turns, repaired to the block summary schema."""
     c = table(spark, sf, "conversations")
