@@ -109,9 +109,24 @@ def _summaries(spark, sf):
     return summary.summarize(d, DOC, "idx", F.floor(F.col("start_ms") / 3_600_000), width=3_600_000)
 
 
-@query("block_summaries")
+# The lines of the rule path: cleaned, without fillers, merged with their neighbours, then packed into blocks.
+KEPT_LINES = [*CLEAN_LINES, f"kl AS MATERIALIZED (SELECT * FROM cl WHERE length(txt) >= 2 AND trim(lower(txt), ' .,!?:;-') NOT IN (SELECT unnest({q.lst(fixed.FILLERS)})))"]
+RULE_LINES = [DOC_LINES, *KEPT_LINES, ISLANDS.replace("FROM cl ", "FROM kl "), MERGED,
+              """ml AS MATERIALIZED (SELECT t.doc_id, t.idx, x.speaker, x.start_ms, x.end_ms, t.txt FROM (SELECT doc_id, isl, idx, acc AS txt FROM mw JOIN (SELECT doc_id, isl, max(n) AS n FROM il GROUP BY 1, 2) USING (doc_id, isl, n)) t
+  JOIN (SELECT doc_id, isl, any_value(speaker) AS speaker, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM r3 GROUP BY 1, 2) x USING (doc_id, isl))""",
+              BLOCKS.replace("FROM doc_lines", "FROM ml")]
+
+
+PARTS = f"""bn AS MATERIALIZED (SELECT n.doc_id, w.block_id, n.pos, n.speaker, n.txt FROM n JOIN walk w USING (doc_id, pos)),
+ac AS (SELECT doc_id, block_id, least(count(DISTINCT lower(speaker || chr(1) || {q.sq('txt')})), 6) AS n_actions FROM bn WHERE length({q.sq('txt')}) >= 8 AND {q.has_word('txt', fixed.ACTION_WORDS)} GROUP BY 1, 2),
+sb AS MATERIALIZED (SELECT doc_id, block_id, speaker, min(pos) AS f, string_agg(txt, ' ' ORDER BY pos) AS blob FROM bn GROUP BY 1, 2, 3),
+sr AS (SELECT doc_id, block_id, count(*) AS n_speakers, string_agg(role, ',' ORDER BY f) AS roles FROM (SELECT *, {q.role('blob')} AS role, row_number() OVER (PARTITION BY doc_id, block_id ORDER BY f) AS k FROM sb) WHERE k <= 6 GROUP BY 1, 2)"""
+
+
+@query("block_summaries", rcte(*RULE_LINES, FEATURES, PARTS) + f"""SELECT doc_id, block_id, kind AS segment_type, {q.overview('kind', 'tags')} AS overview, CAST(coalesce(n_actions, 0) AS INTEGER) AS n_actions,
+   CAST(sr.n_speakers AS INTEGER) AS n_speakers, roles, CAST(score AS INTEGER) AS score FROM sc LEFT JOIN ac USING (doc_id, block_id) JOIN sr USING (doc_id, block_id)""")
 def block_summaries(spark, sf):
-    """The whole rule path up to block summaries (folds inside: no SQL twin)."""
+    """The whole rule path up to block summaries."""
     _, s = _summaries(spark, sf)
     return s.select("doc_id", "block_id", "segment_type", "overview", F.size("action_items").alias("n_actions"), F.size("speaker_insights").alias("n_speakers"),
                     F.array_join(F.transform("speaker_insights", lambda x: x["role_in_block"]), ",").alias("roles"), "score")
@@ -125,14 +140,6 @@ def meeting_documents(spark, sf):
                     F.size("speakers").alias("n_speakers"), F.size("cleaned_transcript").alias("n_lines"))
 
 
-# The lines of the rule path: cleaned, without fillers, merged with their neighbours, then packed into blocks.
-KEPT_LINES = [*CLEAN_LINES, f"kl AS MATERIALIZED (SELECT * FROM cl WHERE length(txt) >= 2 AND trim(lower(txt), ' .,!?:;-') NOT IN (SELECT unnest({q.lst(fixed.FILLERS)})))"]
-RULE_LINES = [DOC_LINES, *KEPT_LINES, ISLANDS.replace("FROM cl ", "FROM kl "), MERGED,
-              """ml AS MATERIALIZED (SELECT t.doc_id, t.idx, x.speaker, x.start_ms, x.end_ms, t.txt FROM (SELECT doc_id, isl, idx, acc AS txt FROM mw JOIN (SELECT doc_id, isl, max(n) AS n FROM il GROUP BY 1, 2) USING (doc_id, isl, n)) t
-  JOIN (SELECT doc_id, isl, any_value(speaker) AS speaker, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM r3 GROUP BY 1, 2) x USING (doc_id, isl))""",
-              BLOCKS.replace("FROM doc_lines", "FROM ml")]
-
-
 @query("summary_counters", rcte(*RULE_LINES) + """SELECT doc_id, count(DISTINCT block_id) AS normalize_rule_blocks, CAST(0 AS BIGINT) AS normalize_model_blocks, count(DISTINCT block_id) AS summary_rule_blocks, CAST(0 AS BIGINT) AS summary_model_blocks
   FROM walk GROUP BY doc_id""")
 def summary_counters(spark, sf):
