@@ -1,17 +1,20 @@
-"""Language-model scores from an n-gram trie in Elias-Fano form.
+"""Language-model scores from an n-gram trie in Elias-Fano form, cut into shards by the middle word.
 
-Counting covers all training documents and is level-wise: words; then pairs of *frequent* words; then triples whose two
-pairs were kept. A word, pair or triple is kept if it makes up at least 1/`fineness` of the training tokens and is seen
-twice (so a level has at most `fineness` entries, whatever the corpus); the mass of what is not kept goes to the
-next shorter context, so probabilities still sum to one. Everything counted is shuffled and summed by Spark; only the
-kept entries, whose number is bounded, reach the driver, which writes the trie file.
+Training counts every word, and keeps every pair and triple that is seen `MIN_COUNT` times or more: a fixed number, so what
+the model holds grows with the corpus. A token w behind u v asks for the pair (v, w), the context (u, v) and the triple
+(u, v, w). All three have v in the middle, so tokens are dealt out by v once; a shard counts its own part of the model,
+builds its trie and answers its own tokens. A shard holds about `shard_tokens` tokens. A word seen more often than that is
+split by the word before it; such words have their pairs counted beforehand, and each part is given those counts.
 
-The trie file: level 1 has exact counts and quantised back-off weights by word number, and pointers to each word's
-successors (Elias-Fano). Levels 2 and 3 have the keys (context, successor) as Elias-Fano segments with quantised
-smoothed log probabilities. A level-3 successor is stored relative to its context: as its rank among the successors of
-the middle word. Workers map the file into memory; a batch asks for its distinct pairs in order, segment by segment.
+A shard's trie has its words, the successors of each word, its predecessors, and under each predecessor the triples, all
+as Elias-Fano segments in one memory-mapped block. Pointers into the successors are monotone (Elias-Fano), a triple's last
+word is stored relative to its context: as its rank among the successors of the middle word. Discounted probabilities and
+back-off weights are quantised logarithms on a fixed scale, so scores don't depend on how words fall into shards. Lookups
+take a shard's distinct keys in order, segment by segment.
 
-Words outside level 1 are scored exactly too: they are joined with the table of all word counts.
+p(w | u v) = a3 + b2 (a2 + b1 p(w)): discounted shares of the triple and the pair, back-off masses of (u v) and v, and the
+base probability of w. Frequent words are written as numbers (at most `fineness`, broadcast) and rarer ones as hashes; that
+only saves space. The counts of rarer words are joined, and shares that belong to one are finished there.
 
 Defined cases: null and empty texts are just the end token; rows that repeat count and are scored each; a null id is
 taken as the empty text for the held-out rule; with no training tokens all counts are 0; other columns are ignored.
@@ -19,34 +22,37 @@ taken as the empty text for the held-out rule; with no training tokens all count
 
 from __future__ import annotations
 
-import json
-import os
-import tempfile
-import uuid
+import mmap
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark import SparkFiles
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import LOWER, arrow_map, text_bytes, texts, whole_partition, written
+from dialoom.llm.common import LOWER, arrow_map, mixed, text_bytes, texts, whole_partition, written
 from dialoom.llm.token_files import EliasFano
 
 END = b"\n"                    # no word has white space
 SEGMENT = 65_536
-CHUNK = 2_000_000              # tokens counted or scored together
+CHUNK = 2_000_000              # tokens dealt out together
 DISCOUNT = 0.75
+MIN_COUNT = 2
+STEPS = 4096                   # quantised logs: steps of 1/4096 down to -16
+UNITS = 1 << 24                # sums of logs are exact in these units
+NOTHING = np.int64(1 << 62)    # in place of the word before a document's first
 REMEMBERED = 1_000_000
 
 
 def word_key(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, 11)
+    """63 bits; a word without a number is written as -1 - key."""
+    return xxhash.xxh64_intdigest(word, 11) >> 1
 
 
 def signed(keys) -> np.ndarray:
-    return np.array(keys, np.uint64).view(np.int64)
+    return np.array(keys, np.int64)
 
 
 # ---- counting -------------------------------------------------------------------------------------------------------
@@ -113,7 +119,7 @@ def encoded(rows: DataFrame, words: np.ndarray) -> DataFrame:
 
 
 def chunks(batches):
-    """Documents of batches in runs of about CHUNK tokens: (slices of batches, word numbers, document starts)."""
+    """Documents of batches in runs of about CHUNK tokens: (slices of batches, word numbers or hashes, document starts)."""
     for batch in batches:
         sizes = np.array([len(x) // 4 for x in batch.column("ids").to_pylist()], np.int64)
         lo = 0
@@ -121,6 +127,7 @@ def chunks(batches):
             hi = lo + max(1, int(np.searchsorted(np.cumsum(sizes[lo:]), CHUNK, "right")))
             part = batch.slice(lo, hi - lo)
             ids = np.frombuffer(b"".join(part.column("ids").to_pylist()), "<i4").astype(np.int64)
+            ids[ids < 0] = -1 - np.asarray(part.column("rare").flatten(), np.int64)
             yield part, ids, np.cumsum(sizes[lo:hi]) - sizes[lo:hi]
             lo = hi
 
@@ -133,38 +140,107 @@ def before(ids: np.ndarray, starts: np.ndarray, first: int) -> np.ndarray:
     return out
 
 
-def key_counts(table: DataFrame, keys_of) -> DataFrame:
-    """(key, n) over training documents; keys are counted per chunk before the shuffle."""
+# ---- tokens dealt out by the middle word ----------------------------------------------------------------------------
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of longs, byte by byte of their entries, compressed."""
+    planes = [np.ascontiguousarray(a.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def unpacked(raw: bytes, n: int) -> list[np.ndarray]:
+    """The arrays of one packed record, `n` of them."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(n, 8, -1)
+    return [np.ascontiguousarray(p.T).view("<i8").ravel() for p in planes]
+
+
+class Deal:
+    """Which shard a token belongs to: by the middle word, and by the word before it as well where that is a hot one."""
+
+    def __init__(self, shards: int, hot: np.ndarray, parts: np.ndarray):
+        self.shards, self.hot, self.parts = shards, hot, parts
+        self.first = shards + np.cumsum(parts) - parts
+
+    def shard(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        out = (mixed(v.view(np.uint64)) % np.uint64(self.shards)).astype(np.int64)
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, v), len(self.hot) - 1)
+            is_hot = np.flatnonzero(self.hot[at] == v)
+            at = at[is_hot]
+            out[is_hot] = self.first[at] + (mixed(u[is_hot].view(np.uint64)) % self.parts[at].astype(np.uint64)).astype(np.int64)
+        return out
+
+
+def dealt(table: DataFrame, deal: Deal, end: int) -> DataFrame:
+    """(shard, chunk, rows, tokens): packed (u, v, w, document) of a chunk's tokens by shard; held-out documents are 2 d + 1."""
+    @whole_partition
+    def step(batches):
+        for part, ids, starts in chunks(batches):
+            rows = np.asarray(part.column("row"), np.int64)
+            held = np.asarray(part.column("held_out").to_pylist(), bool)
+            doc = np.repeat(np.arange(len(starts)) * 2 + held, np.diff(np.append(starts, len(ids))))
+            v = before(ids, starts, end)
+            u = before(v, starts, NOTHING)
+            shard = deal.shard(u, v)
+            order = np.lexsort((v, shard))
+            shard = shard[order]
+            edges = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                at = order[a:b]
+                used, d = np.unique(doc[at], return_inverse=True)
+                yield {"shard": [int(shard[a])], "chunk": [int(rows[0])], "rows": [packed(rows[used // 2], used % 2)],
+                       "tokens": [packed(u[at], v[at], ids[at], d)]}
+
+    kinds = {"shard": "long", "chunk": "long", "rows": "binary", "tokens": "binary"}
+    return arrow_map(table.select("row", "held_out", "ids", "rare"), step, kinds)
+
+
+def hot_pairs(table: DataFrame, deal: Deal, end: int) -> DataFrame:
+    """As `dealt`, chunk -1: the kept pairs of each hot word for every part of it, counted over training documents."""
+    hot = deal.hot
+
     @whole_partition
     def step(batches):
         for _, ids, starts in chunks(batches):
-            key, n = np.unique(keys_of(ids, starts), return_counts=True)
-            yield {"key": key, "n": n}
+            v = before(ids, starts, end)
+            mine = np.isin(v, hot)
+            v, w = v[mine], ids[mine]
+            order = np.lexsort((w, v))
+            v, w = v[order], w[order]
+            new = np.flatnonzero((np.diff(v, prepend=-1) != 0) | (np.diff(w, prepend=0) != 0) | (np.arange(len(v)) == 0))
+            yield {"v": v[new], "w": w[new], "n": np.diff(np.append(new, len(v)))}
 
-    return (arrow_map(table.where(~F.col("held_out")).select("ids"), step, {"key": "long", "n": "long"})
-            .groupBy("key").agg(F.sum("n").alias("n")))
+    counted = (arrow_map(table.where(~F.col("held_out")).select("ids", "rare"), step, {"v": "long", "w": "long", "n": "long"})
+               .groupBy("v", "w").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT))
+
+    @whole_partition
+    def spread(batches):
+        for batch in batches:
+            v, w, n = (np.asarray(batch.column(c), np.int64) for c in ("v", "w", "n"))
+            for x in np.unique(v):
+                k, mine = int(np.searchsorted(hot, x)), v == x
+                record = packed(v[mine], w[mine], n[mine])
+                for s in range(int(deal.first[k]), int(deal.first[k] + deal.parts[k])):
+                    yield {"shard": [s], "chunk": [-1], "rows": [b""], "tokens": [record]}
+
+    return arrow_map(counted, spread, {"shard": "long", "chunk": "long", "rows": "binary", "tokens": "binary"})
 
 
 # ---- trie -----------------------------------------------------------------------------------------------------------
 
-def write_arrays(path: str, arrays: dict[str, np.ndarray]) -> None:
+def map_arrays(arrays: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Arrays laid out behind each other in one memory-mapped block, and views of them there."""
     head, at = {}, 0
     for name, a in arrays.items():
-        head[name] = (a.dtype.str, len(a), at)
+        head[name] = (a.dtype.str, a.nbytes, at)
         at += -(-a.nbytes // 8) * 8
-    raw = json.dumps(head).encode()
-    raw += b" " * (-len(raw) % 8)
-    with open(path, "wb") as f:
-        f.write(len(raw).to_bytes(8, "little") + raw)
-        for a in arrays.values():
-            f.write(a.tobytes() + bytes(-a.nbytes % 8))
-
-
-def map_arrays(path: str) -> dict[str, np.ndarray]:
-    raw = np.memmap(path, np.uint8, "r")
-    size = int.from_bytes(raw[:8].tobytes(), "little")
-    head = json.loads(raw[8:8 + size].tobytes())
-    return {name: raw[8 + size + at:8 + size + at + n * np.dtype(kind).itemsize].view(kind) for name, (kind, n, at) in head.items()}
+    block = np.frombuffer(mmap.mmap(-1, max(at, 8)), np.uint8)
+    out = {}
+    for name, a in arrays.items():
+        kind, size, lo = head[name]
+        block[lo:lo + size] = np.ascontiguousarray(a).view(np.uint8).ravel()
+        out[name] = block[lo:lo + size].view(kind)
+    return out
 
 
 def pack_keys(name: str, keys: np.ndarray) -> dict[str, np.ndarray]:
@@ -213,173 +289,209 @@ class Keys:
         return out
 
 
-def coded(name: str, logs: np.ndarray) -> dict[str, np.ndarray]:
-    """Log values in 65,536 even steps."""
-    lo = float(logs.min()) if len(logs) else 0.0
-    step = max((float(logs.max()) - lo) / 65_535, 1e-12) if len(logs) else 1.0
-    return {f"{name}.scale": np.array([lo, step]), f"{name}.code": np.rint((logs - lo) / step).astype("<u2")}
-
+def coded(logs: np.ndarray) -> np.ndarray:
+    """Logarithms of shares in steps of 1/4096, from 0 down to -16."""
+    return np.clip(np.rint(-logs * STEPS), 0, 65_535).astype("<u2")
 
-class Trie:
-    """The mapped file."""
-
-    def __init__(self, path: str):
-        a = map_arrays(path)
-        self.size, self.total, self.kinds, self.end, self.spread = a["meta"].tolist()
-        self.counts = a["counts"]
-        self.pairs = Keys(a, "pairs")
-        self.triples = Keys(a, "triples") if "triples.first" in a else None
-        self.pointers = EliasFano(self.size + 1, int(a["pointers.width"][0]), a["pointers.low"].tobytes(), a["pointers.high"].tobytes(), b"").all()
-        self.a = a
 
-    def value(self, name: str, at: np.ndarray) -> np.ndarray:
-        lo, step = self.a[f"{name}.scale"]
-        return lo + step * self.a[f"{name}.code"][at]
+def tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted keys, counts) of keys that occur MIN_COUNT times or more."""
+    key, n = np.unique(keys, return_counts=True)
+    return key[n >= MIN_COUNT], n[n >= MIN_COUNT]
 
-    def unigram(self, ids: np.ndarray) -> np.ndarray:
-        """log10 base probability; 0 for words that are not in level 1 (they are joined elsewhere)."""
-        known = ids >= 0
-        out = np.zeros(len(ids))
-        out[known] = np.log10((self.counts[ids[known]] + 0.5) / (self.total + 0.5 * (self.kinds + 1)))
-        return out
-
-    def pair_places(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(previous word, place of the pair) of each token."""
-        prev = before(ids, starts, self.end)
-        return prev, self.pairs.find(prev * self.size + ids, (prev >= 0) & (ids >= 0))
-
-    def triple_keys(self, prev: np.ndarray, pair: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place of the context pair, key, whether both pairs are there) of each token."""
-        context = before(pair, starts, -1)
-        ok = (context >= 0) & (pair >= 0)
-        return context, context * self.spread + (pair - self.pointers[np.maximum(prev, 0)]), ok
-
-    def scores(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 probability of each token; for words not in level 1 without their base part."""
-        prev, pair = self.pair_places(ids, starts)
-        context, key, ok = self.triple_keys(prev, pair, starts)
-        out = self.unigram(ids)
-        known = prev >= 0
-        out[known] += self.value("back1", prev[known])
-        has = pair >= 0
-        out[has] = self.value("prob2", pair[has])
-        known = context >= 0
-        out[known] += self.value("back2", context[known])
-        if self.triples is not None:
-            triple = self.triples.find(key, ok)
-            out[triple >= 0] = self.value("prob3", triple[triple >= 0])
-        return out
 
-
-def back_off(context: np.ndarray, n: np.ndarray, totals: np.ndarray) -> np.ndarray:
-    """log10 of the mass that a context leaves to the shorter one."""
+def left_over(context: np.ndarray, n: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """log10 of the mass that each context leaves to the shorter one."""
     used = np.bincount(context, weights=n - DISCOUNT, minlength=len(totals))
     return np.log10(np.clip(1 - used / np.maximum(totals, 1), 1e-9, 1))
 
 
-def kept(counts: DataFrame, total: int, fineness: int, key: str) -> tuple[np.ndarray, np.ndarray]:
-    """Entries with at least 1/fineness of all tokens: at most `fineness` of them. Sorted by key."""
-    least = max(2, -(-total // fineness))
-    got = counts.where(F.col("n") >= least).toArrow()
-    keys, n = got.column(key).to_numpy(), got.column("n").to_numpy()
-    order = np.argsort(keys)
-    return keys[order], n[order]
-
-
-class Model:
-    """What training gives: the trie's name among the session's files, all word counts, and their totals."""
-
-    def __init__(self, name: str, words: np.ndarray, counts: DataFrame, total: int, kinds: int):
-        self.name, self.words, self.counts, self.total, self.kinds = name, words, counts, total, kinds
-
+def build(words: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray,
+          hot: dict[int, tuple[int, np.ndarray, np.ndarray]] | None = None) -> dict[str, np.ndarray]:
+    """The arrays of a shard's trie. Its training tokens are given as places in the shard's sorted `words`.
 
-def train(rows: DataFrame, fineness: int = 1 << 22) -> tuple[Model, DataFrame]:
-    """(model, encoded rows) from rows of doc_id, text (bytes), held_out."""
-    spark = rows.sparkSession
-    counts = written(word_counts(rows), "word-counts")
-    total, kinds = (x or 0 for x in counts.agg(F.sum("n"), F.count(F.lit(1))).first())
-    words, n1 = kept(counts, total, fineness, "word")
-    table = written(encoded(rows, words), "word-numbers")
+    `hot`: of a word that is split among shards, (its count, its successors, their counts).
+    """
     size = max(len(words), 1)
-    at = int(np.searchsorted(words, signed([word_key(END)])[0]))
-    end = at if at < len(words) and words[at] == signed([word_key(END)])[0] else -1
-
-    def pair_keys(ids, starts):
-        prev = before(ids, starts, end)
-        return (prev * size + ids)[(prev >= 0) & (ids >= 0)]
-
-    pairs, n2 = kept(key_counts(table, pair_keys), total, fineness, "key")
-    first, second = pairs // size, pairs % size
-    p1 = (n1 + 0.5) / (total + 0.5 * (kinds + 1))
-    back1 = back_off(first, n2, n1) if len(words) else np.zeros(0)
-    prob2 = np.maximum(n2 - DISCOUNT, 0) / np.maximum(n1[first], 1) + 10 ** back1[first] * p1[second] if len(pairs) else np.zeros(0)
+    totals = np.bincount(v, minlength=size).astype(np.int64)
+    pairs, n2 = tally(v * size + w)
+    split = {int(np.searchsorted(words, x)): got for x, got in (hot or {}).items() if x in words}
+    for x, (n, _, _) in split.items():
+        totals[x] = n
+    own = ~np.isin(pairs // size, list(split))
+    pairs, n2 = pairs[own], n2[own]
+    back1 = left_over(pairs // size, n2, totals)
+    for x, (n, successors, counts) in split.items():
+        back1[x] = np.log10(np.clip(1 - (counts - DISCOUNT).sum() / n, 1e-9, 1))
+        at = np.minimum(np.searchsorted(words, successors), size - 1)
+        here = words[at] == successors                     # others are never asked for in this part
+        pairs, n2 = np.append(pairs, x * size + at[here]), np.append(n2, counts[here])
+    order = np.argsort(pairs)
+    pairs, n2 = pairs[order], n2[order]
+    first = pairs // size
     pointers = np.searchsorted(first, np.arange(size + 1))
     spread = int(np.diff(pointers).max(initial=0)) + 1
+    place = np.minimum(np.searchsorted(pairs, v * size + w), max(len(pairs) - 1, 0))
+    known = (pairs[place] == v * size + w) if len(pairs) else np.zeros(len(v), bool)
+    behind = u != np.searchsorted(words, NOTHING)
+    contexts, at = np.unique((v * size + u)[behind], return_inverse=True)
+    n_context = np.bincount(at, minlength=len(contexts))
+    known, rank = known[behind], (place - pointers[v])[behind]
+    triples, n3 = tally(at[known] * spread + rank[known])
+    of = triples // spread
+    has = np.unique(of)                                    # contexts without a kept triple leave everything: not stored
+    back2 = left_over(of, n3, n_context)
+    prob3 = np.log10((n3 - DISCOUNT) / n_context[of]) if len(of) else np.zeros(0)
+    triples = np.searchsorted(has, of) * spread + triples % spread
     ef = EliasFano.encode(pointers)
-    arrays = {"meta": np.array([size, total, kinds, end, spread], np.int64), "counts": n1.astype(np.int64),
-              "pointers.width": np.array([ef.width], np.int64), "pointers.low": np.frombuffer(ef.low, np.uint8),
-              "pointers.high": np.frombuffer(ef.high, np.uint8), **pack_keys("pairs", pairs), **coded("back1", back1),
-              **coded("prob2", np.log10(prob2)), **coded("back2", np.zeros(len(pairs)))}
-    two = ship(spark, arrays)
-
-    def triple_keys(ids, starts):
-        trie = mapped(two)
-        prev, pair = trie.pair_places(ids, starts)
-        _, key, ok = trie.triple_keys(prev, pair, starts)
-        return key[ok]
+    return {"meta": np.array([size, spread], np.int64), "pointers.width": np.array([ef.width], np.int64),
+            "pointers.low": np.frombuffer(ef.low, np.uint8), "pointers.high": np.frombuffer(ef.high, np.uint8),
+            "words": words, **pack_keys("pairs", pairs), **pack_keys("contexts", contexts[has]), **pack_keys("triples", triples),
+            "back1": coded(back1), "prob2": coded(np.log10((n2 - DISCOUNT) / totals[first]) if len(first) else np.zeros(0)),
+            "back2": coded(back2[has]), "prob3": coded(prob3)}
 
-    triples, n3 = kept(key_counts(table, triple_keys), total, fineness, "key")
-    context, rank = triples // spread, triples % spread
-    back2 = back_off(context, n3, n2) if len(pairs) else np.zeros(0)
-    shorter = prob2[pointers[second[context]] + rank] if len(triples) else np.zeros(0)
-    prob3 = np.maximum(n3 - DISCOUNT, 0) / np.maximum(n2[context], 1) + 10 ** back2[context] * shorter if len(triples) else np.zeros(0)
-    arrays |= {**coded("back2", back2), **pack_keys("triples", triples), **coded("prob3", np.log10(prob3))}
-    return Model(ship(spark, arrays), words, counts, total, kinds), table
-
-
-_OPEN: dict[str, Trie] = {}
 
+class Trie:
+    """A shard's trie in its mapped block."""
 
-def mapped(name: str) -> Trie:
-    if name not in _OPEN:
-        _OPEN.clear()
-        _OPEN[name] = Trie(SparkFiles.get(name))
-    return _OPEN[name]
+    def __init__(self, arrays: dict[str, np.ndarray]):
+        self.a = a = map_arrays(arrays)
+        self.size, self.spread = a["meta"].tolist()
+        self.words = a["words"]
+        self.pairs, self.contexts, self.triples = (Keys(a, x) for x in ("pairs", "contexts", "triples"))
+        self.pointers = EliasFano(self.size + 1, int(a["pointers.width"][0]), a["pointers.low"].tobytes(), a["pointers.high"].tobytes(), b"").all()
 
+    def share(self, name: str, at: np.ndarray, otherwise: float) -> np.ndarray:
+        out = np.full(len(at), otherwise)
+        out[at >= 0] = 10 ** (self.a[name][at[at >= 0]] / -float(STEPS))
+        return out
 
-def ship(spark, arrays: dict[str, np.ndarray]) -> str:
-    """Write the trie file and hand it to the session's executors."""
-    name = f"trie-{uuid.uuid4().hex}.bin"
-    path = os.path.join(tempfile.mkdtemp(prefix="dialoom-"), name)
-    write_arrays(path, arrays)
-    spark.sparkContext.addFile(path)
-    return name
+    def shares(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(own, rest) of each token, given as places in `words`: its probability is own + rest * base probability."""
+        every = np.ones(len(v), bool)
+        pair = self.pairs.find(v * self.size + w, every)
+        context = self.contexts.find(v * self.size + u, every)
+        triple = self.triples.find(context * self.spread + (pair - self.pointers[v]), (context >= 0) & (pair >= 0))
+        rest = self.share("back2", context, 1.0)
+        return self.share("prob3", triple, 0.0) + rest * self.share("prob2", pair, 0.0), rest * self.share("back1", v, 1.0)
+
+
+# ---- scoring --------------------------------------------------------------------------------------------------------
+
+def answered(tokens: DataFrame, numbers, total: int, kinds: int) -> DataFrame:
+    """Per shard and chunk: rows and their sums of log10(p / base) in UNITS; tokens whose word has no number apart."""
+    fields = {"chunk": "long", "rows": "array<long>", "sums": "array<long>", "rare_rows": "array<long>", "rare_words": "array<long>",
+              "own": "array<double>", "rest": "array<double>"}
+
+    def run(table: pa.Table) -> pa.Table:
+        counts = numbers.value
+        records = table.select(["chunk", "rows", "tokens"]).to_pylist()
+        lists = [unpacked(r["tokens"], 3) for r in records if r["chunk"] < 0]
+        hot = {}
+        if lists:
+            hv, hw, hn = (np.concatenate(x) for x in zip(*lists))
+            for x in np.unique(hv).tolist():
+                order = np.argsort(hw[hv == x])
+                hot[x] = (int(counts[x]), hw[hv == x][order], hn[hv == x][order])
+        records = [r for r in records if r["chunk"] >= 0]
+        got = [(r["chunk"], *unpacked(r["rows"], 2), *unpacked(r["tokens"], 4)) for r in records]
+        if not got:
+            return pa.table({c: pa.array([], type=pa.int64() if c == "chunk" else pa.list_(pa.float64() if t.endswith("<double>") else pa.int64()))
+                             for c, t in fields.items()})
+        u, v, w = (np.concatenate([g[3 + k] for g in got]) for k in range(3))
+        train = np.concatenate([g[2][g[6]] == 0 for g in got])
+        words = np.unique(np.concatenate((u, v, w)))
+        u, v, w = (np.searchsorted(words, x) for x in (u, v, w))
+        own, rest = Trie(build(words, u[train], v[train], w[train], hot)).shares(u, v, w)
+        out = {c: [] for c in fields}
+        lo = 0
+        for chunk, rows, _, _, _, mine, doc in got:
+            a, b = own[lo:lo + len(doc)], rest[lo:lo + len(doc)]
+            lo += len(doc)
+            numbered = mine >= 0
+            base = (counts[mine[numbered]] + 0.5) / (total + 0.5 * (kinds + 1))
+            logs = np.zeros(len(doc))
+            logs[numbered] = np.log10(a[numbered] / base + b[numbered])
+            late = ~numbered & (a > 0)                     # needs the word's own count
+            logs[~numbered & ~late] = np.log10(b[~numbered & ~late])
+            sums = np.zeros(len(rows), np.int64)
+            np.add.at(sums, doc, np.rint(logs * UNITS).astype(np.int64))
+            for c, x in zip(fields, (chunk, rows, sums, rows[doc[late]], -1 - mine[late], a[late], b[late])):
+                out[c].append(x)
+        return pa.table({c: pa.array(x, type=pa.int64() if c == "chunk" else pa.list_(pa.float64() if c in ("own", "rest") else pa.int64()))
+                         for c, x in out.items()})
+
+    return tokens.groupBy("shard").applyInArrow(run, ", ".join(f"{c} {t}" for c, t in fields.items()))
+
+
+def frequent(counts: DataFrame, total: int, fineness: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of at least 1/fineness of all tokens, at most `fineness` of them, and their counts, by key."""
+    got = counts.where(F.col("n") >= max(2, -(-total // fineness))).toArrow()
+    keys, n = got.column("word").to_numpy(), got.column("n").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order]
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 1,
-          fineness: int = 1 << 22) -> DataFrame:
-    """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
+          fineness: int = 1 << 22, shard_tokens: int = 2_000_000) -> DataFrame:
+    """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
+
+    `fineness` bounds the broadcast word numbers, `shard_tokens` the tokens a task holds; neither changes a score.
+    """
+    spark = docs.sparkSession
     fold = F.pmod(F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")), F.lit(folds))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_bytes(docs, text_col, "text"), (fold == held_fold).alias("held_out"))
-    model, table = train(rows, fineness)
-    name = model.name
+    counts = written(word_counts(rows), "word-counts")
+    total, kinds = (x or 0 for x in counts.agg(F.sum("n"), F.count(F.lit(1))).first())
+    words, n1 = frequent(counts, total, fineness)
+    table = written(encoded(rows, words), "word-numbers")
+    key = word_key(END)
+    at = int(np.searchsorted(words, key))
+    end = at if at < len(words) and words[at] == key else -1 - key
+
+    all_tokens = table.agg(F.sum("n_tokens")).first()[0] or 0
+    hot = np.flatnonzero(n1 > shard_tokens)
+    deal = Deal(max(1, -(-all_tokens // shard_tokens)), hot, -(-n1[hot] // shard_tokens) + 1)
+    tokens = dealt(table, deal, end)
+    if len(hot):
+        tokens = tokens.unionAll(hot_pairs(table, deal, end))
+    base = lambda n: (n + 0.5) / F.lit(total + 0.5 * (kinds + 1))
+    answers = written(answered(tokens, spark.sparkContext.broadcast(n1), total, kinds), "answers")
+
+    def of_chunk(part: pa.Table) -> pa.Table:
+        got = part.combine_chunks()
+        ids, at = np.unique(np.asarray(got.column("rows").combine_chunks().flatten(), np.int64), return_inverse=True)
+        sums = np.zeros(len(ids), np.int64)
+        np.add.at(sums, at, np.asarray(got.column("sums").combine_chunks().flatten(), np.int64))
+        return pa.table({"model_row": ids, "model": sums / UNITS})
+
+    near = answers.select("chunk", "rows", "sums").groupBy("chunk").applyInArrow(of_chunk, "model_row long, model double")
+    late = answers.select(F.explode(F.arrays_zip("rare_rows", "rare_words", "own", "rest")).alias("x")).select(
+        F.col("x.rare_rows").alias("rare_row"), F.col("x.rare_words").alias("word"), F.col("x.own").alias("own"), F.col("x.rest").alias("rest"))
+    plain = table.select(F.col("row").alias("rare_row"), F.explode("rare").alias("word"), F.lit(None).cast("double").alias("own"), F.lit(None).cast("double").alias("rest"))
+    n = F.coalesce(F.col("n"), F.lit(0))
+    own_base = F.col("own").isNull()
+    rare = plain.unionAll(late).join(counts, "word", "left").groupBy("rare_row").agg(
+        F.sum((own_base & (n > 0)).cast("long")).alias("rare_known"),
+        F.sum(F.when(own_base, F.log10(base(n)))).alias("rare_base"),
+        F.sum(F.when(~own_base, F.log10(F.col("own") / base(n) + F.col("rest")))).alias("rare_model"))
 
     @whole_partition
-    def step(batches):
-        trie = mapped(name)
+    def known_part(batches):
+        logs = numbered.value
         for part, ids, starts in chunks(batches):
-            add = lambda x: np.add.reduceat(x, starts)
+            known = ids >= 0
+            value = np.zeros(len(ids))
+            value[known] = logs[ids[known]]
             yield {"row": part.column("row"), "doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "n_tokens": part.column("n_tokens"),
-                   "known": add((ids >= 0).astype(np.int64)), "base": add(trie.unigram(ids)), "model": add(trie.scores(ids, starts))}
-
-    near = arrow_map(table.select("row", "doc_id", "held_out", "n_tokens", "ids"), step,
-                     {"known": "long", "base": "double", "model": "double"}, keep=["row", "doc_id", "held_out", "n_tokens"])
-    rare = table.select(F.col("row").alias("rare_row"), F.explode("rare").alias("word")).join(model.counts, "word", "left")
-    n = F.coalesce(F.col("n"), F.lit(0))
-    rare = rare.groupBy("rare_row").agg(F.sum((n > 0).cast("long")).alias("rare_known"),
-                                        F.sum(F.log10((n + 0.5) / F.lit(model.total + 0.5 * (model.kinds + 1)))).alias("rare_base"))
-    out = near.join(rare, F.col("row") == F.col("rare_row"), "left")
-    extra = F.coalesce("rare_base", F.lit(0.0))
+                   "known": np.add.reduceat(known.astype(np.int64), starts), "base": np.add.reduceat(value, starts)}
+
+    numbered = spark.sparkContext.broadcast(np.log10((n1 + 0.5) / (total + 0.5 * (kinds + 1))))
+    keep = ["row", "doc_id", "held_out", "n_tokens"]
+    out = arrow_map(table.select(*keep, "ids", "rare"), known_part, {"known": "long", "base": "double"}, keep=keep)
+    out = out.join(near, F.col("row") == F.col("model_row"), "left").join(rare, F.col("row") == F.col("rare_row"), "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    base_score = F.col("base") + zero("rare_base")
     return out.select(F.col("doc_id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-                      F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") + extra).alias("base_score"),
-                      (F.col("model") + extra).alias("score"))
+                      F.lit(total).cast("long").alias("train_tokens"), base_score.alias("base_score"),
+                      (base_score + zero("model") + zero("rare_model")).alias("score"))

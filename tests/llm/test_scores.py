@@ -9,7 +9,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from dialoom.llm import decontamination, lm_scoring, pseudonyms, quality_rules
-from dialoom.llm.common import text_bytes
 from dialoom.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -39,24 +38,85 @@ def test_model_beats_the_base_on_held_out_text(spark):
     assert got[1] > got[0] + 1
 
 
-def test_probabilities_sum_to_one(docs):
-    rows = docs.select("doc_id", text_bytes(docs, "text", "text"), F.lit(False).alias("held_out"))
-    model, _ = lm_scoring.train(rows)
-    trie = lm_scoring.mapped(model.name)
-    outside = 1 - 10 ** trie.unigram(np.arange(trie.size)).sum() if False else 1 - (10 ** trie.unigram(np.arange(trie.size))).sum()
-    for u, v in ((0, 1), (trie.end, 0), (3, 3), (5, trie.size - 1)):
-        seq = np.stack([np.full(trie.size, u), np.full(trie.size, v), np.arange(trie.size)], axis=1)
-        ids, starts = seq.ravel(), np.arange(trie.size) * 3
-        inside = (10 ** trie.scores(ids, starts)[2::3]).sum()
-        rest = trie.scores(np.array([u, v, -1]), np.array([0]))[2]          # back-off mass of a word that isn't in level 1
-        assert abs(inside + outside * 10 ** rest - 1) < 2e-3
-
-
-def test_packed_keys_find_their_places(tmp_path):
+def plain_scores(rows, base):
+    """{id: log10 probability} by the plain formula: discounted shares of triple and pair, back-off masses, base probability."""
+    seqs = [(i, zlib.crc32(str(i if i is not None else "").encode()) % 5 == 1, ["\n"] + data.words(data.lower(t)) + ["\n"]) for i, t in rows]
+    pair, triple, one, two = Counter(), Counter(), Counter(), Counter()
+    for _, held, x in seqs:
+        if not held:
+            one.update(x[:-1])
+            pair.update(zip(x, x[1:]))
+            two.update(zip(x, x[1:-1]))
+            triple.update(zip(x, x[1:], x[2:]))
+    keep = lambda c: {k: n for k, n in c.items() if n >= 2}
+    pair, triple = keep(pair), keep(triple)
+    left1, left2 = dict.fromkeys(one, 1.0), dict.fromkeys(two, 1.0)
+    for (v, _), n in pair.items():
+        left1[v] -= (n - 0.75) / one[v]
+    for (u, v, _), n in triple.items():
+        left2[u, v] -= (n - 0.75) / two[u, v]
+    out = []
+    for i, _, x in seqs:
+        total = 0.0
+        for k in range(1, len(x)):
+            v, w = x[k - 1], x[k]
+            p = (pair[v, w] - 0.75) / one[v] if (v, w) in pair else 0.0
+            p += max(left1.get(v, 1.0), 1e-9) * base(w)
+            if k > 1:
+                u = x[k - 2]
+                p *= max(left2.get((u, v), 1.0), 1e-9)
+                p += (triple[u, v, w] - 0.75) / two[u, v] if (u, v, w) in triple else 0.0
+            total += math.log10(p)
+        out.append((i, len(x), total))
+    return out
+
+
+def base_of(rows):
+    held = [zlib.crc32(str(i if i is not None else "").encode()) % 5 == 1 for i, _ in rows]
+    c = Counter(w for (_, t), h in zip(rows, held) if not h for w in data.words(data.lower(t)) + ["\n"])
+    return lambda w: (c[w] + 0.5) / (sum(c.values()) + 0.5 * (len(c) + 1))
+
+
+@pytest.mark.parametrize("options", [{}, {"fineness": 50}, {"shard_tokens": 500}, {"fineness": 50, "shard_tokens": 300}])
+def test_scores_equal_the_plain_formula(spark, docs, options):
+    rows = data.texts()
+    want = sorted(plain_scores(rows, base_of(rows)), key=lambda r: (str(r[0]), r[2]))
+    got = sorted(lm_scoring.score(docs, **options).collect(), key=lambda r: (str(r.doc_id), r.score))
+    assert len(got) == len(want)
+    for r, (i, n, total) in zip(got, want):
+        assert r.doc_id == i and r.n_tokens == n - 1 and abs(r.score - total) < 2e-3 * n
+
+
+def test_a_phrase_keeps_its_context_in_a_larger_corpus(spark):
+    """What a model knows about a phrase doesn't depend on how much else it has read."""
+    phrase = "copper lanterns drifted beyond seven quiet harbours"
+    rows = [(i, phrase) for i in (0, 1, 2)]
+    more = rows + [(10 + i, " ".join(f"x{(i * 7 + k) % 900}" for k in range(300))) for i in range(300)]
+    gain = []
+    for part in (rows, more):
+        got = lm_scoring.score(spark.createDataFrame(part, "doc_id long, text string"), fineness=100).where("doc_id < 3").collect()
+        gain.append(min(r.score for r in got))
+    assert gain[1] > gain[0] - 4 and gain[1] > -8
+
+
+def test_probabilities_sum_to_one():
+    rng = np.random.default_rng(5)
+    w = rng.zipf(1.5, 20_000).clip(max=60).astype(np.int64)
+    v, u = np.append(0, w[:-1]), np.append([lm_scoring.NOTHING, 0], w[:-2])
+    words = np.unique(np.concatenate((u, v, w)))
+    u, v, w = (np.searchsorted(words, x) for x in (u, v, w))
+    trie = lm_scoring.Trie(lm_scoring.build(words, u, v, w))
+    base = np.bincount(w, minlength=len(words)) / len(w)
+    every = np.arange(len(words))
+    for k in (1, 50, 999, 15_000):
+        own, rest = trie.shares(np.full(len(words), u[k]), np.full(len(words), v[k]), every)
+        assert abs((own + rest * base).sum() - 1) < 2e-3
+
+
+def test_packed_keys_find_their_places():
     rng = np.random.default_rng(3)
     keys = np.unique(rng.integers(0, 10**12, 200_000))
-    lm_scoring.write_arrays(str(tmp_path / "a"), lm_scoring.pack_keys("x", keys))
-    packed = lm_scoring.Keys(lm_scoring.map_arrays(str(tmp_path / "a")), "x")
+    packed = lm_scoring.Keys(lm_scoring.map_arrays(lm_scoring.pack_keys("x", keys)), "x")
     asked = np.unique(np.concatenate((keys[::7], keys[::11] + 1, [0, 10**13])))
     want = np.where(np.isin(asked, keys), np.searchsorted(keys, asked), -1)
     assert (packed.places(asked) == want).all()
