@@ -7,7 +7,8 @@ rarity being counted over all documents. A document that has the shingle must al
 
 The benchmark is a stated query set: it is taken in blocks of about `block_words` words, and each block meets all
 documents in a scan, without moving a text. A block is what reaches the driver and is broadcast; its size is set by
-`block_words`, not by the data.
+`block_words`, not by the data: items are cut into pieces of `PIECE` windows first, which overlap so that no window is
+lost, and pieces that repeat are taken once. So neither a very long item nor one that occurs very often makes a block larger.
 
 Defined cases: null or empty texts have no words, such items have no window; documents without words are never
 contaminated; repeated rows are judged one by one; an item id counts once however often its rows repeat, items with a
@@ -22,9 +23,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import arrow_map, fresh, text_bytes, texts, whole_partition
+from dialoom.llm.common import arrow_map, fresh, text_bytes, texts, whole_partition, written
 
 SHINGLE = 3
+PIECE = 10_000                 # windows of an item that stay together
+MOST_WORDS = 2_000_000         # three word numbers fit into 63 bits
 # A-Z become a-z; what is not a digit, a-z or beyond ASCII parts words.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -40,8 +43,6 @@ class Block:
             for s in range(max(1, len(ids) - window + 1) if ids else 0):
                 of.setdefault(tuple(ids[s:s + window]), set()).update([name] if name is not None else [])
         self.size = max(len(self.word), 1)
-        if self.size >= 2_000_000:
-            raise ValueError("use smaller benchmark blocks")
         self.windows, self.items = list(of), [sorted(x) for x in of.values()]
         self.lengths = np.array([len(w) for w in self.windows], np.int64)
         self.matrix = np.full((len(self.windows), max(self.lengths, default=1)), -1, np.int64)
@@ -132,13 +133,29 @@ def _rarity(rows: DataFrame, block) -> dict[int, np.ndarray]:
     return out
 
 
+def _pieces(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
+    """(item, text, n): items as normalised words, cut into overlapping runs of at most PIECE windows, each run once."""
+    def step(batch):
+        out = {"item": [], "text": [], "n": []}
+        for item, t in zip(batch.column("name").to_pylist(), texts(batch, "raw")):
+            words = t.translate(WORDS).split()
+            for s in range(0, max(1, len(words) - window + 1) if words else 0, PIECE):
+                run = words[s:s + PIECE + window - 1]
+                for c, x in zip(out.values(), (item, b" ".join(run), len(run))):
+                    c.append(x)
+        yield out
+
+    items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("name"), text_bytes(benchmark, text_col, "raw"))
+    return arrow_map(items, step, {"item": "string", "text": "binary", "n": "long"}).distinct()
+
+
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_words: int):
-    items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), text_bytes(benchmark, text_col, "text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, ceil(size / (6 * block_words)))
+    """Blocks of about `block_words` words (at most `MOST_WORDS` / 2, so that an uneven one still fits)."""
+    pieces = written(_pieces(benchmark, item_col, text_col, window), "benchmark-pieces")
+    n = max(1, ceil((pieces.agg(F.sum("n")).first()[0] or 0) / min(block_words, MOST_WORDS // 2)))
     for k in range(n):
-        mine = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield Block([(i, t or b"") for i, t in mine.collect()], window)
+        mine = pieces.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).select("item", "text")
+        yield Block([(i, t) for i, t in mine.collect()], window)
 
 
 def spans_of(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str, item_col: str, item_text_col: str, window: int,

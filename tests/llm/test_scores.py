@@ -198,6 +198,18 @@ def test_hits_equal_brute_force(spark, docs, none, block_words):
     assert decontamination.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_long_and_repeated_items_are_cut_into_pieces(spark):
+    rng = __import__("random").Random(9)
+    long = [f"w{rng.randrange(40_000)}" for _ in range(120_000)]
+    rows = [(k, " ".join(["zz"] * 5 + long[at:at + n] + ["zz"] * 5)) for k, (at, n) in
+            enumerate([(0, 13), (9_990, 30), (10_000, 13), (9_999, 13), (119_980, 20), (34_567, 12), (50_000, 40)])]
+    items = [("long", " ".join(long)), ("short", "zz zz zz w1")] + [("often", " ".join(long[:300]))] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r.items) for r in decontamination.decontaminate(docs, bench, block_words=50_000).collect()}
+    assert got == {0: (13, ["long", "often"]), 1: (30, ["long"]), 2: (13, ["long"]), 3: (13, ["long"]), 4: (20, ["long"]), 5: (0, []), 6: (40, ["long"])}
+
+
 def test_decontamination_query(spark):
     import pyarrow.dataset as ds
     read = lambda n, a: [(r[a], r["text"]) for r in ds.dataset(f"{SF}/{n}.parquet").to_table(columns=[a, "text"]).to_pylist()]
