@@ -114,7 +114,8 @@ MERGED = T.StructType([T.StructField(S, T.LongType()), T.StructField(E, T.LongTy
 def merge_scored_rows(rows: DataFrame, keys: Sequence[str], row_id: str, slab_ms: int, gap_ms: int = MERGE_GAP_MS) -> DataFrame:
     """Merge rows of one speaker within the gap: vectors averaged by duration pair by pair, tier of the longer side.
 
-    The pairwise rule depends on order (merged spans weigh by their hull), so it is a fold, relayed slab by slab.
+    The pairwise rule depends on order (merged spans weigh by their hull), so it is a fold over runs without such a gap;
+    a run that crosses slabs is relayed slab by slab.
     """
     def step(state, r):
         cur = state.get("cur")
@@ -129,8 +130,8 @@ def merge_scored_rows(rows: DataFrame, keys: Sequence[str], row_id: str, slab_ms
         return []
 
     lean = rows.select(*keys, "speaker", row_id, S, E, "tier", "sims")
-    return sequence.relay_fold(lean, [*keys, "speaker"], [S, E, row_id], F.floor(F.col(S) / slab_ms), step,
-                               lambda st: [st["cur"]] if st.get("cur") else [], MERGED)
+    return sequence.run_fold(lean, [*keys, "speaker"], [S, E, row_id], F.floor(F.col(S) / slab_ms), gap_ms, step,
+                             lambda st: [st["cur"]] if st.get("cur") else [], MERGED)
 
 
 def _support(atoms: DataFrame, sup: DataFrame, keys: Sequence[str], who: dict[str, str], windows: Sequence[tuple[Column, Column]],

@@ -255,6 +255,29 @@ def relay_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], slab_of
     return _ordered_stream(df, group, order, emit, out_schema)
 
 
+def gap_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], slab_of: Column, gap_ms: int, out: str = "_run") -> DataFrame:
+    """Numbers the runs of a key: a row opens one where it starts more than `gap_ms` after every earlier end.
+
+    A fold that joins nothing beyond `gap_ms` forgets what came before there, so runs can be folded apart.
+    """
+    d = slabs.scan(df.withColumn(slabs.SLAB, slab_of.cast("long")), keys, order,
+                   local=lambda w: [{"_top": F.max(E).over(slabs.before(w))}],
+                   summary=[F.max(E).alias("_last")],
+                   carry=lambda w: [{"_past": F.max("_last").over(slabs.before(w))}],
+                   carried=["_past"])
+    top = F.greatest("_top", "_past")
+    d = d.withColumn("_cut", (top.isNull() | (F.col(S) > top + gap_ms)).cast("long"))
+    return slabs.running_sums(d, keys, order, {out: F.col("_cut")}).drop("_top", "_past", "_cut", slabs.SLAB)
+
+
+def run_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], slab_of: Column, gap_ms: int,
+             step: Callable[[dict, dict], list[dict]], flush: Callable[[dict], list[dict]], out: T.StructType) -> DataFrame:
+    """`relay_fold` for a rule that joins nothing beyond `gap_ms`: only runs without such a gap that cross a slab's border
+    are relayed, so rounds depend on the longest run and not on the length of a key."""
+    runs = gap_runs(df, keys, order, slab_of, gap_ms)
+    return relay_fold(runs, [*keys, "_run"], order, slab_of, step, flush, out).drop("_run")
+
+
 # ---- short-line merging and chunk building ---------------------------------------------------------------------------
 
 def _same(a: dict, b: dict) -> bool:
@@ -330,8 +353,8 @@ CHUNK = T.StructType([T.StructField(S, T.LongType()), T.StructField(E, T.LongTyp
 def merge_short(df: DataFrame, keys: Sequence[str], row_id: str, slab_of: Column) -> DataFrame:
     """Merge lines under 2.5 s into the next one, else into the one before; merged lines take part again."""
     lean = df.select(*keys, row_id, S, E, "speaker", "text")
-    return relay_fold(lean, keys, [S, E, row_id], slab_of, lambda st, r: _public(_short_step(st, _row(r))),
-                      lambda st: _public(_short_flush(st)), CHUNK)
+    return run_fold(lean, keys, [S, E, row_id], slab_of, fixed.MERGE_GAP_MS, lambda st, r: _public(_short_step(st, _row(r))),
+                    lambda st: _public(_short_flush(st)), CHUNK)
 
 
 def build_chunks(df: DataFrame, segs: DataFrame, keys: Sequence[str], row_id: str, slab_ms: int,
@@ -364,7 +387,7 @@ def build_chunks(df: DataFrame, segs: DataFrame, keys: Sequence[str], row_id: st
             done += _chunk_step(state, item)
         return _public(done + ([state["chunk"]] if state.get("chunk") else []))
 
-    chunks = relay_fold(lean, keys, [S, E, row_id], slab_of, step, flush, CHUNK)
+    chunks = run_fold(lean, keys, [S, E, row_id], slab_of, fixed.MERGE_GAP_SAME_SPEAKER_MS, step, flush, CHUNK)
     parts = spans.split_long(chunks, fixed.HARD_MAX_MS, "text")
     return (parts.select(*keys, F.col("part_start_ms").alias(S), F.col("part_end_ms").alias(E), "speaker", "text")
             .filter((F.col(E) > F.col(S)) & (F.trim("text") != "")))

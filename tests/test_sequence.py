@@ -127,6 +127,22 @@ def test_build_chunks(spark, slab_ms):
     assert sorted(map(tuple, got.select("k", "start_ms", "end_ms", "speaker", "text").collect())) == sorted(want)
 
 
+def test_runs_are_cut_at_gaps_across_slabs(spark):
+    ends = [(0, 100), (50, 9000), (300, 400), (9400, 9500), (9901, 9950), (10_460, 10_470), (30_000, 30_010)]
+    df = spark.createDataFrame([("x", i, "A", s, e, "t") for i, (s, e) in enumerate(ends)], LINE)
+    for slab_ms in (100, 1000, 10 ** 9):
+        got = sequence.gap_runs(df, ["k"], ["start_ms", "end_ms", "idx"], F.floor(F.col("start_ms") / slab_ms), 500)
+        assert [r[0] for r in got.orderBy("idx").select("_run").collect()] == [1, 1, 1, 1, 1, 2, 3]
+
+
+def test_merge_short_of_a_long_key_relays_runs_only(spark):
+    """Lines beyond the merge bound of each other: a run is a line or two, however many slabs the key has."""
+    rows = [("x", i, "AB"[i % 2], 2000 * i, 2000 * i + 900 + 700 * (i % 3 == 0), f"w{i}") for i in range(400)]
+    want = [("x", x["s"], x["e"], x["sp"], x["t"]) for x in seq_short([(r[2], r[3], r[4], r[5]) for r in rows])]
+    got = sequence.merge_short(spark.createDataFrame(rows, LINE), ["k"], "idx", F.floor(F.col("start_ms") / 3000))
+    assert sorted(map(tuple, got.select("k", "start_ms", "end_ms", "speaker", "text").collect())) == sorted(want)
+
+
 def test_sliding_windows(spark):
     df = spark.createDataFrame([("x", i, "A", i * 10, i * 10 + 5, f"t{i}") for i in range(6)], LINE)
     w = sequence.sliding_windows(df, ["k"], "idx", F.col("text")).orderBy("window_id").collect()
