@@ -274,7 +274,7 @@ def run_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], slab_of:
              step: Callable[[dict, dict], list[dict]], flush: Callable[[dict], list[dict]], out: T.StructType) -> DataFrame:
     """`relay_fold` for a rule that joins nothing beyond `gap_ms`: only runs without such a gap that cross a slab's border
     are relayed, so rounds depend on the longest run and not on the length of a key."""
-    runs = gap_runs(df, keys, order, slab_of, gap_ms)
+    runs = gap_runs(cut_lineage(df), keys, order, slab_of, gap_ms)
     return relay_fold(runs, [*keys, "_run"], order, slab_of, step, flush, out).drop("_run")
 
 
