@@ -9,6 +9,7 @@ import time
 import zlib
 from collections.abc import Callable, Iterable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,13 +41,19 @@ def call_model(df: DataFrame, factory: Callable[[], Batch], out: str, kind: T.Da
     def run(batches: Iterable[pd.DataFrame]):
         fn = factory()
         for pdf in batches:
-            for i in range(0, len(pdf), batch):
-                part = pdf.iloc[i:i + batch]
-                yield part.assign(**{out: list(with_retry(fn, part, tries))})
+            for part, got in answers(fn, pdf, batch, tries):
+                yield part.assign(**{out: list(got)})
 
     return df.mapInPandas(run, schema)
 
 
+def answers(fn: Batch, pdf: pd.DataFrame, batch: int, tries: int):
+    """(rows, answers) of the hook, `batch` rows per call."""
+    for i in range(0, len(pdf), batch):
+        part = pdf.iloc[i:i + batch]
+        yield part, with_retry(fn, part, tries)
+
+
 # ---- block summaries --------------------------------------------------------------------------------------------------
 
 def prompt(d: DataFrame) -> Column:
@@ -112,6 +119,7 @@ def transcribe(df: DataFrame, first: Callable[[], Batch], second: Callable[[], B
 
 # ---- span embeddings --------------------------------------------------------------------------------------------------
 
+SHARES = 8   # tasks a core that embed windows
 LONG_MS, WINDOW_MS, HOP_MS, SHRINK_MS, MIN_MS, SHORTEST_MS = 3000, 1500, 750, 100, 300, 200  # fixed values
 
 
@@ -127,12 +135,68 @@ def embedding_windows(df: DataFrame) -> DataFrame:
     return d.filter(F.col("win_end_ms") - F.col("win_start_ms") >= SHORTEST_MS)
 
 
-def embed_spans(df: DataFrame, row_id: Sequence[str], factory: Callable[[], Batch]) -> DataFrame:
-    """Duration-weighted mean embedding per span (`embedding`, `used_ms`, `n_sub`); the hook embeds single windows."""
-    w = call_model(embedding_windows(df), factory, "_e", T.ArrayType(T.DoubleType())).filter("_e IS NOT NULL")
-    dur = (F.col("win_end_ms") - F.col("win_start_ms")).cast("double")
-    c = vectors.centroids(w, row_id, "_e", dur)
-    return c.select(*row_id, F.col("centroid").alias("embedding"), F.col("weight").cast("long").alias("used_ms"), F.col("n").alias("n_sub"))
+def summed(vecs: list | np.ndarray, weight: np.ndarray, starts: np.ndarray) -> tuple[list, list, list]:
+    """Per run of rows (beginning at `starts`) and dimension: weighted sum, weight, rows. Rows without a vector don't count,
+    an entry that is null counts with its weight but adds nothing, and shorter vectors lack the last dimensions."""
+    if isinstance(vecs, np.ndarray) and np.isfinite(vecs).all():
+        k, n = vecs.shape[1], np.diff(np.append(starts, len(vecs)))
+        total = np.add.reduceat(weight, starts)
+        return np.add.reduceat(vecs * weight[:, None], starts, axis=0).tolist(), [[t] * k for t in total.tolist()], [[m] * k for m in n.tolist()]
+    ok = np.array([v is not None for v in vecs], bool)
+    size = np.array([0 if v is None else len(v) for v in vecs], np.int64)
+    wide = int(size.max(initial=0))
+    has = np.arange(wide) < size[:, None]
+    if ok.all() and (size == wide).all():
+        x = np.array([[np.nan if e is None else e for e in v] if None in v else v for v in map(list, vecs)], float).reshape(len(vecs), wide)
+    else:
+        x = np.zeros((len(vecs), wide))
+        for i in np.flatnonzero(size):
+            x[i, :size[i]] = [np.nan if e is None else e for e in vecs[i]]
+    null = np.zeros_like(has)
+    for i in np.flatnonzero(np.isnan(x).any(axis=1)):
+        null[i, :size[i]] = [e is None for e in vecs[i]]
+    add = lambda v: np.add.reduceat(v, starts, axis=0)
+    sums, there = add(np.where(null, 0.0, x * weight[:, None])), add((has & ~null).astype(np.int64))
+    total, n, most = add(np.where(has, weight[:, None], 0.0)), add(has.astype(np.int64)), np.maximum.reduceat(size, starts)
+    cut = lambda v: [row[:k] for row, k in zip(v.tolist(), most.tolist())]
+    gone = there == 0
+    s = cut(sums)
+    for i, j in zip(*np.nonzero(gone & (np.arange(wide) < most[:, None]))):
+        s[i][j] = None
+    return s, cut(total), cut(n)
+
+
+def embed_spans(df: DataFrame, row_id: Sequence[str], factory: Callable[[], Batch], batch: int = 80, tries: int = 5) -> DataFrame:
+    """Duration-weighted mean embedding per span (`embedding`, `used_ms`, `n_sub`); the hook embeds single windows.
+
+    Spans are dealt evenly over the tasks, as one of few bytes can have very many windows. A span's windows follow each other,
+    so the task that embeds them adds them up, and only sums per span and batch are grouped.
+    """
+    ids = list(row_id)
+    slots = df.sparkSession.sparkContext.defaultParallelism * SHARES
+    cells = {"_s": T.DoubleType(), "_t": T.DoubleType(), "_n": T.LongType()}
+    schema = T.StructType([*[df.schema[c] for c in ids], *[T.StructField(c, T.ArrayType(t)) for c, t in cells.items()]])
+
+    def run(batches: Iterable[pd.DataFrame]):
+        fn = factory()
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            got = [a for _, a in answers(fn, pdf, batch, tries)]
+            flat = all(isinstance(a, np.ndarray) and a.ndim == 2 and a.shape[1] == got[0].shape[1] for a in got)
+            vecs = np.concatenate(got) if flat else [v for a in got for v in a]
+            new = np.zeros(len(pdf), bool)
+            new[0] = True
+            for c in ids:
+                v = pdf[c].to_numpy()
+                new[1:] |= v[1:] != v[:-1]
+            starts = np.flatnonzero(new)
+            weight = (pdf["win_end_ms"].to_numpy() - pdf["win_start_ms"].to_numpy()).astype(float)
+            yield pdf.iloc[starts][ids].assign(**dict(zip(cells, summed(vecs, weight, starts))))
+
+    parts = embedding_windows(df.repartition(slots)).mapInPandas(run, schema)
+    c = vectors.mean_vectors(parts.select(*ids, F.posexplode(F.arrays_zip(*cells)).alias("_i", "_c")).select(*ids, "_i", "_c.*"), ids)
+    return c.select(*ids, F.col("centroid").alias("embedding"), F.col("weight").cast("long").alias("used_ms"), F.col("n").alias("n_sub"))
 
 
 def reduce_meetings(norm: DataFrame, sums: DataFrame, keys: Sequence[str], factory: Callable[[], Batch] | None = None) -> DataFrame:

@@ -23,8 +23,13 @@ def centroids(df: DataFrame, keys: Sequence[str], vec: str = "embedding", weight
     Sums are per (key, dimension) with map-side combining, so a key of any size costs one row per task and dimension.
     """
     w = F.lit(1.0) if weight is None else weight
-    parts = df.select(*keys, w.alias("_w"), F.posexplode(vec).alias("_i", "_x"))
-    sums = parts.groupBy(*keys, "_i").agg(F.sum(F.col("_x") * F.col("_w")).alias("_s"), F.sum("_w").alias("_t"), F.count(F.lit(1)).alias("n"))
+    parts = df.select(*keys, w.alias("_t"), F.posexplode(vec).alias("_i", "_x"))
+    return mean_vectors(parts.select(*keys, "_i", (F.col("_x") * F.col("_t")).alias("_s"), "_t", F.lit(1).cast("long").alias("_n")), keys)
+
+
+def mean_vectors(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`centroids` of sums that were begun elsewhere: keys, dimension `_i`, weighted sum `_s`, weight `_t`, rows `_n`."""
+    sums = parts.groupBy(*keys, "_i").agg(F.sum("_s").alias("_s"), F.sum("_t").alias("_t"), F.sum("_n").alias("n"))
     out = sums.filter("_t > 1e-8").groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("_i", (F.col("_s") / F.col("_t")).alias("v")))).alias("_p"), F.max("n").alias("n"), F.max("_t").alias("weight"))
     return (out.withColumn("centroid", fv.normalized(F.transform("_p", lambda p: p["v"]))).drop("_p")

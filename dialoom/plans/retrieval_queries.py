@@ -102,7 +102,10 @@ def span_embeddings(spark, sf):
     import numpy as np
 
     def factory():
-        return lambda pdf: [[float(np.sin(a % 977)), float(np.cos(b % 977)), 1.0] for a, b in zip(pdf["win_start_ms"], pdf["win_end_ms"])]
+        def embed(pdf):
+            a, b = pdf["win_start_ms"].to_numpy() % 977, pdf["win_end_ms"].to_numpy() % 977
+            return np.column_stack((np.sin(a), np.cos(b), np.ones(len(a))))
+        return embed
 
     e = hooks.embed_spans(seg_events(spark, sf).select("seg_id", "start_ms", "end_ms"), ["seg_id"], factory)
     return e.select("seg_id", "used_ms", "n_sub", F.round(F.get("embedding", F.lit(2)), 6).alias("third"))
