@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from dialoom.operators import dedup, sequence, settle
+from dialoom.operators import dedup, sequence, settle, summary
 
 LINE = "k string, idx bigint, speaker string, start_ms bigint, end_ms bigint, text string"
 
@@ -70,6 +70,16 @@ def test_nine_short_lines_make_eight_and_one(spark):
     assert sorted(r["count"] for r in b.groupBy("block_id").count().collect()) == [1, 8]
 
 
+def test_lines_are_cleaned_and_packed_once(spark):
+    df = spark.createDataFrame([("x", i, "AB"[i % 2], i * 900, i * 900 + 800, f"ờm line {i}") for i in range(30)], LINE)
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    kept = summary.filter_lines(df)
+    assert plan(kept).count("ừm|") == 1 and kept.count() == 30
+    b = sequence.pack_blocks(df, ["k"], ["start_ms", "end_ms", "idx"], F.lit(0))
+    assert "giải lao" not in plan(b) and b.count() == 30
+    assert "ừm|" not in plan(summary.summarize(df, ["k"], "idx", F.lit(0), width=10_000)[1])
+
+
 def seq_short(ls):
     """Merging of short lines, written as a scan over a list that is rewritten in place."""
     ls, out, i = [dict(zip(("sp", "s", "e", "t"), l)) for l in ls], [], 0
