@@ -4,16 +4,16 @@
    levelled), and counts how often words occur, in a table of fixed size. No text is moved.
 2. Equal normalised lines of any length collapse to a class with a count and its first place.
 3. Lines of `min_words` or more words also meet similar ones. Similarity `similarity` allows floor((1 - similarity) * n)
-   edits of n words, and an edit takes away one word at most. So two similar lines share one of the
-   floor((1 - similarity) * n) + 1 rarest words of each, whatever the order of rarity, as long as it is the same for all
-   lines: these words are the pigeonholes. The first `holes` of them that occur elsewhere are blocks to meet in. Lines
-   that have no more pigeonholes than that lose no similar line; of a longer line all `holes` rarest words would have to be
-   edited. `holes=None` takes all.
+   edits of n words, and an edit takes away one word at most. So two similar lines share two of the
+   floor((1 - similarity) * n) + 2 rarest words of each, whatever the order of rarity, as long as it is the same for all
+   lines: these words are the pigeonholes. Those that occur elsewhere are blocks to meet in, however many they are; a
+   number for `holes` takes only so many and may lose partners of longer lines.
 4. In a block, lines meet whose lengths and word parities allow the similarity (exact bounds) and whose SimHash
    fingerprints differ in at most `radius` bits. A line edited up to the similarity moves by about 12 of 64 bits, an
    unrelated one lies 32 away; blocks of fingerprint bits alone would need that radius and select nothing, which is why
-   the blocks are words. In place of a frequent word's block there is one for each pair with another of the line's blocks,
-   so lines whose only common block is a frequent word's don't meet. Recall is measured in the tests (0.99 and more).
+   the blocks are words. In place of a frequent word's block there is one for each pair with another of the line's blocks:
+   similar lines share two, so they meet in one that is not frequent or in a pair. Lines of more than `LONG` words meet in the
+   frequent words' blocks themselves. Recall is measured in the tests.
 5. Lines that met are read again and linked if their word edit similarity (1 - edits / longer length) is `similarity` or
    more (words compare by 32-bit hashes). They are compared in blocks of bounded size, and a block gives a spanning forest.
 6. Of each connected group of classes the first line stays (smallest id, then place); all others go.
@@ -40,7 +40,8 @@ from dialoom.llm.components import components
 from dialoom.llm.simhash_dups import blocks
 
 BLOCK = 1024
-HOLES = 5                # rarest words of a line that others meet it in
+HOLES = None             # rarest words of a line that others meet it in: all that the similarity asks for
+LONG = 2000              # words of a line up to which blocks of frequent words are paired (their pairs grow with the square)
 RADIUS = 24              # bits between fingerprints of lines to compare
 LINES_AT_ONCE = 1 << 16
 WORDS_AT_ONCE = 200_000
@@ -214,7 +215,7 @@ def pigeonholes(hashes: np.ndarray, n: np.ndarray, levels: np.ndarray, similarit
     line, level = (key >> np.uint64(48)).astype(np.int64), (key >> np.uint64(40) & np.uint64(255)).astype(np.uint8)
     word = mixed(key & np.uint64((1 << 40) - 1))
     fps = line_fingerprints(word[new], np.bincount(line[new], minlength=len(n)))
-    most = allowed_edits(n, similarity) + 1
+    most = allowed_edits(n, similarity) + 2       # two are shared, so pairs of frequent ones lose nothing
     if holes is not None:
         most = np.minimum(most, holes + np.bincount(line[level == 0], minlength=len(n)))
     take = (place - start[line] < most[line]) & (level > 0)
@@ -333,10 +334,11 @@ def removed_lines(rows: DataFrame, min_words: int, similarity: float, block: int
                 fp, line, bucket, level = pigeonholes(hashes, n, levels.value, similarity, holes)
                 odd = parities(hashes, np.cumsum(n) - n, 1)[:, 0].view(np.int64)
                 many = level >= crowded
-                pair_line, pair = paired(line, bucket, many)
-                line, bucket = np.concatenate((line[~many], pair_line)), np.concatenate((bucket[~many], pair))
+                short, far = n[line] <= LONG, many & (n[line] >= similarity * LONG)     # lines between have both
+                pair_line, pair = paired(line[short], bucket[short], many[short])
+                line, bucket = np.concatenate((line[~many], line[far], pair_line)), np.concatenate((bucket[~many], bucket[far], pair))
                 yield {"bucket": bucket, "c1": c[line, 0], "fp": fp[line], "odd": odd[line], "n": n[line].astype(np.int32),
-                       "crowded": np.arange(len(line)) >= len(line) - len(pair_line)}
+                       "crowded": np.arange(len(line)) >= len(line) - len(pair_line) - far.sum()}
 
     what = {"c1": "long", "fp": "long", "odd": "long", "n": "int"}
     posted = written(arrow_map(rows.select("text"), post, {"bucket": "long", **what, "crowded": "boolean"}), "line-blocks")

@@ -204,6 +204,20 @@ def test_recall_of_similar_lines(spark):
         assert len(gone) >= least * len(want)
 
 
+@pytest.mark.parametrize("block", [1024, 4])
+def test_lines_meet_whatever_happened_to_their_rarest_words(spark, block):
+    """Two lines of 60 words that differ in their eight rarest words: twelve edits are allowed."""
+    rng = random.Random(5)
+    common = [f"common{data.WORDS[k % len(data.WORDS)]}{chr(97 + k // len(data.WORDS))}" for k in range(52)]
+    rare = [[f"rare{x}{chr(97 + k)}" for k in range(8)] for x in "xy"]
+    texts = [" ".join(common + r) for r in rare] + [" ".join(reversed(r)) for r in rare]
+    texts += [" ".join(rng.sample(common, 20)) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = {r.doc_id for r in line_dedup.removed_lines(line_dedup.keyed(df, "doc_id", "text"), 5, 0.8, block)
+            .join(line_dedup.keyed(df, "doc_id", "text"), ["k1", "k2"]).collect()}
+    assert left == {1}
+
+
 @pytest.mark.parametrize("block, holes", [(1024, None), (1024, 30)])
 def test_lines_meet_all_similar_lines(spark, block, holes):
     """All pairs by edit similarity alone, with all pigeonholes and without a look at fingerprints: recall must be whole."""
