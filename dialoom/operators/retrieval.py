@@ -13,6 +13,7 @@ from dialoom.functions import fixed, text, vectors as fv
 from dialoom.operators import dedup, sequence
 
 SEPARATORS = ["\n\n", "\n", ".", " "]  # fixed values, tried in this order
+BATCH_BYTES = "1m"   # of texts that Python gets at once
 TOP_ALL, TOP_SPEAKER, TOP_WINDOWS = 8, 50, 3
 
 
@@ -84,7 +85,9 @@ def split_text(body: str, size: int = 800, overlap: int = 80, separators: Sequen
 
 
 def chunked(docs: DataFrame, size: int = 800, overlap: int = 80, text_col: str = "text") -> DataFrame:
-    """Documents cut into chunks (`chunk_no`), whole texts, one row at a time."""
+    """Documents cut into chunks (`chunk_no`), whole texts, one row at a time. Python gets batches of bounded size, however long texts are."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def cut(s: pd.Series) -> pd.Series:
         return s.map(lambda b: split_text(b or "", size, overlap))

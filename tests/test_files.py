@@ -1,5 +1,6 @@
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,3 +265,14 @@ def test_store(spark):
 def test_target_hours_crosses_once(spark):
     recs = spark.createDataFrame([(f"r{i}", 1.0) for i in range(20)], "id string, h double")
     assert curation.choose_to_hours(recs, "id", F.col("h"), 4.5, 1).count() == 5 and curation.choose_to_hours(recs, "id", F.col("h"), 0.0, 1).count() == 0
+
+
+def test_long_texts_reach_python_in_small_batches(spark):
+    @F.pandas_udf("long")
+    def size(s: pd.Series) -> pd.Series:
+        return pd.Series([len(s)] * len(s))
+
+    rows = spark.range(60).coalesce(1).selectExpr("id", "repeat('a b c d ', 125000) AS text")
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    retrieval.chunked(rows)
+    assert rows.select(size("text").alias("n")).agg(F.max("n")).first()[0] < 30
