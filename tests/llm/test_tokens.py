@@ -37,6 +37,17 @@ def test_word_ids_equal_the_library(odd_texts):
     assert [np.frombuffer(x, "<u2").tolist() for x in got] == library(WORD, odd_texts)
 
 
+def test_pieces_of_plain_words_are_encoded_once():
+    """Words that differ in case and signs share their pieces; odd characters and special strings take the library's own way."""
+    words = ["Hôtel's,", "HÔTEL", "hôtel.", "don't'll", "we'Re", "''s$$", "x2y30", "a_b", "×÷", "ªº", "ﬁ", "e\u0301t", "İ", "a\x1cb", "<|endoftext|>x", "½", "日本", "\xad", "ß"]
+    enc = WordEncoder(WORD)
+    texts = [" ".join(words[k:] + words[:k]) for k in range(len(words))] + words + ["", "\n\t "]
+    got = enc.encode([t.encode() for t in texts])
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == library(WORD, texts)
+    assert {"hôtel", "'s", ",", ".", "2", "3", "''"} <= enc.pieces.keys() and "日本" not in enc.pieces
+    assert [x.decode("utf-8", "replace") for x in enc.known].count("HÔTEL") == 1 and sum("tel" in p for p in enc.pieces) == 1
+
+
 def test_merge_tables_out_of_training_order_are_refused(tmp_path):
     import json
     with open(BYTE, encoding="utf-8") as f:
