@@ -17,6 +17,7 @@ from dialoom.session import cut_lineage
 
 S, E = "start_ms", "end_ms"
 SLAB_ROWS = 65_536
+RUN_ROWS = slabs.ROWS_PER_SLAB      # rows of a run behind its first slab up to which it is one stream
 
 
 def merge_adjacent(df: DataFrame, keys: Sequence[str], row_id: str, gap_ms: int = fixed.ADJACENT_GAP_MS,
@@ -271,12 +272,55 @@ def gap_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], slab_of:
     return slabs.running_sums(d, keys, order, {out: F.col("_cut")}).drop("_top", "_past", "_cut", slabs.SLAB)
 
 
+def run_starts(df: DataFrame, keys: Sequence[str], order: Sequence[str], slab_of: Column, gap_ms: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with `_run`, where their run of `gap_runs` starts, and (keys, _run, n) of the runs that cross a slab's border: rows
+    behind the first border. `order` begins with the start. Rows are shuffled once; a slab gives one row."""
+    rows = df.withColumn(slabs.SLAB, slab_of.cast("long"))
+    w = Window.partitionBy(*keys, slabs.SLAB).orderBy(*order)
+    rows = rows.withColumn("_top", F.max(E).over(slabs.before(w)))
+    rows = rows.withColumn("_open", F.when(F.col("_top").isNull() | (F.col(S) > F.col("_top") + gap_ms), F.col(S)))
+    # of the rows that look like openers inside a slab, those beyond the carried end are the true ones
+    true = lambda c: F.when(F.col("_cend").isNull() | (F.col(c) > F.col("_cend") + gap_ms), F.col(c))
+    over = Window.partitionBy(*keys).orderBy(slabs.SLAB)
+    sums = rows.groupBy(*keys, slabs.SLAB).agg(F.max(E).alias("_end"), F.max("_open").alias("_last"), F.count(F.lit(1)).alias("_n"))
+    sums = sums.withColumn("_cend", F.max("_end").over(slabs.before(over)))
+    sums = cut_lineage(sums.withColumn("_run0", F.max(true("_last")).over(slabs.before(over))).select(*keys, slabs.SLAB, "_cend", "_run0", "_n"))
+    across = sums.groupBy(*keys, F.col("_run0").alias("_run")).agg(F.sum("_n").alias("n")).filter("_run IS NOT NULL")
+    rows = rows.join(sums.drop("_n"), [*keys, slabs.SLAB])
+    rows = rows.withColumn("_run", F.coalesce(F.max(true("_open")).over(slabs.upto(w)), F.col("_run0")))
+    return rows.select(*df.columns, "_run"), across
+
+
 def run_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], slab_of: Column, gap_ms: int,
              step: Callable[[dict, dict], list[dict]], flush: Callable[[dict], list[dict]], out: T.StructType) -> DataFrame:
-    """`relay_fold` for a rule that joins nothing beyond `gap_ms`: only runs without such a gap that cross a slab's border
-    are relayed, so rounds depend on the longest run and not on the length of a key."""
-    runs = gap_runs(cut_lineage(df), keys, order, slab_of, gap_ms)
-    return relay_fold(runs, [*keys, "_run"], order, slab_of, step, flush, out).drop("_run")
+    """A sequential fold (see `relay_fold`) by a rule that joins nothing beyond `gap_ms`: it is folded run by run, each run as one
+    stream from its first row. Only a run with more than `RUN_ROWS` rows behind its first slab is relayed slab by slab."""
+    group = [*keys, "_run"]
+    runs, across = run_starts(cut_lineage(df), keys, order, slab_of, gap_ms)
+    out_schema = T.StructType([*_fields(df, keys), *out.fields])
+    names = [f.name for f in out.fields]
+
+    def emit(batches):
+        at, state = None, {}
+        for pdf in batches:
+            done, cols = [], list(pdf.columns)
+            where = [cols.index(g) for g in group]
+            for rec in pdf.itertuples(index=False, name=None):
+                now = tuple(rec[i] for i in where)
+                if now != at:
+                    if at is not None:
+                        done.extend((at, r) for r in flush(state))
+                    at, state = now, {}
+                done.extend((at, r) for r in step(state, dict(zip(cols, rec))))
+            yield pd.DataFrame([(*k[:-1], *[r[n] for n in names]) for k, r in done], columns=[*keys, *names])
+        if at is not None:
+            yield pd.DataFrame([(*at[:-1], *[r[n] for n in names]) for r in flush(state)], columns=[*keys, *names])
+
+    long = cut_lineage(across.filter(F.col("n") > RUN_ROWS).select(*group))
+    if long.isEmpty():
+        return _ordered_stream(runs, group, order, emit, out_schema)
+    rest = _ordered_stream(runs.join(long, group, "left_anti"), group, order, emit, out_schema)
+    return rest.unionByName(relay_fold(runs.join(long, group, "left_semi"), group, order, slab_of, step, flush, out).drop("_run"))
 
 
 # ---- short-line merging and chunk building ---------------------------------------------------------------------------

@@ -153,6 +153,19 @@ def test_merge_short_of_a_long_key_relays_runs_only(spark):
     assert sorted(map(tuple, got.select("k", "start_ms", "end_ms", "speaker", "text").collect())) == sorted(want)
 
 
+def test_runs_across_slabs_are_folded_in_one_stream(spark, monkeypatch):
+    """A run over many slabs takes no rounds unless it is larger than a slab may be; the results are the same."""
+    rows = [("xy"[i >= 170], i, "AB"[i % 5 == 0], 700 * i - 9 * (i % 7), 700 * i + 690 + 2500 * (i % 11 == 0) + 9000 * (i % 40 == 39), f"w{i}") for i in range(300)]
+    want = [(k, x["s"], x["e"], x["sp"], x["t"]) for k, ls in by_key(rows) for x in seq_short([(r[2], r[3], r[4], r[5]) for r in ls])]
+    relay, relayed = sequence.relay_fold, []
+    monkeypatch.setattr(sequence, "relay_fold", lambda *a, **k: relayed.append(1) or relay(*a, **k))
+    for most in (10 ** 6, 20):
+        monkeypatch.setattr(sequence, "RUN_ROWS", most)
+        got = sequence.merge_short(spark.createDataFrame(rows, LINE), ["k"], "idx", F.floor(F.col("start_ms") / 9000))
+        assert sorted(map(tuple, got.select("k", "start_ms", "end_ms", "speaker", "text").collect())) == sorted(want)
+        assert len(relayed) == (most == 20)
+
+
 def test_sliding_windows(spark):
     df = spark.createDataFrame([("x", i, "A", i * 10, i * 10 + 5, f"t{i}") for i in range(6)], LINE)
     w = sequence.sliding_windows(df, ["k"], "idx", F.col("text")).orderBy("window_id").collect()
