@@ -31,7 +31,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8, candidates by SimHash fingerprints."""
+    """One document of each group of near copies: five-word shingles, similarity 0.8, candidates by the generalised pigeonhole
+    over SimHash fingerprints (unequal thresholds by dynamic programming)."""
     return near_copies.one_of_each(docs)
 
 

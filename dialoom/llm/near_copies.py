@@ -1,13 +1,14 @@
-"""Near copies by similarity of word shingles: several SimHash fingerprints, wide pigeonholes, exact verification.
+"""Near copies by similarity of word shingles: several SimHash fingerprints, generalised pigeonhole, exact verification.
 
 1. A text is the set of its shingles of `words` words (A-Z lower-cased; a shorter text is one shingle). Equal sets are one
    class from the first aggregation on.
-2. Each class has `PRINTS` independent 64-bit SimHash fingerprints of its set, cut into blocks of 16 bits. A pair of
-   similarity 0.8 differs in about a seventh of the bits, far too many for a few blocks to agree, but the bits that
-   differ are mostly those whose majority was narrow. So a class stands, in each block, under its own value and under
-   those with one or both of its two narrowest bits turned.
-3. Classes that meet under a value and whose first two fingerprints lie within `RADIUS` bits form a group; the shingle
-   sets of its members are compared exactly in blocks of bounded size, and a block gives a spanning forest of its links.
+2. Each class has `PRINTS` independent 64-bit SimHash fingerprints of its set. A pair of similarity 0.8 differs in about a
+   seventh of the bits of each (9.7), so one within `MAX_BITS` of them in at least one fingerprint is nearly sure.
+3. Candidates come from the generalised pigeonhole (`simhash_dups`), fingerprint by fingerprint: correlated bits share a
+   partition, dynamic programming splits the error budget unequally over the partitions, a class is indexed under its own
+   values and probes those within its thresholds. So all pairs within `MAX_BITS` meet. Those that do, and whose first two
+   fingerprints lie within `RADIUS` bits, form a group; the shingle sets of its members are compared exactly in blocks of
+   bounded size, and a block gives a spanning forest of its links.
 4. Connected groups keep one document: the one with the smallest id, of equal ids the first read.
 
 Defined cases: null, empty and blank texts share the class of the empty set and keep one row; repeated rows are one class;
@@ -21,17 +22,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import LOWER, arrow_map, fresh, mixed, text_bytes, texts, whole_partition, word_hashes, written
+from dialoom.llm.common import LOWER, arrow_map, fresh, mixed, text_bytes, texts, word_hashes, written
 from dialoom.llm.components import components
-from dialoom.llm.line_dedup import SPREAD, batches_of, joined, pairs_in
-from dialoom.llm.simhash_dups import blocks
+from dialoom.llm.line_dedup import SPREAD, joined, pairs_in
+from dialoom.llm.simhash_dups import blocks, signatures
 
 PRINTS = 3
+MAX_BITS = 11              # of the 64 bits of a fingerprint; a pair of similarity 0.8 is beyond in all three in about 2 of 100 cases
+MEETING = 8192             # rows of a bucket compared in one piece; a larger bucket is dealt out
 RADIUS = 36                # of the 128 bits of two fingerprints; pairs of similarity 0.8 lie 19 apart, others 64
 BLOCK = 256
 SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 AT_ONCE = 100_000          # shingles counted together
-NAMES = [f"{x}{k}" for x in ("print", "narrow") for k in range(PRINTS)]
+NAMES = [f"print{k}" for k in range(PRINTS)]
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:
@@ -56,27 +59,21 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(sets: list[np.ndarray]) -> dict[str, np.ndarray]:
-    """Fingerprints of sets, and masks of the two narrowest bits of each block."""
+    """Fingerprints of sets."""
     ones = np.stack([[bit_counts(mixed(s ^ seed)) for seed in SEEDS] for s in sets]) if sets else np.zeros((0, PRINTS, 64), np.int64)
-    lead = 2 * ones - np.array([len(s) for s in sets], np.int64)[:, None, None]
-    narrow = np.zeros(ones.shape, bool)
-    blocks_of = np.abs(lead).reshape(len(sets), PRINTS, 4, 16)
-    np.put_along_axis(narrow.reshape(blocks_of.shape), np.argsort(blocks_of, axis=-1, kind="stable")[..., :2], True, axis=-1)
-    packed = [np.packbits(x, axis=-1, bitorder="little").reshape(len(sets), PRINTS, 8).copy().view("<i8")[..., 0] for x in (lead > 0, narrow)]
-    return {f"{n}{k}": p[:, k] for n, p in zip(("print", "narrow"), packed) for k in range(PRINTS)}
-
-
-def values(prints: dict[str, np.ndarray]) -> np.ndarray:
-    """[row, 16 * PRINTS]: the values a class stands under, each with the number of its block."""
-    out = []
-    for k in range(PRINTS):
-        p, narrow = prints[f"print{k}"].view(np.uint64), prints[f"narrow{k}"].view(np.uint64)
-        for b in range(4):
-            part, mask = p >> np.uint64(16 * b) & np.uint64(0xFFFF), narrow >> np.uint64(16 * b) & np.uint64(0xFFFF)
-            low = mask & (~mask + np.uint64(1))
-            for turn in (np.zeros_like(low), low, mask ^ low, mask):
-                out.append((part ^ turn) << np.uint64(8) | np.uint64(4 * k + b))
-    return np.stack(out, axis=1).view(np.int64)
+    more = 2 * ones > np.array([len(s) for s in sets], np.int64)[:, None, None]
+    packed = np.packbits(more, axis=-1, bitorder="little").reshape(len(sets), PRINTS, 8).copy().view("<i8")[..., 0]
+    return {c: packed[:, k] for k, c in enumerate(NAMES)}
+
+
+def near_rows(fps: np.ndarray, own: np.ndarray, max_bits: int):
+    """(i, j) of all pairs within max_bits of which one stands under its own value, strip by strip."""
+    bits, mine = np.ascontiguousarray(fps, np.int64).view(np.uint64), np.flatnonzero(own)
+    for lo in range(0, len(mine), 64):
+        some = mine[lo:lo + 64]
+        i, j = np.nonzero(np.bitwise_count(bits[some, None] ^ bits[None, :]) <= max_bits)
+        keep = some[i] != j
+        yield some[i[keep]], j[keep]
 
 
 def similar_sets(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -99,40 +96,34 @@ def links(classes: DataFrame, sets_of, similarity: float, block: int = BLOCK) ->
     """Edges (a, b) between nodes of `classes` (node and fingerprints) that connect all similar ones that meet.
 
     `sets_of(nodes)` gives node, hashes for a table of nodes."""
-    def post(batch):
-        prints = {c: batch.column(c).to_numpy() for c in NAMES}
-        v = values(prints)
-        rows = np.repeat(np.arange(len(v)), v.shape[1])
-        yield {"bucket": v.ravel(), "node": batch.column("node").to_numpy()[rows], "print0": prints["print0"][rows], "print1": prints["print1"][rows]}
-
-    what = ["node", "print0", "print1"]
-    posted = arrow_map(classes.select("node", *NAMES), post, {"bucket": "long"} | dict.fromkeys(what, "long"))
-
-    @whole_partition
-    def meet(batches):
-        left = None
-        for batch in [*batches_of(batches), None]:
-            cols = left if batch is None else batch if left is None else {c: np.concatenate((left[c], batch[c])) for c in batch}
-            if not cols or not len(cols["bucket"]):
-                continue
-            first = np.flatnonzero(np.append(True, cols["bucket"][1:] != cols["bucket"][:-1]))
-            end = len(cols["bucket"]) if batch is None else first[-1]             # the last value may go on
-            left = {c: v[end:] for c, v in cols.items()}
-            if end:
-                yield grouped({c: v[:end] for c, v in cols.items()}, np.diff(np.append(first[first < end], end)))
-
-    def grouped(cols, lengths):
-        a, b, edges = cols["print0"].view(np.uint64), cols["print1"].view(np.uint64), []
-        for i, j in pairs_in(lengths):
+    def meet(batch):
+        cells = batch.column("block")
+        stops = np.cumsum(cells.value_lengths().to_numpy())
+        cols = {c: cells.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("node", "fp", "own", "print0", "print1")}
+        for lo, hi in zip([0, *stops.tolist()], stops.tolist()):
+            yield grouped({c: v[lo:hi] for c, v in cols.items()})
+
+    def grouped(cols):
+        a, b = cols["print0"].view(np.uint64), cols["print1"].view(np.uint64)
+        nodes, at = np.unique(cols["node"], return_inverse=True)                  # a class may stand here more than once
+        every, root = np.arange(len(nodes)), np.arange(len(nodes))
+        for i, j in near_rows(cols["fp"], cols["own"], MAX_BITS):
             near = np.bitwise_count(a[i] ^ a[j]).astype(np.int16) + np.bitwise_count(b[i] ^ b[j]) <= RADIUS
-            edges.append((i[near], j[near]))
-        root = joined(len(a), edges)
-        total = np.zeros(len(a), np.uint64)
-        np.add.at(total, root, mixed(cols["node"].view(np.uint64)))               # a group is named by its members
-        hit = np.bincount(root, minlength=len(a))[root] > 1
-        return {"bucket": total[root[hit]].view(np.int64), "node": cols["node"][hit]}
-
-    met = arrow_map(posted.repartition("bucket").sortWithinPartitions("bucket"), meet, {"bucket": "long", "node": "long"})
+            i, j = at[i[near]], at[j[near]]
+            apart = root[i] != root[j]
+            if apart.any():                                                       # pairs that are connected aren't held
+                root = joined(len(nodes), [(every, root), (i[apart], j[apart])])
+        total = np.zeros(len(nodes), np.uint64)
+        np.add.at(total, root, mixed(nodes.view(np.uint64)))                      # a group is named by its members
+        hit = np.bincount(root, minlength=len(nodes))[root] > 1
+        return {"bucket": total[root[hit]].view(np.int64), "node": nodes[hit]}
+
+    met = None
+    for k, c in enumerate(NAMES):
+        posted = signatures(classes.select("node", F.col(c).alias("fp"), *[F.col(x) for x in NAMES[:2]]), MAX_BITS, ("node", "print0", "print1"))
+        rows = written(posted, f"copy-signatures-{k}")
+        found = arrow_map(blocks(rows, ["node", "fp", "own", "print0", "print1"], MEETING), meet, {"bucket": "long", "node": "long"})
+        met = found if met is None else met.unionAll(found)
     met = written(met.distinct(), "met-copies")
     sets = written(sets_of(met.select("node").distinct()), "met-sets")
 

@@ -22,6 +22,7 @@ from itertools import combinations
 from math import comb, log2
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,7 @@ BITS = 64
 BLOCK = 512            # classes verified against each other
 FOLD = 16              # bits of a histogram
 PROBE_COST = 512.0     # one probe row, shuffled and gathered, costs as much as so many comparisons in a block
+PARTITION_BITS = 6     # room for a partition's number in a bucket's name
 BUCKET = 1024          # expected classes of a bucket of independent bits
 
 
@@ -195,8 +197,10 @@ def _flips(width: int, t: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for d in range(t + 1) for c in combinations(range(width), d)], np.int64)
 
 
-def signatures(classes: DataFrame, max_bits: int) -> DataFrame:
-    """(bucket, fp): each class under its own value of every partition and under every value that it probes."""
+def signatures(classes: DataFrame, max_bits: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(bucket, fp): each class under its own value of every partition and under every value that it probes.
+
+    With `keep`, columns that are handed on, and `own`: whether the value is the class's own."""
     n, together = bit_table(classes)
     groups = bit_groups(n, together, max_bits)
     hist = histograms(classes, groups)
@@ -208,18 +212,21 @@ def signatures(classes: DataFrame, max_bits: int) -> DataFrame:
             fps = all_fps[lo:lo + 2048]
             bits = _bits(fps)
             t = thresholds(bits, groups, dist.value, n, max_bits)
-            keys, owners = [], []
+            keys, owners, mine = [], [], []
             for g, group in enumerate(groups):
                 v = value(bits, group)
                 for own in range(-1, max_bits + 1):
                     at = np.flatnonzero(t[:, g] == own)
                     if len(at):
                         mask = _flips(len(group), max(own, 0))
-                        keys.append((((v[at][:, None] ^ mask) << 2) | g).ravel())
-                        owners.append(np.repeat(fps[at], len(mask)))
-            yield {"bucket": np.concatenate(keys), "fp": np.concatenate(owners)}
-
-    return arrow_map(classes.select("fp"), step, {"bucket": "long", "fp": "long"})
+                        keys.append((((v[at][:, None] ^ mask) << PARTITION_BITS) | g).ravel())
+                        owners.append(np.repeat(at, len(mask)))
+                        mine.append(np.tile(mask == 0, len(at)))
+            at = np.concatenate(owners)
+            got = {"bucket": np.concatenate(keys), "fp": fps[at]}
+            yield got if not keep else got | {"own": np.concatenate(mine)} | {c: batch.column(c).take(pa.array(lo + at)) for c in keep}
+
+    return arrow_map(classes.select("fp", *keep), step, {"bucket": "long", "fp": "long"} | ({"own": "boolean"} if keep else {}), keep=keep)
 
 
 def near_pairs(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:

@@ -86,3 +86,20 @@ def test_similar_sets_and_counts():
     assert data.grouped(5, got) == [0, 0, 2, 0, 4]
     h = rng.integers(0, 2**64, 1000, np.uint64)
     assert near_copies.bit_counts(h).tolist() == [int((h >> np.uint64(b) & np.uint64(1)).sum()) for b in range(64)]
+
+
+def test_all_pairs_within_the_bits_meet_by_the_generalised_pigeonhole(spark):
+    """Pairs at the widest distance meet under a value of one of them, and the thresholds spend the whole budget."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 300).astype(np.int64)
+    far = np.array([b ^ sum(1 << int(k) for k in rng.choice(63, near_copies.MAX_BITS, False)) for b in base.tolist()], np.int64)
+    rows = [(i, int(f), int(f)) for i, f in enumerate(np.concatenate((base, far)))]
+    table = spark.createDataFrame(rows, "node long, fp long, print0 long")
+    posted = near_copies.signatures(table, near_copies.MAX_BITS, ("node", "print0")).toPandas()
+    assert (posted.fp == posted.print0).all()
+    at = {}
+    for bucket, node, own in posted[["bucket", "node", "own"]].itertuples(index=False):
+        at.setdefault(node, {})[bucket] = own
+    assert all(any(own or at[i + 300][b] for b, own in at[i].items() if b in at[i + 300]) for i in range(300))
+    i, j = (np.concatenate(x) for x in zip(*near_copies.near_rows(np.concatenate((base, far)), np.arange(600) < 300, near_copies.MAX_BITS)))
+    assert set(zip(range(300), range(300, 600))) <= set(zip(i.tolist(), j.tolist()))
