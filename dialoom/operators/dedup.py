@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,25 +20,33 @@ def keep_first(df: DataFrame, by: Sequence[str | Column], order: Sequence[str |
     return df.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n).drop("_k")
 
 
+@lru_cache(maxsize=4096)
+def _tokens(joined: str) -> frozenset[str]:
+    return frozenset(joined.split(" "))
+
+
 def near_duplicates(df: DataFrame, keys: Sequence[str], node_id: str, text_col: str, max_shift_ms: int = 1000,
                     similarity: float = 0.8, width: int | None = None) -> DataFrame:
     """Drop a row when an earlier kept row has |dstart| + |dend| < `max_shift_ms` and token similarity > `similarity`.
 
     Rows are ordered by (start, end, id). Copies with equal span and token set are reduced to their first row up front
-    (whatever removes the first removes them); the others are settled in one ordered pass over a second of kept rows.
+    (whatever removes the first removes them); the others are settled in one ordered pass over a second of kept rows. A
+    set travels as one text and is only taken apart for rows that are close enough in time.
     """
-    d = df.withColumn("_set", F.array_sort(text.token_set(F.col(text_col))))
+    d = df.withColumn("_set", text.token_set(F.col(text_col)))
     blank = d.filter(F.size("_set") == 0)  # empty sets match nothing
-    firsts = cut_lineage(keep_first(d.filter(F.size("_set") > 0), [*keys, S, E, "_set"], [node_id]))
+    worded = d.filter(F.size("_set") > 0).withColumn("_set", F.array_join(F.array_sort("_set"), " "))
+    firsts = cut_lineage(keep_first(worded, [*keys, S, E, "_set"], [node_id]))
 
     def match(a: tuple, b: tuple) -> bool:
         if abs(a[0] - b[0]) + abs(a[1] - b[1]) >= max_shift_ms:
             return False
-        most, least = max(len(a[2]), len(b[2])), min(len(a[2]), len(b[2]))
-        return least / most > similarity and len(a[2] & b[2]) / most > similarity
+        x, y = _tokens(a[2]), _tokens(b[2])
+        most, least = max(len(x), len(y)), min(len(x), len(y))
+        return least / most > similarity and len(x & y) / most > similarity
 
-    kept = settle.kept_rows(firsts, keys, node_id, F.col(S) + (max_shift_ms - 1), match, "_set", frozenset, width)
-    return kept.unionByName(blank).select(*df.columns)
+    kept = settle.kept_rows(firsts, keys, node_id, F.col(S) + (max_shift_ms - 1), match, "_set", width=width)
+    return kept.select(*df.columns).unionByName(blank.select(*df.columns))
 
 
 def same_text_duplicates(df: DataFrame, keys: Sequence[str], node_id: str, text_col: str, edge_ms: int = 300, iou: float = 0.85,

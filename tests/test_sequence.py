@@ -255,6 +255,14 @@ def test_near_duplicates(spark, width):
     assert sorted(r["id"] for r in got.collect()) == sorted(want)
 
 
+def test_token_sets_travel_as_one_text(spark, monkeypatch):
+    seen, settled_rows = [], settle.kept_rows
+    monkeypatch.setattr(settle, "kept_rows", lambda df, *a, **k: seen.append(df.schema["_set"].dataType.simpleString()) or settled_rows(df, *a, **k))
+    df = spark.createDataFrame([("x", 1, 0, 500, "b  A c d e f"), ("x", 2, 100, 600, "f e d c a B"), ("x", 3, 100, 600, "a"), ("x", 4, 0, 500, " ")],
+                               "k string, id bigint, start_ms bigint, end_ms bigint, text string")
+    assert sorted(r["id"] for r in dedup.near_duplicates(df, ["k"], "id", "text").collect()) == [1, 3, 4] and seen == ["string"]
+
+
 @pytest.mark.parametrize("width", [None, 1700])
 def test_same_text_duplicates(spark, width):
     rows = dup_rows(2)
