@@ -154,7 +154,8 @@ def _beside(ms: int) -> list[tuple[Column, Column]]:
 
 
 def _around_edges(ms: int) -> list[tuple[Column, Column]]:
-    return [(F.col(c) + a, F.col(c) + b) for c in (S, E) for a, b in ((-ms, 0), (0, ms))]
+    """Before and after each edge; the two windows of an edge touch, so they are one."""
+    return [(F.col(c) - ms, F.col(c) + ms) for c in (S, E)]
 
 
 def temporal_relabel(rows: DataFrame, keys: Sequence[str], n: int, width: int) -> DataFrame:
@@ -214,14 +215,16 @@ def second_opinion_scores(rows: DataFrame, other: DataFrame, anchors: DataFrame,
     return speakers.label_scores(overlap, acoustic, neighbour, keys)
 
 
-def second_opinion_relabel(rows: DataFrame, other: DataFrame, mapping: DataFrame, keys: Sequence[str], n: int, width: int, bin_ms: int) -> DataFrame:
+def second_opinion_relabel(rows: DataFrame, other: DataFrame, mapping: DataFrame, keys: Sequence[str], n: int, width: int, bin_ms: int,
+                           atoms: DataFrame | None = None) -> DataFrame:
     """Single-speaker atoms where exactly one second-opinion speaker is active, with the decision and its reason.
 
+    `atoms`: the profiled atoms of `rows`, where the caller has them already.
     `mapping`: keys, other, local. Reasons follow the order of the gates: unmapped, same, short, overlap_context,
     confident, fallback, low_gain, neighbour, accepted.
     """
     p, keys = SECOND, list(keys)
-    atoms = cut_lineage(profiled_atoms(rows, keys, n, width))
+    atoms = cut_lineage(profiled_atoms(rows, keys, n, width)) if atoms is None else atoms
     zones = cut_lineage(stable_zones(atoms, keys, width))
     overlapped = spans.pair_regions(rows, keys, bin_ms, width).select(*keys, S, E)
     single = atoms.filter("n_speakers = 1").withColumn("cur", _speaker(F.col("idx")))

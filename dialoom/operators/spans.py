@@ -15,6 +15,7 @@ from dialoom.operators import slabs
 from dialoom.session import cut_lineage
 
 S, E = "start_ms", "end_ms"
+PER_BIN = 32  # steps of a key that share a time bin, on average
 
 
 def merge_spans(df: DataFrame, keys: Sequence[str], gap_ms: int = 0, width: int | None = None,
@@ -110,13 +111,13 @@ def overlap_sum(df: DataFrame, spans: DataFrame, keys: Sequence[str], row_id: Se
             .agg(F.sum(F.col("_cov") * F.col("_pg")).alias(out), *[F.first(x).alias(x) for x in carried]))
 
 
-def bins(start: Column, end: Column, bin_ms: int) -> Column:
+def bins(start: Column, end: Column, bin_ms: int | Column) -> Column:
     """The time bins a half-open span touches (a zero-length span touches one)."""
     last = F.greatest(F.floor(start / bin_ms), F.floor((end - 1) / bin_ms))
     return F.sequence(F.floor(start / bin_ms).cast("long"), last.cast("long"))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], bin_ms: int, how: str = "inner",
+def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], bin_ms: int | Column, how: str = "inner",
                  min_overlap_ms: int = 1) -> DataFrame:
     """Pairs of overlapping spans. Right columns come back prefixed `r_`; a pair is emitted once, in its first shared bin.
 
@@ -185,14 +186,20 @@ def coactive(left: DataFrame, right: DataFrame, keys: Sequence[str], bin_ms: int
 
     Every span counts, so a label active twice counts twice (or with its integer weights). Each label becomes one step
     function first; only labels that are active at the same time meet, and the sums are taken before the shuffle. Pairs
-    that never meet have no row.
+    that never meet have no row. Bins are at most `bin_ms` long and shorter where a key has many steps, so that a bin holds
+    about `PER_BIN` of them however dense the key is.
     """
+    keys = list(keys)
+
     def stepped(df, by, weight):
         one = F.lit(1).cast("long") if weight is None else weight.cast("long")
         st = depth_steps(df.filter(F.col(E) > F.col(S)), [*keys, by], {"w": one}, width)
         return st.filter((F.col("w") != 0) & F.col("next_ms").isNotNull()).select(*keys, by, F.col("t").alias(S), F.col("next_ms").alias(E), "w")
 
-    pairs = overlap_join(stepped(left, left_by, left_weight), stepped(right, right_by, right_weight), keys, bin_ms)
+    a, b = cut_lineage(stepped(left, left_by, left_weight)), cut_lineage(stepped(right, right_by, right_weight))  # read twice
+    size = (a.select(*keys, S, E).unionByName(b.select(*keys, S, E)).groupBy(*keys)
+            .agg(F.expr(f"greatest(1, least({int(bin_ms)}, (max({E}) - min({S})) div (1 + count(1) div {PER_BIN})))").alias("_ms")))
+    pairs = overlap_join(a.join(size, keys), b.join(size, keys), [*keys, "_ms"], F.col("_ms"))
     return pairs.groupBy(*keys, left_by, f"r_{right_by}").agg(F.sum(F.col("overlap_ms") * F.col("w") * F.col("r_w")).alias("ms"))
 
 

@@ -144,25 +144,25 @@ def _second(spark, sf):
     atoms = relabel.cut_lineage(relabel.profiled_atoms(rows, KEY, N, width))
     anchors = relabel.cut_lineage(relabel.trusted_rows(atoms, KEY, width))
     scores = relabel.cut_lineage(relabel.second_opinion_scores(rows, other, anchors, KEY, N, width, BIN_MS))
-    return rows, other, scores, width
+    return rows, other, scores, atoms, width
 
 
 @query("second_opinion_map")
 def second_opinion_map(spark, sf):
-    rows, other, scores, width = _second(spark, sf)
+    rows, other, scores, atoms, width = _second(spark, sf)
     return speakers.second_opinion_map(scores, KEY).select(*KEY, "other", "local", F.round("score", 6).alias("score"))
 
 
 @query("mapping_health")
 def mapping_health(spark, sf):
     from dialoom.operators.metrics import mapping_health as health
-    rows, other, scores, width = _second(spark, sf)
+    rows, other, scores, atoms, width = _second(spark, sf)
     h = health(speakers.second_opinion_map(scores, KEY), KEY)
     return h.withColumns({"avg_score": F.round("avg_score", 6), "coverage": F.round("coverage", 6)})
 
 
 @query("second_opinion_relabel")
 def second_opinion_relabel(spark, sf):
-    rows, other, scores, width = _second(spark, sf)
+    rows, other, scores, atoms, width = _second(spark, sf)
     m = speakers.second_opinion_map(scores, KEY)
-    return relabel.second_opinion_relabel(rows, other, m, KEY, N, width, BIN_MS).drop("vec")
+    return relabel.second_opinion_relabel(rows, other, m, KEY, N, width, BIN_MS, atoms).drop("vec")

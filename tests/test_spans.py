@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from dialoom.operators import slabs, spans
+from dialoom.operators import relabel, slabs, spans
 
 W = 7  # slab width in ms: nearly every span crosses slabs
 
@@ -141,6 +141,32 @@ def test_coactive_equals_frame_counts(spark, seed):
     assert {(r.k, r.speaker, r.r_speaker): r.ms for r in df.collect() if r.ms} == want
 
 
+def test_dense_keys_meet_in_short_bins(spark, monkeypatch):
+    """However long the bins may be, a key with many steps forms few pairs for each of them."""
+    rows = [("x", i, "ab"[i % 2], 7 * i, 7 * i + 20) for i in range(2000)] + [("y", 0, "a", 0, 10**9), ("y", 1, "b", 5, 9)]
+    seen, join = [], spans.overlap_join
+
+    def kept(left, right, keys, bin_ms, *more):
+        binned = lambda d: d.select(*keys, F.explode(spans.bins(F.col("start_ms"), F.col("end_ms"), bin_ms)).alias("b")).groupBy(*keys, "b").count()
+        seen.append(binned(left).join(binned(right).withColumnRenamed("count", "m"), [*keys, "b"]).agg(F.sum(F.col("count") * F.col("m"))).first()[0])
+        return join(left, right, keys, bin_ms, *more)
+
+    monkeypatch.setattr(spans, "overlap_join", kept)
+    df = frame(spark, rows)
+    got = {(r.k, r.speaker, r.r_speaker): r.ms for r in spans.coactive(df, df, ["k"], 10**6, width=W).collect() if r.ms}
+    want = {}
+    for i, x in enumerate(rows):
+        for y in [*rows[max(0, i - 5):i + 6]] if x[0] == "x" else rows[-2:]:
+            ms = min(x[4], y[4]) - max(x[3], y[3])
+            if x[0] == y[0] and ms > 0:
+                want[x[0], x[2], y[2]] = want.get((x[0], x[2], y[2]), 0) + ms
+    assert got == want and seen[0] < 100 * 2 * len(rows)
+
+
+def test_windows_around_an_edge_are_one():
+    assert len(relabel._around_edges(900)) == 2
+
+
 def test_split_long(spark):
     df = spark.createDataFrame([("x", 0, 70_000, "a b c d e f g")], "k string, start_ms bigint, end_ms bigint, text string")
     p = got(spans.split_long(df, 30_000, "text"), "part", "part_start_ms", "part_end_ms", "text")
