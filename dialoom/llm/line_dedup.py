@@ -11,9 +11,11 @@
 4. In a block, lines meet whose lengths and word parities allow the similarity (exact bounds) and whose SimHash
    fingerprints differ in at most `radius` bits. A line edited up to the similarity moves by about 12 of 64 bits, an
    unrelated one lies 32 away; blocks of fingerprint bits alone would need that radius and select nothing, which is why
-   the blocks are words. In place of a frequent word's block there is one for each pair with another of the line's blocks:
-   similar lines share two, so they meet in one that is not frequent or in a pair. Lines of more than `LONG` words meet in the
-   frequent words' blocks themselves. Recall is measured in the tests.
+   the blocks are words. In place of frequent words' blocks there is one for each pair of them: similar lines share two
+   words, so they meet in one that is not frequent or in a pair that is. Lines of more than `LONG` words meet in the
+   frequent words' blocks themselves. All blocks take one shuffle: in a block lines are sorted by length and compared only
+   with those of a length that allows the similarity, and a block of more lines than a task should compare is dealt out as
+   pairs of its parts. Recall is measured in the tests.
 5. Lines that met are read again and linked if their word edit similarity (1 - edits / longer length) is `similarity` or
    more (words compare by 32-bit hashes). They are compared in blocks of bounded size, and a block gives a spanning forest.
 6. Of each connected group of classes the first line stays (smallest id, then place); all others go.
@@ -27,6 +29,7 @@ stay equal; a text may lose all its lines and is then empty; columns of any name
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,10 @@ from dialoom.llm.components import components
 from dialoom.llm.simhash_dups import blocks
 
 BLOCK = 1024
+ODD = ["odd0", "odd1", "odd2", "odd3"]
+WIDE = 40                # words from which lines have parities of 256 classes
+STRIP = 64               # lines of a large block that are compared with the others at once
+SPAN = 4                 # blocks' worth of lines that one task compares; more are dealt out
 HOLES = None             # rarest words of a line that others meet it in: all that the similarity asks for
 LONG = 2000              # words of a line up to which blocks of frequent words are paired (their pairs grow with the square)
 RADIUS = 24              # bits between fingerprints of lines to compare
@@ -118,6 +125,18 @@ def parities(hashes: np.ndarray, starts: np.ndarray, longs: int = 3) -> np.ndarr
     return np.stack([np.bitwise_xor.reduceat(np.where(place == k, bit, zero), starts) for k in range(longs)], axis=1)
 
 
+def posted_parities(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """[line, 4]: parities of 256 classes of words; lines of fewer than `WIDE` words have those of 64 (the four folded) first.
+
+    The 64 say little about long lines, which have many words of each class."""
+    bit, place, zero = np.uint64(1) << (hashes & np.uint64(63)), hashes >> np.uint64(6) & np.uint64(3), np.uint64(0)
+    odd = np.stack([np.bitwise_xor.reduceat(np.where(place == k, bit, zero), np.cumsum(n) - n) for k in range(4)], axis=1)
+    short = n < WIDE
+    odd[short, 0] = np.bitwise_xor.reduce(odd[short], axis=1)
+    odd[short, 1:] = 0
+    return odd
+
+
 def may_be_similar(n, m, odd_n, odd_m, similarity: float) -> np.ndarray:
     """Whether lengths and parities of lines allow the similarity (never false for a similar pair)."""
     most = allowed_edits(np.maximum(n, m), similarity)
@@ -127,12 +146,16 @@ def may_be_similar(n, m, odd_n, odd_m, similarity: float) -> np.ndarray:
 def meetings_in(cols: dict[str, np.ndarray], lengths: np.ndarray, similarity: float, radius: int) -> dict[str, np.ndarray]:
     """Lines (c1) of consecutive blocks of these lengths that may be similar, in groups named by their members.
 
-    So lines that meet in several blocks are compared once."""
-    n, odd, fp, edges = cols["n"].astype(np.int64), cols["odd"].view(np.uint64)[:, None], cols["fp"].view(np.uint64), []
-    for i, j in pairs_in(lengths):
+    Lines of a block are sorted by length. So lines that meet in several blocks are compared once."""
+    n, fp, edges = cols["n"].astype(np.int64), cols["fp"].view(np.uint64), []
+    wide = np.stack([cols[c].view(np.uint64) for c in ODD], axis=1)
+    odd = np.bitwise_xor.reduce(wide, axis=1)[:, None]
+    for i, j in near_in_length(n, lengths, similarity):
         near = np.bitwise_count(fp[i] ^ fp[j]) <= radius
         i, j = i[near], j[near]
         near = may_be_similar(n[i], n[j], odd[i], odd[j], similarity)
+        i, j = i[near], j[near]
+        near = (n[i] < WIDE) | (n[j] < WIDE) | may_be_similar(n[i], n[j], wide[i], wide[j], similarity)
         edges.append((i[near], j[near]))
     root = joined(len(n), edges)
     total = np.zeros(len(n), np.uint64)
@@ -152,6 +175,29 @@ def pairs_in(lengths: np.ndarray):
         at = at[left[at] > d]
 
 
+def near_in_length(n: np.ndarray, lengths: np.ndarray, similarity: float):
+    """(i, j) places of the pairs inside consecutive groups, sorted by n, whose n allow the similarity: strips of large groups,
+    a distance at a time in all small ones."""
+    ends = np.cumsum(lengths)
+    # `fits` grows with n, so the partners of a line end where it first exceeds the line's n.
+    fits = n - allowed_edits(n, similarity)
+    for lo, end in zip((ends - lengths)[lengths > STRIP].tolist(), ends[lengths > STRIP].tolist()):
+        for at in range(lo, end, STRIP):
+            to = min(at + STRIP, end)
+            stop = lo + int(np.searchsorted(fits[lo:end], n[to - 1], "right"))
+            i, j = np.divmod(np.arange((to - at) * (stop - at)), stop - at)
+            later = j > i
+            yield i[later] + at, j[later] + at
+    left = np.repeat(ends, lengths) - np.arange(lengths.sum())
+    at = np.flatnonzero((left > 1) & np.repeat(lengths <= STRIP, lengths))
+    d = 1
+    while len(at):
+        at = at[fits[at + d] <= n[at]]
+        yield at, at + d
+        d += 1
+        at = at[left[at] > d]
+
+
 def joined(n: int, edges: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Smallest member of each of n places' group under the edges."""
     root = np.arange(n)
@@ -223,20 +269,18 @@ def pigeonholes(hashes: np.ndarray, n: np.ndarray, levels: np.ndarray, similarit
     return fps, line[take], bucket.view(np.int64), level[take]
 
 
-def paired(line: np.ndarray, bucket: np.ndarray, crowded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(line, bucket) of blocks in place of those of frequent words: one for each pair with another of the line's blocks.
+def paired(line: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, bucket) of blocks in place of these of frequent words: one for each pair of a line's. `line` is sorted.
 
-    A line's only block stays as it is. `line` is sorted."""
+    Lines that share two words of which one is not frequent meet in that one's block."""
     starts = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.empty(0, np.int64)
     size = np.diff(np.append(starts, len(line)))
-    alone = starts[size == 1]
-    lines, out = [line[alone][crowded[alone]]], [bucket[alone][crowded[alone]]]
+    lines, out = [line[:0]], [bucket[:0]]
     left = np.repeat(starts + size, size) - np.arange(len(line))
     at, d = np.flatnonzero(left > 1), 1
     while len(at):
-        both = crowded[at] | crowded[at + d]
-        lines.append(line[at][both])
-        out.append(mixed(bucket[at][both].view(np.uint64) + bucket[at + d][both].view(np.uint64)).view(np.int64))
+        lines.append(line[at])
+        out.append(mixed(bucket[at].view(np.uint64) + bucket[at + d].view(np.uint64)).view(np.int64))
         d += 1
         at = at[left[at] > d]
     return np.concatenate(lines), np.concatenate(out)
@@ -321,10 +365,14 @@ def removed_lines(rows: DataFrame, min_words: int, similarity: float, block: int
     classes = written(places.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
                       .withColumn("node", F.monotonically_increasing_id()), "line-classes")
 
-    crowded = int(np.log2(block))     # level from which a word may be in more lines than a block holds
+    crowded = int(np.log2(SPAN * block))     # level from which a word may be in more lines than a task compares
+    first_bits = place_filter(classes.select("first.k1", "first.line"))
 
     def post(batch):
-        for _, _, every in lines_of(batch, min_words):
+        bits, k1 = first_bits.value, batch.column("k1").to_numpy()
+        for owner, number, every in lines_of(batch, min_words):
+            slot = place_slots(k1[owner], np.array(number))          # a repeated line is posted from its first place only
+            every = [every[i] for i in np.flatnonzero(bits[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).tolist()]
             for lo in range(0, len(every), LINES_AT_ONCE):
                 held = every[lo:lo + LINES_AT_ONCE]
                 c = line_hashes(held)
@@ -332,43 +380,54 @@ def removed_lines(rows: DataFrame, min_words: int, similarity: float, block: int
                 held, c = [held[i] for i in once.tolist()], c[once]
                 n, hashes = np.array([len(x) for x in held]), word_hashes([w for x in held for w in x])
                 fp, line, bucket, level = pigeonholes(hashes, n, levels.value, similarity, holes)
-                odd = parities(hashes, np.cumsum(n) - n, 1)[:, 0].view(np.int64)
+                odd = posted_parities(hashes, n).view(np.int64)
                 many = level >= crowded
-                short, far = n[line] <= LONG, many & (n[line] >= similarity * LONG)     # lines between have both
-                pair_line, pair = paired(line[short], bucket[short], many[short])
+                pairs, far = many & (n[line] <= LONG), many & (n[line] >= similarity * LONG)     # lines between have both
+                if holes is not None:      # two shared words are no longer certain
+                    far = many
+                pair_line, pair = paired(line[pairs], bucket[pairs])
                 line, bucket = np.concatenate((line[~many], line[far], pair_line)), np.concatenate((bucket[~many], bucket[far], pair))
-                yield {"bucket": bucket, "c1": c[line, 0], "fp": fp[line], "odd": odd[line], "n": n[line].astype(np.int32),
-                       "crowded": np.arange(len(line)) >= len(line) - len(pair_line) - far.sum()}
+                yield {"bucket": bucket, "c1": c[line, 0], "fp": fp[line], "n": n[line].astype(np.int32),
+                       **{c: odd[line, k] for k, c in enumerate(ODD)}}
 
-    what = {"c1": "long", "fp": "long", "odd": "long", "n": "int"}
-    posted = written(arrow_map(rows.select("text"), post, {"bucket": "long", **what, "crowded": "boolean"}), "line-blocks")
+    what = {"c1": "long", "fp": "long", **dict.fromkeys(ODD, "long"), "n": "int"}
+    most = SPAN * block
 
     @whole_partition
     def meet(batches):
-        left = None
-        for batch in [*batches_of(batches), None]:
+        left, full = None, None             # lines of a block that may go on; a block that is dealt out
+        for batch in chain(batches_of(batches), [None]):
             cols = left if batch is None else batch if left is None else {c: np.concatenate((left[c], batch[c])) for c in batch}
             if not cols or not len(cols["bucket"]):
                 continue
             new = np.append(True, (cols["bucket"][1:] != cols["bucket"][:-1]) | (cols["c1"][1:] != cols["c1"][:-1]))
             cols = {c: v[new] for c, v in cols.items()}
             first = np.flatnonzero(np.append(True, cols["bucket"][1:] != cols["bucket"][:-1]))
-            end = len(cols["bucket"]) if batch is None else first[-1]        # the last block may go on
+            lengths = np.diff(np.append(first, len(cols["bucket"])))
+            deal = (lengths > most) | (np.False_ if full is None else cols["bucket"][first] == full)
+            end = len(cols["bucket"]) if batch is None or deal[-1] else first[-1]        # the last block may go on
+            full = cols["bucket"][-1] if deal[-1] else None
             left = {c: v[end:] for c, v in cols.items()}
-            if end:
-                done = {c: v[:end] for c, v in cols.items()}
-                yield meetings_in(done, np.diff(np.append(first[first < end], end)), similarity, radius)
-
-    few = posted.where("not crowded").select("bucket", *what).repartition("bucket").sortWithinPartitions("bucket", "c1")
-    met = arrow_map(few, meet, {"bucket": "long", "c1": "long"})
-
-    many = posted.where("crowded").select("bucket", *what).distinct()
+            dealt, ended = np.repeat(deal, lengths)[:end], first < end
+            if dealt.any():
+                yield {c: v[:end][dealt] for c, v in cols.items()} | {"met": np.zeros(dealt.sum(), bool)}
+            if not dealt.all():
+                got = meetings_in({c: v[:end][~dealt] for c, v in cols.items()}, lengths[ended & ~deal], similarity, radius)
+                none = [None] * len(got["c1"])
+                yield got | {c: none for c in what if c != "c1"} | {"met": np.ones(len(none), bool)}
+
+    posted = arrow_map(rows.select("text", "k1"), post, {"bucket": "long", **what}).repartition("bucket").sortWithinPartitions("bucket", "n", "c1")
+    meetings = written(arrow_map(posted, meet, {"bucket": "long", **what, "met": "boolean"}), "meetings")
+    met, large = meetings.where("met").select("bucket", "c1"), meetings.where("not met").select("bucket", *what)
 
     def meet_blocks(batch):
         cells = batch.column("block")
-        yield meetings_in({c: cells.flatten().field(c).to_numpy() for c in what}, cells.value_lengths().to_numpy(), similarity, radius)
+        cols, lengths = {c: cells.flatten().field(c).to_numpy() for c in what}, cells.value_lengths().to_numpy()
+        order = np.lexsort((cols["n"], np.repeat(np.arange(len(lengths)), lengths)))
+        yield meetings_in({c: v[order] for c, v in cols.items()}, lengths, similarity, radius)
 
-    met = met.unionAll(arrow_map(blocks(many, list(what), block), meet_blocks, {"bucket": "long", "c1": "long"}))
+    if not large.isEmpty():
+        met = met.unionAll(arrow_map(blocks(large.distinct(), list(what), most), meet_blocks, {"bucket": "long", "c1": "long"}))
     met = written(met.distinct(), "met")
     # c1 is enough here: classes that share it are all read, and compared by their words.
     open_ = written(classes.join(met.select("c1").distinct(), "c1").select("node", "c1", "first.k1", "first.k2", "first.line"), "open-lines")

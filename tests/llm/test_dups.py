@@ -246,6 +246,38 @@ def test_lines_meet_all_similar_lines(spark, block, holes):
     assert gone == {i for i in range(len(lines)) if root[i] != i} and len(gone) > 60
 
 
+def test_only_lines_of_fitting_length_are_compared():
+    """Strips of large groups and distances in small ones give each pair whose lengths allow the similarity, once, and few others."""
+    rng = np.random.default_rng(4)
+    lengths = np.array([1, 700, 3, 64, 65, 2])
+    n = np.concatenate([np.sort(rng.integers(5, 90, k)) for k in lengths])
+    group = np.repeat(np.arange(len(lengths)), lengths)
+    got = Counter(pair for i, j in line_dedup.near_in_length(n, lengths, 0.8) for pair in zip(i.tolist(), j.tolist()))
+    every = [(i, j) for i in range(len(n)) for j in range(i + 1, len(n)) if group[i] == group[j]]
+    want = {(i, j) for i, j in every if 5 * (n[j] - n[i]) <= n[j]}
+    assert want <= set(got) <= set(every) and max(got.values()) == 1 and len(got) < 0.6 * len(every)
+
+
+def test_frequent_words_pair_among_themselves():
+    line, bucket = np.array([0, 0, 0, 2, 5, 5]), np.array([7, 8, 9, 7, 8, 7])
+    lines, pairs = line_dedup.paired(line, bucket)
+    assert Counter(lines.tolist()) == {0: 3, 5: 1}
+    assert len(set(pairs.tolist())) == 3 and pairs[lines == 5][0] in pairs[lines == 0]
+
+
+def test_crowded_blocks_are_dealt_out_once(spark):
+    """Lines of frequent words only, in blocks far larger than a task compares: all similar pairs meet."""
+    rng = random.Random(8)
+    few = [f"{a}{b}" for a in "abcdefgh" for b in "xyz"]
+    lines = {tuple(rng.sample(few, 10)) for _ in range(150)}
+    lines |= {x[:k] + ("zz",) + x[k + 1:] for x in sorted(lines)[:40] for k in (rng.randrange(10),)}
+    lines = sorted(lines)
+    root = data.grouped(len(lines), similar_pairs(lines))
+    keyed = line_dedup.keyed(spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(lines)], "doc_id long, text string"), "doc_id", "text")
+    gone = {r.doc_id for r in line_dedup.removed_lines(keyed, 5, 0.8, 4, radius=64).join(keyed, ["k1", "k2"]).collect()}
+    assert gone == {i for i in range(len(lines)) if root[i] != i} and len(gone) >= 40
+
+
 def test_short_lines_and_scripts_without_blanks(spark):
     zh, th = "数据清洗是训练语言模型之前必须完成的一个重要步骤之一", "การทำความสะอาดข้อมูลเป็นขั้นตอนสำคัญ"
     texts = [f"Share this article now\n{zh}\n---\nOnly here", f"share this ARTICLE now!\n{zh}\n---\n{th}",
