@@ -3,12 +3,15 @@
 1. A text is the set of its shingles of `words` words (A-Z lower-cased; a shorter text is one shingle). Equal sets are one
    class from the first aggregation on.
 2. Each class has `PRINTS` independent 64-bit SimHash fingerprints of its set. A pair of similarity 0.8 differs in about a
-   seventh of the bits of each (9.7), so one within `MAX_BITS` of them in at least one fingerprint is nearly sure.
+   seventh of the bits of each (9.7).
 3. Candidates come from the generalised pigeonhole (`simhash_dups`), fingerprint by fingerprint: correlated bits share a
    partition, dynamic programming splits the error budget unequally over the partitions, a class is indexed under its own
-   values and probes those within its thresholds. So all pairs within `MAX_BITS` meet. Those that do, and whose first two
-   fingerprints lie within `RADIUS` bits, form a group; the shingle sets of its members are compared exactly in blocks of
-   bounded size, and a block gives a spanning forest of its links.
+   values and probes those within its thresholds. All pairs within `MAX_BITS` of any fingerprint meet for certain, and a
+   pair of similarity 0.8 agrees in one of the `PRINTS` * (`MAX_BITS` + 1) partitions of 13 bits in about 98 of 100 cases.
+   A budget wide enough to make it certain (11 bits) would leave partitions of 5 bits that select little, or probes whose
+   number grows with that of the classes; with this one a class has about 30 rows, however many there are. Pairs that meet
+   and whose first two fingerprints lie within `RADIUS` bits form a group; the shingle sets of its members are compared
+   exactly in blocks of bounded size, and a block gives a spanning forest of its links.
 4. Connected groups keep one document: the one with the smallest id, of equal ids the first read.
 
 Defined cases: null, empty and blank texts share the class of the empty set and keep one row; repeated rows are one class;
@@ -17,6 +20,8 @@ null ids come last; columns of any name are kept; an empty table gives an empty
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -24,17 +29,21 @@ from pyspark.sql import functions as F
 
 from dialoom.llm.common import LOWER, arrow_map, fresh, mixed, text_bytes, texts, word_hashes, written
 from dialoom.llm.components import components
-from dialoom.llm.line_dedup import SPREAD, joined, pairs_in
+from dialoom.llm.line_dedup import SPREAD, STRIP, joined, pairs_in
 from dialoom.llm.simhash_dups import blocks, signatures
 
-PRINTS = 3
-MAX_BITS = 11              # of the 64 bits of a fingerprint; a pair of similarity 0.8 is beyond in all three in about 2 of 100 cases
+PRINTS = 6
+MAX_BITS = 4               # of the 64 bits of a fingerprint: five partitions; a pair of similarity 0.8 meets in none in about 2 of 100 cases
 MEETING = 8192             # rows of a bucket compared in one piece; a larger bucket is dealt out
+NEAR = 24                  # of the 64 bits of one fingerprint; pairs of similarity 0.8 lie 10 apart, others 32
 RADIUS = 36                # of the 128 bits of two fingerprints; pairs of similarity 0.8 lie 19 apart, others 64
 BLOCK = 256
-SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63,
+                  0xFF51AFD7ED558CCD][:PRINTS], np.uint64)
 AT_ONCE = 100_000          # shingles counted together
+HELD = 100_000             # pairs held before they are joined
 NAMES = [f"print{k}" for k in range(PRINTS)]
+MET = ("node", *NAMES[:2])
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:
@@ -76,6 +85,44 @@ def near_rows(fps: np.ndarray, own: np.ndarray, max_bits: int):
         yield some[i[keep]], j[keep]
 
 
+def posted(classes: DataFrame) -> DataFrame:
+    """(bucket, node, print0, print1, own): classes under their own and their probed values of all fingerprints."""
+    rows = [signatures(classes.select("node", F.col(c).alias("fp"), *NAMES[:2]), MAX_BITS, MET, MEETING)
+            .select((F.col("bucket") * PRINTS + k).alias("bucket"), *MET, "own") for k, c in enumerate(NAMES)]
+    return reduce(DataFrame.unionAll, rows)
+
+
+def met_groups(cols: dict[str, np.ndarray], lengths: np.ndarray) -> dict[str, np.ndarray]:
+    """Classes (node) of consecutive buckets of these lengths that may be similar, in groups named by their members."""
+    a, b, own, edges = cols["print0"].view(np.uint64), cols["print1"].view(np.uint64), cols["own"], []
+    root = np.arange(len(a))
+
+    def join(i, j):
+        nonlocal root
+        near = np.bitwise_count(a[i] ^ a[j]).astype(np.int16) + np.bitwise_count(b[i] ^ b[j]) <= RADIUS
+        near[near] = root[i[near]] != root[j[near]]                               # pairs that are connected aren't held
+        if near.any():
+            edges.append((i[near], j[near]))
+        if sum(len(x) for x, _ in edges) > HELD:
+            root = joined(len(a), [(np.arange(len(a)), root), *edges])
+            edges.clear()
+
+    large = lengths > STRIP
+    for lo, n in zip((np.cumsum(lengths) - lengths)[large].tolist(), lengths[large].tolist()):
+        for i, j in near_rows(cols["print0"][lo:lo + n], own[lo:lo + n], NEAR):
+            join(i + lo, j + lo)
+    small = np.flatnonzero(np.repeat(~large, lengths))
+    for i, j in pairs_in(lengths[~large]):
+        i, j = small[i], small[j]
+        met = own[i] | own[j]
+        join(i[met], j[met])
+    root = joined(len(a), [(np.arange(len(a)), root), *edges])
+    total = np.zeros(len(a), np.uint64)
+    np.add.at(total, root, mixed(cols["node"].view(np.uint64)))                   # a group is named by its members
+    hit = np.bincount(root, minlength=len(a))[root] > 1
+    return {"bucket": total[root[hit]].view(np.int64), "node": cols["node"][hit]}
+
+
 def similar_sets(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the similar pairs."""
     n, up, out = np.array([len(s) for s in sets]), np.arange(len(sets)), []
@@ -98,32 +145,9 @@ def links(classes: DataFrame, sets_of, similarity: float, block: int = BLOCK) ->
     `sets_of(nodes)` gives node, hashes for a table of nodes."""
     def meet(batch):
         cells = batch.column("block")
-        stops = np.cumsum(cells.value_lengths().to_numpy())
-        cols = {c: cells.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("node", "fp", "own", "print0", "print1")}
-        for lo, hi in zip([0, *stops.tolist()], stops.tolist()):
-            yield grouped({c: v[lo:hi] for c, v in cols.items()})
-
-    def grouped(cols):
-        a, b = cols["print0"].view(np.uint64), cols["print1"].view(np.uint64)
-        nodes, at = np.unique(cols["node"], return_inverse=True)                  # a class may stand here more than once
-        every, root = np.arange(len(nodes)), np.arange(len(nodes))
-        for i, j in near_rows(cols["fp"], cols["own"], MAX_BITS):
-            near = np.bitwise_count(a[i] ^ a[j]).astype(np.int16) + np.bitwise_count(b[i] ^ b[j]) <= RADIUS
-            i, j = at[i[near]], at[j[near]]
-            apart = root[i] != root[j]
-            if apart.any():                                                       # pairs that are connected aren't held
-                root = joined(len(nodes), [(every, root), (i[apart], j[apart])])
-        total = np.zeros(len(nodes), np.uint64)
-        np.add.at(total, root, mixed(nodes.view(np.uint64)))                      # a group is named by its members
-        hit = np.bincount(root, minlength=len(nodes))[root] > 1
-        return {"bucket": total[root[hit]].view(np.int64), "node": nodes[hit]}
-
-    met = None
-    for k, c in enumerate(NAMES):
-        posted = signatures(classes.select("node", F.col(c).alias("fp"), *[F.col(x) for x in NAMES[:2]]), MAX_BITS, ("node", "print0", "print1"))
-        rows = written(posted, f"copy-signatures-{k}")
-        found = arrow_map(blocks(rows, ["node", "fp", "own", "print0", "print1"], MEETING), meet, {"bucket": "long", "node": "long"})
-        met = found if met is None else met.unionAll(found)
+        yield met_groups({c: cells.flatten().field(c).to_numpy(zero_copy_only=False) for c in (*MET, "own")}, cells.value_lengths().to_numpy())
+
+    met = arrow_map(blocks(written(posted(classes), "copy-signatures"), [*MET, "own"], MEETING), meet, {"bucket": "long", "node": "long"})
     met = written(met.distinct(), "met-copies")
     sets = written(sets_of(met.select("node").distinct()), "met-sets")
 

@@ -91,9 +91,9 @@ def bit_table(classes: DataFrame) -> tuple[int, np.ndarray]:
     return int(flat[-1]), flat[:-1].reshape(BITS, BITS)
 
 
-def bit_groups(n: int, together: np.ndarray, max_bits: int) -> list[list[int]]:
+def bit_groups(n: int, together: np.ndarray, max_bits: int, bucket: int = BUCKET) -> list[list[int]]:
     """Partitions of the 64 bits: each starts with the most correlated free bit and takes the bits closest to it."""
-    m = int(min(max(BITS // max(1.0, log2(max(n, 2) / BUCKET)), 2), max_bits + 1))
+    m = int(min(max(BITS // max(1.0, log2(max(n, 2) / bucket)), 2), max_bits + 1))
     p = np.diag(together) / max(n, 1)
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-9))
     corr = np.abs(together / max(n, 1) - np.outer(p, p)) / np.outer(spread, spread)
@@ -197,12 +197,12 @@ def _flips(width: int, t: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for d in range(t + 1) for c in combinations(range(width), d)], np.int64)
 
 
-def signatures(classes: DataFrame, max_bits: int, keep: tuple[str, ...] = ()) -> DataFrame:
+def signatures(classes: DataFrame, max_bits: int, keep: tuple[str, ...] = (), bucket: int = BUCKET) -> DataFrame:
     """(bucket, fp): each class under its own value of every partition and under every value that it probes.
 
     With `keep`, columns that are handed on, and `own`: whether the value is the class's own."""
     n, together = bit_table(classes)
-    groups = bit_groups(n, together, max_bits)
+    groups = bit_groups(n, together, max_bits, bucket)
     hist = histograms(classes, groups)
     dist = classes.sparkSession.sparkContext.broadcast({k: at_distance(h, max_bits) for k, h in hist.items()})
 

@@ -103,3 +103,34 @@ def test_all_pairs_within_the_bits_meet_by_the_generalised_pigeonhole(spark):
     assert all(any(own or at[i + 300][b] for b, own in at[i].items() if b in at[i + 300]) for i in range(300))
     i, j = (np.concatenate(x) for x in zip(*near_copies.near_rows(np.concatenate((base, far)), np.arange(600) < 300, near_copies.MAX_BITS)))
     assert set(zip(range(300), range(300, 600))) <= set(zip(i.tolist(), j.tolist()))
+
+
+def test_rows_of_a_class_do_not_grow_with_the_classes(spark):
+    from pyspark.sql import functions as F
+    each = []
+    for n in (1000, 60_000):
+        prints = [F.xxhash64("id", F.lit(k)).alias(c) for k, c in enumerate(near_copies.NAMES)]
+        each.append(near_copies.posted(spark.range(n).select(F.col("id").alias("node"), *prints)).count() / n)
+    assert each[1] <= 1.1 * each[0]
+
+
+def test_classes_that_meet_are_grouped_in_small_and_large_buckets():
+    """Equal to a look at all pairs of each bucket, also for pairs of which neither stands under its own value."""
+    rng = np.random.default_rng(8)
+    lengths = np.array([1, 2, 300, 40, 3])
+    total = lengths.sum()
+    base = rng.integers(-2**63, 2**63 - 1, (8, 2))
+    prints = base[rng.integers(0, 8, total)] ^ np.array([[sum(1 << int(k) for k in rng.choice(63, 6, False)) for _ in range(2)] for _ in range(total)])
+    own, node = rng.random(total) < 0.5, rng.permutation(total).astype(np.int64)
+    got = near_copies.met_groups({"node": node, "print0": prints[:, 0], "print1": prints[:, 1], "own": own}, lengths)
+    bucket = np.repeat(np.arange(len(lengths)), lengths)
+    apart = np.bitwise_count(prints[:, None].view(np.uint64) ^ prints[None].view(np.uint64))
+    near = (apart.sum(axis=2, dtype=np.int64) <= near_copies.RADIUS) & (bucket[:, None] == bucket) & (own[:, None] | own)
+    root = data.grouped(total, [(i, j) for i, j in zip(*np.nonzero(near)) if i < j])
+    groups = {}
+    for r, v in zip(root, node.tolist()):
+        groups.setdefault(r, set()).add(v)
+    found = {}
+    for b, v in zip(got["bucket"].tolist(), got["node"].tolist()):
+        found.setdefault(b, set()).add(v)
+    assert sorted(map(sorted, found.values())) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
