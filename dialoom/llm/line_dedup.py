@@ -4,18 +4,19 @@
    levelled), and counts how often words occur, in a table of fixed size. No text is moved.
 2. Equal normalised lines of any length collapse to a class with a count and its first place.
 3. Lines of `min_words` or more words also meet similar ones. Similarity `similarity` allows floor((1 - similarity) * n)
-   edits of n words, and an edit takes away one word at most. So two similar lines share two of the
-   floor((1 - similarity) * n) + 2 rarest words of each, whatever the order of rarity, as long as it is the same for all
-   lines: these words are the pigeonholes. Those that occur elsewhere are blocks to meet in, however many they are; a
-   number for `holes` takes only so many and may lose partners of longer lines.
+   edits of n words, and an edit takes away one word at most. So two similar lines share one of the
+   floor((1 - similarity) * n) + 1 rarest words of each (two of one more), whatever the order of rarity, as long as it is
+   the same for all lines: these words are the pigeonholes. Those that occur elsewhere are blocks to meet in, however many
+   they are; a number for `holes` takes only so many and may lose partners of longer lines.
 4. In a block, lines meet whose lengths and word parities allow the similarity (exact bounds) and whose SimHash
    fingerprints differ in at most `radius` bits. A line edited up to the similarity moves by about 12 of 64 bits, an
    unrelated one lies 32 away; blocks of fingerprint bits alone would need that radius and select nothing, which is why
    the blocks are words. In place of frequent words' blocks there is one for each pair of them: similar lines share two
-   words, so they meet in one that is not frequent or in a pair that is. Lines of more than `LONG` words meet in the
-   frequent words' blocks themselves. All blocks take one shuffle: in a block lines are sorted by length and compared only
-   with those of a length that allows the similarity, and a block of more lines than a task should compare is dealt out as
-   pairs of its parts. Recall is measured in the tests.
+   words, so they meet in one that is not frequent or in a pair that is. In lines of more than `LONG` words these pairs
+   would grow with the square; they have blocks of two frequent words in a row instead (`in_order`), of which an edit
+   breaks two. All blocks take one shuffle: in a block lines are sorted by length and compared only with those of a length
+   that allows the similarity, and a block of more lines than a task should compare is dealt out as pairs of its parts.
+   Recall is measured in the tests.
 5. Lines that met are read again and linked if their word edit similarity (1 - edits / longer length) is `similarity` or
    more (words compare by 32-bit hashes). They are compared in blocks of bounded size, and a block gives a spanning forest.
 6. Of each connected group of classes the first line stays (smallest id, then place); all others go.
@@ -29,6 +30,7 @@ stay equal; a text may lose all its lines and is then empty; columns of any name
 from __future__ import annotations
 
 import re
+from collections import Counter
 from itertools import chain
 
 import numpy as np
@@ -48,7 +50,7 @@ WIDE = 40                # words from which lines have parities of 256 classes
 STRIP = 64               # lines of a large block that are compared with the others at once
 SPAN = 4                 # blocks' worth of lines that one task compares; more are dealt out
 HOLES = None             # rarest words of a line that others meet it in: all that the similarity asks for
-LONG = 2000              # words of a line up to which blocks of frequent words are paired (their pairs grow with the square)
+LONG = 14                # words of a line up to which frequent words are paired (their pairs grow with the square), in order beyond
 RADIUS = 24              # bits between fingerprints of lines to compare
 LINES_AT_ONCE = 1 << 16
 WORDS_AT_ONCE = 200_000
@@ -139,8 +141,9 @@ def posted_parities(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def may_be_similar(n, m, odd_n, odd_m, similarity: float) -> np.ndarray:
     """Whether lengths and parities of lines allow the similarity (never false for a similar pair)."""
-    most = allowed_edits(np.maximum(n, m), similarity)
-    return (np.abs(n - m) <= most) & (np.bitwise_count(odd_n ^ odd_m).sum(axis=1, dtype=np.int64) <= 2 * most)
+    # A replaced word changes two parities, one put in or taken out changes one; lengths that differ need so many of the latter.
+    apart, most = np.abs(n - m), allowed_edits(np.maximum(n, m), similarity)
+    return (apart <= most) & (np.bitwise_count(odd_n ^ odd_m).sum(axis=1, dtype=np.int64) <= 2 * most - apart)
 
 
 def meetings_in(cols: dict[str, np.ndarray], lengths: np.ndarray, similarity: float, radius: int) -> dict[str, np.ndarray]:
@@ -213,26 +216,74 @@ def joined(n: int, edges: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
             root = root[root]
 
 
+def edits_at_most(flat: np.ndarray, starts: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Edits that turn line i into j with one run of words put in or taken out and other words replaced, where that is least."""
+    m = np.minimum(n[i], n[j])
+    ends = np.cumsum(m)
+    nth = np.arange(ends[-1]) - np.repeat(ends - m, m)
+    one, other, more_i, more_j = (np.repeat(x, m) for x in (starts[i], starts[j], n[i] - m, n[j] - m))
+    one, other = one + nth, other + nth
+    ahead = (flat[one] != flat[other]).astype(np.int32)                  # counted from the front up to the run, behind it from the end
+    behind = (flat[one + more_i] != flat[other + more_j]).astype(np.int32)
+    total = np.add.reduceat(behind, ends - m)
+    turn = np.cumsum(ahead - behind)
+    turn -= np.repeat(turn[ends - m] - (ahead - behind)[ends - m], m)
+    return np.abs(n[i] - n[j]) + total + np.minimum(np.minimum.reduceat(turn, ends - m), 0)
+
+
+def words_apart(flat: np.ndarray, starts: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Words of one line that the other lacks, whichever has more of them: so many edits at least."""
+    size = n[i] + n[j]
+    pair, nth = np.repeat(np.arange(len(i)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    first = nth < n[i][pair]
+    at = np.where(first, starts[i][pair] + nth, starts[j][pair] + nth - n[i][pair])
+    key = np.sort(pair.astype(np.uint64) << np.uint64(33) | flat[at].astype(np.uint64) << np.uint64(1) | first)
+    new = np.flatnonzero(np.append(True, key[1:] >> np.uint64(1) != key[:-1] >> np.uint64(1)))
+    more = 2 * np.add.reduceat((key & np.uint64(1)).astype(np.int64), new) - np.diff(np.append(new, len(key)))     # of the first line
+    pair = (key[new] >> np.uint64(33)).astype(np.int64)
+    return np.maximum(*(np.bincount(pair, np.maximum(x, 0), len(i)) for x in (more, -more))).astype(np.int64)
+
+
 def verified(lines: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Edges (places in the block) of a spanning forest of the similar pairs. What is connected isn't compared again."""
     n = np.array([len(x) for x in lines])
-    odd = parities(mixed(np.concatenate(lines).astype(np.uint64)), np.cumsum(n) - n, 3 if n.max() < 200 else 32)
-    words, root, out = [None] * len(lines), np.arange(len(lines)), []
-    for at, to in pairs_in(np.array([len(lines)])):
+    i, j = verified_groups(np.concatenate(lines), n, np.array([len(lines)]), similarity)
+    return list(zip(i.tolist(), j.tolist()))
+
+
+def verified_groups(flat: np.ndarray, n: np.ndarray, lengths: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """`verified` for consecutive groups of these lengths at once; `flat` holds the lines' words, n of each."""
+    starts = np.cumsum(n) - n
+    odd = parities(mixed(flat.astype(np.uint64)), starts)
+    words, root, every, out = {}, np.arange(len(n)), np.arange(len(n)), []
+
+    def of(k):
+        if k not in words:
+            words[k] = flat[starts[k]:starts[k] + n[k]].tolist()
+        return words[k]
+
+    for at, to in pairs_in(lengths):
         apart = root[at] != root[to]
         at, to = at[apart], to[apart]
         near = may_be_similar(n[at], n[to], odd[at], odd[to], similarity)
-        found = []
-        for i, j in zip(at[near].tolist(), to[near].tolist()):
-            for k in (i, j):
-                if words[k] is None:
-                    words[k] = lines[k].tolist()
-            if similar(words[i], words[j], similarity):
-                found.append((i, j))
-        if found:
-            out += found
-            root = joined(len(lines), [tuple(np.array(x) for x in zip(*out))])
-    return out
+        at, to = at[near], to[near]
+        if not len(at):
+            continue
+        longer, found = np.maximum(n[at], n[to]), np.zeros(len(at), bool)
+        most = allowed_edits(longer, similarity)
+        ends = np.cumsum(longer)
+        cuts = np.flatnonzero(np.diff(ends // WORDS_AT_ONCE, prepend=-1))
+        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)]):
+            found[lo:hi] = edits_at_most(flat, starts, n, at[lo:hi], to[lo:hi]) <= most[lo:hi]
+            open_ = lo + np.flatnonzero(~found[lo:hi])
+            if len(open_):
+                for k in open_[words_apart(flat, starts, n, at[open_], to[open_]) <= most[open_]].tolist():
+                    found[k] = similar(of(int(at[k])), of(int(to[k])), similarity)
+        if found.any():
+            at, to = at[found], to[found]
+            out.append((at, to))
+            root = joined(len(n), [(every, root), (at, to)])
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
 
 
 def rarity(counts: DataFrame):
@@ -261,7 +312,7 @@ def pigeonholes(hashes: np.ndarray, n: np.ndarray, levels: np.ndarray, similarit
     line, level = (key >> np.uint64(48)).astype(np.int64), (key >> np.uint64(40) & np.uint64(255)).astype(np.uint8)
     word = mixed(key & np.uint64((1 << 40) - 1))
     fps = line_fingerprints(word[new], np.bincount(line[new], minlength=len(n)))
-    most = allowed_edits(n, similarity) + 2       # two are shared, so pairs of frequent ones lose nothing
+    most = allowed_edits(n, similarity) + 1 + (n <= LONG)         # one is shared; two where frequent ones are paired
     if holes is not None:
         most = np.minimum(most, holes + np.bincount(line[level == 0], minlength=len(n)))
     take = (place - start[line] < most[line]) & (level > 0)
@@ -286,6 +337,30 @@ def paired(line: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(lines), np.concatenate(out)
 
 
+def in_order(hashes: np.ndarray, n: np.ndarray, levels: np.ndarray, similarity: float, crowded: int) -> tuple[np.ndarray, np.ndarray]:
+    """(line, bucket) of blocks of two frequent words in a row: the rarest that a partner without a common rarer word must share.
+
+    Edits up to the similarity break at most 2 * allowed_edits(n) + 1 of a line's n - 1 such places, seen from either line. So the
+    first 2 * allowed_edits(n) + 2 of each, in an order that is the same for all lines, have one in common. Places with a word that
+    is not frequent come first; lines that share such a word meet in its block, so these places are counted but not posted."""
+    level = levels[(hashes & np.uint64(RARITY_SLOTS - 1)).astype(np.int64)]
+    line = np.repeat(np.arange(len(n)), n)
+    at = np.flatnonzero(line[1:] == line[:-1])
+    often = (level[at] >= crowded) & (level[at + 1] >= crowded)
+    left = 2 * allowed_edits(n, similarity) + 2 - np.bincount(line[at[~often]], minlength=len(n))
+    at = at[often & (left[line[at]] > 0)]
+    word = mixed(hashes[at] + mixed(hashes[at + 1]))
+    key = line[at].astype(np.uint64) << np.uint64(48) | (level[at] + level[at + 1]).astype(np.uint64) << np.uint64(40) | word >> np.uint64(24)
+    key = np.sort(key)
+    line, place = (key >> np.uint64(48)).astype(np.int64), np.arange(len(key))
+    size = np.bincount(line, minlength=len(n))
+    new = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:len(key)])
+    copy = place - np.repeat(new, np.diff(np.append(new, len(key))))
+    take = place - (np.cumsum(size) - size)[line] < left[line]
+    bucket = mixed(mixed(key[take] & np.uint64((1 << 40) - 1)) + (copy[take].astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return line[take], bucket.view(np.int64)
+
+
 def place_slots(k1: np.ndarray, line: np.ndarray) -> np.ndarray:
     return (k1.astype(np.int64) + line * 1_000_003) & (FILTER_BITS - 1)
 
@@ -347,7 +422,8 @@ def removed_lines(rows: DataFrame, min_words: int, similarity: float, block: int
             keys = {c: batch.column(c) for c in ("doc_id", "k1", "k2")}
             for owner, number, held in lines_of(batch, 1):
                 c, take = line_hashes(held), np.array(owner)
-                np.add.at(counts, (word_hashes([w for x in held for w in x]) & np.uint64(RARITY_SLOTS - 1)).astype(np.int64), np.int32(1))
+                met = Counter(chain.from_iterable(held))
+                np.add.at(counts, (word_hashes(met) & np.uint64(RARITY_SLOTS - 1)).astype(np.int64), np.fromiter(met.values(), np.int32, len(met)))
                 yield {k: v.take(take) for k, v in keys.items()} | {"line": number, "c1": c[:, 0], "c2": c[:, 1]}
         # The partition's word counts come last, as rows of line -1: one reading serves both.
         slot = np.flatnonzero(counts)
@@ -382,11 +458,14 @@ def removed_lines(rows: DataFrame, min_words: int, similarity: float, block: int
                 fp, line, bucket, level = pigeonholes(hashes, n, levels.value, similarity, holes)
                 odd = posted_parities(hashes, n).view(np.int64)
                 many = level >= crowded
-                pairs, far = many & (n[line] <= LONG), many & (n[line] >= similarity * LONG)     # lines between have both
-                if holes is not None:      # two shared words are no longer certain
-                    far = many
-                pair_line, pair = paired(line[pairs], bucket[pairs])
-                line, bucket = np.concatenate((line[~many], line[far], pair_line)), np.concatenate((bucket[~many], bucket[far], pair))
+                pair_line, pair = paired(line[many & (n[line] <= LONG)], bucket[many & (n[line] <= LONG)])
+                if holes is None:
+                    long = n >= similarity * LONG      # lines between have both
+                    far_line, far = in_order(hashes[np.repeat(long, n)], n[long], levels.value, similarity, crowded)
+                    far_line = np.flatnonzero(long)[far_line]
+                else:                      # two shared words are no longer certain
+                    far_line, far = line[many], bucket[many]
+                line, bucket = np.concatenate((line[~many], far_line, pair_line)), np.concatenate((bucket[~many], far, pair))
                 yield {"bucket": bucket, "c1": c[line, 0], "fp": fp[line], "n": n[line].astype(np.int32),
                        **{c: odd[line, k] for k, c in enumerate(ODD)}}
 
@@ -400,6 +479,10 @@ def removed_lines(rows: DataFrame, min_words: int, similarity: float, block: int
             cols = left if batch is None else batch if left is None else {c: np.concatenate((left[c], batch[c])) for c in batch}
             if not cols or not len(cols["bucket"]):
                 continue
+            # Spark sorts by the block alone, which is a radix sort; the few rows of a block are put in order here.
+            block_of = np.cumsum(np.append(False, cols["bucket"][1:] != cols["bucket"][:-1]))
+            order = np.lexsort((cols["c1"], block_of * (1 << 32) + cols["n"]))
+            cols = {c: v[order] for c, v in cols.items()}
             new = np.append(True, (cols["bucket"][1:] != cols["bucket"][:-1]) | (cols["c1"][1:] != cols["c1"][:-1]))
             cols = {c: v[new] for c, v in cols.items()}
             first = np.flatnonzero(np.append(True, cols["bucket"][1:] != cols["bucket"][:-1]))
@@ -416,7 +499,7 @@ def removed_lines(rows: DataFrame, min_words: int, similarity: float, block: int
                 none = [None] * len(got["c1"])
                 yield got | {c: none for c in what if c != "c1"} | {"met": np.ones(len(none), bool)}
 
-    posted = arrow_map(rows.select("text", "k1"), post, {"bucket": "long", **what}).repartition("bucket").sortWithinPartitions("bucket", "n", "c1")
+    posted = arrow_map(rows.select("text", "k1"), post, {"bucket": "long", **what}).repartition("bucket").sortWithinPartitions("bucket")
     meetings = written(arrow_map(posted, meet, {"bucket": "long", **what, "met": "boolean"}), "meetings")
     met, large = meetings.where("met").select("bucket", "c1"), meetings.where("not met").select("bucket", *what)
 
@@ -434,11 +517,11 @@ def removed_lines(rows: DataFrame, min_words: int, similarity: float, block: int
     place_bits = place_filter(open_)
 
     def verify(batch):
-        for cell in batch.column("block"):
-            nodes, words = cell.values.field("node").to_numpy(), cell.values.field("words")
-            ends = words.offsets.to_numpy()[1:] - words.offsets[0].as_py()
-            got = verified(np.split(words.flatten().to_numpy().view(np.uint32), ends[:-1]), similarity)
-            yield {"a": nodes[[i for i, _ in got]] if got else [], "b": nodes[[j for _, j in got]] if got else []}
+        cells = batch.column("block")
+        nodes, words = cells.flatten().field("node").to_numpy(), cells.flatten().field("words")
+        i, j = verified_groups(words.flatten().to_numpy().view(np.uint32), words.value_lengths().to_numpy().astype(np.int64),
+                               cells.value_lengths().to_numpy(), similarity)
+        yield {"a": nodes[i], "b": nodes[j]}
 
     def fetch(batch):
         bits, cells = place_bits.value, texts(batch, "text")

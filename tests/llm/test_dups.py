@@ -265,6 +265,61 @@ def test_frequent_words_pair_among_themselves():
     assert len(set(pairs.tolist())) == 3 and pairs[lines == 5][0] in pairs[lines == 0]
 
 
+def changed(rng, base, words, edits):
+    out = list(base)
+    for _ in range(edits):
+        k = rng.randrange(len(out))
+        out[k:k + 1] = rng.choice(([], [rng.choice(words)], [out[k], rng.choice(words)]))
+    return out
+
+
+def test_long_lines_of_frequent_words_meet_in_few_blocks():
+    """Similar lines share a block of a word that is not frequent or of two frequent words in a row, with rows in proportion to words."""
+    rng = random.Random(12)
+    words = [rng.getrandbits(64) for _ in range(60)]
+    levels = np.zeros(line_dedup.RARITY_SLOTS, np.uint8)
+    for k, w in enumerate(words):
+        levels[w % line_dedup.RARITY_SLOTS] = 1 + k // 4
+    pairs, most = 0, 0
+    for _ in range(600):
+        a = [rng.choice(words[rng.choice((0, 28)):]) for _ in range(rng.randint(15, 90))]
+        b = changed(rng, a, words, len(a) // 5)
+        if 5 * line_dedup.edits(a, b) > max(len(a), len(b)) or min(len(a), len(b)) <= line_dedup.LONG:
+            continue
+        pairs += 1
+        h, n = np.array(a + b, np.uint64), np.array([len(a), len(b)])
+        _, line, bucket, level = line_dedup.pigeonholes(h, n, levels, 0.8, None)
+        met = [set(bucket[(line == k) & (level < 8)].tolist()) for k in (0, 1)]
+        line, bucket = line_dedup.in_order(h, n, levels, 0.8, 8)
+        assert met[0] & met[1] or set(bucket[line == 0].tolist()) & set(bucket[line == 1].tolist())
+        assert (np.bincount(line, minlength=2) <= 2 * (n // 5) + 2).all()
+        most = max(most, len(line))
+    assert pairs > 300 and most > 30
+
+
+def test_groups_are_verified_at_once():
+    """Bounds hold against the edit table, and the forest connects what all pairs of each group connect."""
+    rng = random.Random(6)
+    lines, lengths = [], []
+    for size in (1, 2, 2, 9, 40, 3):
+        base = [rng.randrange(40) for _ in range(rng.randint(5, 60))]
+        lines += [changed(rng, base, range(40), rng.randint(0, len(base) // 3)) or [1] for _ in range(size)]
+        lengths.append(size)
+    n, flat = np.array([len(x) for x in lines]), np.concatenate(lines).astype(np.uint32)
+    starts, group = np.cumsum(n) - n, np.repeat(np.arange(len(lengths)), lengths)
+    i, j = (np.array(x) for x in zip(*[(i, j) for i in range(len(n)) for j in range(i + 1, len(n)) if group[i] == group[j]]))
+    true = np.array([line_dedup.edits(lines[a], lines[b]) for a, b in zip(i.tolist(), j.tolist())])
+    above, below = line_dedup.edits_at_most(flat, starts, n, i, j), line_dedup.words_apart(flat, starts, n, i, j)
+    assert (below <= true).all() and (true <= above).all() and (above == true).any() and (above > true).any()
+    odd = line_dedup.parities(line_dedup.mixed(flat.astype(np.uint64)), starts)
+    near = 5 * true <= np.maximum(n[i], n[j])
+    assert line_dedup.may_be_similar(n[i], n[j], odd[i], odd[j], 0.8)[near].all()
+    a, b = line_dedup.verified_groups(flat, n, np.array(lengths), 0.8)
+    links = list(zip(i[near].tolist(), j[near].tolist()))
+    assert data.grouped(len(n), list(zip(a.tolist(), b.tolist()))) == data.grouped(len(n), links) and set(zip(a.tolist(), b.tolist())) <= set(links)
+    assert line_dedup.edits_at_most(np.array([1, 2, 3, 4, 1, 9, 7, 7, 3, 4], np.uint32), np.array([0, 4]), np.array([4, 6]), np.array([0]), np.array([1])) == [3]
+
+
 def test_crowded_blocks_are_dealt_out_once(spark):
     """Lines of frequent words only, in blocks far larger than a task compares: all similar pairs meet."""
     rng = random.Random(8)
