@@ -54,6 +54,7 @@ LONG = 14                # words of a line up to which frequent words are paired
 RADIUS = 24              # bits between fingerprints of lines to compare
 LINES_AT_ONCE = 1 << 16
 WORDS_AT_ONCE = 200_000
+PAIRS_AT_ONCE = 1 << 17   # pairs of near lines that are held before they are joined
 FILTER_BITS = 1 << 26    # size of the place filter, whatever the data
 RARITY_SLOTS = 1 << 24   # size of the table of word counts (a byte each), whatever the data
 SPREAD = np.array([sum((v >> k & 1) << (8 * k) for k in range(8)) for v in range(256)], np.uint64)
@@ -150,17 +151,24 @@ def meetings_in(cols: dict[str, np.ndarray], lengths: np.ndarray, similarity: fl
     """Lines (c1) of consecutive blocks of these lengths that may be similar, in groups named by their members.
 
     Lines of a block are sorted by length. So lines that meet in several blocks are compared once."""
-    n, fp, edges = cols["n"].astype(np.int64), cols["fp"].view(np.uint64), []
+    n, fp = cols["n"].astype(np.int64), cols["fp"].view(np.uint64)
     wide = np.stack([cols[c].view(np.uint64) for c in ODD], axis=1)
     odd = np.bitwise_xor.reduce(wide, axis=1)[:, None]
+    # Only the groups are asked for: pairs are joined as they come, and lines that are joined aren't compared again. So memory
+    # doesn't grow with the pairs, which in a block of near copies are all there are.
+    every = np.arange(len(n))
+    root, edges, held = every, [], 0
     for i, j in near_in_length(n, lengths, similarity):
-        near = np.bitwise_count(fp[i] ^ fp[j]) <= radius
+        near = (root[i] != root[j]) & (np.bitwise_count(fp[i] ^ fp[j]) <= radius)
         i, j = i[near], j[near]
         near = may_be_similar(n[i], n[j], odd[i], odd[j], similarity)
         i, j = i[near], j[near]
         near = (n[i] < WIDE) | (n[j] < WIDE) | may_be_similar(n[i], n[j], wide[i], wide[j], similarity)
         edges.append((i[near], j[near]))
-    root = joined(len(n), edges)
+        held += len(edges[-1][0])
+        if held > PAIRS_AT_ONCE:
+            root, edges, held = joined(len(n), [(every, root), *edges]), [], 0
+    root = joined(len(n), [(every, root), *edges])
     total = np.zeros(len(n), np.uint64)
     np.add.at(total, root, mixed(cols["c1"].view(np.uint64)))
     hit = np.bincount(root, minlength=len(n))[root] > 1

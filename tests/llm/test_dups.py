@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import data
@@ -320,6 +321,29 @@ def test_groups_are_verified_at_once():
     assert line_dedup.edits_at_most(np.array([1, 2, 3, 4, 1, 9, 7, 7, 3, 4], np.uint32), np.array([0, 4]), np.array([4, 6]), np.array([0]), np.array([1])) == [3]
 
 
+def posted_lines(rng, sizes, words=20):
+    """Columns of lines in blocks of these sizes, each block's lines a word apart from one line, and two of another one."""
+    n = np.full(sum(sizes) + 2 * len(sizes), words)
+    h = np.concatenate([np.concatenate((np.tile(rng.integers(0, 1 << 62, words, np.uint64), (k, 1)), np.tile(rng.integers(0, 1 << 62, words, np.uint64), (2, 1))))
+                        for k in sizes])
+    h[np.arange(len(h)), rng.integers(0, words, len(h))] = rng.integers(0, 1 << 62, len(h), np.uint64)
+    odd = line_dedup.posted_parities(h.ravel(), n).view(np.int64)
+    return {"c1": rng.integers(0, 1 << 62, len(h)), "fp": line_dedup.line_fingerprints(h.ravel(), n), "n": n.astype(np.int32),
+            **{c: odd[:, k] for k, c in enumerate(line_dedup.ODD)}}, np.array(sizes) + 2
+
+
+def test_blocks_of_near_copies_need_no_room_for_their_pairs():
+    """In a block of near copies nearly all pairs are near: lines are joined as they come. All pairs of 3,000 lines are 72 MB."""
+    cols, lengths = posted_lines(np.random.default_rng(3), [3000, 40, 2500])
+    tracemalloc.start()
+    got = line_dedup.meetings_in(cols, lengths, 0.8, 24)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    at = np.searchsorted(np.sort(cols["c1"]), got["c1"])
+    groups = Counter(Counter(got["bucket"].tolist()).values())
+    assert len(set(at.tolist())) == len(cols["c1"]) and groups == {3000: 1, 40: 1, 2500: 1, 2: 3} and peak < 48 << 20
+
+
 def test_crowded_blocks_are_dealt_out_once(spark):
     """Lines of frequent words only, in blocks far larger than a task compares: all similar pairs meet."""
     rng = random.Random(8)
