@@ -93,7 +93,9 @@ def routing(d: DataFrame, mode: Mode = STABLE) -> DataFrame:
 
 def choose_blocks(d: DataFrame, keys: Sequence[str], mode: Mode = STABLE) -> DataFrame:
     """Best-scoring blocks per meeting above the threshold, lower id first on ties."""
-    return dedup.keep_first(d.filter(F.col("score") >= mode.min_score), keys, [F.desc("score"), "block_id"], mode.max_model_blocks)
+    # judged inside the generator: a filter would be pushed below the features and work out each of them for every word that asks
+    d = d.withColumn("score", F.explode(F.filter(F.array("score"), lambda s: s >= mode.min_score)))
+    return dedup.keep_first(d, keys, [F.desc("score"), "block_id"], mode.max_model_blocks)
 
 
 def _distinct_by(items: Column, key) -> Column:

@@ -295,3 +295,16 @@ def test_reuse_quota_random(spark):
                 used[u] = used.get(u, 0) + 1
     got = dedup.reuse_quota(spark.createDataFrame(rows, "s bigint, ids array<string>"), "ids", "s")
     assert sorted(x["s"] for x in got.collect()) == want
+
+
+def test_blocks_are_chosen_without_working_out_features_again(spark):
+    """A filter on the score would be pushed below the features, with each rule's text squeezed again for every word."""
+    rows = [("a", i, "P" if i % 3 else "Q", 40_000 * i, 40_000 * i + 35_000, f"line {i} deploy api docker cần kiểm tra" if i % 2 else "ok") for i in range(9)]
+    d = spark.createDataFrame(rows, "k string, idx long, speaker string, start_ms long, end_ms long, text string")
+    f = summary.features(summary.blocks(d, ["k"], "idx", F.lit(0)))
+    got = summary.choose_blocks(f, ["k"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [x for x in plan if "Filter" in x and "regexp_replace" in x]
+    scores = {r.block_id: r.score for r in f.select("block_id", "score").collect()}
+    want = sorted((b for b, s in scores.items() if s >= 3), key=lambda b: (-scores[b], b))[:12]
+    assert want and len(want) < len(scores) and {(r.block_id, r.score) for r in got.collect()} == {(b, scores[b]) for b in want}
