@@ -308,3 +308,42 @@ def test_blocks_are_chosen_without_working_out_features_again(spark):
     scores = {r.block_id: r.score for r in f.select("block_id", "score").collect()}
     want = sorted((b for b, s in scores.items() if s >= 3), key=lambda b: (-scores[b], b))[:12]
     assert want and len(want) < len(scores) and {(r.block_id, r.score) for r in got.collect()} == {(b, scores[b]) for b in want}
+
+
+def disk_of(spark, run):
+    """MB of shuffle files and folders of tables that `run` leaves, and its result."""
+    import time
+    from pathlib import Path
+
+    from dialoom.session import scratch_folder
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    shuffles = lambda: {f.toString(): f.length() for f in (lambda a: [a.apply(i) for i in range(a.size())])(disk.getAllFiles()) if "shuffle_" in f.getName()}
+    top = Path(scratch_folder(spark).removeprefix("file:")).parent
+    tables = lambda: {p for p in top.glob("*") if p.is_dir()}
+    spark.range(1).count()
+    had, tabled = shuffles(), tables()
+    out = run()
+    for _ in range(50):        # files go in the background
+        left = sum(n for f, n in shuffles().items() if f not in had)
+        if left < 50_000:
+            break
+        time.sleep(0.2)
+    return left / 1e6, len(tables() - tabled), out
+
+
+def long_talk(n=8000):
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(4000)]
+    return [(f"k{i % 40}", i, f"S{i // 40 % 3}", 4000 * (i // 40), 4000 * (i // 40) + 3500, " ".join(r.choice(words) for _ in range(15))) for i in range(n)]
+
+
+def test_summaries_leave_one_table_and_no_shuffles(spark):
+    """A step's table and shuffles go once the next table is there: all steps together had several copies of all texts."""
+    df = spark.createDataFrame(long_talk(), LINE)
+    mb, tables, (norm, sums) = disk_of(spark, lambda: summary.summarize(df, ["k"], "idx", F.floor(F.col("start_ms") / 3_600_000), width=3_600_000))
+    assert mb < 0.05 and tables == 1 and norm.count() == sums.count() > 40
+    mb, tables, docs = disk_of(spark, lambda: summary.meeting_documents(norm, sums, ["k"]))
+    assert mb < 0.05 and tables == 2
+    got = {r.k: r for r in docs.collect()}
+    assert len(got) == 40 and sum(r.num_blocks for r in got.values()) == sums.count()
+    assert sum(len(r.cleaned_transcript) for r in got.values()) == norm.selectExpr("sum(size(lines))").first()[0]
