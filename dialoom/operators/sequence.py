@@ -287,7 +287,7 @@ def run_starts(df: DataFrame, keys: Sequence[str], order: Sequence[str], slab_of
     over = Window.partitionBy(*keys).orderBy(slabs.SLAB)
     sums = rows.groupBy(*keys, slabs.SLAB).agg(F.max(E).alias("_end"), F.max("_open").alias("_last"), F.count(F.lit(1)).alias("_n"))
     sums = sums.withColumn("_cend", F.max("_end").over(slabs.before(over)))
-    sums = cut_lineage(sums.withColumn("_run0", F.max(true("_last")).over(slabs.before(over))).select(*keys, slabs.SLAB, "_cend", "_run0", "_n"))
+    sums = stored(sums.withColumn("_run0", F.max(true("_last")).over(slabs.before(over))).select(*keys, slabs.SLAB, "_cend", "_run0", "_n"))
     across = sums.groupBy(*keys, F.col("_run0").alias("_run")).agg(F.sum("_n").alias("n")).filter("_run IS NOT NULL")
     rows = rows.join(sums.drop("_n"), [*keys, slabs.SLAB])
     rows = rows.withColumn("_run", F.coalesce(F.max(true("_open")).over(slabs.upto(w)), F.col("_run0")))
@@ -295,11 +295,12 @@ def run_starts(df: DataFrame, keys: Sequence[str], order: Sequence[str], slab_of
 
 
 def run_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], slab_of: Column, gap_ms: int,
-             step: Callable[[dict, dict], list[dict]], flush: Callable[[dict], list[dict]], out: T.StructType) -> DataFrame:
+             step: Callable[[dict, dict], list[dict]], flush: Callable[[dict], list[dict]], out: T.StructType,
+             spent: Sequence[DataFrame] = ()) -> DataFrame:
     """A sequential fold (see `relay_fold`) by a rule that joins nothing beyond `gap_ms`: it is folded run by run, each run as one
     stream from its first row. Only a run with more than `RUN_ROWS` rows behind its first slab is relayed slab by slab."""
     group = [*keys, "_run"]
-    runs, across = run_starts(cut_lineage(df), keys, order, slab_of, gap_ms)
+    runs, across = run_starts(stored(df, spent), keys, order, slab_of, gap_ms)
     out_schema = T.StructType([*_fields(df, keys), *out.fields])
     names = [f.name for f in out.fields]
 
@@ -409,13 +410,16 @@ def build_chunks(df: DataFrame, segs: DataFrame, keys: Sequence[str], row_id: st
                  bin_ms: int = 60_000, width: int | None = None) -> DataFrame:
     """Training chunks: clamp to speech, merge short lines, merge neighbours up to 18 s, split beyond 30 s."""
     keys = list(keys)
+    # Stored step by step: texts are on disk in one table and at most two shuffles at a time.
+    df = lines = stored(df)
     regions = spans.merge_spans(segs, keys, fixed.SPEECH_GAP_MS, width).drop("n_spans")
     c = spans.clamp_to_regions(df, regions, keys, [row_id], bin_ms)
     c = c.select(*keys, row_id, F.col("clamped_start_ms").alias(S), F.col("clamped_end_ms").alias(E), "speaker", "text")
+    c = clamped = stored(c, [lines])
     slab_of = F.floor(F.col(S) / slab_ms)
     nxt = slabs.neighbour(c.withColumn(slabs.SLAB, slab_of.cast("long")), keys, [S, E, row_id], 1,
                           {"_ns": F.col(S)}).drop(slabs.SLAB)
-    nxt = cut_lineage(nxt)
+    nxt = stored(nxt, [clamped])
     gap = F.col("_ns") - F.col(E)
     wide = nxt.filter((gap > fixed.MERGE_GAP_MS) & (gap <= fixed.MERGE_GAP_SAME_SPEAKER_MS))
     voices = spans.overlap_join(wide.select(*keys, row_id, F.col(E).alias(S), F.col("_ns").alias(E)),
@@ -435,7 +439,7 @@ def build_chunks(df: DataFrame, segs: DataFrame, keys: Sequence[str], row_id: st
             done += _chunk_step(state, item)
         return _public(done + ([state["chunk"]] if state.get("chunk") else []))
 
-    chunks = run_fold(lean, keys, [S, E, row_id], slab_of, fixed.MERGE_GAP_SAME_SPEAKER_MS, step, flush, CHUNK)
+    chunks = run_fold(lean, keys, [S, E, row_id], slab_of, fixed.MERGE_GAP_SAME_SPEAKER_MS, step, flush, CHUNK, [nxt])
     parts = spans.split_long(chunks, fixed.HARD_MAX_MS, "text")
     return (parts.select(*keys, F.col("part_start_ms").alias(S), F.col("part_end_ms").alias(E), "speaker", "text")
             .filter((F.col(E) > F.col(S)) & (F.trim("text") != "")))

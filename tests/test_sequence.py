@@ -347,3 +347,9 @@ def test_summaries_leave_one_table_and_no_shuffles(spark):
     got = {r.k: r for r in docs.collect()}
     assert len(got) == 40 and sum(r.num_blocks for r in got.values()) == sums.count()
     assert sum(len(r.cleaned_transcript) for r in got.values()) == norm.selectExpr("sum(size(lines))").first()[0]
+
+
+def test_chunks_leave_one_table_and_no_shuffles(spark):
+    df = spark.createDataFrame(long_talk(), LINE)
+    mb, tables, chunks = disk_of(spark, lambda: sequence.build_chunks(df, df, ["k"], "idx", 3_600_000, width=3_600_000))
+    assert mb < 0.05 and tables <= 2 and chunks.count() > 100
